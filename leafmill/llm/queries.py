@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import mixing, secrets, token_count, topk, toxicity
+from leafmill.llm import decontaminate, mixing, neardup, secrets, token_count, topk, toxicity
 from leafmill.llm.common import table
 
 
@@ -25,9 +25,17 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mixing, op5_token_counts, op7_topk, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mixing, op5_token_counts, op7_topk, op8_decontamination, op9_near_duplicates, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {}
