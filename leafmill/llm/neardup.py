@@ -12,8 +12,9 @@ later than every register's.
    bucket of any size gives one pair a member. A link is verified on the whole texts: the Jaccard
    similarity of the two shingle sets is at least the threshold.
 4. Components of the links are found. A bucket that is still in several components has its members
-   outside its largest component compared to all members of other components, first by size and
-   signature, then verified: no link between two components is lost to the choice of leaders.
+   outside its largest component verified against the best agreeing member of each part of the bucket;
+   what is apart even then is compared to all members of other components, by size and signature, then
+   verified: no link between two components is lost to the choice of leaders.
 5. Components of all links are the classes; copies get the class of their text.
 
 A text with fewer than five words is one shingle of all its words. Defined cases: null and empty
@@ -38,7 +39,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Standard errors of a signature's estimate that a pair may lie below the threshold before it is verified.
-SLACK = 5
+SLACK = 4
+#: Members of a bucket that are compared at once.
+PART = 256
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -188,35 +191,76 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     links = materialise(verified(pairs, sets, threshold), "links")
     first = components(links, "first")
 
-    # What leaders left apart: buckets whose members are in several components.
-    labelled = shared.select("band", "bucket", "id", "n").join(first, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # What leaders left apart. First each such member and its likeliest partner of every part of the
+    # bucket, which joins most; then all that could still be a link.
+    labels = first
+    apart = _apart(shared, reps, labels, "apart")
+    if apart.isEmpty():
+        return docs_classes(docs, signed, _per_text(reps, labels))
+    likely = materialise(verified(materialise(_likeliest(apart, threshold), "likely"), sets, threshold), "joined")
+    links = links.union(likely)
+    if not likely.isEmpty():
+        labels = components(links, "second")
+        apart = _apart(shared, reps, labels, "still-apart")
+    more = materialise(_possible(apart, threshold), "more")
+    extra = materialise(verified(more, sets, threshold), "extra")
+    if not extra.isEmpty():
+        labels = components(links.union(extra), "third")
+    return docs_classes(docs, signed, _per_text(reps, labels))
+
+
+def _per_text(reps: DataFrame, labels: DataFrame) -> DataFrame:
+    return reps.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("class_id"))
+
+
+def _apart(shared: DataFrame, reps: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """Members of the buckets that hold several components, with their signature and the largest component's label."""
+    labelled = shared.select("band", "bucket", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     per_label = labelled.groupBy("band", "bucket", "label").agg(F.count("*").alias("c"))
     split = (
         per_label.groupBy("band", "bucket")
-        .agg(F.max(F.struct("c", "label")).alias("largest"), F.count("*").alias("labels"))
+        .agg(F.max(F.struct("c", "label")).alias("largest"), F.sum("c").alias("size"), F.count("*").alias("labels"))
         .where("labels > 1")
-        .select("band", "bucket", F.col("largest.label").alias("largest"))
+        .select("band", "bucket", F.col("largest.label").alias("largest"), "size")
     )
-    apart = labelled.join(split, ["band", "bucket"])
-    apart = materialise(apart.join(reps.select("id", "sig"), "id"), "apart")
-    few = apart.where("label <> largest").select("band", "bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), F.col("sig").alias("s_a"))
+    return materialise(labelled.join(split, ["band", "bucket"]).join(reps.select("id", "sig"), "id"), name)
+
+
+def _agreement(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+
+
+def _least(threshold: float) -> int:
+    return int(REGISTERS * threshold - SLACK * (REGISTERS * threshold * (1 - threshold)) ** 0.5)
+
+
+def _few(apart: DataFrame) -> DataFrame:
+    return apart.where("label <> largest").select("band", "bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), F.col("sig").alias("s_a"))
+
+
+def _likeliest(apart: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): for each member outside its bucket's largest component the best agreeing partner of another
+    component in each part of PART members. Parts keep a large bucket out of any one task."""
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / PART).cast("int"))
+    member = F.struct("id", "n", "label", "sig")
+    parts = apart.groupBy("band", "bucket", part.alias("part")).agg(F.collect_list(member).alias("members"))
+    none = F.struct(F.lit(-1).alias("agree"), F.lit(None).cast("long").alias("id"))
+
+    def better(s, m):
+        fit = (m["label"] != F.col("l_a")) & (F.least(m["n"], F.col("n_a")) >= threshold * F.greatest(m["n"], F.col("n_a")) - 1e-9)
+        mine = F.struct(F.when(fit, _agreement(m["sig"], F.col("s_a"))).otherwise(-1).alias("agree"), m["id"].alias("id"))
+        return F.transform(F.array(mine), lambda x: F.when(x["agree"] > s["agree"], x).otherwise(s))[0]
+
+    best = _few(apart).join(parts, ["band", "bucket"]).select("a", F.aggregate("members", none, better).alias("best"))
+    return best.where(F.col("best.agree") >= _least(threshold)).select("a", F.col("best.id").alias("b")).distinct()
+
+
+def _possible(apart: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of different components in a bucket whose sizes and signatures allow a link."""
     many = apart.select("band", "bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"), F.col("sig").alias("s_b"), (F.col("label") == F.col("largest")).alias("in_largest"))
-    agree = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    least = int(REGISTERS * threshold - SLACK * (REGISTERS * threshold * (1 - threshold)) ** 0.5)
-    alike = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (agree >= least)
+    alike = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (_agreement("s_a", "s_b") >= _least(threshold))
     once = F.col("in_largest") | (F.col("a") < F.col("b"))
-    more = few.join(many, ["band", "bucket"]).where((F.col("l_a") != F.col("l_b")) & once & alike)
-    more = more.select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialise(more.join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "more")
-    extra = materialise(verified(more, sets, threshold), "extra")
-    if extra.isEmpty():
-        labels = first
-    else:
-        labels = components(links.union(extra), "second")
-
-    # Copies: a text's class is its representative's; a doc_id with several texts takes the least.
-    per_text = reps.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("class_id"))
-    return docs_classes(docs, signed, per_text)
+    return _few(apart).join(many, ["band", "bucket"]).where((F.col("l_a") != F.col("l_b")) & once & alike).select("a", "b").distinct()
 
 
 def docs_classes(docs: DataFrame, signed: DataFrame, per_text: DataFrame) -> DataFrame:
