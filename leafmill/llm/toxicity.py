@@ -126,23 +126,19 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, **optio
     return fit([np.frombuffer(x, np.int32) for x in got["at"]], got["toxic"].tolist(), **options)
 
 
-def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row, and the columns in ``keep`` unchanged."""
+def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", *[c for c in keep if c not in ("doc_id", "text")]]
-    text = ["text"] if "text" in keep else []
-    source = docs.select(*names, "text").withColumn("__held_out", held_out(F.col("doc_id")))
-    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in [*names, *text])
+    source = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             values = np.array([m.score(features(t, m.bits)) for t in b.column("text").to_pylist()], dtype=float)
-            out = {c: b.column(c) for c in [*names, *text]}
-            out |= {"held_out": b.column("__held_out"), "score": values, "predicted": (values >= threshold).astype(np.int32)}
-            yield pa.RecordBatch.from_pydict(out)
+            out = {c: b.column(c) for c in ("doc_id", "held_out")}
+            yield pa.RecordBatch.from_pydict(out | {"score": values, "predicted": (values >= threshold).astype(np.int32)})
 
-    return source.mapInArrow(scored, f"{kinds}, held_out boolean, score double, predicted int")
+    return source.mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -150,7 +146,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """Pipeline stage: the rows of ``docs`` that are not predicted toxic, columns as they came."""
-    marked = score(docs, train(docs, labels), keep=tuple(docs.columns))
-    return marked.where("predicted = 0").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            yield b.filter(pa.array([bool(m.score(features(t, m.bits)) < threshold) for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
