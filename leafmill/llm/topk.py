@@ -30,6 +30,7 @@ SCALE = 256
 #: Low bits of a value that the posting segments leave out.
 SHIFT = 2
 BLOCK_ROWS, QUERY_ROWS = 4096, 256
+MOST_TASKS = 2048
 #: Contributions down to which segments are walked between looks at the bounds, as parts of the largest one.
 LEVELS = (0.5, 0.25, 0.12, 0.05, 0.0, -0.05)
 
@@ -155,7 +156,7 @@ def top_k(vectors: DataFrame, *, every: int = 50, k: int = 5) -> DataFrame:
 
     index = materialise(packed.mapInArrow(indexed, "block int, dims int, ids binary, v binary, postings binary"), "index")
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates()
-    queries, _ = _blocks(materialise(asked, "queries"), QUERY_ROWS, "query_block")
+    queries, m = _blocks(materialise(asked, "queries"), QUERY_ROWS, "query_block")
     queries = queries.select(F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.col("dims").alias("q_dims"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +170,9 @@ def top_k(vectors: DataFrame, *, every: int = 50, k: int = 5) -> DataFrame:
                 q, _, score, vec = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [], [])
                 yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in (("query_id", q), ("score", score), ("vec_id", vec))})
 
-    found = queries.join(index, "block").mapInArrow(searched, "query_id long, score long, vec_id long")
+    # A pair of blocks is little to read and much to work out, so pairs are dealt to tasks by number, not by size.
+    pairs = queries.join(index, "block").repartition(min(n * m, MOST_TASKS))
+    found = pairs.mapInArrow(searched, "query_id long, score long, vec_id long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
