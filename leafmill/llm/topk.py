@@ -31,8 +31,10 @@ SCALE = 256
 SHIFT = 2
 BLOCK_ROWS, QUERY_ROWS = 4096, 256
 MOST_TASKS = 2048
+#: Rows left for each of the k wanted at which exact scoring is cheaper than walking on.
+RESCORED = 4
 #: Contributions down to which segments are walked between looks at the bounds, as parts of the largest one.
-LEVELS = (0.5, 0.25, 0.12, 0.05, 0.0, -0.05)
+LEVELS = (0.25, 0.05, 0.0)
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -49,7 +51,7 @@ class Index:
         self.ids, self.rows = ids, rows.astype(np.int64)
         self.postings = np.argsort(-self.rows, axis=0, kind="stable").T.astype(np.int32) if postings is None else postings
         coarse = np.take_along_axis(self.rows, self.postings.T.astype(np.int64), axis=0).T >> SHIFT
-        self.coarse = coarse
+        self.base = (coarse.astype(np.int64) << SHIFT).ravel()
         self.low, self.high = int(coarse.min()), int(coarse.max())
         #: above[d, c - low]: rows of dimension d whose quantised impact is at least c.
         dims, width = coarse.shape[0], self.high - self.low + 2
@@ -83,32 +85,31 @@ class Index:
         bottom = np.where(q >= 0, q * (last >> SHIFT << SHIFT), q * ((first >> SHIFT << SHIFT) + part))
         peak = int(np.where(q >= 0, q * ((first >> SHIFT << SHIFT) + part), q * (last >> SHIFT << SHIFT)).max())
         live = np.flatnonzero(q)
+        flat_rows, flat_base = self.postings.ravel(), self.base
+        # A met posting adds q * base to its row; what the low bits may add or take is fixed per dimension.
+        under, slack = np.minimum(q, 0) * part - bottom, np.abs(q) * part + bottom
         done = np.zeros(dims, np.int64)
-        upper, lower, met = np.zeros(n), np.full(n, float(bottom.sum())), np.zeros(n)
+        lower, gap, met = np.full(n, float(bottom.sum())), np.zeros(n), np.zeros(n, np.int64)
         possible = other
         for level in LEVELS:
             t = int(peak * level) if peak > 0 else int(peak * (2 - level))
             now = np.maximum(self.cut(q, t), done)
-            at, value, weight, low = [], [], [], []
-            for d in live:
-                if now[d] > done[d]:
-                    span = slice(done[d], now[d]) if q[d] > 0 else slice(n - now[d], n - done[d])
-                    at.append(self.postings[d, span])
-                    value.append(self.coarse[d, span])
-                    weight.append(np.full(len(at[-1]), q[d]))
-                    low.append(np.full(len(at[-1]), bottom[d]))
-            done = now
-            if at:
-                rows, w = np.concatenate(at), np.concatenate(weight)
-                base = np.concatenate(value) << SHIFT
-                best, worst = np.where(w > 0, w * (base + part), w * base), np.where(w > 0, w * base, w * (base + part))
-                upper += np.bincount(rows, best, n)
-                lower += np.bincount(rows, worst - np.concatenate(low), n)
+            fresh = live[now[live] > done[live]]
+            count = now[fresh] - done[fresh]
+            if len(fresh):
+                start = fresh * n + np.where(q[fresh] > 0, done[fresh], n - now[fresh])
+                spans = [slice(i, i + c) for i, c in zip(start.tolist(), count.tolist(), strict=True)]
+                rows = np.concatenate([flat_rows[x] for x in spans])
+                gain = np.concatenate([flat_base[x] for x in spans]) * np.repeat(q[fresh], count)
+                gain += np.repeat(under[fresh], count)
+                lower += np.bincount(rows, gain, n)
+                gap += np.bincount(rows, np.repeat(slack[fresh], count), n)
                 met += np.bincount(rows, minlength=n)
+            done = now
             # What is not met yet lies in segments that contribute less than t.
             line = np.partition(lower[other], -least)[-least]
-            possible = other & (upper + (len(live) - met) * (t - 1) >= line)
-            if np.count_nonzero(possible) <= 4 * k:
+            possible = other & (lower - bottom.sum() + gap + (len(live) - met) * (t - 1) >= line)
+            if np.count_nonzero(possible) <= RESCORED * least:
                 break
         rows = np.flatnonzero(possible)
         scores = self.rows[rows] @ q
