@@ -256,11 +256,15 @@ def _likeliest(apart: DataFrame, threshold: float) -> DataFrame:
 
 
 def _possible(apart: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all pairs of different components in a bucket whose sizes and signatures allow a link."""
+    """(a, b): all pairs of different components in a bucket whose sizes and signatures allow a link.
+
+    Texts that share several bands meet in the first of them only, so each pair is made once.
+    """
     many = apart.select("band", "bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"), F.col("sig").alias("s_b"), (F.col("label") == F.col("largest")).alias("in_largest"))
     alike = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (_agreement("s_a", "s_b") >= _least(threshold))
     once = F.col("in_largest") | (F.col("a") < F.col("b"))
-    return _few(apart).join(many, ["band", "bucket"]).where((F.col("l_a") != F.col("l_b")) & once & alike).select("a", "b").distinct()
+    earlier = F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: (i < F.col("band")) & (F.slice("s_a", i * ROWS + 1, F.lit(ROWS)) == F.slice("s_b", i * ROWS + 1, F.lit(ROWS))))
+    return _few(apart).join(many, ["band", "bucket"]).where((F.col("l_a") != F.col("l_b")) & once & alike & ~earlier).select("a", "b")
 
 
 def docs_classes(docs: DataFrame, signed: DataFrame, per_text: DataFrame) -> DataFrame:
