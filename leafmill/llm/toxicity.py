@@ -73,14 +73,12 @@ def fit(
     """FTRL-proximal over the rows, ``epochs`` times in a fixed shuffled order."""
     if not rows:
         return Model(np.empty(0, np.int32), np.empty(0), 0.0, bits)
-    index, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    compact = np.split(inverse, np.cumsum([len(r) for r in rows])[:-1])
-    z, n, w = np.zeros(len(index)), np.zeros(len(index)), np.zeros(len(index))
+    z, n, w = np.zeros(1 << bits), np.zeros(1 << bits), np.zeros(1 << bits)
     bz = bn = bias = 0.0
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
-            at = compact[i]
+            at = rows[i]
             p = 1 / (1 + np.exp(-np.clip(bias + w[at].sum(), -60, 60)))
             g = p - labels[i]
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
@@ -94,7 +92,7 @@ def fit(
             bn += g * g
             bias = -bz / ((beta + np.sqrt(bn)) / alpha)
     kept = np.flatnonzero(w)
-    return Model(index[kept], w[kept], float(bias), bits)
+    return Model(kept.astype(np.int32), w[kept], float(bias), bits)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -121,9 +119,11 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, **optio
             at = [features(t).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "at": pa.array(at, pa.binary())})
 
-    got = picked.mapInArrow(coordinates, "doc_id long, toxic int, at binary").toPandas()
-    got = got.drop_duplicates().sort_values(["doc_id", "at"])
-    return fit([np.frombuffer(x, np.int32) for x in got["at"]], got["toxic"].tolist(), **options)
+    got = picked.mapInArrow(coordinates, "doc_id long, toxic int, at binary").toArrow()
+    # Arrow's rows one batch at a time: the driver holds the sample twice at most.
+    found = sorted({(r["doc_id"], r["at"], r["toxic"]) for b in got.to_batches(max_chunksize=256) for r in b.to_pylist()})
+    del got
+    return fit([np.frombuffer(at, np.int32) for _, at, _ in found], [toxic for _, _, toxic in found], **options)
 
 
 def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
