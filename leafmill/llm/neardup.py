@@ -13,8 +13,9 @@ later than every register's.
    similarity of the two shingle sets is at least the threshold.
 4. Components of the links are found. A bucket that is still in several components has its members
    outside its largest component verified against the best agreeing member of each part of the bucket;
-   what is apart even then is compared to all members of other components, by size and signature, then
-   verified: no link between two components is lost to the choice of leaders.
+   what is apart even then is compared to all members of other components, by size, signature and the
+   shingles it shares with any other text apart, then verified: no link between two components is lost to
+   the choice of leaders.
 5. Components of all links are the classes; copies get the class of their text.
 
 A text with fewer than five words is one shingle of all its words. Defined cases: null and empty
@@ -197,11 +198,13 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     apart = _apart(shared, reps, labels, "apart")
     if apart.isEmpty():
         return docs_classes(docs, signed, _per_text(reps, labels))
+    reach = materialise(_reach(apart, sets, threshold), "reach")
+    apart = apart.join(reach, "id")
     likely = materialise(verified(materialise(_likeliest(apart, threshold), "likely"), sets, threshold), "joined")
     links = links.union(likely)
     if not likely.isEmpty():
         labels = components(links, "second")
-        apart = _apart(shared, reps, labels, "still-apart")
+        apart = _apart(shared, reps, labels, "still-apart").join(reach, "id")
     more = materialise(_possible(apart, threshold), "more")
     extra = materialise(verified(more, sets, threshold), "extra")
     if not extra.isEmpty():
@@ -226,6 +229,25 @@ def _apart(shared: DataFrame, reps: DataFrame, labels: DataFrame, name: str) ->
     return materialise(labelled.join(split, ["band", "bucket"]).join(reps.select("id", "sig"), "id"), name)
 
 
+def _reach(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """id, r of the members apart that can still be linked; r counts their shingles that another member has too.
+
+    No more than the lesser r of two texts are shared, so r bounds their similarity exactly; a text whose r is
+    below the threshold's share of its own shingles has no link at all.
+    """
+    each = sets.join(apart.select("id").distinct(), "id", "left_semi").select("id", F.explode("set").alias("shingle"))
+    ends = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    alone = ends.where(F.col("id") == F.col("last")).groupBy("id").agg(F.count("*").alias("alone"))
+    known = apart.select("id", "n").distinct().join(alone, "id", "left")
+    return known.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("r")).where(F.col("r") >= threshold * F.col("n") - 1e-9).select("id", "r")
+
+
+def _allows(n_a, n_b, r_a, r_b, threshold: float):
+    """Whether sizes and shared shingles allow a link."""
+    most = F.least(r_a, r_b)
+    return (F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b) - 1e-9) & (most >= threshold * (n_a + n_b - most) - 1e-9)
+
+
 def _agreement(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
@@ -235,19 +257,19 @@ def _least(threshold: float) -> int:
 
 
 def _few(apart: DataFrame) -> DataFrame:
-    return apart.where("label <> largest").select("band", "bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), F.col("sig").alias("s_a"))
+    return apart.where("label <> largest").select("band", "bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("r").alias("r_a"), F.col("label").alias("l_a"), F.col("sig").alias("s_a"))
 
 
 def _likeliest(apart: DataFrame, threshold: float) -> DataFrame:
     """(a, b): for each member outside its bucket's largest component the best agreeing partner of another
     component in each part of PART members. Parts keep a large bucket out of any one task."""
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / PART).cast("int"))
-    member = F.struct("id", "n", "label", "sig")
+    member = F.struct("id", "n", "r", "label", "sig")
     parts = apart.groupBy("band", "bucket", part.alias("part")).agg(F.collect_list(member).alias("members"))
     none = F.struct(F.lit(-1).alias("agree"), F.lit(None).cast("long").alias("id"))
 
     def better(s, m):
-        fit = (m["label"] != F.col("l_a")) & (F.least(m["n"], F.col("n_a")) >= threshold * F.greatest(m["n"], F.col("n_a")) - 1e-9)
+        fit = (m["label"] != F.col("l_a")) & _allows(m["n"], F.col("n_a"), m["r"], F.col("r_a"), threshold)
         mine = F.struct(F.when(fit, _agreement(m["sig"], F.col("s_a"))).otherwise(-1).alias("agree"), m["id"].alias("id"))
         return F.transform(F.array(mine), lambda x: F.when(x["agree"] > s["agree"], x).otherwise(s))[0]
 
@@ -256,12 +278,12 @@ def _likeliest(apart: DataFrame, threshold: float) -> DataFrame:
 
 
 def _possible(apart: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all pairs of different components in a bucket whose sizes and signatures allow a link.
+    """(a, b): all pairs of different components in a bucket whose sizes, shared shingles and signatures allow a link.
 
     Texts that share several bands meet in the first of them only, so each pair is made once.
     """
-    many = apart.select("band", "bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"), F.col("sig").alias("s_b"), (F.col("label") == F.col("largest")).alias("in_largest"))
-    alike = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (_agreement("s_a", "s_b") >= _least(threshold))
+    many = apart.select("band", "bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("r").alias("r_b"), F.col("label").alias("l_b"), F.col("sig").alias("s_b"), (F.col("label") == F.col("largest")).alias("in_largest"))
+    alike = _allows(F.col("n_a"), F.col("n_b"), F.col("r_a"), F.col("r_b"), threshold) & (_agreement("s_a", "s_b") >= _least(threshold))
     once = F.col("in_largest") | (F.col("a") < F.col("b"))
     earlier = F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: (i < F.col("band")) & (F.slice("s_a", i * ROWS + 1, F.lit(ROWS)) == F.slice("s_b", i * ROWS + 1, F.lit(ROWS))))
     return _few(apart).join(many, ["band", "bucket"]).where((F.col("l_a") != F.col("l_b")) & once & alike & ~earlier).select("a", "b")
