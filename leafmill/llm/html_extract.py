@@ -1,20 +1,25 @@
 """Main text of web pages by equivalence-class template deduction.
 
-1. Each page is cut into tokens: opening tags with their path, and text blocks outside articles. For
-   every host and token, the vector of its counts over the host's pages is kept as two sums of page
-   hashes, so equal vectors are found without bringing a host's pages together.
+1. Each page is cut into tokens: opening tags of blocks with their path, and text blocks outside
+   articles. For every host and token, the vector of its counts over the host's pages is kept as two
+   sums of page hashes, so equal vectors are found without bringing a host's pages together.
 2. Tokens of a host with equal vectors are an equivalence class. Classes with at least MIN_CLASS
-   tokens that stand in most pages of the host are valid; nested in page order they are the template.
-3. In a page the template's tokens bound the slots. Text that is itself template, and slots inside
-   menus, headers, footers, sidebars, notices, adverts, forms and comments, are left out; of the
-   remaining slots those of the article are the main text, or all of them where no element marks it.
-
-An article's own blocks are never dropped for being common. Templates are joined to the pages by
-host; Spark broadcasts them if their measured size allows, else it splits hosts that hold a large
-part of the pages.
+   tokens that stand in most pages of the host are valid. Their tokens in order of their mean first
+   place are the template; a class of fewer pages stands nested between the tokens of a wider one.
+3. In a page the template's tokens that follow its order bound the slots; a slot is named by the two
+   tokens around it. Over all pages of the host, a slot is boilerplate if in SLOT_SHARE of the pages
+   where it has text most of it is a menu, header, footer, sidebar, notice, advert, form or comment
+   by its marks, or is links outside ``article`` and ``main``. Articles have no part in this.
+4. The main text is what the slots hold: text that is itself template and boilerplate slots are left
+   out, and what bears a mark of the kinds above. Nothing else is left out: text outside an article
+   stays, and so do links in a slot that usually holds text.
+
+An article's own blocks are never dropped for being common or for their slot. Templates and slots are
+joined to the pages by host; Spark broadcasts them if their measured size allows, else it splits hosts
+that hold a large part of the pages.
 
 Defined cases: null or empty html gives an empty text; pages without host share the empty host; a
-host with fewer than MIN_PAGES pages has no template, only marks count; broken or unclosed markup is
+host with fewer than MIN_PAGES pages has no template, only marks and links count; broken or unclosed markup is
 read as browsers do in the common cases; repeated rows give repeated rows; ids may be null.
 """
 
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import materialise
 
-MIN_PAGES, MIN_CLASS, MIN_SHARE = 4, 3, 0.6
+MIN_PAGES, MIN_CLASS, MIN_SHARE, SLOT_SHARE = 4, 3, 0.6, 0.9
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+>|[^>]*(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -80,7 +86,8 @@ class Block:
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
-    tags: list[int] = field(default_factory=list)
+    #: Paths of the opening tags of blocks, and the blocks, in page order.
+    order: list[int | Block] = field(default_factory=list)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -118,6 +125,7 @@ def parse(source: str | None) -> Page:
         if text:
             top = stack[-1] if stack else Element("", False, False, False, 0)
             page.blocks.append(Block(text, top.chrome, top.article, top.main, min(linked, len(text)), top.path))
+            page.order.append(page.blocks[-1])
         buffer.clear()
         linked = 0
 
@@ -182,7 +190,8 @@ def parse(source: str | None) -> Page:
             flush()  # an inline notice is no part of the block around it
         is_article = name == "article" or a.get("itemprop", "").lower() == "articlebody"
         path = _hash(f"{top.path}/{name}.{a.get('class', '')}#{a.get('id', '')}")
-        page.tags.append(path)
+        if name in BLOCK or name in RAW:
+            page.order.append(path)
         if name in RAW:
             close = RAW[name].search(source, at)
             at = close.end()
@@ -193,14 +202,55 @@ def parse(source: str | None) -> Page:
     return page
 
 
-def main_text(page: Page, template: set[int]) -> str:
-    """The page's article slots, joined by newlines."""
-    open_ = [b for b in page.blocks if not b.chrome]
-    marked = [b for b in open_ if b.article] or [b for b in open_ if b.main]
-    if marked:
-        return "\n".join(b.text for b in marked)
-    own = [b for b in open_ if _hash(f"{b.path}:{b.text}") not in template]
-    return "\n".join(b.text for b in own if 2 * b.linked <= len(b.text))
+def tokens_of(page: Page) -> list[int | None]:
+    """The token of each item of the page's order; blocks of articles have none."""
+    return [x if isinstance(x, int) else None if x.article else _hash(f"{x.path}:{x.text}") for x in page.order]
+
+
+def _in_order(ranks: list[int]) -> set[int]:
+    """A longest increasing run of distinct ranks."""
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(ranks)
+    for i, r in enumerate(ranks):
+        k = bisect_left(ends, r)
+        if k:
+            before[i] = last[k - 1]
+        ends[k : k + 1], last[k : k + 1] = [r], [i]
+    out, i = set(), last[-1] if last else -1
+    while i >= 0:
+        out.add(ranks[i])
+        i = before[i]
+    return out
+
+
+def slots(page: Page, template: list[int]) -> list[tuple[int, Block]]:
+    """(slot, block) of the blocks between the template's tokens, in page order."""
+    rank = {t: k for k, t in enumerate(template)}
+    found = [rank.get(t) if t is not None else None for t in tokens_of(page)]
+    bounds = _in_order(list(dict.fromkeys(r for r in found if r is not None)))
+    out: list[tuple[int, Block]] = []
+    waiting: list[Block] = []
+    before = -1
+    for x, r in zip([*page.order, None], [*found, -1], strict=True):
+        if r == -1 or r in bounds:
+            if waiting:
+                name = _hash(f"{template[before] if before >= 0 else ''}/{template[r] if r >= 0 else ''}")
+                out += [(name, b) for b in waiting]
+                waiting = []
+            before = r
+        elif isinstance(x, Block):
+            waiting.append(x)
+    return out
+
+
+def main_text(page: Page, template: list[int], boilerplate: set[int]) -> str:
+    """What the page's slots hold of main text, joined by newlines."""
+    if not template:
+        open_ = [b for b in page.blocks if not b.chrome]
+        marked = [b for b in open_ if b.article] or [b for b in open_ if b.main]
+        return "\n".join(b.text for b in marked or open_ if marked or 2 * b.linked <= len(b.text))
+    return "\n".join(b.text for slot, b in slots(page, template) if not b.chrome and (b.article or slot not in boilerplate))
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -208,7 +258,8 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def token_vectors(pages: DataFrame) -> DataFrame:
-    """host, token, pages, s1, s2: over all pages, how many hold the token and the sums that stand for its count vector."""
+    """host, token, pages, s1, s2, place: over all pages, how many hold the token, the sums that stand for its count
+    vector, and the sum of its first places in millionths of a page."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,46 +267,76 @@ def token_vectors(pages: DataFrame) -> DataFrame:
             for host, key, source in zip(b.column("host").to_pylist(), b.column("key").to_pylist(), b.column("html").to_pylist(), strict=True):
                 page = parse(source)
                 counts: dict[int, int] = {}
-                for t in page.tags:
-                    counts[t] = counts.get(t, 0) + 1
-                for x in page.blocks:
-                    if not x.article:
-                        t = _hash(f"{x.path}:{x.text}")
+                place: dict[int, int] = {}
+                for i, t in enumerate(tokens_of(page)):
+                    if t is not None:
                         counts[t] = counts.get(t, 0) + 1
+                        place.setdefault(t, i * 1_000_000 // len(page.order))
                 for t, n in counts.items():
                     mark = xxhash.xxh3_64_intdigest(f"{key}:{n}")
-                    s = sums.setdefault((host, t), [0, 0, 0])
+                    s = sums.setdefault((host, t), [0, 0, 0, 0])
                     s[0] += 1
                     s[1] += mark >> 33
                     s[2] += mark & 0x7FFFFFFF
+                    s[3] += place[t]
             hosts, found = [k[0] for k in sums], [k[1] for k in sums]
             yield pa.RecordBatch.from_pydict(
                 {"host": pa.array(hosts, pa.string()), "token": pa.array(found, pa.int64())}
-                | {c: pa.array([s[i] for s in sums.values()], pa.int64()) for i, c in enumerate(("pages", "s1", "s2"))}
+                | {c: pa.array([s[i] for s in sums.values()], pa.int64()) for i, c in enumerate(("pages", "s1", "s2", "place"))}
             )
 
     rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url", "html").alias("key"), "html")
-    each = rows.mapInArrow(tokens, "host string, token long, pages long, s1 long, s2 long")
-    return each.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+    each = rows.mapInArrow(tokens, "host string, token long, pages long, s1 long, s2 long, place long")
+    return each.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "s1", "s2", "place")))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template: the tokens of each host's valid equivalence classes."""
+    """host, template: the tokens of each host's valid equivalence classes in page order."""
     vectors = materialise(token_vectors(pages), "vectors")
     of_host = vectors.groupBy("host").agg(F.max("pages").alias("host_pages"))
     frequent = vectors.join(of_host, "host").where((F.col("host_pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("host_pages")))
-    by_class = frequent.groupBy("host", "pages", "s1", "s2").agg(F.collect_list("token").alias("tokens"))
+    by_class = frequent.groupBy("host", "pages", "s1", "s2").agg(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("at"), "token")).alias("tokens"))
     valid = by_class.where(F.size("tokens") >= MIN_CLASS)
-    return valid.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("tokens"))).alias("template"))
+    return valid.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("tokens")))["token"].alias("template"))
+
+
+def boilerplate_slots(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """host, boilerplate: the slots of each host's template that mostly hold no main text."""
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: dict[tuple[str, int], list[int]] = {}
+            for host, source, template in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("template").to_pylist(), strict=True):
+                chars: dict[int, list[int]] = {}
+                for slot, x in slots(parse(source), template):
+                    if not x.article:
+                        c = chars.setdefault(slot, [0, 0])
+                        c[0] += len(x.text)
+                        c[1] += len(x.text) if x.chrome else 0 if x.main else x.linked
+                for slot, (n, off) in chars.items():
+                    s = sums.setdefault((host, slot), [0, 0])
+                    s[0] += 1
+                    s[1] += 2 * off > n
+            yield pa.RecordBatch.from_pydict(
+                {"host": pa.array([k[0] for k in sums], pa.string()), "slot": pa.array([k[1] for k in sums], pa.int64())}
+                | {c: pa.array([s[i] for s in sums.values()], pa.int64()) for i, c in enumerate(("pages", "off"))}
+            )
+
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").join(found, "host")
+    each = rows.mapInArrow(weighed, "host string, slot long, pages long, off long").groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.sum("off").alias("off"))
+    off = each.where((F.col("pages") >= MIN_PAGES) & (F.col("off") >= SLOT_SHARE * F.col("pages")))
+    return off.groupBy("host").agg(F.collect_list("slot").alias("boilerplate"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     found = materialise(templates(pages), "templates")
+    # Written before the pages are joined, so its measured size lets Spark broadcast it.
+    found = materialise(found.join(boilerplate_slots(pages, found), "host", "left"), "slots")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(parse(h), set(t or ())) for h, t in zip(b.column("html").to_pylist(), b.column("template").to_pylist(), strict=True)]
+            texts = [main_text(parse(h), t or [], set(x or ())) for h, t, x in zip(*(b.column(c).to_pylist() for c in ("html", "template", "boilerplate")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(found, "host", "left").drop("host")

@@ -254,6 +254,25 @@ def test_html_text(spark):
     assert html_extract.extract(d.limit(0)).count() == 0
 
 
+def test_html_slots_choose_main_text(spark):
+    """The template's slots decide where no mark does, and only they drop links or what is common."""
+    page = (
+        "<div class=top><p>Same top</p></div><div class=crumbs><p><a href=x>Way {k} to here</a></p></div><main><h1>Title {k}</h1><p>{lead}</p>"
+        "<article><p>Told {k}</p></article><p>Rest {k}</p></main><div class=end><p>Same end</p></div>"
+    )
+    rows = [(k, f"http://a.example/{k}", page.format(k=k, lead=f"<a href=y>All links {k}</a>" if k == 3 else f"Lead {k}")) for k in range(12)]
+    # The order of the template is broken: its text in another place is the page's own.
+    moved = "<div class=end><p>Same end</p></div>" + page.format(k=20, lead="Lead 20").removesuffix("<div class=end><p>Same end</p></div>")
+    rows += [(20, "http://a.example/20", moved)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in rows_of(html_extract.extract(d))}
+    assert got[5] == "Title 5\nLead 5\nTold 5\nRest 5"
+    assert got[3] == "Title 3\nAll links 3\nTold 3\nRest 3"
+    assert got[20] == "Same end\nTitle 20\nLead 20\nTold 20\nRest 20"
+    host = html_extract.templates(d).first()
+    assert host["host"] == "a.example" and html_extract.boilerplate_slots(d, html_extract.templates(d)).count() == 1
+
+
 def test_license_families(spark, odd):
     texts = {i: t for i, t in enumerate(("Some words of a text\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0.", "A plain paragraph on nothing at all", "This work is licensed under the GNU General Public License, version 3.\nmore", None, ""))}
     d = docs(spark, [(i, t, "a") for i, t in texts.items()] + [(100 + k, f"ordinary prose number {k} of the corpus is here", "a") for k in range(200)])
