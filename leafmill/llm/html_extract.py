@@ -19,7 +19,7 @@ joined to the pages by host; Spark broadcasts them if their measured size allows
 that hold a large part of the pages.
 
 Defined cases: null or empty html gives an empty text; pages without host share the empty host; a
-host with fewer than MIN_PAGES pages has no template, only marks and links count; broken or unclosed markup is
+host with fewer than MIN_PAGES pages has no template, only marks count, links do not; broken or unclosed markup is
 read as browsers do in the common cases; repeated rows give repeated rows; ids may be null.
 """
 
@@ -247,9 +247,7 @@ def slots(page: Page, template: list[int]) -> list[tuple[int, Block]]:
 def main_text(page: Page, template: list[int], boilerplate: set[int]) -> str:
     """What the page's slots hold of main text, joined by newlines."""
     if not template:
-        open_ = [b for b in page.blocks if not b.chrome]
-        marked = [b for b in open_ if b.article] or [b for b in open_ if b.main]
-        return "\n".join(b.text for b in marked or open_ if marked or 2 * b.linked <= len(b.text))
+        return "\n".join(b.text for b in page.blocks if not b.chrome)
     return "\n".join(b.text for slot, b in slots(page, template) if not b.chrome and (b.article or slot not in boilerplate))
 
 

@@ -261,13 +261,15 @@ def test_html_slots_choose_main_text(spark):
         "<article><p>Told {k}</p></article><p>Rest {k}</p></main><div class=end><p>Same end</p></div>"
     )
     rows = [(k, f"http://a.example/{k}", page.format(k=k, lead=f"<a href=y>All links {k}</a>" if k == 3 else f"Lead {k}")) for k in range(12)]
+    lone = "<div><p><a href=x>A list made of links</a></p></div><article><p>Teaser</p></article><div><p>Real text</p></div>"
     # The order of the template is broken: its text in another place is the page's own.
     moved = "<div class=end><p>Same end</p></div>" + page.format(k=20, lead="Lead 20").removesuffix("<div class=end><p>Same end</p></div>")
-    rows += [(20, "http://a.example/20", moved)]
+    rows += [(30, "http://b.example/", lone), (20, "http://a.example/20", moved)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in rows_of(html_extract.extract(d))}
     assert got[5] == "Title 5\nLead 5\nTold 5\nRest 5"
     assert got[3] == "Title 3\nAll links 3\nTold 3\nRest 3"
+    assert got[30] == "A list made of links\nTeaser\nReal text"
     assert got[20] == "Same end\nTitle 20\nLead 20\nTold 20\nRest 20"
     host = html_extract.templates(d).first()
     assert host["host"] == "a.example" and html_extract.boilerplate_slots(d, html_extract.templates(d)).count() == 1
