@@ -1,9 +1,9 @@
-"""Near-duplicates: ProbMinHash signatures of weighted shingles, banding and verification.
+"""Near-duplicates: ProbMinHash signatures of shingle sets, banding and verification.
 
-Shingles are runs of five words; a shingle that occurs c times weighs 1 + ln c. Each shingle is a
-Poisson process of arrivals at the rate of its weight, each arrival falls on a random register, and a
-register keeps its first one. Two texts agree on a register with the probability Jaccard similarity of
-their weighted sets. Processes run in blocks of arrivals and end early, once their next arrival is
+Shingles are runs of five words; repeats do not count, as they do not in the similarity that is
+verified. Each shingle is a Poisson process of arrivals at the rate of its weight, here 1, each arrival
+falls on a random register, and a register keeps its first one. Two texts agree on a register with the
+Jaccard similarity of their sets as probability. Processes run in blocks of arrivals and end early, once their next arrival is
 later than every register's.
 
 1. Texts with the same words are one exact class; one row per class goes on.
@@ -13,9 +13,10 @@ later than every register's.
    similarity of the two shingle sets is at least the threshold.
 4. Components of the links are found. A bucket that is still in several components has its members
    outside its largest component verified against the best agreeing member of each part of the bucket;
-   what is apart even then is compared to all members of other components, by size, signature and the
-   shingles it shares with any other text apart, then verified: no link between two components is lost to
-   the choice of leaders.
+   what is apart even then is compared to all members of other components of its buckets, by exact bounds
+   from sizes, from the shingles it shares with any other text apart and from bit sets of the shingles,
+   then verified: no link in a bucket is lost to the choice of leaders or to an estimate. Only a pair that
+   shares no band can be lost, at similarity s with probability (1 - s**5)**24.
 5. Components of all links are the classes; copies get the class of their text.
 
 A text with fewer than five words is one shingle of all its words. Defined cases: null and empty
@@ -39,8 +40,8 @@ from leafmill.llm.common import materialise, mix, windows, word_hashes, words
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Standard errors of a signature's estimate that a pair may lie below the threshold before it is verified.
-SLACK = 4
+#: 64-bit words of a set's bits, one bit for each remainder of a shingle.
+BIT_WORDS = 64
 #: Members of a bucket that are compared at once.
 PART = 256
 
@@ -102,10 +103,10 @@ def signatures(docs: DataFrame) -> DataFrame:
             for t in b.column("text").to_pylist():
                 key = content_key(t)
                 if key not in seen:
-                    elements, counts = np.unique(shingles(t), return_counts=True)
+                    elements = np.unique(shingles(t))
                     if len(seen) >= 4096:
                         seen.clear()
-                    seen[key] = len(elements), prob_min_hash(elements, 1 + np.log(counts))
+                    seen[key] = len(elements), prob_min_hash(elements, np.ones(len(elements)))
                 keys.append(key)
                 sizes.append(seen[key][0])
                 sigs.append(seen[key][1])
@@ -121,8 +122,15 @@ def signatures(docs: DataFrame) -> DataFrame:
     return ids.mapInArrow(signed, "doc_id long, h1 long, h2 long, n int, sig array<int>")
 
 
+def set_bits(elements: np.ndarray) -> np.ndarray:
+    """BIT_WORDS int64 whose bits are the remainders of the int64 elements."""
+    held = np.zeros(64 * BIT_WORDS, bool)
+    held[elements.view(np.uint64) % np.uint64(64 * BIT_WORDS)] = True
+    return np.packbits(held).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and sorted shingle set of the documents in ``wanted`` (id, h1, h2), one row each."""
+    """id, sorted shingle set and its bits of the documents in ``wanted`` (id, h1, h2), one row each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,12 +140,13 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if content_key(t) == (h1, h2):
                     ids.append(i)
                     found.append(np.unique(shingles(t)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
+            bits = [set_bits(x) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (found, bits))], names=["id", "set", "bits"])
 
     held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = held.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id")
     # Repeated rows of a document give its set again; sets are equal, so any one stands for it.
-    return rows.mapInArrow(sets, "id long, set array<long>").groupBy("id").agg(F.first("set").alias("set"))
+    return rows.mapInArrow(sets, "id long, set array<long>, bits array<long>").groupBy("id").agg(F.first("set").alias("set"), F.first("bits").alias("bits"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -230,7 +239,7 @@ def _apart(shared: DataFrame, reps: DataFrame, labels: DataFrame, name: str) ->
 
 
 def _reach(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """id, r of the members apart that can still be linked; r counts their shingles that another member has too.
+    """id, r, bits of the members apart that can still be linked; r counts their shingles that another member has too.
 
     No more than the lesser r of two texts are shared, so r bounds their similarity exactly; a text whose r is
     below the threshold's share of its own shingles has no link at all.
@@ -239,7 +248,7 @@ def _reach(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     ends = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"))
     alone = ends.where(F.col("id") == F.col("last")).groupBy("id").agg(F.count("*").alias("alone"))
     known = apart.select("id", "n").distinct().join(alone, "id", "left")
-    return known.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("r")).where(F.col("r") >= threshold * F.col("n") - 1e-9).select("id", "r")
+    return known.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("r")).where(F.col("r") >= threshold * F.col("n") - 1e-9).select("id", "r").join(sets.select("id", "bits"), "id")
 
 
 def _allows(n_a, n_b, r_a, r_b, threshold: float):
@@ -252,41 +261,49 @@ def _agreement(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _least(threshold: float) -> int:
-    return int(REGISTERS * threshold - SLACK * (REGISTERS * threshold * (1 - threshold)) ** 0.5)
+def _bits(a):
+    return F.aggregate(a, F.lit(0), lambda s, x: s + F.bit_count(x))
+
+
+def _bits_allow(n_a, n_b, bits_a, bits_b, threshold: float):
+    """Whether bits allow a link: each bit that only one text has is a shingle that the other has not."""
+    both = _bits(F.zip_with(bits_a, bits_b, lambda x, y: x.bitwiseAND(y)))
+    most = F.least(n_a - _bits(bits_a) + both, n_b - _bits(bits_b) + both)
+    return most >= threshold * (n_a + n_b - most) - 1e-9
 
 
 def _few(apart: DataFrame) -> DataFrame:
-    return apart.where("label <> largest").select("band", "bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("r").alias("r_a"), F.col("label").alias("l_a"), F.col("sig").alias("s_a"))
+    return apart.where("label <> largest").select("band", "bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("r").alias("r_a"), F.col("label").alias("l_a"), F.col("sig").alias("s_a"), F.col("bits").alias("bits_a"))
 
 
 def _likeliest(apart: DataFrame, threshold: float) -> DataFrame:
     """(a, b): for each member outside its bucket's largest component the best agreeing partner of another
     component in each part of PART members. Parts keep a large bucket out of any one task."""
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / PART).cast("int"))
-    member = F.struct("id", "n", "r", "label", "sig")
+    member = F.struct("id", "n", "r", "label", "sig", "bits")
     parts = apart.groupBy("band", "bucket", part.alias("part")).agg(F.collect_list(member).alias("members"))
     none = F.struct(F.lit(-1).alias("agree"), F.lit(None).cast("long").alias("id"))
 
     def better(s, m):
-        fit = (m["label"] != F.col("l_a")) & _allows(m["n"], F.col("n_a"), m["r"], F.col("r_a"), threshold)
+        fit = (m["label"] != F.col("l_a")) & _allows(m["n"], F.col("n_a"), m["r"], F.col("r_a"), threshold) & _bits_allow(m["n"], F.col("n_a"), m["bits"], F.col("bits_a"), threshold)
         mine = F.struct(F.when(fit, _agreement(m["sig"], F.col("s_a"))).otherwise(-1).alias("agree"), m["id"].alias("id"))
         return F.transform(F.array(mine), lambda x: F.when(x["agree"] > s["agree"], x).otherwise(s))[0]
 
     best = _few(apart).join(parts, ["band", "bucket"]).select("a", F.aggregate("members", none, better).alias("best"))
-    return best.where(F.col("best.agree") >= _least(threshold)).select("a", F.col("best.id").alias("b")).distinct()
+    return best.where("best.agree >= 0").select("a", F.col("best.id").alias("b")).distinct()
 
 
 def _possible(apart: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all pairs of different components in a bucket whose sizes, shared shingles and signatures allow a link.
+    """(a, b): all pairs of different components in a bucket whose sizes, shared shingles and bits allow a link.
 
     Texts that share several bands meet in the first of them only, so each pair is made once.
     """
-    many = apart.select("band", "bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("r").alias("r_b"), F.col("label").alias("l_b"), F.col("sig").alias("s_b"), (F.col("label") == F.col("largest")).alias("in_largest"))
-    alike = _allows(F.col("n_a"), F.col("n_b"), F.col("r_a"), F.col("r_b"), threshold) & (_agreement("s_a", "s_b") >= _least(threshold))
+    many = apart.select("band", "bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("r").alias("r_b"), F.col("label").alias("l_b"), F.col("sig").alias("s_b"), F.col("bits").alias("bits_b"), (F.col("label") == F.col("largest")).alias("in_largest"))
+    alike = _allows(F.col("n_a"), F.col("n_b"), F.col("r_a"), F.col("r_b"), threshold)
+    bits = _bits_allow(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), threshold)
     once = F.col("in_largest") | (F.col("a") < F.col("b"))
     earlier = F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: (i < F.col("band")) & (F.slice("s_a", i * ROWS + 1, F.lit(ROWS)) == F.slice("s_b", i * ROWS + 1, F.lit(ROWS))))
-    return _few(apart).join(many, ["band", "bucket"]).where((F.col("l_a") != F.col("l_b")) & once & alike & ~earlier).select("a", "b")
+    return _few(apart).join(many, ["band", "bucket"]).where((F.col("l_a") != F.col("l_b")) & once & alike & ~earlier & bits).select("a", "b")
 
 
 def docs_classes(docs: DataFrame, signed: DataFrame, per_text: DataFrame) -> DataFrame:

@@ -184,6 +184,28 @@ def test_chain_of_links_is_one_class(spark):
     assert {r["class_id"] for r in rows_of(neardup.classes(d))} == {0}
 
 
+def test_repeated_passages_keep_links(spark):
+    """Links are of shingle sets: a passage that repeats does not take a pair out of the bands."""
+    rows = []
+    for p in range(6):
+        one = " ".join(f"a{p}x{k}" for k in range(404))
+        rows += [(2 * p, one, "a"), (2 * p + 1, one + " " + " ".join([" ".join(f"b{p}x{k}" for k in range(92))] * 50), "a")]
+    want = brute_classes([(i, t) for i, t, _ in rows])
+    assert set(want.values()) == {0, 2, 4, 6, 8, 10}
+    assert {r["doc_id"]: r["class_id"] for r in rows_of(neardup.classes(docs(spark, rows)))} == want
+
+
+def test_pairs_apart_are_bounded_exactly(spark):
+    """A pair is dropped unverified only if its bits exclude a link, whatever its signatures say."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2**62, 900)
+    sets = {0: x[:400], 1: x[:490], 2: x[500:900]}
+    rows = [(0, 7, i, i, len(e), len(e), 0, 3, [1] * 5 + [i + 2] * (neardup.REGISTERS - 5), neardup.set_bits(e).tolist()) for i, e in sets.items()]
+    apart = spark.createDataFrame(rows, "band int, bucket long, id long, label long, n int, r long, largest long, size long, sig array<int>, bits array<long>")
+    for pairs in (neardup._possible(apart, 0.8), neardup._likeliest(apart, 0.8)):
+        assert {tuple(sorted(r)) for r in pairs.collect()} == {(0, 1)}
+
+
 def test_prob_min_hash_estimates_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 1000).astype(np.uint64)
