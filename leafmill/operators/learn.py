@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 LEAST_STD = 1e-9
 
 
-def long_form(df: DataFrame, key: str, label: str, vector: str, dims: int) -> DataFrame:
-    """One row per key and dimension, from 0."""
-    v = F.transform(F.slice(vector, 1, dims), lambda x: x.cast("double"))
+def long_form(df: DataFrame, key: str, label: str, vector: str, dims: int | None = None) -> DataFrame:
+    """One row per key and dimension, from 0; all components, or the first ``dims``."""
+    v = F.transform(vector if dims is None else F.slice(vector, 1, dims), lambda x: x.cast("double"))
     return df.select(key, label, F.posexplode(v).alias("dim", "x"))
 
 

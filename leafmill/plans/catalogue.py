@@ -159,6 +159,21 @@ def centroid_predict(spark, d):
     return learn.predict(rows, learn.train(rows, "label"), "vec_id", "label").select("vec_id", "predicted")
 
 
+_ALL = _VEC.replace("range(0, 8)", "range(0, len(embedding))").replace("embedding[1:8]", "embedding")
+
+
+@registered(f"{_ALL} SELECT label, dim, round(centre, 6) AS centre, round(mu, 6) AS mu, round(sd, 6) AS sd FROM mo")
+def centroid_train_all(spark, d):
+    m = learn.train(learn.long_form(read(spark, d, "embeddings"), "vec_id", "label", "embedding"), "label")
+    return m.select("label", "dim", *(F.round(c, 6).alias(c) for c in ("centre", "mu", "sd")))
+
+
+@registered(f"{_ALL}, f AS (SELECT vec_id, mo.label AS predicted, round(sum(((x - mu) / sd - centre) * ((x - mu) / sd - centre)), 6) AS distance FROM vd JOIN mo ON vd.dim = mo.dim GROUP BY ALL) SELECT vec_id, predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, predicted) AS r FROM f) WHERE r = 1")
+def centroid_predict_all(spark, d):
+    rows = learn.long_form(read(spark, d, "embeddings"), "vec_id", "label", "embedding")
+    return learn.predict(rows, learn.train(rows, "label"), "vec_id", "label").select("vec_id", "predicted")
+
+
 @registered(", t AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^0-9A-Za-z]+')) AS tok FROM documents), u AS (SELECT doc_id, upper(tok) AS tok FROM t WHERE regexp_full_match(upper(tok), '" + numerals.ROMAN.strip("^$") + "') AND tok <> '') SELECT doc_id, tok, count(*) AS n, CAST(1000 * (len(tok) - len(replace(tok, 'M', ''))) + 500 * (len(tok) - len(replace(tok, 'D', ''))) + 100 * (len(tok) - len(replace(tok, 'C', ''))) + 50 * (len(tok) - len(replace(tok, 'L', ''))) + 10 * (len(tok) - len(replace(tok, 'X', ''))) + 5 * (len(tok) - len(replace(tok, 'V', ''))) + len(tok) - len(replace(tok, 'I', '')) - CASE WHEN contains(tok, 'CM') OR contains(tok, 'CD') THEN 200 ELSE 0 END - CASE WHEN contains(tok, 'XC') OR contains(tok, 'XL') THEN 20 ELSE 0 END - CASE WHEN contains(tok, 'IX') OR contains(tok, 'IV') THEN 2 ELSE 0 END AS BIGINT) AS value FROM u GROUP BY doc_id, tok")
 def parse_roman(spark, d):
     tok = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "[^0-9A-Za-z]+")).alias("tok"))
