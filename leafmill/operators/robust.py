@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAD_SCALE = 1.4826
+SKEW_PAGES, SKEW_ANGLE, SKEW_SIGMAS, SKEW_FLOOR = 8, 0.5, 2.0, 0.10
+NEGLIGIBLE_ANGLE, GOOD_CONFIDENCE = 0.2, 1.5
 
 
 def robust_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -21,6 +23,20 @@ def robust_outliers(df: DataFrame, by: list[str], value: str, *, k: float = 3.5,
     return df.join(s, by).where((F.col("n") >= least_rows) & (F.col("mad") > 0) & (F.abs(F.col(value) - F.col("med")) > k * F.col("mad")))
 
 
+def skew_flags(df: DataFrame, by: list[str], angle: str, confidence: str) -> DataFrame:
+    """Pages whose deskew should be reviewed.
+
+    In groups of SKEW_PAGES or more pages an angle of SKEW_ANGLE or more that lies further than SKEW_SIGMAS
+    deviations from the median, the deviation at least SKEW_FLOOR. In smaller groups an angle that is not
+    negligible and has little confidence; an unknown confidence is none.
+    """
+    s = robust_stats(df, by, angle).select(*by, "n", "med", "mad")
+    far = F.abs(F.col(angle) - F.col("med")) > SKEW_SIGMAS * F.greatest("mad", F.lit(SKEW_FLOOR))
+    of_group = far & (F.abs(angle) >= SKEW_ANGLE)
+    of_page = (F.abs(angle) >= NEGLIGIBLE_ANGLE) & (F.coalesce(confidence, F.lit(0.0)) < GOOD_CONFIDENCE)
+    return df.join(s, by).where(F.when(F.col("n") >= SKEW_PAGES, of_group).otherwise(of_page))
+
+
 def first_seen_mode(df: DataFrame, by: list[str], value: str, order: Column) -> DataFrame:
     """The most frequent value of each group; of equally frequent ones the first in ``order``."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("votes"), F.min(order).alias("__first"))

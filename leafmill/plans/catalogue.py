@@ -66,6 +66,13 @@ def skew_outliers(spark, d):
     return out.select("book_id", "page_index", *(F.round(c, 6).alias(c) for c in ("angle", "med", "mad")))
 
 
+@registered(", p AS (SELECT *, CAST(k AS DOUBLE) / 10 AS confidence FROM b_page), s AS (SELECT book_id, count(angle) AS n, median(angle) AS med, 1.4826 * mad(angle) AS mad FROM p GROUP BY ALL) SELECT p.book_id, p.page_index, round(p.angle, 6) AS angle, n, round(s.med, 6) AS med, round(s.mad, 6) AS mad FROM p JOIN s USING (book_id) WHERE CASE WHEN n >= 8 THEN abs(angle - med) > 2 * greatest(mad, 0.10) AND abs(angle) >= 0.5 ELSE abs(angle) >= 0.2 AND coalesce(confidence, 0) < 1.5 END")
+def skew_flags(spark, d):
+    # The tables have no deskew confidence; the query takes a tenth of k.
+    out = robust.skew_flags(b_page(spark, d).withColumn("confidence", F.col("k").cast("double") / 10), ["book_id"], "angle", "confidence")
+    return out.select("book_id", "page_index", *(F.round(c, 6).alias(c) if c != "n" else F.col(c) for c in ("angle", "n", "med", "mad")))
+
+
 @registered(", c AS (SELECT book_id, k, count(*) AS votes, min(page_index) AS f FROM b_page WHERE k IS NOT NULL GROUP BY ALL) SELECT book_id, k, votes FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY votes DESC, f) AS r FROM c) WHERE r = 1")
 def mode_first_seen(spark, d):
     return robust.first_seen_mode(b_page(spark, d), ["book_id"], "k", F.col("page_index"))

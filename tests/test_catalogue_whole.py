@@ -1,6 +1,6 @@
 """Catalogue operators do the whole of what their names say."""
 
-from leafmill.operators import learn
+from leafmill.operators import learn, robust
 from leafmill.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -13,3 +13,10 @@ def test_centroids_use_every_component(spark):
     d = spark.createDataFrame([(k, k % 2, [0.0] * 8 + [float(k % 2)]) for k in range(8)], "vec_id long, label int, embedding array<float>")
     rows = learn.long_form(d, "vec_id", "label", "embedding")
     assert all(r["predicted"] == r["vec_id"] % 2 for r in learn.predict(rows, learn.train(rows, "label"), "vec_id", "label").collect())
+
+
+def test_straight_and_short_books_keep_their_flags(spark):
+    rows = [(1, k, 0.0 if k < 8 else 0.6, 9.0) for k in range(10)] + [(2, 0, 0.3, 1.0), (2, 1, 0.3, 2.0), (2, 2, 0.1, 0.0), (2, 3, -0.4, None)]
+    d = spark.createDataFrame(rows, "book long, page long, angle double, confidence double")
+    got = robust.skew_flags(d, ["book"], "angle", "confidence").select("book", "page").collect()
+    assert sorted(map(tuple, got)) == [(1, 8), (1, 9), (2, 0), (2, 3)]
