@@ -27,3 +27,26 @@ def back_off(asked: DataFrame, lattice: DataFrame, fixed: str, soft: list[str],
         found.append(F.col(f"__l{depth}"))
     best = F.coalesce(*found)
     return out.select(fixed, *soft, best["depth"].cast("long").alias("depth"), best["n"].alias("n"), best["mean"].alias("mean"))
+
+
+#: The soft dimensions that each level of ``resolve`` keeps, finest first, as places in its list of three.
+LEVELS = ((0, 1, 2), (0, 1), (0, 2), (1, 2), (0,), (1,), (2,), ())
+
+
+def resolve(asked: DataFrame, lattice: DataFrame, fixed: str, soft: list[str], *, least: int) -> DataFrame:
+    """For each asked scope the first of LEVELS with ``least`` rows, else the coarsest whatever its rows.
+
+    Null in a soft dimension of an asked scope skips the levels that keep it; null equals null in ``fixed``.
+    """
+    out, found = asked.select(fixed, *soft), []
+    for k, places in enumerate(LEVELS):
+        held = [soft[i] for i in places]
+        level = lattice.where(reduce(lambda a, b: a & b, [(F.col(c) != "*") if c in held else (F.col(c) == "*") for c in soft]))
+        if held:
+            level = level.where(F.col("n") >= least)
+        level = level.select(*(F.col(c).alias(f"__{c}{k}") for c in (fixed, *held)), F.struct(F.lit(k).alias("level"), "n", "mean").alias(f"__l{k}"))
+        same = [F.col(fixed).eqNullSafe(F.col(f"__{fixed}{k}")), *(F.col(c) == F.col(f"__{c}{k}") for c in held)]
+        out = out.join(level, reduce(lambda a, b: a & b, same), "left").drop(*(f"__{c}{k}" for c in (fixed, *held)))
+        found.append(F.col(f"__l{k}"))
+    best = F.coalesce(*found)
+    return out.select(fixed, *soft, best["level"].cast("long").alias("level"), best["n"].alias("n"), best["mean"].alias("mean"))

@@ -151,6 +151,16 @@ def scope_backoff(spark, d):
     return profile.back_off(rows.select("scanner", *soft).distinct(), profile.scope_lattice(rows, "scanner", soft, "metric"), "scanner", soft, least=20)
 
 
+_REGIME = ", lat AS (SELECT CASE WHEN grouping(scanner) = 1 THEN '*' ELSE scanner END AS scanner, CASE WHEN grouping(fmt) = 1 THEN '*' ELSE fmt END AS fmt, CASE WHEN grouping(genre) = 1 THEN '*' ELSE genre END AS genre, writing, count(*) AS n, round(avg(metric), 4) AS mean FROM b_scope GROUP BY writing, CUBE (scanner, fmt, genre)), q AS (SELECT DISTINCT scanner, fmt, genre, writing FROM b_scope), l AS (SELECT *, CASE WHEN scanner <> '*' AND fmt <> '*' AND genre <> '*' THEN 0 WHEN scanner <> '*' AND fmt <> '*' THEN 1 WHEN scanner <> '*' AND genre <> '*' THEN 2 WHEN fmt <> '*' AND genre <> '*' THEN 3 WHEN scanner <> '*' THEN 4 WHEN fmt <> '*' THEN 5 WHEN genre <> '*' THEN 6 ELSE 7 END AS level FROM lat)"
+
+
+@registered(f"{_REGIME} SELECT writing, scanner, fmt, genre, CAST(level AS BIGINT) AS level, n, mean FROM (SELECT q.*, l.level, l.n, l.mean, row_number() OVER (PARTITION BY q.writing, q.scanner, q.fmt, q.genre ORDER BY l.level) AS r FROM q JOIN l ON l.writing = q.writing AND l.scanner IN (q.scanner, '*') AND l.fmt IN (q.fmt, '*') AND l.genre IN (q.genre, '*') WHERE l.n >= 20 OR l.level = 7) WHERE r = 1")
+def scope_resolve(spark, d):
+    rows = b_scope(spark, d)
+    soft = ["scanner", "fmt", "genre"]
+    return profile.resolve(rows.select("writing", *soft).distinct(), profile.scope_lattice(rows, "writing", soft, "metric"), "writing", soft, least=20)
+
+
 _VEC = ", v AS (SELECT vec_id, label, unnest(range(0, 8)) AS dim, unnest(embedding[1:8]) AS x FROM embeddings), vd AS (SELECT vec_id, label, CAST(dim AS INTEGER) AS dim, CAST(x AS DOUBLE) AS x FROM v), sc AS (SELECT dim, avg(x) AS mu, CASE WHEN stddev_pop(x) < 1e-9 THEN 1.0 ELSE stddev_pop(x) END AS sd FROM vd GROUP BY dim), mo AS (SELECT label, vd.dim, (avg(x) - any_value(mu)) / any_value(sd) AS centre, any_value(mu) AS mu, any_value(sd) AS sd FROM vd JOIN sc ON vd.dim = sc.dim GROUP BY label, vd.dim)"
 
 

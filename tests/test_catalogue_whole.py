@@ -1,6 +1,6 @@
 """Catalogue operators do the whole of what their names say."""
 
-from leafmill.operators import learn, robust
+from leafmill.operators import learn, profile, robust
 from leafmill.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +20,12 @@ def test_straight_and_short_books_keep_their_flags(spark):
     d = spark.createDataFrame(rows, "book long, page long, angle double, confidence double")
     got = robust.skew_flags(d, ["book"], "angle", "confidence").select("book", "page").collect()
     assert sorted(map(tuple, got)) == [(1, 8), (1, 9), (2, 0), (2, 3)]
+
+
+def test_back_off_tries_every_subset(spark):
+    rows = [("w", "s", "f", "g", 1)] + [("w", "s", f"f{k}", "g", 1) for k in range(4)] + [("w", f"s{k}", "f", f"g{k}", 1) for k in range(8)] + [("v", "s", "f", "g", 1)]
+    d = spark.createDataFrame(rows, "writing string, scanner string, fmt string, genre string, metric long")
+    asked = spark.createDataFrame([("w", "s", "f", "g"), ("w", "new", "f", "new"), ("v", "s", "f", "g"), ("w", None, "x", "g"), ("u", "s", "f", "g")], "writing string, scanner string, fmt string, genre string")
+    soft = ["scanner", "fmt", "genre"]
+    got = profile.resolve(asked, profile.scope_lattice(d, "writing", soft, "metric"), "writing", soft, least=5).collect()
+    assert {(r["writing"], r["scanner"]): (r["level"], r["n"]) for r in got} == {("w", "s"): (2, 5), ("w", "new"): (5, 9), ("v", "s"): (7, 1), ("w", None): (6, 5), ("u", "s"): (None, None)}
