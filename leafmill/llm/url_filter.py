@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Path segments of a capture that are looked up as prefixes.
+#: Path segments that the SQL of the fixed list looks up; its entries have at most one.
 PREFIXES = 3
 #: The list of the registered query: dated entries, fixed values.
 ENTRIES = (
@@ -59,12 +59,12 @@ def intervals(log: DataFrame) -> DataFrame:
     )
 
 
-def keys_of(url: F.Column) -> F.Column:
-    """Host, parent domains and host + path prefixes of a URL, lower-cased host, no port or credentials."""
+def keys_of(url: F.Column, depth: F.Column) -> F.Column:
+    """Host, parent domains and host + path prefixes of up to ``depth`` segments of a URL, lower-cased host, no port or credentials."""
     authority = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""))
     path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
-    labels, segments = F.split(host, r"\."), F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, PREFIXES)
+    labels, segments = F.split(host, r"\."), F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), F.lit(1), depth)
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     under = F.when(F.size(segments) > 0, F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/"))))
     none = F.array().cast("array<string>")
@@ -75,7 +75,9 @@ def filter_urls(captures: DataFrame, log: DataFrame, *, keep: tuple[str, ...] =
     """``keep`` and blocked, matched_key, category of every capture (url, fetched_at)."""
     listed = intervals(log)
     rows = captures.select(*keep).withColumn("__row", F.monotonically_increasing_id())
-    looked = rows.select("__row", "fetched_at", F.explode(keys_of(F.col("url"))).alias("key"))
+    # One row: how many path segments the deepest entry has.
+    deepest = listed.agg(F.coalesce(F.max(F.size(F.split("key", "/")) - 1), F.lit(0)).alias("__depth"))
+    looked = rows.crossJoin(F.broadcast(deepest)).select("__row", "fetched_at", F.explode(keys_of(F.col("url"), F.col("__depth"))).alias("key"))
     active = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     longest = F.struct(F.char_length("key").alias("size"), F.col("key"), F.col("category"))
     # Only captures with an active entry are summed; the rest of the rows are not touched again.

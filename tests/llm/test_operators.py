@@ -260,6 +260,13 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(c.limit(0), log).count() == 0
 
 
+def test_url_filter_deep_paths(spark):
+    log = spark.sql("SELECT 'bad.com/a/b/c/d/e' AS key, 'add' AS action, TIMESTAMP '2024-01-10' AS at, 'spam' AS category")
+    c = spark.createDataFrame([(1, "http://bad.com/a/b/c/d/e/f"), (2, "http://bad.com/a/b/c/d")], "page_id long, url string").withColumn("fetched_at", F.to_timestamp(F.lit("2024-01-15")))
+    got = {r["page_id"]: r["matched_key"] for r in rows_of(url_filter.filter_urls(c, log))}
+    assert got == {1: "bad.com/a/b/c/d/e", 2: None}
+
+
 def test_html_text(spark):
     page = (
         "<html><head><title>no</title><style>p{}</style></head><body><header>Site</header><nav><a href=x>Menu</a></nav><div class='cookie-notice'>We use cookies</div>"
