@@ -3,7 +3,8 @@
 Every text is scanned for credential patterns. A candidate is known by a hash of its value only; the
 hashes are summed over the corpus: how many distinct repositories (sources) and owners hold a value,
 and how many documents. A value that many repositories and owners carry is an example that was copied
-around; one that stays with an owner, and looks random, is a live one.
+around; one that stays with an owner is a live one. A value that no assignment or URL names a secret and
+that has less than LIVE_BITS bits a character is an example too.
 
 Repository is the ``source`` column and owner its part before the first ``/``; both are parameters.
 
@@ -44,8 +45,10 @@ KINDS = ("assign", "access", "hex", *MORE)
 BASE = KINDS[:3]
 #: What must be in a text for an added kind to be in it.
 CUES = {"pem": "PRIVATE KEY", "jwt": "eyJ", "vcs": "", "chat": "xox", "pay": "k_", "url": "://"}
-#: An example if at least so many repositories and owners hold the value, or it is no random string.
+#: An example if at least so many repositories and owners hold the value, or it is no random string and nothing names it.
 EXAMPLE_REPOSITORIES, EXAMPLE_OWNERS, LIVE_BITS = 5, 3, 2.5
+#: Kinds that name their value a secret: ownership alone decides, as short passwords have few bits.
+NAMED = ("assign", "url")
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, str]]:
@@ -106,15 +109,15 @@ def _sha256(value: str) -> str:
 
 def ownership(scanned: DataFrame) -> DataFrame:
     """value_sha256, n_repositories, n_owners, n_spans, bits, is_example: over all rows of ``scan``."""
-    each = scanned.where(F.size("found") > 0).select("source", F.explode("found").alias("f")).select("source", "f.value_sha256", "f.bits")
-    by_repository = each.groupBy("value_sha256", "source").agg(F.count("*").alias("n"), F.max("bits").alias("bits"))
+    each = scanned.where(F.size("found") > 0).select("source", F.explode("found").alias("f")).select("source", "f.value_sha256", "f.bits", F.col("f.kind").isin(*NAMED).alias("named"))
+    by_repository = each.groupBy("value_sha256", "source").agg(F.count("*").alias("n"), F.max("bits").alias("bits"), F.max("named").alias("named"))
     owned = by_repository.withColumn("owner", F.substring_index("source", "/", 1))
-    by_owner = owned.groupBy("value_sha256", "owner").agg(F.count("*").alias("r"), F.sum("n").alias("n"), F.max("bits").alias("bits"))
+    by_owner = owned.groupBy("value_sha256", "owner").agg(F.count("*").alias("r"), F.sum("n").alias("n"), F.max("bits").alias("bits"), F.max("named").alias("named"))
     total = by_owner.groupBy("value_sha256").agg(
-        F.sum("r").alias("n_repositories"), F.count("*").alias("n_owners"), F.sum("n").alias("n_spans"), F.max("bits").alias("bits")
+        F.sum("r").alias("n_repositories"), F.count("*").alias("n_owners"), F.sum("n").alias("n_spans"), F.max("bits").alias("bits"), F.max("named").alias("named")
     )
     copied = (F.col("n_repositories") >= EXAMPLE_REPOSITORIES) & (F.col("n_owners") >= EXAMPLE_OWNERS)
-    return total.withColumn("is_example", copied | (F.col("bits") < LIVE_BITS))
+    return total.withColumn("is_example", copied | ((F.col("bits") < LIVE_BITS) & ~F.col("named"))).drop("named")
 
 
 def _same_text(a: DataFrame, b: DataFrame):
