@@ -1,28 +1,31 @@
-"""Near-duplicates: ProbMinHash signatures of shingle sets, banding and verification.
+"""Near-duplicates: ProbMinHash signatures of shingles, banding and verification.
 
-Shingles are runs of five words; repeats do not count, as they do not in the similarity that is
-verified. Each shingle is a Poisson process of arrivals at the rate of its weight, here 1, each arrival
-falls on a random register, and a register keeps its first one. Two texts agree on a register with the
-Jaccard similarity of their sets as probability. Processes run in blocks of arrivals and end early, once their next arrival is
-later than every register's.
+Shingles are runs of five words. Each shingle is a Poisson process of arrivals at the rate of its weight,
+each arrival falls on a random register, and a register keeps its first one. Two texts agree on a register
+with their probability Jaccard similarity. Processes run in blocks of arrivals and end early, once their
+next arrival is later than every register's. The similarity that links are verified by is of shingle sets,
+so the classes sign with weight 1 a shingle, whatever its repeats: bands and verification then measure
+the same thing.
 
 1. Texts with the same words are one exact class; one row per class goes on.
 2. Signatures are cut into bands; classes that share a band are a bucket.
 3. In each bucket every member is verified against its leader, not against every other member, so a
    bucket of any size gives one pair a member. A link is verified on the whole texts: the Jaccard
-   similarity of the two shingle sets is at least the threshold.
-4. Components of the links are found. A bucket that is still in several components has its members
-   outside its largest component verified against the best agreeing member of each part of the bucket;
-   what is apart even then is compared to all members of other components of its buckets, by exact bounds
-   from sizes, from the shingles it shares with any other text apart and from bit sets of the shingles,
-   then verified: no link in a bucket is lost to the choice of leaders or to an estimate. Only a pair that
-   shares no band can be lost, at similarity s with probability (1 - s**5)**24.
+   similarity of the two shingle sets is at least the threshold. Members that this leaves outside the
+   largest component of their bucket are verified against another member of it, PIVOTS times.
+4. Buckets that still hold several components go through an exact index. Shingles that only one component
+   holds come first, the rest by how many texts hold them; of two linked sets each has one of the other's
+   shingles among its first n - threshold * n + 1, so texts meet only on a shingle of both these prefixes
+   that several components hold, within the bounds of sizes and places, and are verified. No link in a
+   bucket is lost to the choice of leaders or to an estimate. Only a pair that shares no band can be
+   lost, at similarity s with probability (1 - s**5)**24: 7e-5 at 0.8.
 5. Components of all links are the classes; copies get the class of their text.
 
 A text with fewer than five words is one shingle of all its words. Defined cases: null and empty
 texts are one exact class, linked to nothing else; a text without words is equal only to texts with
 the same characters; rows with a null doc_id take no part and get a null class; rows that share a
-doc_id share a class, whatever their texts; ties go to the smallest doc_id.
+doc_id share a class, whatever their texts; ties go to the smallest doc_id; ids may be of any type that has
+an order and class ids have theirs; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -32,18 +35,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialise, mix, windows, word_hashes, words
+from leafmill.llm.common import drop_tables, materialise, mix, windows, word_hashes, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: 64-bit words of a set's bits, one bit for each remainder of a shingle.
-BIT_WORDS = 64
-#: Members of a bucket that are compared at once.
-PART = 256
+#: Further members of a bucket's largest component that those outside it are verified against.
+PIVOTS = 2
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -93,60 +94,61 @@ def prob_min_hash(elements: np.ndarray, weights: np.ndarray, registers: int = RE
     return (mix(held) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def band_keys(signature: np.ndarray) -> np.ndarray:
+    """int64 key of each band, the band's number in it."""
+    rows = signature.view(np.uint32).astype(np.uint64).reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        key = mix(key ^ rows[:, k])
+    return key.view(np.int64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, h1, h2 (identity of the words), n (distinct shingles) and sig of every row with an id."""
+    """doc_id, h1, h2 (identity of the words), bands (none for a text without words) of every row with an id."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        seen: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            keys, sizes, sigs = [], [], []
+            keys, bands = [], []
             for t in b.column("text").to_pylist():
                 key = content_key(t)
                 if key not in seen:
                     elements = np.unique(shingles(t))
                     if len(seen) >= 4096:
                         seen.clear()
-                    seen[key] = len(elements), prob_min_hash(elements, np.ones(len(elements)))
+                    seen[key] = band_keys(prob_min_hash(elements, np.ones(len(elements)))) if len(elements) else np.empty(0, np.int64)
                 keys.append(key)
-                sizes.append(seen[key][0])
-                sigs.append(seen[key][1])
+                bands.append(seen[key])
+            ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
+            flat = pa.array(np.concatenate(bands) if bands else [], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int32()),
-                    pa.ListArray.from_arrays(np.arange(0, REGISTERS * len(sigs) + 1, REGISTERS, dtype=np.int32), pa.array(np.concatenate(sigs) if sigs else [], pa.int32())),
-                ],
-                names=["doc_id", "h1", "h2", "n", "sig"],
-            )
-
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return ids.mapInArrow(signed, "doc_id long, h1 long, h2 long, n int, sig array<int>")
+                [b.column("doc_id"), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.ListArray.from_arrays(ends, flat)],
+                names=["doc_id", "h1", "h2", "bands"],
+            )
 
-
-def set_bits(elements: np.ndarray) -> np.ndarray:
-    """BIT_WORDS int64 whose bits are the remainders of the int64 elements."""
-    held = np.zeros(64 * BIT_WORDS, bool)
-    held[elements.view(np.uint64) % np.uint64(64 * BIT_WORDS)] = True
-    return np.packbits(held).view(np.int64)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ids = docs.where("doc_id is not null").select("doc_id", "text")
+    return ids.mapInArrow(signed, f"doc_id {kind}, h1 long, h2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, sorted shingle set and its bits of the documents in ``wanted`` (id, h1, h2), one row each."""
+    """id and sorted shingle set of the documents in ``wanted`` (id, h1, h2)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, found = [], []
-            rows = zip(b.column("doc_id").to_pylist(), b.column("h1").to_pylist(), b.column("h2").to_pylist(), b.column("text").to_pylist(), strict=True)
-            for i, h1, h2, t in rows:
+            at, found = [], []
+            rows = zip(b.column("h1").to_pylist(), b.column("h2").to_pylist(), b.column("text").to_pylist(), strict=True)
+            for i, (h1, h2, t) in enumerate(rows):
                 if content_key(t) == (h1, h2):
-                    ids.append(i)
+                    at.append(i)
                     found.append(np.unique(shingles(t)).view(np.int64))
-            bits = [set_bits(x) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (found, bits))], names=["id", "set", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
 
-    held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = held.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id")
-    # Repeated rows of a document give its set again; sets are equal, so any one stands for it.
-    return rows.mapInArrow(sets, "id long, set array<long>, bits array<long>").groupBy("id").agg(F.first("set").alias("set"), F.first("bits").alias("bits"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    held = docs.where("doc_id is not null").select("doc_id", "text")
+    # Repeated rows of a document are one; the join has brought them together.
+    rows = held.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id", "text"])
+    return rows.mapInArrow(sets, f"id {kind}, set array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -172,138 +174,96 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         jump = labels.select(F.col("id").alias("j_id"), F.col("label").alias("j_label"))
         after = spread.join(jump, spread["label"] == jump["j_id"], "left").select("id", "old", F.least("label", F.coalesce("j_label", "label")).alias("label"))
         after = materialise(after, name)
+        drop_tables(labels)
         changed = not after.where("label <> old").isEmpty()
         labels = after.select("id", "label")
         if not changed:
+            drop_tables(links)
             return labels
 
 
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id of every row of ``docs``; class_id is the least doc_id of its class."""
     signed = materialise(signatures(docs), "signatures")
-    # One row per distinct words: the least id, with its signature.
-    reps = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    reps = materialise(reps, "representatives")
+    # One row per distinct words: the least id, with its bands.
+    reps = materialise(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "representatives")
 
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * ROWS + 1, F.lit(ROWS))))
-    members = reps.where("n > 0").select("id", "n", F.posexplode(band).alias("band", "bucket"))
+    members = reps.select("id", F.explode("bands").alias("bucket"))
     # Leaders are the least of a hash of their id, so buckets of one group mostly share theirs.
     order = F.struct(F.xxhash64("id").alias("o"), F.col("id").alias("leader"))
-    buckets = members.groupBy("band", "bucket").agg(F.min(order).alias("least"), F.count("*").alias("size")).where("size > 1")
-    buckets = buckets.select("band", "bucket", "least.leader")
-    shared = materialise(members.join(buckets, ["band", "bucket"]), "buckets")
+    buckets = members.groupBy("bucket").agg(F.min(order).alias("least"), F.count("*").alias("size")).where("size > 1")
+    shared = materialise(members.join(buckets.select("bucket", "least.leader"), "bucket"), "buckets")
 
-    pairs = shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
-    keyed = reps.select("id", "h1", "h2")
+    pairs = materialise(shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = materialise(shingle_sets(docs, keyed.join(named, "id")), "sets")
+    sets = materialise(shingle_sets(docs, reps.select("id", "h1", "h2").join(named, "id")), "sets")
     links = materialise(verified(pairs, sets, threshold), "links")
-    first = components(links, "first")
-
-    # What leaders left apart. First each such member and its likeliest partner of every part of the
-    # bucket, which joins most; then all that could still be a link.
-    labels = first
-    apart = _apart(shared, reps, labels, "apart")
-    if apart.isEmpty():
-        return docs_classes(docs, signed, _per_text(reps, labels))
-    reach = materialise(_reach(apart, sets, threshold), "reach")
-    apart = apart.join(reach, "id")
-    likely = materialise(verified(materialise(_likeliest(apart, threshold), "likely"), sets, threshold), "joined")
-    links = links.union(likely)
-    if not likely.isEmpty():
-        labels = components(links, "second")
-        apart = _apart(shared, reps, labels, "still-apart").join(reach, "id")
-    more = materialise(_possible(apart, threshold), "more")
-    extra = materialise(verified(more, sets, threshold), "extra")
+    drop_tables(pairs)
+    labels = components(links, "first")
+
+    found = [links]
+    for k in range(PIVOTS):
+        more = materialise(_pivots(_split(shared, labels), k), "pivots")
+        if more.isEmpty():
+            break
+        found.append(materialise(verified(more, sets, threshold), "joined"))
+        drop_tables(more)
+        if not found[-1].isEmpty():
+            before, labels = labels, components(_all(found), "again")
+            drop_tables(before)
+    apart = _split(shared, labels).select("id", "label").distinct()
+    candidates = materialise(candidates_apart(materialise(apart.join(sets, "id"), "apart"), threshold), "candidates")
+    extra = materialise(verified(candidates, sets, threshold), "extra")
+    drop_tables(sets, shared, candidates)
     if not extra.isEmpty():
-        labels = components(links.union(extra), "third")
-    return docs_classes(docs, signed, _per_text(reps, labels))
-
-
-def _per_text(reps: DataFrame, labels: DataFrame) -> DataFrame:
-    return reps.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("class_id"))
-
-
-def _apart(shared: DataFrame, reps: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-    """Members of the buckets that hold several components, with their signature and the largest component's label."""
-    labelled = shared.select("band", "bucket", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    per_label = labelled.groupBy("band", "bucket", "label").agg(F.count("*").alias("c"))
-    split = (
-        per_label.groupBy("band", "bucket")
-        .agg(F.max(F.struct("c", "label")).alias("largest"), F.sum("c").alias("size"), F.count("*").alias("labels"))
-        .where("labels > 1")
-        .select("band", "bucket", F.col("largest.label").alias("largest"), "size")
-    )
-    return materialise(labelled.join(split, ["band", "bucket"]).join(reps.select("id", "sig"), "id"), name)
-
-
-def _reach(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """id, r, bits of the members apart that can still be linked; r counts their shingles that another member has too.
-
-    No more than the lesser r of two texts are shared, so r bounds their similarity exactly; a text whose r is
-    below the threshold's share of its own shingles has no link at all.
-    """
-    each = sets.join(apart.select("id").distinct(), "id", "left_semi").select("id", F.explode("set").alias("shingle"))
-    ends = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"))
-    alone = ends.where(F.col("id") == F.col("last")).groupBy("id").agg(F.count("*").alias("alone"))
-    known = apart.select("id", "n").distinct().join(alone, "id", "left")
-    return known.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("r")).where(F.col("r") >= threshold * F.col("n") - 1e-9).select("id", "r").join(sets.select("id", "bits"), "id")
-
-
-def _allows(n_a, n_b, r_a, r_b, threshold: float):
-    """Whether sizes and shared shingles allow a link."""
-    most = F.least(r_a, r_b)
-    return (F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b) - 1e-9) & (most >= threshold * (n_a + n_b - most) - 1e-9)
-
-
-def _agreement(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-
+        labels = components(_all([*found, extra]), "last")
+    per_text = reps.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("class_id"))
+    return docs_classes(docs, signed, per_text)
 
-def _bits(a):
-    return F.aggregate(a, F.lit(0), lambda s, x: s + F.bit_count(x))
 
+def _all(links: list[DataFrame]) -> DataFrame:
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
 
-def _bits_allow(n_a, n_b, bits_a, bits_b, threshold: float):
-    """Whether bits allow a link: each bit that only one text has is a shingle that the other has not."""
-    both = _bits(F.zip_with(bits_a, bits_b, lambda x, y: x.bitwiseAND(y)))
-    most = F.least(n_a - _bits(bits_a) + both, n_b - _bits(bits_b) + both)
-    return most >= threshold * (n_a + n_b - most) - 1e-9
 
+def _split(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, id, label of the members of buckets that hold several components."""
+    labelled = shared.select("bucket", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    several = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    return labelled.join(several.select("bucket"), "bucket")
 
-def _few(apart: DataFrame) -> DataFrame:
-    return apart.where("label <> largest").select("band", "bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("r").alias("r_a"), F.col("label").alias("l_a"), F.col("sig").alias("s_a"), F.col("bits").alias("bits_a"))
 
+def _pivots(split: DataFrame, k: int) -> DataFrame:
+    """(a, b): of each split bucket a member of its largest component with every member outside it."""
+    each = split.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), F.col("id").alias("pivot"))).alias("p"))
+    largest = each.groupBy("bucket").agg(F.max(F.struct("c", "label", F.col("p.pivot").alias("pivot"))).alias("m")).select("bucket", F.col("m.label").alias("largest"), "m.pivot")
+    out = split.join(largest, "bucket").where("label <> largest")
+    return out.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
 
-def _likeliest(apart: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): for each member outside its bucket's largest component the best agreeing partner of another
-    component in each part of PART members. Parts keep a large bucket out of any one task."""
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / PART).cast("int"))
-    member = F.struct("id", "n", "r", "label", "sig", "bits")
-    parts = apart.groupBy("band", "bucket", part.alias("part")).agg(F.collect_list(member).alias("members"))
-    none = F.struct(F.lit(-1).alias("agree"), F.lit(None).cast("long").alias("id"))
 
-    def better(s, m):
-        fit = (m["label"] != F.col("l_a")) & _allows(m["n"], F.col("n_a"), m["r"], F.col("r_a"), threshold) & _bits_allow(m["n"], F.col("n_a"), m["bits"], F.col("bits_a"), threshold)
-        mine = F.struct(F.when(fit, _agreement(m["sig"], F.col("s_a"))).otherwise(-1).alias("agree"), m["id"].alias("id"))
-        return F.transform(F.array(mine), lambda x: F.when(x["agree"] > s["agree"], x).otherwise(s))[0]
+def candidates_apart(apart: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): the pairs of different labels in ``apart`` (id, label, set) that can be links.
 
-    best = _few(apart).join(parts, ["band", "bucket"]).select("a", F.aggregate("members", none, better).alias("best"))
-    return best.where("best.agree >= 0").select("a", F.col("best.id").alias("b")).distinct()
-
-
-def _possible(apart: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all pairs of different components in a bucket whose sizes, shared shingles and bits allow a link.
-
-    Texts that share several bands meet in the first of them only, so each pair is made once.
+    A prefix index: see step 4 above. Shingles of one label only are not joined at all.
     """
-    many = apart.select("band", "bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("r").alias("r_b"), F.col("label").alias("l_b"), F.col("sig").alias("s_b"), F.col("bits").alias("bits_b"), (F.col("label") == F.col("largest")).alias("in_largest"))
-    alike = _allows(F.col("n_a"), F.col("n_b"), F.col("r_a"), F.col("r_b"), threshold)
-    bits = _bits_allow(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), threshold)
-    once = F.col("in_largest") | (F.col("a") < F.col("b"))
-    earlier = F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: (i < F.col("band")) & (F.slice("s_a", i * ROWS + 1, F.lit(ROWS)) == F.slice("s_b", i * ROWS + 1, F.lit(ROWS))))
-    return _few(apart).join(many, ["band", "bucket"]).where((F.col("l_a") != F.col("l_b")) & once & alike & ~earlier & bits).select("a", "b")
+    each = apart.select("id", "label", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count("*").alias("held"), F.min("label").alias("least"), F.max("label").alias("most"))
+    several = held.where("least <> most").select("shingle", "held")
+    rows = each.join(several, "shingle").groupBy("id").agg(
+        F.first("label").alias("label"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("ordered")
+    )
+    alone = F.col("n") - F.size("ordered")
+    prefix = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1
+    tokens = rows.where(prefix > alone).select("id", "label", "n", alone.alias("alone"), F.posexplode(F.slice("ordered", F.lit(1), prefix - alone)).alias("at", "o"))
+    # rest: shingles from this one on in the text's order.
+    tokens = materialise(tokens.select("id", "label", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"), F.col("o.shingle").alias("shingle")), "prefixes")
+    a, b = (tokens.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "label", "n", "rest"))) for s in "ab")
+    most = F.least("rest_a", "rest_b")
+    fits = (F.col("label_a") < F.col("label_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (most >= threshold * (F.col("n_a") + F.col("n_b") - most) - 1e-9)
+    same = a["shingle"] == b["shingle"]
+    return a.join(b, same & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def docs_classes(docs: DataFrame, signed: DataFrame, per_text: DataFrame) -> DataFrame:
@@ -314,18 +274,25 @@ def docs_classes(docs: DataFrame, signed: DataFrame, per_text: DataFrame) -> Dat
     """
     rows = signed.select("doc_id", "h1", "h2").join(per_text, ["h1", "h2"]).select("doc_id", "class_id")
     if docs.schema["doc_id"].nullable:
-        rows = rows.unionByName(docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id")))
+        kind = docs.schema["doc_id"].dataType
+        rows = rows.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast(kind).alias("class_id")))
     return rows
 
 
 def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """Pipeline stage: of each class the row with the least doc_id stays, and rows without an id."""
+    """Pipeline stage: of each class the row with the least doc_id stays, and rows without an id.
+
+    Of several rows with that id the first by a hash of all its other columns stays, one of equal rows.
+    Columns as they came, whatever their names and types.
+    """
     every = materialise(classes(docs, threshold=threshold), "classes")
     gone = every.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = every.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = every.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     if twice.isEmpty():
         return kept
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in kept.columns if c != "doc_id"]))
-    copies = kept.join(twice.select("doc_id"), "doc_id").withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
-    return kept.join(twice.select("doc_id"), "doc_id", "left_anti").unionByName(copies.select(*kept.columns))
+    rows = kept.join(twice, "doc_id").select("doc_id", F.struct(*docs.columns).alias("row"))
+    # A row as JSON has an order whatever its types; its hash comes first.
+    text = F.to_json("row")
+    one = rows.groupBy("doc_id").agg(F.min_by("row", F.struct(F.xxhash64(text), text)).alias("row"))
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("row.*"))

@@ -202,15 +202,34 @@ def test_repeated_passages_keep_links(spark):
     assert {r["doc_id"]: r["class_id"] for r in rows_of(neardup.classes(docs(spark, rows)))} == want
 
 
-def test_pairs_apart_are_bounded_exactly(spark):
-    """A pair is dropped unverified only if its bits exclude a link, whatever its signatures say."""
+def test_prefix_index_loses_no_link(spark):
+    """Of sets of different labels each pair at the threshold is a candidate, and pairs without a common rare shingle are none."""
     rng = np.random.default_rng(5)
-    x = rng.integers(0, 2**62, 900)
-    sets = {0: x[:400], 1: x[:490], 2: x[500:900]}
-    rows = [(0, 7, i, i, len(e), len(e), 0, 3, [1] * 5 + [i + 2] * (neardup.REGISTERS - 5), neardup.set_bits(e).tolist()) for i, e in sets.items()]
-    apart = spark.createDataFrame(rows, "band int, bucket long, id long, label long, n int, r long, largest long, size long, sig array<int>, bits array<long>")
-    for pairs in (neardup._possible(apart, 0.8), neardup._likeliest(apart, 0.8)):
-        assert {tuple(sorted(r)) for r in pairs.collect()} == {(0, 1)}
+    rows, base = [], rng.integers(0, 2**62, 300)
+    for i in range(60):
+        keep = base[rng.random(300) < rng.choice([0.5, 0.85, 0.95, 0.99])]
+        rows.append((i, i if i % 3 else 0, np.unique(np.concatenate([keep, rng.integers(0, 2**62, rng.integers(0, 60))])).tolist()))
+    got = {tuple(sorted(r)) for r in neardup.candidates_apart(spark.createDataFrame(rows, "id long, label long, set array<long>")).collect()}
+    links, apart = set(), 0
+    for i, li, a in rows:
+        for j, lj, b in rows:
+            if i < j and li != lj:
+                both = len(set(a) & set(b))
+                links |= {(i, j)} if both >= 0.8 * (len(a) + len(b) - both) else set()
+                apart += 1
+    assert links and links <= got and len(got) < apart / 2
+    assert all(dict((r[0], r[1]) for r in rows)[i] != dict((r[0], r[1]) for r in rows)[j] for i, j in got)
+
+
+def test_near_duplicates_other_ids_and_columns(spark):
+    """String ids, a map column, columns named like the operator's own, repeated ids."""
+    body = " ".join(f"w{k}" for k in range(60))
+    rows = [("b", body, {"x": 1}, 1, "q"), ("a", body + " tail", {"x": 2}, 2, "q"), ("a", body + " tail", {"x": 3}, 2, "r"), ("a", "something else entirely", None, 3, "r"), ("c", None, {}, 4, None)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, bucket map<string,int>, __k int, label string")
+    got = sorted((r["doc_id"], r["class_id"]) for r in neardup.classes(d).collect())
+    assert got[-2:] == [("b", "a"), ("c", "c")] and {g[0] for g in got} == {"a", "b", "c"}
+    kept = neardup.keep_one(d)
+    assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == ["a", "c"]
 
 
 def test_prob_min_hash_estimates_similarity():
