@@ -1,20 +1,27 @@
 """Mixing sources to target weights by entropy balancing, with DataFrame operations only.
 
-Of all rates r that meet the token constraints sum(size * r) = target of each source, the one
-nearest to taking everything once (least relative entropy, each document weighed by its tokens) is
-exponential: r = exp(lambda * x) with one dual variable a source and x the constrained quantity per
-token. The dual is convex; its Newton steps need the tokens per value of x only, so the documents
-are summed once, map-side first, and every source's iterations run in its own row.
+Of all rates r with sum(size * r) = target for each source, the ones nearest to taking everything once
+(least relative entropy, each document weighed by its tokens) are exponential: r = exp(lambda_s + mu * z),
+one dual variable a source and one, ``mu``, that couples all of them. z is the document's log2 size less
+the corpus' mean over tokens: the mix would otherwise drift to the lengths of the sources it favours.
+Sources hold exactly; the lengths as far as a ridge of RIDGE of all tokens lets ``mu`` go, so a solution
+always exists. No rate is above ``cap``.
+
+The dual is convex and solved by Newton steps. Documents are summed by source and size once, map-side
+first; a step is one distributed sum over that table (gradient, Hessian, its border for ``mu``), from
+which every source works out its own step and the driver gets one row. Sums are of integers, so
+reruns give the same bits whatever the order of tasks.
 
 Rates become copies by systematic rounding: within a source, documents stand in order of size class,
-hash bucket, size and hash, and document k gets the integers that the running sum of the rates
-passes at it. Neighbours are alike in size, so their rounding errors cancel; a last repair flips
-the documents that bring a source nearest to its target. Running sums are taken in two levels
-(bucket, then offsets of buckets), so no source has to fit a task.
+hash bucket, size and hash, and each gets the integers that the running sum of the rates passes at it.
+Neighbours are alike in size, so their rounding errors cancel; a last repair flips the documents that
+bring a source nearest to its target. Running sums are taken in two levels (bucket, then offsets of
+buckets), and a size class has as many buckets as its rows need, so no source has to fit a task.
 
 Defined cases: null or empty text has size 0 and takes 0; the null source is a source of its own;
 repeated rows count and are taken one by one; a source without tokens has target 0; an empty table
-gives an empty result.
+gives an empty result; a very long text is one document like others; other columns play no part,
+whatever their names. Targets are worked out on one row a source, in one task.
 """
 
 from __future__ import annotations
@@ -28,8 +35,11 @@ SIZE_PATTERN = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
-#: Hash buckets of a size class, to split sources that hold a third of all rows.
-SALTS = 16
+RIDGE = 0.5
+#: Newton stops at this relative error of every source's tokens, or after STEPS; no step changes a rate by more than e**LONGEST.
+TOLERANCE, STEPS, LONGEST = 1e-6, 40, 1.0
+#: Rows of a bucket, about; units that stand for a rate of 1; fixed-point units of a token in the sums of a step.
+BUCKET_ROWS, UNITS, FIXED = 50_000, 1 << 20, 1 << 10
 REPAIRS = 3
 
 
@@ -65,96 +75,133 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, shar
     )
 
 
-def newton_rates(constraints: DataFrame, *, cap: float = CAP, steps: int = 60) -> DataFrame:
-    """Adds lambda: per row, Newton on the convex dual sum_x tokens * exp(lambda * x) - lambda * target.
+def key_of(source: str = "source") -> Column:
+    """A source as a string that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
 
-    ``constraints`` has ``moments``, an array of (x, tokens), and ``target``. Starting at the cap's
-    logarithm every step comes down to the root without passing it. A target of 0 has no finite dual;
-    its lambda is null and its rate 0.
-    """
-    tilted = lambda at, power: F.aggregate(
-        "moments", F.lit(0.0), lambda s, m: s + m["tokens"] * F.pow(m["x"], F.lit(power)) * F.exp(at * m["x"])
-    )
-    dual = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.log(F.lit(cap)),
-        lambda at, _: at - (tilted(at, 1.0) - F.col("target")) / tilted(at, 2.0),
-    )
-    return constraints.withColumn("lambda", F.when(F.col("target") > 0, dual))
 
+def entropy_balance(groups: DataFrame, targets: DataFrame, *, cap: float = CAP, ridge: float = RIDGE) -> tuple[DataFrame, float]:
+    """(key, lambda) and mu for ``groups`` (key, z, tokens) and ``targets`` (key, source_size, target).
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, salts: int = SALTS) -> DataFrame:
+    A target of 0 has no finite dual and the rate 0, a target at the cap the rate ``cap``: lambda is
+    null for the one and infinite for the other, and Newton leaves both as they are. A step that does not
+    lower the dual is halved until it does.
+    """
+    size, t = F.col("source_size"), F.col("target")
+    at_cap = t >= cap * size * (1 - 1e-12)
+    start = F.when(t <= 0, F.lit(None)).when(at_cap, F.lit(float("inf"))).otherwise(F.log(t / size))
+    state = materialise(targets.where("source_size > 0").select("key", "target", start.cast("double").alias("lambda")), "dual")
+    total = groups.agg(F.sum("tokens")).first()[0] or 0
+    if not total:
+        return state.select("key", "lambda"), 0.0
+    fixed = lambda x: F.coalesce(F.sum(F.round(x * FIXED).cast("long")), F.lit(0)) / FIXED
+    z, tokens, top = F.col("z"), F.col("tokens"), F.log(F.lit(cap))
+    mu, move, scale, lowest = 0.0, None, 1.0, None
+    for _ in range(STEPS):
+        open_ = F.col("lambda") < float("inf")  # null: not open either
+        tilt = F.col("lambda") + mu * z
+        rate = F.when(F.col("lambda").isNull(), 0.0).otherwise(F.when(tilt < top, F.exp(tilt)).otherwise(cap))
+        # The dual of a rate that stops at the cap goes on as a straight line.
+        dual = F.when(F.col("lambda").isNull(), 0.0).when(open_, F.when(tilt < top, F.exp(tilt)).otherwise(cap + cap * (tilt - top))).otherwise(cap * mu * z)
+        held = groups.join(state, "key").withColumns({"got": tokens * rate, "free": F.when(open_ & (tilt < top), tokens * rate).otherwise(0.0), "dual": tokens * dual})
+        each = held.groupBy("key").agg(
+            F.first("lambda").alias("lambda"), F.first("target").alias("target"), fixed(F.col("got")).alias("got"), fixed(F.col("free")).alias("h"),
+            fixed(F.col("free") * z).alias("b"), fixed(F.col("got") * z).alias("m"), fixed(F.col("free") * z * z).alias("hm"), fixed(F.col("dual")).alias("dual"),
+        )
+        each = each.withColumn("open", F.coalesce(open_, F.lit(False))).withColumn("g", F.when(F.col("open"), F.col("got") - F.col("target")).otherwise(0.0))
+        each = materialise(each.withColumn("h", F.greatest("h", F.lit(1.0 / FIXED))), "step")
+        part = lambda x: fixed(F.when(F.col("open"), x))
+        s = each.agg(
+            fixed(F.col("m")).alias("m"), part(F.col("hm")).alias("hm"), part(F.col("b") * F.col("g") / F.col("h")).alias("bg"), part(F.col("b") * F.col("b") / F.col("h")).alias("bb"),
+            (fixed(F.col("dual")) - part(F.col("lambda") * F.col("target"))).alias("dual"), F.max(F.abs("g") / F.col("target")).alias("off"),
+        ).first()
+        value = s["dual"] + ridge * total * mu * mu / 2
+        slope = s["m"] + ridge * total * mu
+        if lowest is not None and value > lowest + 1e-9 * total and scale > 2**-20:
+            scale /= 2
+        else:
+            if max(s["off"] or 0.0, abs(slope) / total) < TOLERANCE:
+                break
+            lowest, scale = value, 1.0
+            step_mu = -(slope - s["bg"]) / max(s["hm"] + ridge * total - s["bb"], ridge * total)
+            step_mu = max(-LONGEST, min(LONGEST, step_mu))
+            longest = F.lit(LONGEST)
+            step = F.when(F.col("open"), F.greatest(-longest, F.least(longest, -(F.col("g") + F.col("b") * step_mu) / F.col("h")))).otherwise(0.0)
+            move = each.select("key", "target", "lambda", step.alias("move")), mu, step_mu
+        moves, mu_at, mu_step = move
+        mu = mu_at + scale * mu_step
+        state = moves.select("key", "target", (F.col("lambda") + scale * F.col("move")).alias("lambda"))
+    return state.select("key", "lambda"), mu
+
+
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, ridge: float = RIDGE) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, rate, source of every row of ``docs``."""
-    sizes = materialise(sized(docs), "sizes")
-    return mix_sizes(sizes, weights=weights, share=share, cap=cap, salts=salts)
-
-
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
-def mix_sizes(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, salts: int = SALTS) -> DataFrame:
-    per_source = source_targets(sizes, weights=weights, share=share, cap=cap)
-    moments = F.array(F.struct(F.lit(1.0).alias("x"), F.col("source_size").cast("double").alias("tokens")))
-    rates = newton_rates(per_source.withColumn("moments", moments), cap=cap)
-    rates = rates.select("source", "source_size", "target", F.least(F.coalesce(F.exp("lambda"), F.lit(0.0)), F.lit(cap)).alias("rate"))
-    rates = materialise(rates, "rates")
-
-    mark = F.xxhash64("doc_id", "size")
-    keyed = sizes.where("size > 0").select(
-        "doc_id", "source", "size",
-        F.floor(F.log2(F.col("size").cast("double")) * 8).cast("int").alias("class"),
-        F.pmod(mark, F.lit(salts)).cast("int").alias("salt"),
+    return mix_sizes(materialise(sized(docs), "sizes"), weights=weights, share=share, cap=cap, ridge=ridge)
+
+
+def rates(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, ridge: float = RIDGE) -> tuple[DataFrame, DataFrame]:
+    """Per source key, source_size, target, lambda, mu, mean (of log2 size over tokens); and rows a size class."""
+    per_source = materialise(source_targets(sizes, weights=weights, share=share, cap=cap).withColumn("key", key_of()), "targets")
+    counted = sizes.where("size > 0").groupBy(key_of().alias("key"), "size").agg(F.count("*").alias("rows"))
+    counted = materialise(counted.select("key", "size", "rows", (F.col("rows") * F.col("size")).alias("tokens"), F.log2(F.col("size").cast("double")).alias("length")), "groups")
+    whole = counted.agg(F.sum(F.round(F.col("tokens") * F.col("length") * FIXED).cast("long")).alias("l"), F.sum("tokens").alias("n")).first()
+    mean = whole["l"] / FIXED / whole["n"] if whole["n"] else 0.0
+    dual, mu = entropy_balance(counted.select("key", (F.col("length") - mean).alias("z"), "tokens"), per_source.select("key", "source_size", "target"), cap=cap, ridge=ridge)
+    solved = per_source.join(dual, "key", "left").select("key", "source_size", "target", "lambda", F.lit(mu).alias("mu"), F.lit(mean).alias("mean"))
+    classes = counted.groupBy("key", _size_class().alias("class")).agg(F.sum("rows").alias("rows"))
+    return materialise(solved, "rates"), materialise(classes, "classes")
+
+
+def _size_class() -> Column:
+    return F.floor(F.log2(F.col("size").cast("double")) * 8).cast("int")
+
+
+def mix_sizes(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, ridge: float = RIDGE) -> DataFrame:
+    solved, classes = rates(sizes, weights=weights, share=share, cap=cap, ridge=ridge)
+    raised = F.exp(F.col("lambda") + F.col("mu") * (F.log2(F.col("size").cast("double")) - F.col("mean")))
+    rate = F.coalesce(F.least(raised, F.lit(cap)), F.lit(0.0))
+    parts = classes.select("key", "class", (F.floor(F.col("rows") / BUCKET_ROWS) + 1).alias("parts"))
+    keyed = sizes.where("size > 0").withColumns({"key": key_of(), "class": _size_class()}).join(parts, ["key", "class"]).join(solved, "key")
+    keyed = keyed.select(
+        "doc_id", "source", "key", "size", "source_size", "target", "class", F.pmod(F.xxhash64("doc_id", "size"), F.col("parts")).cast("int").alias("salt"),
+        rate.alias("rate"), F.floor(rate * UNITS).cast("long").alias("units"),
     )
-    group = ["source", "class", "salt"]
-    counts = keyed.groupBy(*group).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    group = ["key", "class", "salt"]
+    sums = keyed.groupBy(*group).agg(F.sum("units").alias("units"))
+    before = Window.partitionBy("key").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*group, F.coalesce(F.sum("units").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy(*group).orderBy("size", F.xxhash64("doc_id"), "doc_id")
-    placed = keyed.withColumn("k", F.row_number().over(within))
-    o = offsets.select(F.col("source").alias("o_source"), F.col("class").alias("o_class"), F.col("salt").alias("o_salt"), "offset")
-    placed = placed.join(o, same(F.col("source"), F.col("o_source")) & (F.col("class") == F.col("o_class")) & (F.col("salt") == F.col("o_salt")))
-    r = rates.withColumnRenamed("source", "r_source")
-    passed = lambda at: F.floor(F.col("rate") * at + 0.5)
-    place = F.col("offset") + F.col("k")
-    taken = (
-        placed.join(r, same(F.col("source"), F.col("r_source")))
-        .withColumn("copies", F.least(passed(place) - passed(place - 1), F.lit(int(cap))).cast("int"))
-        .select("doc_id", *group, "k", "size", "source_size", "target", "rate", "copies")
-    )
-    taken = materialise(taken, "copies")
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    placed = keyed.withColumns({"k": F.row_number().over(within), "upto": F.sum("units").over(upto)}).join(offsets, group)
+    passed = lambda at: F.floor((at + UNITS // 2) / UNITS)
+    place = F.col("offset") + F.col("upto")
+    copies = F.least(passed(place) - passed(place - F.col("units")), F.lit(int(cap))).cast("int")
+    taken = materialise(placed.select("doc_id", "source", *group, "k", "size", "source_size", "target", "rate", copies.alias("copies")), "copies")
     flips = None
     for _ in range(REPAIRS):
         now = taken if flips is None else _flipped(taken, flips)
-        gap = now.groupBy("source").agg(F.max("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("got"))
-        gap = gap.select(F.col("source").alias("g_source"), (F.col("t") - F.col("got")).alias("gap"))
+        gap = now.groupBy("key").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
         change = F.when((F.col("gap") > 0) & (F.col("copies") < int(cap)), 1).when((F.col("gap") < 0) & (F.col("copies") > 0), -1)
         one = (
-            now.join(gap, same(F.col("source"), F.col("g_source")))
+            now.join(gap, "key")
             .withColumn("change", change)
             .withColumn("left", F.abs(F.col("gap") - F.col("change") * F.col("size")))
             .where("left < abs(gap)")
-            .groupBy("source")
+            .groupBy("key")
             .agg(F.min(F.struct("left", "class", "salt", "k", "change")).alias("best"))
-            .select("source", "best.class", "best.salt", "best.k", "best.change")
+            .select("key", "best.class", "best.salt", "best.k", "best.change")
         )
         one = materialise(one, "flips")
         flips = one if flips is None else flips.unionByName(one)
-    done = _flipped(taken, flips).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "rate", "source"
-    )
-    empty = sizes.where("size = 0").join(r, same(F.col("source"), F.col("r_source")))
-    empty = empty.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"), "rate", "source")
+    out = ["doc_id", "size", "source_size", "target", "taken", "copies", "rate", "source"]
+    done = _flipped(taken, flips).withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).select(*out)
+    empty = sizes.where("size = 0").withColumn("key", key_of()).join(solved, "key")
+    empty = empty.withColumns({"taken": F.lit(0).cast("long"), "copies": F.lit(0), "rate": F.lit(0.0)}).select(*out)
     return done.unionByName(empty)
 
 
 def _flipped(taken: DataFrame, flips: DataFrame) -> DataFrame:
     """``taken`` with the repairs applied; at most REPAIRS rows a source in ``flips``."""
-    f = flips.groupBy("source", "class", "salt", "k").agg(F.sum("change").alias("change"))
-    f = f.select(F.col("source").alias("f_source"), F.col("class").alias("f_class"), F.col("salt").alias("f_salt"), F.col("k").alias("f_k"), "change")
-    match = same(F.col("source"), F.col("f_source")) & (F.col("class") == F.col("f_class")) & (F.col("salt") == F.col("f_salt")) & (F.col("k") == F.col("f_k"))
-    return (
-        taken.join(f, match, "left")
-        .withColumn("copies", (F.col("copies") + F.coalesce("change", F.lit(0))).cast("int"))
-        .drop("f_source", "f_class", "f_salt", "f_k", "change")
-    )
+    at = ["key", "class", "salt", "k"]
+    f = flips.groupBy(*at).agg(F.sum("change").alias("change"))
+    return taken.join(f, at, "left").withColumn("copies", (F.col("copies") + F.coalesce("change", F.lit(0))).cast("int")).drop("change")

@@ -92,10 +92,47 @@ def test_mixing_targets(spark, corpus, odd, none):
     assert mixing.mix(none).count() == 0
 
 
-def test_newton_solves_moments(spark):
-    d = spark.sql("SELECT array(named_struct('x', 1.0D, 'tokens', 50D), named_struct('x', 0.5D, 'tokens', 80D)) AS moments, 100.0D AS target")
-    at = mixing.newton_rates(d).first()["lambda"]
-    assert 50 * math.exp(at) + 0.5 * 80 * math.exp(at / 2) == pytest.approx(100)
+def test_newton_equals_brute_force_solver(spark):
+    """The coupled dual against a plain solver of the same equations, clipped rates and capped sources included."""
+    rng = np.random.default_rng(2)
+    rows, targets = [], []
+    for k, (low, high, share) in enumerate(((5, 60, 1.3), (200, 900, 0.4), (20, 400, 1.97), (30, 90, 2.0))):
+        size = rng.integers(low, high, 80)
+        rows += [(f"s{k}", float(np.log2(x)), int(x)) for x in size]
+        targets.append((f"s{k}", int(size.sum()), float(share * size.sum())))
+    mean = sum(z * n for _, z, n in rows) / sum(n for *_, n in rows)
+    rows = [(k, z - mean, n) for k, z, n in rows]
+    dual, mu = mixing.entropy_balance(spark.createDataFrame(rows, "key string, z double, tokens long"), spark.createDataFrame(targets, "key string, source_size long, target double"))
+    got = {r["key"]: r["lambda"] for r in dual.collect()}
+    total = sum(n for *_, n in rows)
+
+    def solve(m, key, target):
+        low, high = -20.0, 20.0
+        for _ in range(200):
+            at = (low + high) / 2
+            low, high = (at, high) if sum(n * min(2.0, math.exp(at + m * z)) for k, z, n in rows if k == key) < target else (low, at)
+        return at
+
+    def slope(m):
+        at = {k: solve(m, k, t) for k, n, t in targets if t < 2 * n}
+        return sum(n * z * (min(2.0, math.exp(at[k] + m * z)) if k in at else 2.0) for k, z, n in rows) + mixing.RIDGE * total * m
+
+    low, high = -5.0, 5.0
+    for _ in range(60):
+        m = (low + high) / 2
+        low, high = (m, high) if slope(m) < 0 else (low, m)
+    assert abs(m) > 0.05 and mu == pytest.approx(m, abs=1e-3)
+    for key, n, t in targets:
+        assert got[key] == float("inf") if t == 2 * n else got[key] == pytest.approx(solve(m, key, t), abs=1e-3)
+
+
+def test_copies_follow_rates_and_reruns_agree(spark, corpus):
+    got = rows_of(mixing.mix(corpus))
+    assert len({r["rate"] for r in got}) > len({r["source"] for r in got})
+    assert all(math.floor(r["rate"]) - 1 <= r["copies"] <= math.ceil(r["rate"]) + 1 for r in got)
+    assert sum(abs(r["copies"] - r["rate"]) >= 1 for r in got) <= 2 * mixing.REPAIRS * len({r["source"] for r in got})
+    again = rows_of(mixing.mix(corpus.repartition(5)))
+    assert sorted((r["doc_id"], r["copies"]) for r in got) == sorted((r["doc_id"], r["copies"]) for r in again)
 
 
 def test_secrets_base_spans(spark, odd, none):
