@@ -11,6 +11,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 WORD = re.compile(r"\w+")
 
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -26,7 +27,7 @@ def words(text: str | None) -> list[str]:
 class _WordHash(dict):
     """word -> 64-bit hash, at most ``bound`` words per Python worker."""
 
-    bound = 1 << 19
+    bound = 1 << 17
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.bound:
@@ -85,7 +86,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    held = spark.conf.get(BATCH_CONF, str(BATCH_ROWS))
+    # Rows of whole texts: smaller batches hold the memory of workers and of the buffers to them.
+    spark.conf.set(BATCH_CONF, str(min(BATCH_ROWS, int(held)) if int(held) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_CONF, held)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,92 +1,97 @@
 """Licence scans of every paragraph: a trained sparse n-gram classifier, confirmed by templates.
 
-Training rows are the template paragraphs of each family below, licence-like paragraphs of no listed
-family (class ``unknown``) and a bounded sample of the corpus' own paragraphs (class ``none``). A
-multinomial logistic regression with an L1 term over words and bigrams leaves few weights. A
-paragraph with none of the weighted words scores as the intercepts do, which is ``none``; so the scan
-is one pass without shuffle: an overlap with the weighted words, then the exact score of what is left.
+Training rows are written by rule: each name of a licence family in each wording of WORDINGS, the
+families' own clauses, statements of rights that name no family (class ``unknown``), sentences that speak
+of licences in another sense and a bounded sample of the corpus' own paragraphs (class ``none``). A
+multinomial logistic regression with an L1 term over words and bigrams leaves few weights.
 
-A family needs a probability above what held-out negatives reach (the calibrated bound), and the
-paragraph has to share its n-grams with a template of that family; else it is ``unknown``.
+A third of the wordings and of the sampled paragraphs is held out of the fit. On it the probabilities
+are calibrated by one temperature, and the bound of a family is set: above all that those held-out rows of
+``unknown`` and ``none`` reach which a template would confirm. A paragraph is reported if ``none`` is not its likeliest class; as a family
+if its probability is above the bound and it shares its n-grams with a template of that family, else as
+``unknown``.
+
+The scan is one pass without shuffle. A text is looked at closer only if it has one of the trigger words:
+the weighted n-grams that are no triggers could all stand in one paragraph and still leave it ``none``, so
+no paragraph is lost by that.
 
 DataFrame operations only; the fit is Spark's own.
 
 Defined cases: null or empty texts and blank paragraphs give no row; ids may be null; repeated rows
-give repeated rows; an empty corpus trains on the templates alone.
+give repeated rows; an empty corpus trains on the written rows alone; a paragraph is a line, however
+long; of equally likely families the later of FAMILIES wins; other columns play no part.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Usual licence statements by family.
-TEMPLATES: dict[str, tuple[str, ...]] = {
+#: The families' names as they are written, then clauses of their texts.
+FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "MIT": (
-        "Released under the MIT License.",
-        "This project is licensed under the terms of the MIT license.",
-        "Licensed under the MIT License. See LICENSE in the project root for license information.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+        ("MIT License", "MIT licence", "Expat License", "MIT"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",),
     ),
     "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "This project is released under the Apache 2.0 license.",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind",
+        ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0", "Apache License", "Apache-2.0"),
+        ("you may not use this file except in compliance with the License", "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
     ),
     "GPL": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "You should have received a copy of the GNU General Public License along with this program.",
-        "Released under the GNU GPL version 3 or later.",
+        ("GNU General Public License", "GNU General Public License, version 2", "GNU GPL version 3", "GNU GPL", "GPL-3.0-or-later", "GPLv3", "GPL"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",),
     ),
+    "LGPL": (("GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU LGPL", "LGPL-2.1-or-later", "LGPL"), ()),
+    "AGPL": (("GNU Affero General Public License", "GNU Affero General Public License, version 3", "GNU AGPL", "AGPL-3.0-only", "AGPL"), ()),
     "BSD": (
-        "Released under the BSD 3-Clause License.",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ),
-    "CC-BY": (
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "Content is available under CC BY-SA 4.0.",
-    ),
-    "CC-BY-NC": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-        "Content is available under CC BY-NC-SA 4.0 for noncommercial use.",
-    ),
-    "MPL-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License 2.0.",
+        ("BSD 3-Clause License", "BSD 2-Clause License", "BSD license", "BSD-style license", "BSD-3-Clause", "BSD"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
     ),
+    "CC-BY": (("Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "CC BY 4.0", "CC BY 3.0", "CC-BY-4.0"), ()),
+    "CC-BY-SA": (("Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License", "CC BY-SA 4.0", "CC BY-SA 3.0", "CC-BY-SA-4.0"), ()),
+    "CC-BY-NC": (("Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial License", "CC BY-NC 4.0", "CC BY-NC 3.0", "CC BY-NC-SA 4.0", "CC-BY-NC-4.0"), ()),
+    "CC0": (("CC0 1.0 Universal", "CC0", "Creative Commons Zero", "CC0-1.0 public domain dedication"), ()),
+    "MPL-2.0": (("Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License", "MPL-2.0"), ()),
 }
+#: How texts say that a licence holds; the place of a wording in this list says whether it is held out.
+WORDINGS = (
+    "This software is distributed under the {}", "The code is available under {} terms", "See the file COPYING for the {}", "SPDX-License-Identifier: {}",
+    "You may use this work under the {}", "Published under {}", "The {} applies to all files here", "Subject to the terms of the {}", "License: {}",
+    "Dieses Werk steht unter der {} Lizenz", "Lizenziert nach {}", "Ce document est publié sous licence {}", "Distribué selon les termes de la {}",
+    "Esta obra está bajo una licencia {}", "Publicado con la licencia {}", "Made available according to the {}", "Its contents are licensed under {}", "This is licensed under the {}",
+)
 UNKNOWN = (
-    "All rights reserved.",
-    "This document is licensed under terms set out elsewhere.",
-    "Licensed to the customer for internal use only.",
-    "No part of this publication may be reproduced without prior written permission of the publisher.",
-    "Use of this material requires a license from the copyright holder.",
-    "Copyright by the author, licensed for private use.",
-    "You need a driving license and permission to use this file.",
-)
-CLASSES = ("none", "unknown", *TEMPLATES)
-#: Sampled paragraphs of class ``none``, by a hash of the paragraph, and repeats of each template row.
-NEGATIVES, REPEATS = 2_000, 8
+    "All rights reserved by the publisher.", "All rights are reserved.", "Copyright by the authors. All rights reserved", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.",
+    "This document is licensed under terms set out elsewhere.", "Licensed to the customer for internal use only.", "No part of this publication may be reproduced without prior written permission of the publisher.",
+    "Use of this material requires a license from the copyright holder.", "Copyright by the author, licensed for private use.", "Unauthorised copying of this file is prohibited.",
+    "The licensee agrees to the terms of the license agreement.", "Licensed under a proprietary license.", "Released under a custom license.", "Rights reserved, see the license agreement.",
+)
+OTHER_SENSE = (
+    "You need a driving license to rent a car.", "The poet took some licence with the facts.", "He asked for permission to leave early.", "The hunting license costs ten coins.",
+    "She studied at MIT for three years.", "The Apache people lived in the south west.", "Creative work is a common thing here.", "The general public was not told.",
+    "Er kam mit dem Zug nach Hause.", "Mit der Zeit wird es besser.", "Das Kind spielt mit einem Ball.", "Sie spricht mit ihren Eltern.", "Ein Haus mit Garten und Hof.", "Wir reden mit allen anderen.",
+)
+CLASSES = ("none", "unknown", *FAMILIES)
+TEMPLATES = {c: (*names, *clauses) for c, (names, clauses) in FAMILIES.items()}
+#: Sampled paragraphs of class ``none``, by a hash of the paragraph, and repeats of rows that are written once.
+NEGATIVES, REPEATS = 2_000, 6
 MIN_SHARED = 0.5
-#: A paragraph is reported if ``none`` is less likely than this.
-NONE_BELOW = 0.2
-CUES = r"licen[sc]|copyright|permission|warrant|redistribut|rights reserved|\bcc by\b|\bgpl\b|creative commons"
+TEMPERATURES = (0.4, 0.5, 0.6, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0)
+#: Paragraphs with one of these are no sample of class ``none``.
+CUES = r"licen[sc]|lizen[sz]|copyright|permission|warrant|redistribut|rights? reserved|rechte vorbehalten|droits r|derechos reservados|\bcc by\b|\bcc0\b|\bl?a?gpl\b|\bgnu\b|creative commons|spdx|apache|mozilla"
+WORD = r"[\p{L}\p{N}]"
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph (from 0), body of each line of every text that has a letter or digit."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "body"))
-    return lines.where(F.col("body").rlike(r"[\p{L}\p{N}]"))
+    return lines.where(F.col("body").rlike(WORD))
 
 
 def tokens(body: Column) -> Column:
@@ -108,64 +113,104 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+@dataclass
 class Model:
-    """Class weights of n-grams, intercepts and the calibrated bound; all literals of the plan."""
+    """Class weights of n-grams, intercepts, temperature and the bound of families; all literals of the plan."""
+
+    weights: dict[str, list[float]]
+    intercept: list[float]
+    temperature: float = 1.0
+    bound: float = 0.5
+
+    def triggers(self) -> list[str]:
+        """The words of which a paragraph has at least one if ``none`` is not its likeliest class.
+
+        N-grams are left out from the least advantage over ``none`` on, as long as all of them together
+        could not make another class likelier.
+        """
+        classes = range(1, len(CLASSES))
+        room = [self.intercept[0] - self.intercept[c] for c in classes]
+        out = []
+        for gram, w in sorted(self.weights.items(), key=lambda x: (max(x[1][c] - x[1][0] for c in classes), x[0])):
+            gain = [max(0.0, w[c] - w[0]) for c in classes]
+            if not out and all(r - g > 0 for r, g in zip(room, gain, strict=True)):
+                room = [r - g for r, g in zip(room, gain, strict=True)]
+            else:
+                out.append(gram)
+        words = {g for g in out if " " not in g}
+        # A pair has both its words; one of them is enough.
+        return sorted(words | {max(g.split(" "), key=len) for g in out if " " in g and not words & set(g.split(" "))})
+
+    def touches(self, body: Column) -> Column:
+        """Whether a text has a trigger word; true for all texts if ``none`` does not win without one."""
+        if any(self.intercept[0] <= x for x in self.intercept[1:]):
+            return F.lit(True)
+        words = self.triggers()
+        return F.lower(body).rlike(f"(?<!{WORD})(?:{'|'.join(map(re.escape, words))})(?!{WORD})") if words else F.lit(False)
+
+    def logits(self, found: Column) -> Column:
+        zero = F.array(*[F.lit(float(x)) for x in self.intercept])
+        if not self.weights:
+            return zero
+        table = F.create_map(*[x for g, w in sorted(self.weights.items()) for x in (F.lit(g), F.array(*[F.lit(float(v)) for v in w]))])
+        known = F.array_intersect(found, _strings(sorted(self.weights)))
+        return F.aggregate(known, zero, lambda s, g: F.zip_with(s, F.element_at(table, g), lambda a, b: a + b))
 
-    def __init__(self, weights: dict[str, list[float]], intercept: list[float], bound: float = 0.5):
-        self.weights, self.intercept, self.bound = weights, intercept, bound
-        self.words = sorted({w for g in weights for w in g.split(" ")})
+    def probabilities(self, found: Column) -> Column:
+        """array<double> by CLASSES, calibrated."""
+        return softmax(_cooled(self.logits(found), self.temperature))
 
-    def touches(self, words: Column) -> Column:
-        return F.arrays_overlap(words, _strings(self.words))
 
-    def probabilities(self, found: Column) -> Column:
-        """array<double> by CLASSES."""
-        zero = F.array(*[F.lit(float(x)) for x in self.intercept])
-        if not self.weights:
-            logits = zero
-        else:
-            table = F.create_map(*[x for g, w in sorted(self.weights.items()) for x in (F.lit(g), F.array(*[F.lit(float(v)) for v in w]))])
-            none = F.array(*[F.lit(0.0)] * len(CLASSES))
-            known = F.array_intersect(found, _strings(sorted(self.weights)))
-            logits = F.aggregate(known, zero, lambda s, g: F.zip_with(s, F.coalesce(F.element_at(table, g), none), lambda a, b: a + b))
-        raised = _let(logits, lambda v: _let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))))
-        return _let(raised, lambda e: _let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total)))
+def _cooled(logits: Column, temperature: float) -> Column:
+    return F.transform(logits, lambda x: x / temperature)
+
+
+def softmax(logits: Column) -> Column:
+    raised = _let(logits, lambda v: _let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))))
+    return _let(raised, lambda e: _let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def best(probabilities: Column) -> Column:
     """struct(p, family): the likelier of the families, unknown and none left out."""
-    each = lambda v: [F.struct(v[i].alias("p"), F.lit(c).alias("family")) for i, c in enumerate(CLASSES) if i >= 2]
+    each = lambda v: [F.struct(v[i].alias("p"), F.lit(i).alias("at"), F.lit(c).alias("family")) for i, c in enumerate(CLASSES) if i >= 2]
     return _let(probabilities, lambda v: F.array_max(F.array(*each(v))))
 
 
+def written_rows() -> list[tuple[str, float, int]]:
+    """(body, label, fold) by the rule above; fold 2 is held out."""
+    rows = [(w.format(name), float(CLASSES.index(c)), k % 3) for c, (names, _) in FAMILIES.items() for name in names for k, w in enumerate(WORDINGS)]
+    rows += [(text, float(CLASSES.index(c)), 0) for c, (_, clauses) in FAMILIES.items() for text in clauses for _ in range(REPEATS)]
+    rows += [(text, float(label), k % 3) for label, texts in ((1, UNKNOWN), (0, OTHER_SENSE)) for k, text in enumerate(texts) for _ in range(REPEATS)]
+    return rows
+
+
 def training_rows(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
-    """body, label, fold: the templates, and at most ``negatives`` paragraphs without a licence cue."""
-    known = [(t, CLASSES.index(c)) for c, ts in TEMPLATES.items() for t in ts] + [(t, 1) for t in UNKNOWN]
-    rows = F.array(*[F.struct(F.lit(t).alias("body"), F.lit(float(c)).alias("label")) for t, c in known])
-    spark = docs.sparkSession
-    ours = spark.range(REPEATS).select(F.explode(rows).alias("r")).select("r.body", "r.label", F.lit(0).alias("fold"))
+    """body, label, fold: the written rows, and at most ``negatives`` paragraphs without a licence cue."""
+    written = F.array(*[F.struct(F.lit(t).alias("body"), F.lit(c).alias("label"), F.lit(f).alias("fold")) for t, c, f in written_rows()])
+    ours = docs.sparkSession.range(1).select(F.explode(written).alias("r")).select("r.*")
     clean = paragraphs(docs).where(~F.lower("body").rlike(CUES)).select("body")
-    mark = F.xxhash64("body")
-    sampled = clean.orderBy(mark, "body").limit(negatives).select("body", F.lit(0.0).alias("label"), F.pmod(F.xxhash64("body", F.lit(1)), F.lit(3)).cast("int").alias("fold"))
+    sampled = clean.orderBy(F.xxhash64("body"), "body").limit(negatives).select("body", F.lit(0.0).alias("label"), F.pmod(F.xxhash64("body", F.lit(1)), F.lit(3)).cast("int").alias("fold"))
     return ours.unionByName(sampled)
 
 
 def train(docs: DataFrame, *, negatives: int = NEGATIVES) -> Model:
     rows = training_rows(docs, negatives).withColumn("grams", grams(tokens(F.col("body")))).coalesce(1).cache()  # some thousand rows at most
-    fit_on = rows.where("fold < 2 or label > 0")
+    fit_on, held = rows.where("fold < 2"), rows.where("fold = 2")
     vector = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 14, minDF=2.0).fit(fit_on)
-    regression = LogisticRegression(family="multinomial", regParam=0.001, elasticNetParam=1.0, maxIter=30, standardization=False)
+    regression = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=60, standardization=False)
     fitted = regression.fit(vector.transform(fit_on).select("features", "label"))
-    matrix, seen = fitted.coefficientMatrix.toArray(), fitted.numClasses
-    whole = [[float(matrix[c][j]) if c < seen else 0.0 for c in range(len(CLASSES))] for j in range(matrix.shape[1])]
-    weights = {g: w for g, w in zip(vector.vocabulary, whole, strict=True) if any(abs(x) > 1e-9 for x in w)}
-    intercept = [float(x) for x in fitted.interceptVector.toArray()] + [-50.0] * (len(CLASSES) - seen)
-    model = Model(weights, intercept)
-    # Calibration: no held-out paragraph of class none and no licence-like one may pass for a family.
-    held = rows.where("(fold = 2 and label = 0) or label = 1").select(best(model.probabilities(F.col("grams")))["p"].alias("p"))
-    highest = held.agg(F.max("p")).first()[0]
+    matrix = fitted.coefficientMatrix.toArray()
+    weights = {g: [float(x) for x in matrix[:, j]] for j, g in enumerate(vector.vocabulary) if any(abs(x) > 1e-9 for x in matrix[:, j])}
+    model = Model(weights, [float(x) for x in fitted.interceptVector.toArray()])
+    logits = held.select("label", model.logits(F.col("grams")).alias("v"))
+    loss = [F.sum(-F.log(F.greatest(F.element_at(softmax(_cooled(F.col("v"), t)), F.col("label").cast("int") + 1), F.lit(1e-12)))).alias(f"t{k}") for k, t in enumerate(TEMPERATURES)]
+    losses = logits.agg(*loss).first()
+    if losses[0] is not None:
+        model.temperature = min(zip(losses, TEMPERATURES, strict=True))[1]
+    wrong = held.where("label < 2").withColumn("b", best(model.probabilities(F.col("grams"))))
+    highest = wrong.where(shared_with_template(F.col("grams"), F.col("b.family")) >= MIN_SHARED).agg(F.max("b.p")).first()[0]
     rows.unpersist()
-    model.bound = max(0.5, min(0.95, float(highest or 0.0)))
+    model.bound = max(0.5, float(highest or 0.0))
     return model
 
 
@@ -186,16 +231,18 @@ def shared_with_template(found: Column, family: Column) -> Column:
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, paragraph, license, probability, shared of each paragraph that is not ``none``."""
-    words = paragraphs(docs).withColumn("words", tokens(F.col("body"))).where(model.touches(F.col("words")))
+    """doc_id, paragraph, license, probability, shared of each paragraph whose likeliest class is not ``none``."""
+    some = docs.select("doc_id", "text").where(model.touches(F.col("text")))
+    words = paragraphs(some).where(model.touches(F.col("body"))).select("doc_id", "paragraph", tokens(F.col("body")).alias("words"))
+
     def judged(found: Column) -> Column:
-        """struct(none, best, shared) of a paragraph's n-grams, each worked out once."""
+        """struct(none, top, best, shared) of a paragraph's n-grams, each worked out once."""
         return _let(
             model.probabilities(found),
-            lambda p: _let(best(p), lambda b: F.struct(p[0].alias("none"), b.alias("best"), shared_with_template(found, b["family"]).alias("shared"))),
+            lambda p: _let(best(p), lambda b: F.struct(p[0].alias("none"), F.array_max(F.slice(p, 2, len(CLASSES))).alias("top"), b.alias("best"), shared_with_template(found, b["family"]).alias("shared"))),
         )
 
-    scored = words.withColumn("j", _let(grams(F.col("words")), judged)).where(F.col("j.none") < NONE_BELOW)
+    scored = words.withColumn("j", _let(grams(F.col("words")), judged)).where(F.col("j.none") < F.col("j.top"))
     sure = (F.col("j.best.p") > model.bound) & (F.col("j.shared") >= MIN_SHARED)
     return scored.select(
         "doc_id", "paragraph", F.when(sure, F.col("j.best.family")).otherwise("unknown").alias("license"), F.col("j.best.p").alias("probability"), F.col("j.shared").alias("shared")

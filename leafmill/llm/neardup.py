@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,23 +164,27 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """id, label of every linked id; label is the least id of its connected component.
 
-    Least neighbours' labels spread with pointer jumping until nothing changes; each round cuts its
-    lineage. Hubs are summed map-side.
+    Least neighbours' labels spread with pointer jumping until nothing changes. Hubs are summed map-side.
+    Rounds are few, about the logarithm of a component's diameter, and kept by Spark; what an executor loses
+    of them is worked out again from the written links. The last one is written.
     """
     links = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
-    labels = materialise(links.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")), name)
+    labels = links.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
+    rounds = []
     while True:
         seen = links.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("n_id")).agg(F.min("label").alias("near"))
         spread = labels.join(seen, labels["id"] == seen["n_id"], "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = labels.select(F.col("id").alias("j_id"), F.col("label").alias("j_label"))
         after = spread.join(jump, spread["label"] == jump["j_id"], "left").select("id", "old", F.least("label", F.coalesce("j_label", "label")).alias("label"))
-        after = materialise(after, name)
-        drop_tables(labels)
+        rounds.append(after.persist(StorageLevel.MEMORY_AND_DISK))
         changed = not after.where("label <> old").isEmpty()
         labels = after.select("id", "label")
         if not changed:
+            out = materialise(labels, name)
+            for r in rounds:
+                r.unpersist()
             drop_tables(links)
-            return labels
+            return out
 
 
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:

@@ -367,8 +367,46 @@ def test_html_slots_choose_main_text(spark):
     assert host["host"] == "a.example" and html_extract.boilerplate_slots(d, html_extract.templates(d)).count() == 1
 
 
-def test_license_families(spark, odd):
-    texts = {i: t for i, t in enumerate(("Some words of a text\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0.", "A plain paragraph on nothing at all", "This work is licensed under the GNU General Public License, version 3.\nmore", None, ""))}
-    d = docs(spark, [(i, t, "a") for i, t in texts.items()] + [(100 + k, f"ordinary prose number {k} of the corpus is here", "a") for k in range(200)])
-    got = sorted((r["doc_id"], r["paragraph"], r["license"]) for r in rows_of(license_scan.licenses(d)))
-    assert got == [(0, 1, "MIT"), (1, 0, "CC-BY-NC"), (3, 0, "GPL")]
+LICENSE_CASES = {
+    "Released under the MIT License.": "MIT", "Lizenziert unter der MIT-Lizenz.": "MIT", "SPDX-License-Identifier: MIT": "MIT",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL", "Released under the GNU Affero General Public License v3.": "AGPL",
+    "Licensed under the Mozilla Public License 2.0.": "MPL-2.0", "All rights reserved.": "unknown", "Wir gehen mit dem Hund": None, "You need a driving license to rent a car.": None,
+}
+
+
+@pytest.fixture(scope="module")
+def license_model(spark):
+    prose = docs(spark, [(100 + k, f"ordinary prose number {k} of the corpus is here", "a") for k in range(200)])
+    return license_scan.train(prose)
+
+
+def test_license_families_of_unseen_wordings(spark, license_model):
+    written = {b.lower().strip(".") for b, *_ in license_scan.written_rows()}
+    assert not [t for t, f in LICENSE_CASES.items() if f not in ("MIT", None) and t.lower().strip(".") in written]
+    texts = list(LICENSE_CASES)
+    d = docs(spark, [(i, f"Some words\n{t}\nmore of it", "a") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["license"] for r in rows_of(license_scan.scan(d, license_model)) if r["paragraph"] == 1}
+    assert {t: got.get(i) for i, t in enumerate(texts)} == LICENSE_CASES
+
+
+def test_license_prefilter_loses_nothing(spark, license_model):
+    """Each paragraph of rows and corpus words whose likeliest class is not none has a trigger word."""
+    rng = np.random.default_rng(4)
+    pool = sorted({w for g in license_model.weights for w in g.split(" ")}) + ["zzz"] * 20
+    bodies = [" ".join(rng.choice(pool, rng.integers(1, 9))) for _ in range(1500)]
+    d = docs(spark, [(i, b, "a") for i, b in enumerate(bodies)])
+    p = license_model.probabilities(license_scan.grams(license_scan.tokens(F.col("text"))))
+    seen = d.select(license_model.touches(F.col("text")).alias("t"), p.alias("p")).collect()
+    other = [r for r in seen if max(r["p"][1:]) > r["p"][0]]
+    assert len(other) > 50 and all(r["t"] for r in other)
+
+
+def test_license_defined_cases(spark, odd, none, license_model):
+    long = "filler words here " * 20_000 + "Released under the MIT License."
+    d = docs(spark, [(1, "Released under the MIT License.", "a"), (1, "Released under the MIT License.", "a"), (None, "Released under the MIT License.", None), (2, long, "a"), (3, "\n\n  \n", "a")])
+    d = d.withColumns({"body": F.lit("x"), "paragraph": F.lit(9), "words": F.array(F.lit("y"))})
+    got = [(r["doc_id"], r["license"]) for r in rows_of(license_scan.scan(d, license_model))]
+    assert sorted(got, key=str) == sorted([(1, "MIT"), (1, "MIT"), (None, "MIT")] + [g for g in got if g[0] == 2], key=str)
+    assert license_scan.scan(odd, license_model).count() == 0 and license_scan.scan(none, license_model).count() == 0
+    assert license_scan.train(none).weights
