@@ -11,12 +11,55 @@ NEGLIGIBLE_ANGLE, GOOD_CONFIDENCE = 0.2, 1.5
 
 
 def robust_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, med, mad (scaled) and p975 of ``value`` per group. Two aggregations on one partitioning."""
+    """n, med, mad (scaled) and p975 of ``value`` per group. Two aggregations on one partitioning.
+
+    For groups whose distinct values fit a task, as a book's do; ``exact_quantiles`` is for larger ones.
+    """
     centre = df.groupBy(*by).agg(F.count(value).alias("n"), F.median(value).alias("med"), F.percentile(value, F.lit(0.975)).alias("p975"))
     spread = df.join(centre.select(*by, "med"), by).groupBy(*by).agg((MAD_SCALE * F.median(F.abs(F.col(value) - F.col("med")))).alias("mad"))
     return centre.join(spread, by).select(*by, "n", "med", "mad", "p975")
 
 
+#: Accuracy of the sketches that bracket an order statistic.
+SKETCH = 10_000
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """``by``, n, q0, q1, ...: exact interpolated quantiles of groups of any size.
+
+    A sketch, summed map-side, gives bounds that the wanted ranks cannot lie outside of (its error is at
+    most 1/SKETCH of the rows); a second pass counts what is below each lower bound and gathers only
+    the values between the bounds, some ten-thousandths of a group; groups under ten times SKETCH rows are
+    gathered whole. Nulls do not count.
+    """
+    held = df.select(*by, F.col(value).cast("double").alias("__v")).where("__v is not null")
+    marks = sorted({min(1.0, max(0.0, s + e / SKETCH)) for s in shares for e in (-3, 3)})
+    cuts = held.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("__v", [float(m) for m in marks], SKETCH).alias("__q"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    place = {m: i for i, m in enumerate(marks)}
+
+    def bound(s: float, e: int) -> Column:
+        m = min(1.0, max(0.0, s + e / SKETCH))
+        end = F.col("__lo") if e < 0 else F.col("__hi")
+        # In small groups a sketch's share is less than a row; they are gathered whole.
+        return end if m in (0, 1) else F.when(F.col("n") < 10 * SKETCH, end).otherwise(F.col("__q")[place[m]])
+
+    cuts = cuts.select(*by, "n", *(bound(s, e).alias(f"__{n}{k}") for k, s in enumerate(shares) for n, e in (("a", -3), ("z", 3))))
+    both = held.join(cuts, by)
+    some = both.where(" or ".join(f"__v <= __z{k}" for k in range(len(shares))))
+    sums = some.groupBy(*by).agg(
+        F.first("n").alias("n"),
+        *(F.count(F.when(F.col("__v") < F.col(f"__a{k}"), 1)).alias(f"__below{k}") for k in range(len(shares))),
+        *(F.sort_array(F.collect_list(F.when((F.col("__v") >= F.col(f"__a{k}")) & (F.col("__v") <= F.col(f"__z{k}")), F.col("__v")))).alias(f"__in{k}") for k in range(len(shares))),
+    )
+    out = []
+    for k, s in enumerate(shares):
+        rank = F.lit(float(s)) * (F.col("n") - 1) - F.col(f"__below{k}")
+        low = F.get(f"__in{k}", F.floor(rank).cast("int"))
+        high = F.coalesce(F.get(f"__in{k}", F.ceil(rank).cast("int")), low)
+        out.append((low + (high - low) * (rank - F.floor(rank))).alias(f"q{k}"))
+    return sums.select(*by, "n", *out)
+
+
 def robust_outliers(df: DataFrame, by: list[str], value: str, *, k: float = 3.5, least_rows: int = 8) -> DataFrame:
     """Rows further than ``k`` scaled MADs from their group's median; groups under ``least_rows`` have none."""
     s = robust_stats(df, by, value)
@@ -56,3 +99,33 @@ def otsu(df: DataFrame, by: list[str], gray: str) -> DataFrame:
     score = F.round(F.col("w0").cast("double") * F.col("w1") * gap * gap, 3)
     best = Window.partitionBy(*by).orderBy(F.desc("score"), gray)
     return at.where("w1 > 0").withColumn("score", score).withColumn("r", F.row_number().over(best)).where("r = 1").select(*by, F.col(gray).alias("threshold"))
+
+
+INK_HIGH, INK_FLOOR, INK_LEAST, SHOW_THROUGH = 225, 110, 0.001, 25
+
+
+def ink_valley(thresholds: DataFrame, by: list[str]) -> DataFrame:
+    """The median of the pages' thresholds of each book, cut to a whole number."""
+    return thresholds.groupBy(*by).agg(F.floor(F.median("threshold")).cast("long").alias("valley"))
+
+
+def ink_thresholds(pixels: DataFrame, by: list[str], page: str, gray: str) -> DataFrame:
+    """``by``, page, with_book, alone: gray values up to which a pixel is ink.
+
+    With the book's valley a threshold far above it gives way to it; alone a very high one gives way to INK_FLOOR
+    if next to no pixel is that dark.
+    """
+    own = otsu(pixels, [*by, page], gray)
+    dark = pixels.groupBy(*by, page).agg(F.avg((F.col(gray) <= INK_FLOOR).cast("double")).alias("dark"))
+    t = F.col("threshold")
+    return own.join(dark, [*by, page]).join(ink_valley(own, by), by).select(
+        *by, page, F.when(t > F.col("valley") + SHOW_THROUGH, F.col("valley")).otherwise(t).alias("with_book"),
+        F.when((t > INK_HIGH) & (F.col("dark") < INK_LEAST), F.lit(INK_FLOOR)).otherwise(t).alias("alone"),
+    )
+
+
+def tile_quality(pixels: DataFrame, tone: float, *, tile: int = 32, least: float = 40.0) -> DataFrame:
+    """tx, ty, off, n of the tiles whose pixels (x, y, gray) lie ``least`` or more from ``tone`` on average, worst first."""
+    at = lambda c: F.floor(F.col(c) / tile).cast("long")
+    each = pixels.groupBy(at("x").alias("tx"), at("y").alias("ty")).agg(F.avg(F.abs(F.col("gray") - tone)).alias("off"), F.count("*").alias("n"))
+    return each.where(F.col("off") >= least).orderBy(F.desc("off"), "tx", "ty")

@@ -29,3 +29,42 @@ def merge_intervals(df: DataFrame, by: list[str], start: str, end: str) -> DataF
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = df.withColumn("__new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1))).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(*by, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("parts"))
+
+
+def closed(df: DataFrame, by: list[str], order: str, flag: str, gap: int) -> DataFrame:
+    """``df`` with ``closed``: the flag, also on breaks of up to ``gap`` positions between rows that have it."""
+    w = Window.partitionBy(*by).orderBy(order)
+    at = F.when(F.col(flag), F.col(order))
+    before = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return df.withColumn("closed", F.coalesce(F.col(flag) | (after - before - 1 <= gap), F.lit(False)))
+
+
+def dark_bands(profile: DataFrame, by: list[str], page: str, bin: str, *, bins: int = 1000, share: float = 0.5, widest: float = 0.05, least_pages: int = 8) -> DataFrame:
+    """``by``, lo, hi: bands of an axis that are dark on ``share`` of a book's pages, as shares of the axis.
+
+    ``profile`` has one row a page and dark bin. Books under ``least_pages`` pages have no band; runs of bins wider
+    than ``widest`` of the axis are content.
+    """
+    pages = profile.groupBy(*by).agg(F.countDistinct(page).alias("__pages")).where(F.col("__pages") >= least_pages)
+    dark = profile.groupBy(*by, bin).agg(F.countDistinct(page).alias("__on")).join(pages, by).where(F.col("__on") >= share * F.col("__pages"))
+    found = runs(dark.withColumn("__flag", F.lit(True)), by, bin, "__flag").where(F.col("length") <= widest * bins)
+    return found.select(*by, (F.col("first") / bins).alias("lo"), ((F.col("last") + 1) / bins).alias("hi"))
+
+
+def page_numbers(spec: str | None) -> list[tuple[int, int]] | None:
+    """Closed ranges of a selection like ``9,52,236-237``; None, for all pages, without one."""
+    parts = [p.strip() for p in (spec or "").split(",") if p.strip()]
+    out = [(int(a), int(z or a)) for a, _, z in (p.partition("-") for p in parts)]
+    return [(a, z) for a, z in out if a <= z] or None
+
+
+def selected_pages(df: DataFrame, page: str, spec: str | None) -> DataFrame:
+    """The rows whose page the selection names; ranges are predicates, which reach the scan."""
+    ranges = page_numbers(spec)
+    if ranges is None:
+        return df
+    keep = F.lit(False)
+    for a, z in ranges:
+        keep = keep | F.col(page).between(a, z)
+    return df.where(keep)

@@ -1,10 +1,16 @@
-"""Keyed storage semantics on DataFrames: upsert, append-only log, queue, replace by key."""
+"""Keyed storage on DataFrames and Parquet tables: upsert, append-only log, queue, replace by key, fold."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.features import PAGE_SCHEMA
+
 
 def latest(log: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key: what upserts of the log leave."""
@@ -21,3 +27,135 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: list[Col
 def replace_keys(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """All rows of ``base`` under the keys in ``rows`` go; ``rows`` come in their place."""
     return base.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows.select(*base.columns))
+
+
+def fold(target: DataFrame, workers: list[DataFrame], keys: list[str], order: list[Column]) -> DataFrame:
+    """``target`` after the tables of all workers were upserted into it; the last row of a key by ``order`` stays."""
+    return latest(reduce(DataFrame.unionByName, [target, *workers]), keys, order)
+
+
+def bucket_key(*dims: str) -> list[Column]:
+    """Scope dimensions as key columns: an absent one is the empty string, so the key has no null."""
+    return [F.coalesce(F.col(d), F.lit("")).alias(d) for d in dims]
+
+
+BUCKET_DIMS = ("scanner", "fmt", "genre", "writing", "binding")
+
+
+def bucket_lookup(asked: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``asked`` scopes and parameter names with median, mad and n of exactly their bucket; null if there is none."""
+    held = buckets.select(*bucket_key(*BUCKET_DIMS), "param_name", "median", "mad", "n")
+    return asked.select(*bucket_key(*BUCKET_DIMS), "param_name").join(held, [*BUCKET_DIMS, "param_name"], "left")
+
+
+@dataclass(frozen=True)
+class Table:
+    """Columns, key and the column whose values are folders of a table of the store."""
+
+    schema: str
+    keys: tuple[str, ...]
+    partition: str | None = None
+
+
+TABLES = {
+    "pages": Table("doc_id string, page_index int, params_json string, review_status string, flags array<string>, updated_at double", ("doc_id", "page_index"), "doc_id"),
+    "decisions": Table("id string, doc_id string, page_index int, decided_by string, field string, old_value string, new_value string, features string, created_at double", ("id",)),
+    "book": Table("book_id string, title string, scanner string, fmt string, genre string, writing string, binding string, confidence double, resolved_at double", ("book_id",)),
+    "scan_profile": Table("book_id string, scanner_sig string, front_end int, body_end int, page_count int, ocr_pages int, profile_json string, created_at double", ("book_id",)),
+    "page_feature": Table("book_id string, page_index int, is_ocr boolean, region_count int, deskew_angle double, deskew_conf double, content_w double, content_h double, nombre_value int, nombre_cx double, nombre_cy double, blank boolean", ("book_id",), "book_id"),
+    "region_feature": Table("book_id string, page_index int, cls string, x0 double, y0 double, x1 double, y1 double, conf double, source string", ("book_id",), "book_id"),
+    "bucket_profile": Table("scanner string, fmt string, genre string, writing string, binding string, param_name string, median double, mad double, n int, updated_at double", (*BUCKET_DIMS, "param_name")),
+}
+
+
+class Store:
+    """Parquet tables under one folder. A write makes a new version of its table and then names it current, so
+    readers of the old one are not disturbed; appended and replaced tables keep their folders."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), p
+
+    def _current(self, name: str) -> str | None:
+        fs, p = self._fs(f"{self.root}/{name}")
+        if not fs.exists(p):
+            return None
+        versions = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v"))
+        done = [v for v in versions if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{v}/_SUCCESS"))]
+        return f"{self.root}/{name}/{done[-1]}" if done else None
+
+    def read(self, name: str) -> DataFrame:
+        """The table, empty if it was never written."""
+        at, t = self._current(name), TABLES[name]
+        return self.spark.read.schema(t.schema).parquet(at) if at else self.spark.createDataFrame([], t.schema)
+
+    def _write(self, name: str, rows: DataFrame) -> None:
+        at, t = self._current(name), TABLES[name]
+        n = int(at.rsplit("/v", 1)[1].split("-")[0]) + 1 if at else 0
+        writer = rows.select(*self.spark.createDataFrame([], t.schema).columns).write
+        (writer.partitionBy(t.partition) if t.partition else writer).parquet(f"{self.root}/{name}/v{n:09d}-{uuid.uuid4().hex[:8]}")
+
+    def upsert(self, name: str, rows: DataFrame, order: list[Column]) -> None:
+        """The last of ``rows`` of each key replaces the row of that key."""
+        self._write(name, upsert(self.read(name), rows, list(TABLES[name].keys), order))
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Adds ``rows``; an ``id`` that is missing is made."""
+        held = rows if "id" in rows.columns or "id" not in TABLES[name].schema.split()[0] else rows.withColumn("id", F.expr("uuid()"))
+        self._write(name, self.read(name).unionByName(held, allowMissingColumns=True))
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """``rows`` in place of all rows of their keys."""
+        self._write(name, replace_keys(self.read(name), rows, list(TABLES[name].keys)))
+
+    def fold(self, others: list[Store]) -> None:
+        """Every table of ``others`` folded into this store's, bags and logs appended, keyed ones by their last time."""
+        for name, t in TABLES.items():
+            theirs = [o.read(name) for o in others]
+            time = next((c for c in ("updated_at", "resolved_at", "created_at") if c in t.schema), None)
+            if name in ("page_feature", "region_feature"):
+                self.replace(name, reduce(DataFrame.unionByName, theirs))
+            elif name == "decisions":
+                self._write(name, reduce(DataFrame.unionByName, [self.read(name), *theirs]).dropDuplicates(["id"]))
+            else:
+                self._write(name, fold(self.read(name), theirs, list(t.keys), [F.desc(time)]))
+
+    def pages(self, doc_id: str | None = None) -> DataFrame:
+        held = self.read("pages")
+        return (held if doc_id is None else held.where(F.col("doc_id") == doc_id)).orderBy("doc_id", "page_index")
+
+    def page(self, doc_id: str, page_index: int) -> DataFrame:
+        return self.read("pages").where((F.col("doc_id") == doc_id) & (F.col("page_index") == page_index))
+
+    def documents(self) -> DataFrame:
+        return self.read("pages").select("doc_id").distinct().orderBy("doc_id")
+
+    def features(self, book_id: str) -> DataFrame:
+        return self.read("page_feature").where(F.col("book_id") == book_id).orderBy("page_index")
+
+    def training_log(self, field: str | None = None) -> DataFrame:
+        """All decisions with their field, or only features and values of one ``field``, oldest first."""
+        held = self.read("decisions").orderBy("created_at", "id")
+        return held.select("field", "features", "new_value") if field is None else held.where(F.col("field") == field).select("features", "new_value")
+
+
+def encoded(pages: DataFrame) -> DataFrame:
+    """Nested pages (PAGE_SCHEMA) as rows of the table ``pages``: status and flags in columns, the rest as JSON."""
+    cols = [c for c in pages.columns if c not in ("review_status", "flags")]
+    return pages.select("doc_id", "page_index", F.to_json(F.struct(*cols)).alias("params_json"), "review_status", "flags")
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """The inverse of ``encoded``: missing keys become null, unknown keys are left out, broken JSON gives null columns."""
+    page = F.from_json("params_json", PAGE_SCHEMA, {"mode": "PERMISSIVE"})
+    inner = [c.split(" ")[0].strip() for c in ("dpi", "source", "deskew", "margin", "regions", "page_kind", "decided_by", "nombre_text", "page_number", "blank")]
+    return rows.withColumn("__p", page).select("doc_id", "page_index", *(F.col(f"__p.{c}").alias(c) for c in inner), "review_status", "flags")
+
+
+def quarantined(pages: DataFrame, column: str, allowed: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(good, bad): rows whose enumeration value is known or null, and the others."""
+    known = F.col(column).isNull() | F.col(column).isin(*allowed)
+    return pages.where(known), pages.where(~known)
