@@ -35,7 +35,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +45,8 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Further members of a bucket's largest component that those outside it are verified against.
 PIVOTS = 2
+#: Rows of a file of a round of components, about.
+ROUND_ROWS = 250_000
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -61,37 +62,45 @@ def content_key(text: str | None) -> tuple[int, int]:
     return (key >> 64) - (1 << 63), (key & ((1 << 64) - 1)) - (1 << 63)
 
 
-def prob_min_hash(elements: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """int32 signature of distinct uint64 elements with positive weights."""
-    first = np.full(registers, np.inf)
-    held = np.zeros(registers, np.uint64)
-    n = len(elements)
-    if not n:
-        return held.astype(np.int32)
-    alive, time, round_ = elements, np.zeros(n), 0
-    weight = weights
+def _uniform(draw: np.ndarray) -> np.ndarray:
+    return ((draw >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+
+def _draws(elements: np.ndarray, first: int, k: int) -> np.ndarray:
+    """Draws first, first + 1, ... of each element's own sequence, one row an element."""
+    return mix(elements[:, None] + np.arange(first, first + k, dtype=np.uint64)[None, :] * np.uint64(0xD1342543DE82EF95))
+
+
+def _arrivals(elements: np.ndarray, weights: np.ndarray, registers: int) -> tuple[np.ndarray, np.ndarray]:
+    """(time, element) of each register's first arrival."""
+    first, held = np.full(registers, np.inf), np.zeros(registers, np.uint64)
+    alive, time, weight, done = elements, np.zeros(len(elements)), weights, 0
     while len(alive):
-        k = max(1, min(4 * registers, 2 * registers // len(alive)))
-        draw = mix(alive[:, None] + np.arange(round_, round_ + k, dtype=np.uint64)[None, :] * np.uint64(0xD1342543DE82EF95))
-        gap = -np.log(((draw >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)) / weight[:, None]
-        arrival = time[:, None] + np.cumsum(gap, axis=1)
-        register = (mix(draw) % np.uint64(registers)).astype(np.int64)
-        at, who, when = register.ravel(), np.repeat(alive, k), arrival.ravel()
-        latest = first.max()
-        if latest < np.inf:
-            early = when < latest
-            at, who, when = at[early], who[early], when[early]
-        order = np.argsort(-when, kind="stable")  # the earliest is written last
-        at, who, when = at[order], who[order], when[order]
-        earliest = np.full(registers, np.inf)
-        earliest[at] = when
-        owner = np.zeros(registers, np.uint64)
-        owner[at] = who
-        better = earliest < first
-        first[better], held[better] = earliest[better], owner[better]
-        time, round_ = arrival[:, -1], round_ + k
+        k = max(2 if done else 1, -(-8 * registers // len(alive)) if not done else 0)
+        draw = _draws(alive, done, k)
+        arrival = time[:, None] + np.cumsum(-np.log(_uniform(draw)) / weight[:, None], axis=1)
+        at, who, when = (mix(draw) % np.uint64(registers)).astype(np.int64).ravel(), np.repeat(alive, k), arrival.ravel()
+        np.minimum.at(first, at, when)
+        best = when == first[at]
+        held[at[best]] = who[best]
+        time, done = arrival[:, -1], done + k
         stays = time < first.max()
         alive, time, weight = alive[stays], time[stays], weight[stays]
+    return first, held
+
+
+def prob_min_hash(elements: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+    """int32 signature of distinct uint64 elements with positive weights."""
+    if not len(elements):
+        return np.zeros(registers, np.int32)
+    horizon = 12 * registers / weights.sum()
+    some = slice(None)
+    if len(elements) > 12 * registers:
+        # Elements whose first arrival is later than the horizon matter only if some register is still free then.
+        some = np.flatnonzero(_uniform(_draws(elements, 0, 1)[:, 0]) > np.exp(-horizon * weights))
+    first, held = _arrivals(elements[some], weights[some], registers)
+    if first.max() >= horizon and len(held) and not isinstance(some, slice):
+        first, held = _arrivals(elements, weights, registers)
     return (mix(held) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
@@ -164,27 +173,24 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """id, label of every linked id; label is the least id of its connected component.
 
-    Least neighbours' labels spread with pointer jumping until nothing changes. Hubs are summed map-side.
-    Rounds are few, about the logarithm of a component's diameter, and kept by Spark; what an executor loses
-    of them is worked out again from the written links. The last one is written.
+    Least neighbours' labels spread with pointer jumping until nothing changes; each round cuts its
+    lineage. Hubs are summed map-side. Rounds of small graphs are written as few files.
     """
     links = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
-    labels = links.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
-    rounds = []
+    files = 1 + links.count() // ROUND_ROWS
+    labels = materialise(links.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")).coalesce(files), name)
     while True:
         seen = links.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("n_id")).agg(F.min("label").alias("near"))
         spread = labels.join(seen, labels["id"] == seen["n_id"], "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = labels.select(F.col("id").alias("j_id"), F.col("label").alias("j_label"))
         after = spread.join(jump, spread["label"] == jump["j_id"], "left").select("id", "old", F.least("label", F.coalesce("j_label", "label")).alias("label"))
-        rounds.append(after.persist(StorageLevel.MEMORY_AND_DISK))
+        after = materialise(after.coalesce(files), name)
+        drop_tables(labels)
         changed = not after.where("label <> old").isEmpty()
         labels = after.select("id", "label")
         if not changed:
-            out = materialise(labels, name)
-            for r in rounds:
-                r.unpersist()
             drop_tables(links)
-            return out
+            return labels
 
 
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
