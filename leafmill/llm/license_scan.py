@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -121,25 +121,27 @@ class Model:
     intercept: list[float]
     temperature: float = 1.0
     bound: float = 0.5
+    #: In how many sampled paragraphs of class ``none`` an n-gram stands.
+    frequency: dict[str, int] = field(default_factory=dict)
 
     def triggers(self) -> list[str]:
         """The words of which a paragraph has at least one if ``none`` is not its likeliest class.
 
-        N-grams are left out from the least advantage over ``none`` on, as long as all of them together
-        could not make another class likelier.
+        The n-grams that are most frequent in the sample are no triggers as long as all of those together could
+        not make another class likelier; a trigger pair is known by its rarer word.
         """
         classes = range(1, len(CLASSES))
         room = [self.intercept[0] - self.intercept[c] for c in classes]
+        often = lambda g: -self.frequency.get(g, 0)
         out = []
-        for gram, w in sorted(self.weights.items(), key=lambda x: (max(x[1][c] - x[1][0] for c in classes), x[0])):
+        for gram, w in sorted(self.weights.items(), key=lambda x: (often(x[0]), max(x[1][c] - x[1][0] for c in classes), x[0])):
             gain = [max(0.0, w[c] - w[0]) for c in classes]
-            if not out and all(r - g > 0 for r, g in zip(room, gain, strict=True)):
+            if all(r - g > 0 for r, g in zip(room, gain, strict=True)):
                 room = [r - g for r, g in zip(room, gain, strict=True)]
             else:
                 out.append(gram)
         words = {g for g in out if " " not in g}
-        # A pair has both its words; one of them is enough.
-        return sorted(words | {max(g.split(" "), key=len) for g in out if " " in g and not words & set(g.split(" "))})
+        return sorted(words | {max(g.split(" "), key=lambda w: (often(w), w)) for g in out if " " in g and not words & set(g.split(" "))})
 
     def touches(self, body: Column) -> Column:
         """Whether a text has a trigger word; true for all texts if ``none`` does not win without one."""
@@ -188,7 +190,9 @@ def training_rows(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     """body, label, fold: the written rows, and at most ``negatives`` paragraphs without a licence cue."""
     written = F.array(*[F.struct(F.lit(t).alias("body"), F.lit(c).alias("label"), F.lit(f).alias("fold")) for t, c, f in written_rows()])
     ours = docs.sparkSession.range(1).select(F.explode(written).alias("r")).select("r.*")
-    clean = paragraphs(docs).where(~F.lower("body").rlike(CUES)).select("body")
+    # Documents first, by a hash of their id: their texts are all that is looked at.
+    some = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(negatives)
+    clean = paragraphs(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left_semi")).where(~F.lower("body").rlike(CUES)).select("body")
     sampled = clean.orderBy(F.xxhash64("body"), "body").limit(negatives).select("body", F.lit(0.0).alias("label"), F.pmod(F.xxhash64("body", F.lit(1)), F.lit(3)).cast("int").alias("fold"))
     return ours.unionByName(sampled)
 
@@ -201,7 +205,8 @@ def train(docs: DataFrame, *, negatives: int = NEGATIVES) -> Model:
     fitted = regression.fit(vector.transform(fit_on).select("features", "label"))
     matrix = fitted.coefficientMatrix.toArray()
     weights = {g: [float(x) for x in matrix[:, j]] for j, g in enumerate(vector.vocabulary) if any(abs(x) > 1e-9 for x in matrix[:, j])}
-    model = Model(weights, [float(x) for x in fitted.interceptVector.toArray()])
+    seen = rows.where("label = 0").select(F.explode("grams").alias("g")).where(F.col("g").isin(list(weights))).groupBy("g").agg(F.count("*").alias("n"))
+    model = Model(weights, [float(x) for x in fitted.interceptVector.toArray()], frequency={r["g"]: r["n"] for r in seen.collect()})
     logits = held.select("label", model.logits(F.col("grams")).alias("v"))
     loss = [F.sum(-F.log(F.greatest(F.element_at(softmax(_cooled(F.col("v"), t)), F.col("label").cast("int") + 1), F.lit(1e-12)))).alias(f"t{k}") for k, t in enumerate(TEMPERATURES)]
     losses = logits.agg(*loss).first()
