@@ -7,12 +7,14 @@ all dimensions by descending quantised contribution, for negative query componen
 adding to accumulators. It stops only on proof: once the k-th best of the lower bounds is above all
 that a row could still reach. The rows that could still be members are then scored exactly.
 
-A query block meets each index block once, by block number; the best k of each block go on. Each
-pair of blocks carries ties by id, so the merge is exact.
+A query block goes to each index block, which is read once for ASKED_BLOCKS of them: what moves is the
+index once for that many query blocks, and the small query blocks. The best k of each block go on with
+their ids, so the merge is exact for ties too.
 
 Defined cases: vectors that are null, empty or hold a null, NaN or infinity take no part, nor do null
 ids; vectors of unequal length are compared over the components that both have; k above the number
-of rows gives all; repeated ids are rows of their own and a query skips its own id.
+of rows gives all; rows that share an id are rows of their own, each with its own ranks as a query (equal
+rows ask once), and a query skips all rows of its id; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ SCALE = 256
 #: Low bits of a value that the posting segments leave out.
 SHIFT = 2
 BLOCK_ROWS, QUERY_ROWS = 4096, 256
-MOST_TASKS = 2048
+#: Query blocks that one copy of an index block serves, and the tasks that pairs of blocks are dealt to at most.
+ASKED_BLOCKS, MOST_TASKS = 16, 2048
 #: Rows left for each of the k wanted at which exact scoring is cheaper than walking on.
 RESCORED = 4
 #: Contributions down to which segments are walked between looks at the bounds, as parts of the largest one.
@@ -137,15 +140,17 @@ def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
         return pa.table({
             name: pa.array([key[0].as_py()], pa.int32()), "dims": pa.array([m.shape[1]], pa.int32()),
             "ids": pa.array([b.column("vec_id").to_numpy().astype(np.int64).tobytes()], pa.binary()),
+            "keys": pa.array([b.column("key").to_numpy().astype(np.int64).tobytes()], pa.binary()),
             "v": pa.array([m.tobytes()], pa.binary()),
         })
 
-    return dealt.groupBy(name).applyInArrow(pack, f"{name} int, dims int, ids binary, v binary"), n
+    return dealt.groupBy(name).applyInArrow(pack, f"{name} int, dims int, ids binary, keys binary, v binary"), n
 
 
 def top_k(vectors: DataFrame, *, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of every row whose id ``every`` divides."""
-    rows = materialise(quantised(vectors), "vectors")
+    # The key tells rows of one id apart.
+    rows = materialise(quantised(vectors).withColumn("key", F.xxhash64("v")), "vectors")
     packed, n = _blocks(rows, BLOCK_ROWS, "block")
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +160,13 @@ def top_k(vectors: DataFrame, *, every: int = 50, k: int = 5) -> DataFrame:
                 r["postings"] = Index(np.frombuffer(r["ids"], np.int64), m).postings.tobytes()
                 yield pa.RecordBatch.from_pylist([r], INDEXED)
 
-    index = materialise(packed.mapInArrow(indexed, "block int, dims int, ids binary, v binary, postings binary"), "index")
+    index = materialise(packed.drop("keys").mapInArrow(indexed, "block int, dims int, ids binary, v binary, postings binary"), "index")
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates()
     queries, m = _blocks(materialise(asked, "queries"), QUERY_ROWS, "query_block")
-    queries = queries.select(F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.col("dims").alias("q_dims"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    copies = -(-m // ASKED_BLOCKS)
+    numbers = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    queries = materialise(queries.select(F.col("ids").alias("q_ids"), F.col("keys").alias("q_keys"), F.col("v").alias("q_v"), F.col("dims").alias("q_dims"), F.pmod("query_block", F.lit(copies)).alias("copy")), "asked")
+    queries = queries.withColumn("block", numbers(n))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,15 +174,18 @@ def top_k(vectors: DataFrame, *, every: int = 50, k: int = 5) -> DataFrame:
                 r = b.slice(i, 1).to_pylist()[0]
                 ids, dims = np.frombuffer(r["ids"], np.int64), r["dims"]
                 own = Index(ids, np.frombuffer(r["v"], np.int64).reshape(-1, dims), np.frombuffer(r["postings"], np.int32).reshape(dims, -1))
-                asked_ids = np.frombuffer(r["q_ids"], np.int64)
-                found = [(int(q), j, *x) for j, (q, v) in enumerate(zip(asked_ids, np.frombuffer(r["q_v"], np.int64).reshape(-1, r["q_dims"]), strict=True)) for x in own.top(q, v, k)]
-                q, _, score, vec = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [], [])
-                yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in (("query_id", q), ("score", score), ("vec_id", vec))})
-
-    # A pair of blocks is little to read and much to work out, so pairs are dealt to tasks by number, not by size.
-    pairs = queries.join(index, "block").repartition(min(n * m, MOST_TASKS))
-    found = pairs.mapInArrow(searched, "query_id long, score long, vec_id long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                asked_ids, keys = (np.frombuffer(r[c], np.int64).tolist() for c in ("q_ids", "q_keys"))
+                found = [(q, key, *x) for q, key, v in zip(asked_ids, keys, np.frombuffer(r["q_v"], np.int64).reshape(-1, r["q_dims"]), strict=True) for x in own.top(q, v, k)]
+                q, key, score, vec = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [], [])
+                yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in (("query_id", q), ("query_key", key), ("score", score), ("vec_id", vec))})
+
+    # A pair of blocks is little to read and much to work out, so both sides are dealt by number, not by size,
+    # and the search runs where they meet.
+    tasks, place = min(n * copies, MOST_TASKS), ["block", "copy"]
+    spread = index.withColumn("copy", numbers(copies)).repartition(tasks, *place)
+    pairs = spread.join(queries.repartition(tasks, *place).hint("shuffle_merge"), place)
+    found = pairs.mapInArrow(searched, "query_id long, query_key long, score long, vec_id long")
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
