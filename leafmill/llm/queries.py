@@ -22,7 +22,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(url_filter.fetched(table(spark, sf_dir, "pages")), url_filter.entries(spark))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(url_filter.fetched(pages), url_filter.entries(spark).unionByName(url_filter.site_entries(pages)))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

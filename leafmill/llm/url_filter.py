@@ -7,12 +7,16 @@ and the as-of condition keeps the entry that was active at fetch time; of severa
 that is the longest key, decides.
 
 The list side is narrow, and Spark broadcasts it where its measured size allows; else both sides
-shuffle by key, where adaptive execution splits hosts that hold a large part of all rows. A capture
-has a bounded number of keys, and at most one interval of a key covers its fetch time.
+shuffle by key, where adaptive execution splits hosts that hold a large part of all rows. A capture has a
+key for each label of its host and each segment of its path up to the list's deepest entry, and at most
+one interval of a key covers its fetch time. What is decided depends on URL and fetch time only, so each
+distinct pair is looked up once and no row needs a number of its own.
 
 Defined cases: a null or empty URL, or one without a host, is allowed; a null fetch time meets no
 interval and is allowed; entries with null key, action or time are left out; entries of one key at
-the same time: ``remove`` wins; repeated rows of captures give repeated rows.
+the same time: ``remove`` wins; an empty list blocks nothing; very long URLs are looked up like others;
+repeated rows of captures give repeated rows; columns of captures may have any name but the three of the
+result (blocked, matched_key, category).
 """
 
 from __future__ import annotations
@@ -20,9 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Path segments that the SQL of the fixed list looks up; its entries have at most one.
-PREFIXES = 3
-#: The list of the registered query: dated entries, fixed values.
+#: Dated entries of the registered query's list, fixed values; ``site_entries`` adds to them by rule.
 ENTRIES = (
     ("www.cheap-pills.example.com", "add", "2024-01-01", "spam"),
     ("cheap-pills.example.com", "add", "2024-02-15", "spam"),
@@ -41,12 +43,34 @@ ENTRIES = (
 )
 
 
+SITE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@:]+)(?:/([^/?#]+/[^/?#]+))?"
+
+
 def entries(spark: SparkSession) -> DataFrame:
     """The fixed list as key, action, at, category."""
     rows = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(e, ("key", "action", "at", "category"), strict=True)]) for e in ENTRIES])
     return spark.range(1).select(F.explode(rows).alias("e")).select("e.key", "e.action", F.to_timestamp("e.at").alias("at"), "e.category")
 
 
+def site_entries(pages: DataFrame) -> DataFrame:
+    """key, action, at, category by rule from the sites of ``pages``, so that the query's list grows with its input.
+
+    Of the hosts, and of the hosts with their first two path segments, those whose MD5 starts with 0 to 2 are
+    added on the first of a month that its second digit gives; a third digit under 8 removes them four
+    months later, if that is in the year.
+    """
+    url = F.coalesce("url", F.lit(""))
+    site = pages.select(F.lower(F.regexp_extract(url, SITE, 1)).alias("host"), F.regexp_extract(url, SITE, 2).alias("path")).where("host <> ''")
+    keys = site.select(F.explode(F.array(F.col("host"), F.when(F.col("path") != "", F.concat("host", F.lit("/"), "path")))).alias("key")).where("key is not null").distinct()
+    digit = lambda k: F.conv(F.substring(F.md5("key"), k, 1), 16, 10).cast("int")
+    listed = keys.where(F.substring(F.md5("key"), 1, 1).isin("0", "1", "2")).withColumn("month", digit(2) % 12 + 1)
+    at = lambda m: F.to_timestamp(F.format_string("2024-%02d-01", m))
+    one = lambda action, m: F.struct(F.lit(action).alias("action"), at(m).alias("at"))
+    gone = F.when((digit(3) < 8) & (F.col("month") <= 8), one("remove", F.col("month") + 4))
+    each = listed.select("key", F.explode(F.array_compact(F.array(one("add", F.col("month")), gone))).alias("e"))
+    return each.select("key", "e.action", "e.at", F.lit("listed").alias("category"))
+
+
 def intervals(log: DataFrame) -> DataFrame:
     """key, category, valid_from, valid_to (null: still valid) of each stretch in which a key is listed."""
     fit = log.where(F.col("key").isNotNull() & F.col("at").isNotNull() & F.col("action").isin("add", "remove"))
@@ -74,17 +98,17 @@ def keys_of(url: F.Column, depth: F.Column) -> F.Column:
 def filter_urls(captures: DataFrame, log: DataFrame, *, keep: tuple[str, ...] = ("page_id", "url", "fetched_at")) -> DataFrame:
     """``keep`` and blocked, matched_key, category of every capture (url, fetched_at)."""
     listed = intervals(log)
-    rows = captures.select(*keep).withColumn("__row", F.monotonically_increasing_id())
     # One row: how many path segments the deepest entry has.
-    deepest = listed.agg(F.coalesce(F.max(F.size(F.split("key", "/")) - 1), F.lit(0)).alias("__depth"))
-    looked = rows.crossJoin(F.broadcast(deepest)).select("__row", "fetched_at", F.explode(keys_of(F.col("url"), F.col("__depth"))).alias("key"))
-    active = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
+    deepest = listed.agg(F.coalesce(F.max(F.size(F.split("key", "/")) - 1), F.lit(0)).alias("depth"))
+    asked = captures.select(F.col("url").alias("u"), F.col("fetched_at").alias("t")).where("u is not null and t is not null").distinct()
+    looked = asked.crossJoin(F.broadcast(deepest)).select("u", "t", F.explode(keys_of(F.col("u"), F.col("depth"))).alias("key"))
+    active = (F.col("t") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to")))
     longest = F.struct(F.char_length("key").alias("size"), F.col("key"), F.col("category"))
-    # Only captures with an active entry are summed; the rest of the rows are not touched again.
-    hit = looked.join(listed, "key").where(active).groupBy("__row").agg(F.max(longest).alias("m"))
-    return rows.join(hit, "__row", "left").select(
-        *keep, F.col("m").isNotNull().alias("blocked"), F.col("m.key").alias("matched_key"), F.col("m.category").alias("category")
-    )
+    # Only captures with an active entry are summed.
+    hit = looked.join(listed, "key").where(active).groupBy("u", "t").agg(F.max(longest).alias("m"))
+    rows = captures.select(F.struct(*keep).alias("row"))
+    out = rows.join(hit, (rows["row.url"] == hit["u"]) & (rows["row.fetched_at"] == hit["t"]), "left")
+    return out.select("row.*", F.col("m").isNotNull().alias("blocked"), F.col("m.key").alias("matched_key"), F.col("m.category").alias("category"))
 
 
 def fetched(pages: DataFrame) -> DataFrame:
@@ -94,13 +118,18 @@ def fetched(pages: DataFrame) -> DataFrame:
 
 
 _VALUES = ", ".join(f"('{k}', '{a}', TIMESTAMP '{t} 00:00:00', '{c}')" for k, a, t, c in ENTRIES)
+_SITE = SITE.replace("'", "''")
 ORACLE = f"""
-WITH log(key, action, since, category) AS (VALUES {_VALUES}),
+WITH site AS (SELECT lower(regexp_extract(coalesce(url, ''), '{_SITE}', 1)) AS host, regexp_extract(coalesce(url, ''), '{_SITE}', 2) AS path FROM pages),
+ks AS (SELECT host AS key FROM site WHERE host <> '' UNION SELECT host || '/' || path FROM site WHERE host <> '' AND path <> ''),
+mk AS (SELECT key, CAST(('0x' || substr(md5(key), 2, 1)) AS INTEGER) % 12 + 1 AS m, substr(md5(key), 3, 1) < '8' AS goes FROM ks WHERE substr(md5(key), 1, 1) IN ('0', '1', '2')),
+log AS (SELECT * FROM (VALUES {_VALUES}) AS v(key, action, since, category)
+        UNION ALL SELECT key, 'add', make_timestamp(2024, m, 1, 0, 0, 0), 'listed' FROM mk UNION ALL SELECT key, 'remove', make_timestamp(2024, m + 4, 1, 0, 0, 0), 'listed' FROM mk WHERE goes AND m <= 8),
 one AS (SELECT key, since, max(action) AS action, min(category) AS category FROM log GROUP BY key, since),
 listed AS (SELECT * FROM (SELECT key, category, action, since AS valid_from, lead(since) OVER (PARTITION BY key ORDER BY since) AS valid_to FROM one) WHERE action = 'add'),
 p AS (SELECT row_number() OVER () AS r, page_id, url, TIMESTAMP '2024-01-01 12:00:00' + to_days(CAST(page_id % 366 AS INTEGER)) AS fetched_at,
         lower(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')) AS host,
-        list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'), lambda x: x <> '')[1:{PREFIXES}] AS seg FROM pages),
+        list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'), lambda x: x <> '') AS seg FROM pages),
 k AS (SELECT r, fetched_at, unnest(list_distinct(list_concat(
         list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
         list_transform(range(1, len(seg) + 1), lambda i: host || '/' || array_to_string(seg[1:i], '/'))))) AS key FROM p WHERE host <> ''),
