@@ -20,7 +20,9 @@ that hold a large part of the pages.
 
 Defined cases: null or empty html gives an empty text; pages without host share the empty host; a
 host with fewer than MIN_PAGES pages has no template, only marks count, links do not; broken or unclosed markup is
-read as browsers do in the common cases; repeated rows give repeated rows; ids may be null.
+read as browsers do in the common cases, in time in proportion to its length however deep it nests;
+repeated rows give repeated rows; ids may be null; very long pages are read whole; an empty table gives an
+empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -55,6 +57,11 @@ CHROME_WORDS = set(
     "breadcrumb breadcrumbs header masthead topbar footer colophon comment comments commentlist reply replies disqus respond share sharing social "
     "related recommended recommendations login signin search toolbar pagination pager copyright skip".split()
 )
+#: Words that mark a part of an article as none of its text; the others above also name parts of articles.
+ARTICLE_WORDS = set(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr notice notices newsletter subscribe sidebar "
+    "nav navbar navigation menu breadcrumb breadcrumbs footer comment comments commentlist disqus pager pagination".split()
+)
 CHROME_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Elements that an opening tag of the key closes if one is open nearer than the second set.
 IMPLIED = {
@@ -83,6 +90,35 @@ class Block:
     path: int
 
 
+@dataclass
+class Open:
+    """Open elements, with the places of each name and of the walls, so that the nearest is found at once."""
+
+    stack: list[Element] = field(default_factory=list)
+    places: dict[str, list[int]] = field(default_factory=dict)
+    walls: list[int] = field(default_factory=list)
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.name, []).append(len(self.stack))
+        if e.name in WALL:
+            self.walls.append(len(self.stack))
+        self.stack.append(e)
+
+    def nearest(self, names: set[str] | tuple[str, ...]) -> int:
+        """Place of the nearest open element of ``names``, -1 if none."""
+        return max((at[-1] for n in names if (at := self.places.get(n))), default=-1)
+
+    def cut(self, at: int) -> list[Element]:
+        """Takes out all elements from ``at`` on."""
+        gone = self.stack[at:]
+        del self.stack[at:]
+        for e in gone:
+            self.places[e.name].pop()
+        while self.walls and self.walls[-1] >= at:
+            self.walls.pop()
+        return gone
+
+
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
@@ -105,7 +141,7 @@ def _is_chrome(name: str, a: dict[str, str], in_article: bool) -> bool:
         return True
     marks = f"{a.get('class', '')} {a.get('id', '')}"
     found = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", marks)}
-    return bool(found & (CHROME_WORDS - {"header"} if in_article else CHROME_WORDS))
+    return bool(found & (ARTICLE_WORDS if in_article else CHROME_WORDS))
 
 
 def _hash(text: str) -> int:
@@ -114,8 +150,8 @@ def _hash(text: str) -> int:
 
 def parse(source: str | None) -> Page:
     """Blocks and tag tokens of a page in order."""
-    page, stack, buffer = Page(), [], []
-    linked = 0
+    page, opened, buffer = Page(), Open(), []
+    stack, linked = opened.stack, 0
     if not source:
         return page
 
@@ -130,11 +166,10 @@ def parse(source: str | None) -> Page:
         linked = 0
 
     def pop_to(at: int) -> None:
-        if any(e.name in BLOCK for e in stack[at:]):
-            flush()
-        if any(e.chrome for e in stack[at:]) and not (at and stack[at - 1].chrome):
+        gone = stack[at:]
+        if any(e.name in BLOCK for e in gone) or any(e.chrome for e in gone) and not (at and stack[at - 1].chrome):
             flush()
-        del stack[at:]
+        opened.cut(at)
 
     at, n = 0, len(source)
     while at < n:
@@ -142,7 +177,7 @@ def parse(source: str | None) -> Page:
         end = m.start() if m else n
         if end > at:
             piece = entities.unescape(source[at:end])
-            if any(e.name == "a" for e in stack):
+            if opened.places.get("a"):
                 linked += len(piece)
             buffer.append(piece)
         if not m:
@@ -154,35 +189,25 @@ def parse(source: str | None) -> Page:
             continue
         name = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == name:
-                    pop_to(i)
-                    break
-                if stack[i].name in WALL and name not in WALL:
-                    break
-            else:
-                if name in BLOCK:
-                    flush()
+            k = opened.nearest((name,))
+            if k >= 0 and (name in WALL or not opened.walls or k > opened.walls[-1]):
+                pop_to(k)
+            elif k < 0 and name in BLOCK and (name in WALL or not opened.walls):
+                flush()
             continue
         if name == "br":
             buffer.append(" ")
             continue
         if name in BLOCK:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == "p":
-                    pop_to(i)
-                    break
-                if stack[i].name in WALL:
-                    break
+            k = opened.nearest(("p",))
+            if k >= 0 and (not opened.walls or k > opened.walls[-1]):
+                pop_to(k)
             flush()
         if name in IMPLIED:
             closes, until = IMPLIED[name]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name in closes:
-                    pop_to(i)
-                    break
-                if stack[i].name in until:
-                    break
+            k = opened.nearest(closes)
+            if k > opened.nearest(until):
+                pop_to(k)
         a = _attributes(m[3][:-1]) if len(m[3]) > 1 else {}
         top = stack[-1] if stack else Element("", False, False, False, 0)
         chrome = _is_chrome(name, a, top.article)
@@ -197,7 +222,7 @@ def parse(source: str | None) -> Page:
             at = close.end()
             continue
         if name not in VOID:
-            stack.append(Element(name, top.chrome or chrome, top.article or is_article, top.main or name == "main" or a.get("role", "").lower() == "main", path))
+            opened.push(Element(name, top.chrome or chrome, top.article or is_article, top.main or name == "main" or a.get("role", "").lower() == "main", path))
     flush()
     return page
 
