@@ -12,7 +12,8 @@ Distinct counts are taken in two levels (value and repository first, then value)
 third of all rows hold is summed map-side and its rows never meet in a task.
 
 Defined cases: null or empty text has no spans; rows with null source belong to one repository named
-by the empty string; repeated rows are scanned each and count as one repository; ids may be null.
+by the empty string; repeated rows are scanned each and count as one repository; ids may be null; a text
+of any length is scanned whole; an empty table gives an empty result; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -149,22 +150,25 @@ def redact(docs: DataFrame) -> DataFrame:
     examples = ownership(hits).where("is_example").select("value_sha256")
     each = hits.dropDuplicates(["doc_id", "text_md5"]).select("doc_id", "text_md5", F.explode("found").alias("f")).select("doc_id", "text_md5", "f.*")
     live = each.join(examples, "value_sha256", "left_anti")
-    cuts = live.groupBy(F.col("doc_id").alias("b_doc"), F.col("text_md5").alias("b_md5")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__cuts"))
-    marked = docs.withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
-    joined_ = marked.join(cuts, _same_text(marked, cuts), "left")
+    cuts = live.groupBy(F.col("doc_id").alias("b_doc"), F.col("text_md5").alias("b_md5")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+    # Rows travel as one struct, so their columns may have any names.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.md5(F.coalesce("text", F.lit(""))).alias("md5"))
+    text = F.col("row.text")
+    joined_ = rows.join(cuts, rows["row.doc_id"].eqNullSafe(cuts["b_doc"]) & (rows["md5"] == cuts["b_md5"]), "left")
     keep = F.aggregate(
-        "__cuts",
+        "cuts",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda s, c: F.when(
             c["end"] > s["at"],
             F.struct(
-                F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.greatest(c["start"] - s["at"], F.lit(0))), F.when((c["start"] >= s["at"]), F.lit("[SECRET]")).otherwise("")).alias("out"),
+                F.concat(s["out"], F.substring(text, s["at"] + 1, F.greatest(c["start"] - s["at"], F.lit(0))), F.when((c["start"] >= s["at"]), F.lit("[SECRET]")).otherwise("")).alias("out"),
                 c["end"].alias("at"),
             ),
         ).otherwise(s),
-        lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length("text"))),
+        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))),
     )
-    out = joined_.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(keep))
+    out = joined_.withColumn("new", F.when(F.col("cuts").isNull(), text).otherwise(keep))
+    of = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        of["n_chars"] = F.when(F.col("cuts").isNull(), F.col("row.n_chars")).otherwise(F.char_length("new").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(of.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
