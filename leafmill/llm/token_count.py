@@ -12,7 +12,8 @@ two generations of a fixed number of entries.
 
 Defined cases: null or empty text has 0 tokens, 0 bytes and the one-entry table [0]; characters that
 the vocabulary lacks count their UTF-8 bytes; ids may be null or repeat; a chunk of any length takes
-time in proportion to it.
+time in proportion to it; an empty table gives an empty result; repeated rows give repeated rows; other
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -150,17 +151,24 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def token_counts(docs: DataFrame, model_path: str, *, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit: the last entry of every text's prefix table."""
+    """doc_id, n_bytes, n_tokens, over_limit, cut_chars.
+
+    n_tokens is the last entry of the text's prefix table; cut_chars, the characters of its longest prefix of at
+    most ``limit`` tokens, is looked up in the whole table where the text has more.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
         for b in batches:
-            n = pa.array([v.count(t) for t in b.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), n], names=["doc_id", "n_bytes", "n_tokens"])
+            texts = b.column("text").to_pylist()
+            n = [v.count(t) for t in texts]
+            # Counts of longer prefixes can be lower, so the last fitting one is looked for.
+            cut = [len(t or "") if k <= limit else int(np.flatnonzero(v.table(t) <= limit)[-1]) for t, k in zip(texts, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64()), pa.array(cut, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "cut_chars"])
 
     source = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    out = source.mapInArrow(counted, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    out = source.mapInArrow(counted, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, cut_chars long")
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cut_chars")
 
 
 def with_prefix_counts(docs: DataFrame, model_path: str) -> DataFrame:

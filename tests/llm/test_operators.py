@@ -186,6 +186,16 @@ def test_topk_odd_vectors(spark):
     assert topk.top_k(d.limit(0)).count() == 0
 
 
+def test_topk_shared_ids_ragged_vectors_and_columns(spark):
+    rows = [(0, [1.0, 0.0], 7, "a"), (0, [0.0, 1.0], 8, "b"), (0, [0.0, 1.0], 8, "b"), (1, [2.0], 1, "c"), (2, [0.5, 3.0, 9.0], 2, None), (3, [1.0, 1.0], 3, "d"), (3, [1.0, 1.0], 3, "d")]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, key int, block string")
+    got = sorted(tuple(r) for r in topk.top_k(d).collect())
+    one, two = [256, 0], [0, 256]
+    v = [(1, [512]), (2, [128, 768, 2304]), (3, [256, 256]), (3, [256, 256])]
+    best = lambda q: sorted(((-sum(a * b for a, b in zip(q, x, strict=False)), i) for i, x in v))
+    assert got == sorted((0, k + 1, i, -s) for q in (one, two) for k, (s, i) in enumerate(best(q)))
+
+
 def brute_classes(rows):
     sets, parent = {}, {}
     for i, t in rows:
@@ -410,3 +420,133 @@ def test_license_defined_cases(spark, odd, none, license_model):
     assert sorted(got, key=str) == sorted([(1, "MIT"), (1, "MIT"), (None, "MIT")] + [g for g in got if g[0] == 2], key=str)
     assert license_scan.scan(odd, license_model).count() == 0 and license_scan.scan(none, license_model).count() == 0
     assert license_scan.train(none).weights
+
+
+def brute_tiles(doc, item, shortest=5):
+    """Greedy string tiling by its definition: again and again the longest match of unmarked words, the first of equals."""
+    a, b, out = [False] * len(doc), [False] * len(item), []
+    while True:
+        best = (shortest - 1, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and not a[i + n] and not b[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < shortest:
+            return out
+        a[i : i + n] = b[j : j + n] = [True] * n
+        out.append((i, j, n))
+
+
+def test_tiling_is_greedy(spark):
+    rng = np.random.default_rng(11)
+    for k in range(60):
+        doc, item = (rng.integers(0, 2 + k % 3, n).astype(np.uint64) for n in (40, 25))
+        want = brute_tiles(doc.tolist(), item.tolist())
+        for got in (decontaminate.tiles(doc, item), decontaminate._tiles_by_length(doc, item, 5)):
+            assert sorted(n for *_, n in got) == sorted(n for *_, n in want)
+
+
+def test_tiling_of_repetitive_texts_is_bounded():
+    import resource
+
+    doc, item = np.full(20_000, 7, np.uint64), np.full(2_000, 7, np.uint64)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert decontaminate.tiles(doc, item) == [(0, 0, 2_000)]
+    cycle = np.tile(np.arange(3, dtype=np.uint64), 5_000)
+    assert sum(n for *_, n in decontaminate.tiles(cycle, cycle[:900])) == 900
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000
+
+
+def test_decontamination_defined_cases(spark, odd, none):
+    body = " ".join(f"w{k}" for k in range(40))
+    bench = spark.createDataFrame([(3, body, 1)], "item_id short, text string, matched int")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in rows_of(decontaminate.contamination(odd, bench))), key=str)
+    assert got == [(4, 3), (4, 3), (5, 3), (None, 3)]
+    kept = decontaminate.keep_uncontaminated(odd, bench)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in rows_of(kept)) == [1, 2, 3, 6, 7]
+    assert decontaminate.contamination(odd, bench.limit(0)).count() == 0 and decontaminate.keep_uncontaminated(none, bench).count() == 0
+
+
+def test_redaction_keeps_any_columns(spark):
+    rows = [(1, "token=abcdef12 x", "o/r", 3, {"a": 1}), (1, "token=abcdef12 x", "o/r", 3, {"a": 1}), (None, "password: hunter22", "p/q", 4, None), (2, None, None, 5, {}), (3, "", "s", 6, {})]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, text_md5 int, cuts map<string,int>").withColumns({"b_doc": F.lit(1), "row": F.lit("r"), "new": F.lit(2)})
+    out = rows_of(secrets.redact(d))
+    assert secrets.redact(d).columns == d.columns and len(out) == 5
+    assert sorted((r["text"] or "" for r in out)) == ["", "", "[SECRET]", "[SECRET] x", "[SECRET] x"] and {r["text_md5"] for r in out} == {3, 4, 5, 6}
+
+
+def test_ownership_equals_brute_force(spark):
+    """Repositories, owners and spans of each value, with a value that most sources hold."""
+    rng = np.random.default_rng(6)
+    rows = [(k, f"token={'sharedvalue1' if k % 3 else f'own{k:08d}'} and password: {'abcdef' * (1 + k % 2)}", f"o{rng.integers(6)}/r{rng.integers(9)}") for k in range(300)]
+    want = {}
+    for _, text, source in rows:
+        for kind, *_, value in secrets.spans(text):
+            w = want.setdefault(hashlib.sha256(value.encode()).hexdigest(), (set(), set(), []))
+            w[0].add(source)
+            w[1].add(source.split("/")[0])
+            w[2].append(kind)
+    got = {r["value_sha256"]: r for r in rows_of(secrets.ownership(secrets.scan(docs(spark, rows))))}
+    assert {v: (r["n_repositories"], r["n_owners"], r["n_spans"]) for v, r in got.items()} == {v: (len(a), len(b), len(c)) for v, (a, b, c) in want.items()}
+    assert sum(r["is_example"] for r in got.values()) == 3
+
+
+def test_url_filter_defined_cases(spark):
+    log = spark.sql("SELECT 'bad.com' AS key, 'add' AS action, TIMESTAMP '2024-01-10' AS at, 'spam' AS category")
+    long = "http://bad.com/" + "a/" * 3000
+    c = spark.createDataFrame([(1, long, "k"), (1, long, "k"), (2, "http://ok.com/" + "x" * 100_000, "k")], "page_id long, url string, key string").withColumns({"fetched_at": F.to_timestamp(F.lit("2024-01-15")), "u": F.lit(1), "row": F.lit(2)})
+    got = rows_of(url_filter.filter_urls(c, log, keep=("page_id", "url", "fetched_at", "key", "u", "row")))
+    assert sorted((r["page_id"], r["blocked"], r["key"]) for r in got) == [(1, True, "k"), (1, True, "k"), (2, False, "k")]
+    assert not any(r["blocked"] for r in rows_of(url_filter.filter_urls(c, log.limit(0))))
+
+
+def test_token_cut(spark):
+    text = "the cat sat on the mat " * 4
+    r = token_count.token_counts(docs(spark, [(1, text, "a"), (2, None, "a")]), MODEL, limit=5).orderBy("doc_id").collect()
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert r[0]["cut_chars"] == max(k for k in range(len(text) + 1) if len(lib.encode(text[:k])) <= 5) and r[0]["over_limit"] and r[1]["cut_chars"] == 0
+
+
+def test_html_deep_markup_is_linear():
+    import time
+
+    began = time.time()
+    page = html_extract.parse("<article>" + "<b>" * 100_000 + "deep text" + "</i>" * 100_000 + "</b>" * 50_000 + "<p>next" * 1000 + "</article>")
+    assert time.time() - began < 20 and page.blocks[0].text == "deep text" and len(page.blocks) == 1001
+
+
+def test_html_article_marks():
+    page = html_extract.parse("<article><p>One</p><div class='related-work'><p>Two</p></div><div class='ad'>Buy</div><section class='comments'><p>First!</p></section><p class='share'>Three</p></article>")
+    assert html_extract.main_text(page, [], set()) == "One\nTwo\nThree"
+
+
+def test_html_template_equals_brute_force(spark):
+    """Classes of tokens by their occurrence vectors, counted page by page; the text changes without the template."""
+    page = "<div class=top><p>Same top</p></div><div class=mid><p>Own {k}</p></div><div class=end><p>Same end</p></div>"
+    rows = [(k, f"http://a.example/{k}", page.format(k=k) + ("<div class=odd>rare</div>" if k == 7 else "")) for k in range(10)]
+    rows += [(20, "http://b.example/", page.format(k=1))]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    vectors = {}
+    for k, _, h in rows[:10]:
+        for t in html_extract.tokens_of(html_extract.parse(h)):
+            if t is not None:
+                vectors.setdefault(t, [0] * 10)[k] += 1
+    by_vector = {}
+    for t, v in vectors.items():
+        by_vector.setdefault(tuple(v), set()).add(t)
+    want = set().union(*(ts for v, ts in by_vector.items() if len(ts) >= html_extract.MIN_CLASS and sum(x > 0 for x in v) >= html_extract.MIN_SHARE * 10))
+    got = {r["host"]: r["template"] for r in html_extract.templates(d).collect()}
+    assert set(got) == {"a.example"} and set(got["a.example"]) == want and want
+    parsed = html_extract.parse(rows[3][2])
+    assert html_extract.main_text(parsed, got["a.example"], set()) == "Own 3"
+    assert html_extract.main_text(parsed, [], set()) == "Same top\nOwn 3\nSame end"
+
+
+def test_html_defined_cases(spark):
+    d = spark.createDataFrame([(1, "http://a.example/", "<p>x</p>", "h"), (1, "http://a.example/", "<p>x</p>", "h"), (None, None, "<p>" + "word " * 200_000 + "</p>", "h")], "page_id long, url string, html string, template string").withColumn("text", F.lit(1))
+    got = rows_of(html_extract.extract(d))
+    assert sorted((r["n_chars"] for r in got)) == [1, 1, 999_999]
