@@ -262,3 +262,55 @@ def tint_panels(gray: np.ndarray, low: int = 60, high: int = 235, share: float =
             if x1 - x0 >= least and y1 - y0 >= least and patch.std() <= 20:
                 out.append((x0, y0, x1, y1, float(np.median(patch)) / 255))
     return out
+
+
+#: A patch needs so many pixels; edges are steps of so much gray.
+LEAST_PATCH, STEP = 64, 50
+BLANK_MEAN, BLANK_STD = 248.0, 4.0
+EVEN_STD, EVEN_BINS, SOLID_FILL, SOLID_EDGES = 10.0, 3, 0.50, 0.08
+TONE_BINS, TONE_STD, TONE_EXTREME = 8, 22.0, 0.92
+LINE_FILL, LINE_EDGES, LINE_PARTS, LINE_SPREAD, LINE_REACH = 0.45, 0.015, 8, 0.60, 0.65
+
+
+def patch_measures(gray: np.ndarray) -> dict[str, float]:
+    """What ``patch_kind`` decides by: size, mean, std, occupied of 32 bins, share of extremes, of ink and of edges, and whether a line of letters stands in it."""
+    if not gray.size:
+        return dict.fromkeys(("size", "mean", "std", "bins", "extreme", "fill", "edges", "line"), 0.0)
+    g = gray.astype(float)
+    ink = gray <= (otsu(gray) if gray.min() < gray.max() else int(gray.max()))
+    step = np.zeros(gray.shape, bool)
+    step[:, 1:] |= np.abs(np.diff(g, axis=1)) >= STEP
+    step[1:] |= np.abs(np.diff(g, axis=0)) >= STEP
+    bins = np.bincount(gray.ravel() >> 3, minlength=32)
+    return {
+        "size": float(gray.size), "mean": float(g.mean()), "std": float(g.std()), "bins": float((bins > 0.005 * gray.size).sum()),
+        "extreme": float(((gray <= 8) | (gray >= 247)).mean()), "fill": float(ink.mean()), "edges": float(step.mean()), "line": float(has_line(ink)),
+    }
+
+
+def has_line(ink: np.ndarray) -> bool:
+    """Whether LINE_PARTS parts of like height stand side by side."""
+    _, boxes = components(ink)
+    letters = boxes[(boxes[:, 4] >= 2) & (boxes[:, 4] <= 0.03 * ink.size) & (boxes[:, 3] >= 3)]
+    if len(letters) < LINE_PARTS:
+        return False
+    height, middle = letters[:, 3].astype(float), letters[:, 1] + letters[:, 3] / 2
+    if height.std() > LINE_SPREAD * height.mean():
+        return False
+    order = np.sort(middle)
+    reach = max(2.0, LINE_REACH * height.mean())
+    return bool((np.searchsorted(order, order + reach, "right") - np.searchsorted(order, order - reach, "left") >= LINE_PARTS).any())
+
+
+def patch_kind(m: dict[str, float]) -> str:
+    """photo, solid_fill, line_art, text or other, the first that fits the measures of a patch."""
+    even = m["std"] <= EVEN_STD or m["bins"] <= EVEN_BINS
+    if m["size"] < LEAST_PATCH or m["mean"] >= BLANK_MEAN and m["std"] <= BLANK_STD:
+        return "other"
+    if (m["bins"] >= TONE_BINS or m["std"] >= TONE_STD) and m["extreme"] <= TONE_EXTREME and not even:
+        return "photo"
+    if m["fill"] >= SOLID_FILL and m["edges"] < SOLID_EDGES and even:
+        return "solid_fill"
+    if m["fill"] <= LINE_FILL and m["edges"] >= LINE_EDGES:
+        return "line_art"
+    return "text" if m["line"] else "other"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.operators.spatial import meeting
+
 
 def area(x0, y0, x1, y1) -> Column:
     return F.greatest(x1 - x0, F.lit(0.0)) * F.greatest(y1 - y0, F.lit(0.0))
@@ -17,11 +19,15 @@ def iou(a: str, b: str) -> Column:
     return F.when(one + two - inner > 0, inner / (one + two - inner)).otherwise(0.0)
 
 
-def overlapping_pairs(regions: DataFrame, *, least: float = 0.1) -> DataFrame:
-    """Pairs of regions of one page with an IoU of ``least`` or more. An equi-join on the page, bounded by a page's regions."""
-    a, b = regions.alias("a"), regions.alias("b")
-    pairs = a.join(b, (F.col("a.page") == F.col("b.page")) & (F.col("a.rid") < F.col("b.rid")) & (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1")) & (F.col("a.y0") < F.col("b.y1")) & (F.col("b.y0") < F.col("a.y1")))
-    return pairs.select(F.col("a.page").alias("page"), F.col("a.rid").alias("rid_a"), F.col("b.rid").alias("rid_b"), F.round(iou("a", "b"), 6).alias("iou")).where(F.col("iou") >= least)
+def overlapping_pairs(regions: DataFrame, *, least: float = 0.1, cell: float = 256.0) -> DataFrame:
+    """Pairs of regions of one page with an IoU of ``least`` or more, the lesser ``rid`` first.
+
+    Regions meet in the grid cells that they touch, each pair in its first common cell only; rows that share a
+    ``rid`` are one region and make no pair.
+    """
+    rows = regions.select("page", "rid", "x0", "y0", "x1", "y1")
+    pairs = meeting(rows, rows, ["page"], cell=cell).where(F.col("a.rid") < F.col("b.rid"))
+    return pairs.select("page", F.col("a.rid").alias("rid_a"), F.col("b.rid").alias("rid_b"), F.round(iou("a", "b"), 6).alias("iou")).where(F.col("iou") >= least)
 
 
 def hull(regions: DataFrame, by: list[str]) -> DataFrame:

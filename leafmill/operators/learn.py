@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LEAST_STD = 1e-9
@@ -90,3 +90,16 @@ def applied(page_kind: Column, flags: Column, predicted: Column, confidence: Col
     held = F.coalesce(flags, F.array().cast("array<string>"))
     marked = F.when(sure | predicted.isNull(), held).otherwise(F.array_union(held, F.array(F.lit("page_kind_borderline"))))
     return F.struct(F.when(sure, predicted).otherwise(page_kind).alias("page_kind"), marked.alias("flags"))
+
+
+def save(model: DataFrame, path: str) -> None:
+    """Writes the centroids as JSON, in place of what is at ``path``."""
+    model.coalesce(1).write.mode("overwrite").json(path)
+
+
+def load(spark: SparkSession, path: str, label_type: str = "string") -> DataFrame | None:
+    """The centroids at ``path``; None if there are none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+        return None
+    return spark.read.schema(f"label {label_type}, centre array<double>, mu array<double>, sd array<double>").json(path)

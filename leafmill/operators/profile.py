@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 def scope_lattice(df: DataFrame, fixed: str, soft: list[str], value: str) -> DataFrame:
     """Count and mean of ``value`` for each subset of the soft dimensions; '*' stands for a dimension left out."""
     names = [F.when(F.grouping(c) == 1, F.lit("*")).otherwise(F.col(c)).alias(f"{c}_scope") for c in soft]
-    cube = df.cube(fixed, *soft).agg(F.grouping(fixed).alias("__g"), F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean"), *names)
-    return cube.where("__g = 0").select(fixed, *(F.col(f"{c}_scope").alias(c) for c in soft), "n", "mean")
+    sets = [[fixed, *(c for k, c in enumerate(soft) if bits >> k & 1)] for bits in range(1 << len(soft))]
+    levels = df.groupingSets([[F.col(c) for c in s] for s in sets], fixed, *soft).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean"), *names)
+    return levels.select(fixed, *(F.col(f"{c}_scope").alias(c) for c in soft), "n", "mean")
 
 
 def back_off(asked: DataFrame, lattice: DataFrame, fixed: str, soft: list[str], *, least: int) -> DataFrame:

@@ -101,3 +101,8 @@ def shadow_bands(pages: DataFrame, *, bins: int = 1000, share: float = 0.5) -> D
 
     profile = mapped(pages, kernel, "dark array<long>").select(*KEY, F.explode_outer("dark").alias("bin"))
     return dark_bands(profile, ["doc"], "page_index", "bin", bins=bins, share=share)
+
+
+def patch_kinds(patches: DataFrame) -> DataFrame:
+    """doc, page_index, kind of each patch image."""
+    return mapped(patches, lambda g: (pixels.patch_kind(pixels.patch_measures(g)),), "kind string")

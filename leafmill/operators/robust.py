@@ -53,13 +53,24 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: tuple[floa
     )
     out = []
     for k, s in enumerate(shares):
-        rank = F.lit(float(s)) * (F.col("n") - 1) - F.col(f"__below{k}")
-        low = F.get(f"__in{k}", F.floor(rank).cast("int"))
-        high = F.coalesce(F.get(f"__in{k}", F.ceil(rank).cast("int")), low)
-        out.append((low + (high - low) * (rank - F.floor(rank))).alias(f"q{k}"))
+        rank = F.lit(float(s)) * (F.col("n") - 1)
+        at = lambda r, k=k: F.get(f"__in{k}", (r - F.col(f"__below{k}")).cast("int"))
+        low = at(F.floor(rank))
+        high = F.coalesce(at(F.ceil(rank)), low)
+        between = (F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high
+        out.append(F.when(F.ceil(rank) == F.floor(rank), low).otherwise(between).alias(f"q{k}"))
     return sums.select(*by, "n", *out)
 
 
+def large_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """n, med, mad (scaled) and p975 as ``robust_stats``, by ``exact_quantiles``: for few groups of any size."""
+    held = df.select(*by, F.col(value).cast("double").alias("__x"))
+    centre = exact_quantiles(held, by, "__x", (0.5, 0.975)).withColumnsRenamed({"q0": "med", "q1": "p975"})
+    off = held.join(centre.select(*by, "med"), by).select(*by, F.abs(F.col("__x") - F.col("med")).alias("__d"))
+    spread = exact_quantiles(off, by, "__d", (0.5,)).select(*by, (MAD_SCALE * F.col("q0")).alias("mad"))
+    return centre.join(spread, by).select(*by, "n", "med", "mad", "p975")
+
+
 def robust_outliers(df: DataFrame, by: list[str], value: str, *, k: float = 3.5, least_rows: int = 8) -> DataFrame:
     """Rows further than ``k`` scaled MADs from their group's median; groups under ``least_rows`` have none."""
     s = robust_stats(df, by, value)

@@ -199,3 +199,9 @@ def position_clusters(cands: DataFrame, *, near_x: float = 0.055, near_y: float
 
     return cands.where("v is not null").groupBy("doc").applyInPandas(best, cands.schema)
 
+
+
+def best_of(rows: DataFrame, keys: list[str], score: str, order: str) -> DataFrame:
+    """The row with the highest ``score`` of each key, the first in ``order`` of equals; null scores come last."""
+    w = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), order)
+    return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")

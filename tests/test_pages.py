@@ -8,8 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.functions import drawing, engines, pixels
-from leafmill.operators import features, learn, margins, rasters, review, sequence, spatial, store
+from leafmill.functions import drawing, engines, pixels, registry
+from leafmill.operators import features, learn, margins, rasters, review, runs, sequence, spatial, store
 from leafmill.sources import page_images
 from leafmill.streaming import decisions
 
@@ -295,3 +295,70 @@ def test_stage_shares_and_turns(spark):
     assert [(r["stage"], r["percent"]) for r in features.stage_shares(t).collect()] == [("ocr", 75.0), ("render", 25.0)]
     p = spark.createDataFrame([("a", 10, 20), ("a", 10, 20), ("a", 20, 10), ("b", 20, 10), ("b", 10, 20)], "doc_id string, page_w int, page_h int")
     assert sorted((r["doc_id"], r["page_w"], r["turn"]) for r in features.orientation_fix(p).collect()) == [("a", 10, False), ("a", 10, False), ("a", 20, True), ("b", 10, False), ("b", 20, False)]
+
+
+def test_sql_functions(spark):
+    registry.register(spark)
+    spark.createDataFrame([("a", 1.0, "p 12 of ３４"), ("a", 2.0, ""), ("a", 4.0, None), ("b", None, "1234567")], "g string, v double, t string").createOrReplaceTempView("sql_rows")
+    got = {r["g"]: r["m"] for r in spark.sql("SELECT g, robust_mad(v) AS m FROM sql_rows GROUP BY g").collect()}
+    assert got["a"] == pytest.approx(1.4826) and (got["b"] is None or got["b"] != got["b"])
+    runs = spark.sql("SELECT x.number, x.start FROM sql_rows, LATERAL digit_runs(t) x").collect()
+    assert sorted(map(tuple, runs)) == [(12, 2), (34, 8)]
+    assert spark.sql("SELECT likeness('12', '12') AS l").first()["l"] == 1.0
+
+
+def test_model_files_and_best_rows(spark, tmp_path):
+    m = spark.createDataFrame([("bw", [1.0], [0.0], [1.0])], "label string, centre array<double>, mu array<double>, sd array<double>")
+    learn.save(m, f"file://{tmp_path}/model")
+    assert learn.load(spark, f"file://{tmp_path}/model").collect() == m.collect() and learn.load(spark, f"file://{tmp_path}/none") is None
+    d = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.9), (1, 2, 0.9), (2, 0, None)], "box int, pos int, conf double")
+    assert sorted((r["box"], r["pos"]) for r in spatial.best_of(d, ["box"], "conf", "pos").collect()) == [(1, 1), (2, 0)]
+
+
+def test_patch_kinds():
+    kind = lambda g: pixels.patch_kind(pixels.patch_measures(np.asarray(g, np.uint8)))
+    ramp = np.tile(np.linspace(30, 220, 120), (80, 1))
+    rules = np.full((100, 100), 255)
+    rules[::25], rules[:, ::25] = 0, 0
+    assert kind(np.full((60, 60), 150)) == "solid_fill" and kind(ramp) == "photo" and kind(rules) == "line_art"
+    assert kind(np.full((60, 60), 252)) == "other" and kind(np.full((4, 4), 0)) == "other" and kind(np.empty((0, 0))) == "other"
+    assert kind(np.clip(np.random.default_rng(0).normal(128, 40, (80, 80)), 10, 245)) == "photo"
+    letters = np.zeros((60, 300), bool)
+    letters[20:32, 10:290:20] = letters[20:32, 11:290:20] = True
+    assert pixels.has_line(letters) and not pixels.has_line(letters[:, :60])
+
+
+def raster_rows(images):
+    return [(doc, i, g.shape[0], g.shape[1], 1, 300.0, g.tobytes()) for doc, i, g in images]
+
+
+def test_analysis_of_a_book(spark):
+    words = bars()
+    words[:, 350:370] = 255
+    images = [("a", i, words) for i in range(9)] + [("a", 9, pixels.rotated(words, 3.0, 255)), ("b", 0, np.full((200, 300), 255, np.uint8))]
+    d = spark.createDataFrame([*raster_rows(images), ("b", 1, 10, 10, 1, None, b"short")], page_images.SCHEMA)
+    got = {(r["doc"], r["page_index"]): r for r in runs.analysed(d).collect()}
+    assert len(got) == 12 and got["a", 0]["flags"] == [] and got["a", 0]["review_status"] == "auto"
+    assert "deskew_low_confidence" in got["a", 9]["flags"] and got["a", 9]["review_status"] == "needs_review"
+    assert got["b", 0]["blank"] and got["b", 0]["flags"] == [] and got["b", 1]["angle"] is None
+
+
+def test_renormalising_numbering_and_learning(spark):
+    rows = [(*page("a", i, (100.0, 100.0, 480.0, 680.0), w=600.0, h=800.0)[:-1], ["content_scaled_down_to_match_book", "x"]) for i in range(4)]
+    p = spark.createDataFrame(rows, MARGIN.replace(", body struct<x0:double,y0:double,x1:double,y1:double>", ", flags array<string>"))
+    r = spark.createDataFrame([], "doc string, page_index int, kind string, x0 double, y0 double, x1 double, y1 double")
+    out = runs.renormalised(p, r).collect()
+    assert all(o["flags"] == ["x"] and o["crop"]["x0"] <= 100 and o["target_w"] for o in out)
+    leaves = spark.createDataFrame([("d", i, i, 1000.0, 1000.0, ["page_number_gap"]) for i in range(4)], "doc string, i long, page_index long, page_w double, page_h double, flags array<string>")
+    cands = spark.createDataFrame([("d", i, 0, "bottom", "num", i + 5, str(i + 5), 500.0, 950.0, 530.0, 970.0) for i in range(4)], "doc string, i long, ord long, band string, kind string, v long, text string, x0 double, y0 double, x1 double, y1 double")
+    assert sorted((o["number"], o["nombre_text"], o["flags"]) for o in runs.numbered(leaves, cands).collect()) == [(i + 5, str(i + 5), []) for i in range(4)]
+    region = lambda k: (k, (0.0, 0.0, 10.0, 10.0), "s", None, None, None, None)
+    nested = spark.createDataFrame([("d", i, None, 300.0, (0.0, 1.0), None, [region("photo")] * 3 if i % 2 else [region("text")] * 30, "auto", [], "auto", "auto", None, None, False) for i in range(8)], features.PAGE_SCHEMA)
+    f = features.learner_features(nested).select("page_index", F.array(*features.LEARNER_FIELDS).alias("v"), F.when(F.col("page_index") % 2 == 1, "color").otherwise("bw").alias("label"))
+    kinds = {o["page_index"]: o["page_kind"] for o in runs.learned(nested, learn.centroids(f, "label", "v")).collect()}
+    assert kinds == {i: "color" if i % 2 else "bw" for i in range(8)}
+
+
+def test_ocr_scale(spark):
+    d = spark.createDataFrame([(600.0, 10, 10), (None, 6000, 100), (300.0, 10, 10), (200.0, 100, 100)], "dpi double, h int, w int")
+    assert [r[0] for r in d.select(page_images.ocr_scale(F.col("dpi"), F.col("h"), F.col("w"))).collect()] == [0.5, 0.5, 1.0, 1.0]
