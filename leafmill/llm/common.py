@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
-from pathlib import Path
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -73,9 +75,15 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = Path(tempfile.gettempdir()) / "leafmill-shared"
-    own.mkdir(exist_ok=True)
-    return f"file://{own}"
+    return f"file://{_own_dir()}"
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    """A folder of this process, which goes when it ends."""
+    own = tempfile.mkdtemp(prefix="leafmill-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

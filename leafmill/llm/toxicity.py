@@ -5,10 +5,14 @@ between, hashed to ``2**BITS`` coordinates. Presence rather than share, so a rem
 20,000 words weighs as much as in one of ten. Training keeps per-coordinate rates, and its L1 term
 leaves few non-zero weights; those are broadcast (at most ``2**BITS``, some thousands in practice).
 
+The settings are chosen by cross-validation inside the rows that labels may be learned from; the held-out
+third has no part in it.
+
 Defined cases: null or empty text, or one without words, has only the bias and so the base rate as
 its score; null ids score like others; repeated rows give repeated rows; labels that are null or
 without a document are not used; a document labelled twice counts as toxic if any label says so;
-without any usable label each score is 0.5.
+without any usable label each score is 0.5; a text of any length counts whole, each feature once; an empty
+table gives an empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
