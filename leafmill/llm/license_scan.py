@@ -24,6 +24,7 @@ long; of equally likely families the later of FAMILIES wins; other columns play
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -104,8 +105,13 @@ def grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+def _constant(value, kind: str) -> Column:
+    """A nested constant as one literal once the plan is optimised, however many values it has."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def _strings(values) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    return _constant(list(values), "array<string>")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -151,10 +157,10 @@ class Model:
         return F.lower(body).rlike(f"(?<!{WORD})(?:{'|'.join(map(re.escape, words))})(?!{WORD})") if words else F.lit(False)
 
     def logits(self, found: Column) -> Column:
-        zero = F.array(*[F.lit(float(x)) for x in self.intercept])
+        zero = _constant(self.intercept, "array<double>")
         if not self.weights:
             return zero
-        table = F.create_map(*[x for g, w in sorted(self.weights.items()) for x in (F.lit(g), F.array(*[F.lit(float(v)) for v in w]))])
+        table = _constant(dict(sorted(self.weights.items())), "map<string,array<double>>")
         known = F.array_intersect(found, _strings(sorted(self.weights)))
         return F.aggregate(known, zero, lambda s, g: F.zip_with(s, F.element_at(table, g), lambda a, b: a + b))
 
@@ -188,7 +194,7 @@ def written_rows() -> list[tuple[str, float, int]]:
 
 def training_rows(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     """body, label, fold: the written rows, and at most ``negatives`` paragraphs without a licence cue."""
-    written = F.array(*[F.struct(F.lit(t).alias("body"), F.lit(c).alias("label"), F.lit(f).alias("fold")) for t, c, f in written_rows()])
+    written = _constant([{"body": t, "label": c, "fold": f} for t, c, f in written_rows()], "array<struct<body:string,label:double,fold:int>>")
     ours = docs.sparkSession.range(1).select(F.explode(written).alias("r")).select("r.*")
     # Documents first, by a hash of their id: their texts are all that is looked at.
     some = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(negatives)
@@ -205,7 +211,7 @@ def train(docs: DataFrame, *, negatives: int = NEGATIVES) -> Model:
     fitted = regression.fit(vector.transform(fit_on).select("features", "label"))
     matrix = fitted.coefficientMatrix.toArray()
     weights = {g: [float(x) for x in matrix[:, j]] for j, g in enumerate(vector.vocabulary) if any(abs(x) > 1e-9 for x in matrix[:, j])}
-    seen = rows.where("label = 0").select(F.explode("grams").alias("g")).where(F.col("g").isin(list(weights))).groupBy("g").agg(F.count("*").alias("n"))
+    seen = rows.where("label = 0").select(F.explode("grams").alias("g")).where(F.array_contains(_strings(sorted(weights)), F.col("g"))).groupBy("g").agg(F.count("*").alias("n"))
     model = Model(weights, [float(x) for x in fitted.interceptVector.toArray()], frequency={r["g"]: r["n"] for r in seen.collect()})
     logits = held.select("label", model.logits(F.col("grams")).alias("v"))
     loss = [F.sum(-F.log(F.greatest(F.element_at(softmax(_cooled(F.col("v"), t)), F.col("label").cast("int") + 1), F.lit(1e-12)))).alias(f"t{k}") for k, t in enumerate(TEMPERATURES)]
