@@ -272,6 +272,26 @@ def review_pages(spark, d):
     return features.review_queue(pb.b_nested(spark, d)).select("doc_id", "page_index")
 
 
+@registered(" SELECT page, page % 3 = 0 AND (page % 50) / 10000 < 0.001 AS blank, CASE WHEN page % 20 = 0 THEN false ELSE (page % 10) / (page % 20) < 0.3 END AS low, CASE WHEN page % 2 = 0 THEN 'bw' WHEN page % 3 = 0 THEN CASE WHEN page % 5 = 0 THEN 'color' ELSE 'gray' END ELSE 'bw' END AS mode, CASE page % 4 WHEN 1 THEN 'gray' WHEN 2 THEN 'color' ELSE 'bw' END AS render, CASE WHEN x1 - x0 >= y1 - y0 THEN 'h' ELSE 'v' END AS way, CASE WHEN page % 3 = 0 AND (x1 - x0) * (y1 - y0) < 0.12 * 1200 * 10000 THEN 0 ELSE confidence END::DOUBLE AS confidence, CASE WHEN (y0 + y1) / 2 <= 1400 THEN 'top' WHEN (y0 + y1) / 2 >= 8600 THEN 'bottom' END AS band, round(least((x0 + x1) / 2400, 1 - (x0 + x1) / 2400), 6) AS mirrored FROM b_margin")
+def page_predicates(spark, d):
+    """Blank pages, low coverage, page and render modes, text direction, the whole page for a small box, bands, mirrored place."""
+    p = pb.b_margin(spark, d).withColumns({"is_ocr": F.lit(True), "region_count": F.col("page") % 3, "ink": (F.col("page") % 50) / 10000, "flags": F.array().cast("array<string>")})
+    p = features.blank_pages(p)
+    n, c = F.col("page"), F.col("content")
+    kind = F.when(n % 4 == 1, "gray").when(n % 4 == 2, "color").when(n % 4 == 3, "mrc").otherwise("auto")
+    whole = features.content_or_page(c, F.col("region_count"), F.lit(1200.0), F.lit(10000.0), F.col("confidence"))
+    return p.select(
+        "page", "blank", features.low_coverage(n % 10, n % 20).alias("low"), features.page_mode(n % 2 == 0, n % 3 == 0, n % 5 == 0).alias("mode"), features.render_mode(kind).alias("render"),
+        features.text_direction(c["x0"], c["y0"], c["x1"], c["y1"]).alias("way"), whole["confidence"].alias("confidence"), candidates.band_of(c["y0"], c["y1"], F.lit(10000.0)).alias("band"),
+        F.round(spatial.mirrored(spatial.centre_fraction(c, F.lit(1200.0), F.lit(10000.0))["fx"]), 6).alias("mirrored"),
+    )
+
+
+@registered(" SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC NULLS LAST, event_id) AS r FROM events) WHERE r = 1")
+def best_per_key(spark, d):
+    return spatial.best_of(read(spark, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "value", "event_id")
+
+
 # Margins ------------------------------------------------------------------------------------------
 
 _BODY = """, tx AS (SELECT t.*, h.x1 - h.x0 AS cw FROM b_text t JOIN b_hull h USING (page) WHERE kind = 'text' AND h.x1 > h.x0),
@@ -403,7 +423,7 @@ def ranked_candidates(spark, d):
     return spatial.ranked_candidates(r, ["page"]).select("page", "pos", "band", "rank")
 
 
-@registered(" SELECT page, round(greatest(92, 1200 * 0.055), 4) AS x0, round(greatest(0, least(260, y0 - 54 * 0.6)), 4) AS y0, round(1200 - greatest(92, 1200 * 0.055), 4) AS right_x1 FROM b_hull")
+@registered(" SELECT page, CAST(92 AS DOUBLE) AS x0, round(greatest(0, least(260, y0 - 54 * 0.6)), 4) AS y0, CAST(1108 AS DOUBLE) AS right_x1 FROM b_hull")
 def corner_probes(spark, d):
     probes = spatial.corner_probes(F.col("content"), F.lit(1200.0), F.lit(10000.0))
     return pb.b_margin(spark, d).select("page", F.round(probes[0]["x0"], 4).alias("x0"), F.round(probes[0]["y0"], 4).alias("y0"), F.round(probes[1]["x1"], 4).alias("right_x1"))
