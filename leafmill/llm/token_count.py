@@ -131,6 +131,21 @@ class Vocabulary:
         except KeyError:
             return sum(map(self.__getitem__, chunks))
 
+    def cut(self, text: str | None, limit: int) -> int:
+        """Characters of the longest prefix of at most ``limit`` tokens.
+
+        Whole chunks only add tokens, so that prefix ends in the first chunk that brings the text over the limit;
+        inside it a longer prefix can have fewer tokens, so its last fitting one is taken.
+        """
+        total = at = 0
+        for chunk in self.chunks(text or ""):
+            n = self[chunk]
+            if total + n > limit:
+                fits = [j for j, k in enumerate(self.prefixes(chunk)) if total + k <= limit]
+                return max(0, at + fits[-1] - 1)  # the mark before the text is no character of it
+            total, at = total + n, at + len(chunk)
+        return len(text or "")
+
     def table(self, text: str | None) -> np.ndarray:
         """int32 counts of every prefix of the text, by code points, from the empty one on."""
         if not text:
@@ -153,8 +168,8 @@ def vocabulary(path: str) -> Vocabulary:
 def token_counts(docs: DataFrame, model_path: str, *, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, cut_chars.
 
-    n_tokens is the last entry of the text's prefix table; cut_chars, the characters of its longest prefix of at
-    most ``limit`` tokens, is looked up in the whole table where the text has more.
+    n_tokens is the last entry of the text's prefix table; cut_chars are the characters of its longest prefix of at
+    most ``limit`` tokens, from the table of the chunk in which that ends.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +177,7 @@ def token_counts(docs: DataFrame, model_path: str, *, limit: int = LIMIT) -> Dat
         for b in batches:
             texts = b.column("text").to_pylist()
             n = [v.count(t) for t in texts]
-            # Counts of longer prefixes can be lower, so the last fitting one is looked for.
-            cut = [len(t or "") if k <= limit else int(np.flatnonzero(v.table(t) <= limit)[-1]) for t, k in zip(texts, n, strict=True)]
+            cut = [len(t or "") if k <= limit else v.cut(t, limit) for t, k in zip(texts, n, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64()), pa.array(cut, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "cut_chars"])
 
     source = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")

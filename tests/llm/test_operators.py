@@ -504,6 +504,14 @@ def test_url_filter_defined_cases(spark):
     assert not any(r["blocked"] for r in rows_of(url_filter.filter_urls(c, log.limit(0))))
 
 
+def test_token_cuts_equal_tables():
+    v = token_count.Vocabulary(MODEL)
+    for text in ("the cat sat on the mat " * 4, "unbelievable\n\n  internationalisation ①é　x", "a", "   ", "x" * 50):
+        table = v.table(text)
+        for limit in range(int(table.max()) + 2):
+            assert v.cut(text, limit) == max(k for k in range(len(text) + 1) if table[k] <= limit), (text, limit)
+
+
 def test_token_cut(spark):
     text = "the cat sat on the mat " * 4
     r = token_count.token_counts(docs(spark, [(1, text, "a"), (2, None, "a")]), MODEL, limit=5).orderBy("doc_id").collect()
@@ -550,3 +558,38 @@ def test_html_defined_cases(spark):
     d = spark.createDataFrame([(1, "http://a.example/", "<p>x</p>", "h"), (1, "http://a.example/", "<p>x</p>", "h"), (None, None, "<p>" + "word " * 200_000 + "</p>", "h")], "page_id long, url string, html string, template string").withColumn("text", F.lit(1))
     got = rows_of(html_extract.extract(d))
     assert sorted((r["n_chars"] for r in got)) == [1, 1, 999_999]
+
+
+def test_ftrl_equals_plain_loop():
+    """Per-coordinate rates and L1 sparsity against the update rule written out one coordinate at a time."""
+    rng = np.random.default_rng(9)
+    rows = [np.unique(rng.integers(0, 40, 8)).astype(np.int32) for _ in range(60)]
+    labels = [int(3 in r or 7 in r) for r in rows]
+    alpha, beta, l1, l2, epochs = 0.7, 1.0, 0.5, 0.1, 4
+    m = toxicity.fit(rows, labels, bits=6, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs)
+    z, n, w = ([0.0] * 64 for _ in range(3))
+    bz = bn = bias = 0.0
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            p = 1 / (1 + math.exp(-(bias + sum(w[k] for k in rows[i]))))
+            g = p - labels[i]
+            for k in rows[i]:
+                step = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha
+                z[k] += g - step * w[k]
+                n[k] += g * g
+                w[k] = 0.0 if abs(z[k]) <= l1 else (math.copysign(l1, z[k]) - z[k]) / ((beta + math.sqrt(n[k])) / alpha + l2)
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / alpha * bias
+            bn += g * g
+            bias = -bz / ((beta + math.sqrt(bn)) / alpha)
+    assert m.index.tolist() == [k for k in range(64) if w[k]] and m.weight == pytest.approx([x for x in w if x]) and m.bias == pytest.approx(bias)
+    assert 0 < len(m.index) < 40
+
+
+def test_toxicity_defined_cases(spark, odd):
+    labels = spark.createDataFrame([(4, 1), (4, 0), (5, None), (None, 1), (99, 1)], "doc_id long, toxic int")
+    d = odd.withColumns({"toxic": F.lit(7), "held_out": F.lit("x"), "predicted": F.lit(None).cast("int")})
+    got = rows_of(toxicity.toxicity(d, labels))
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    assert {r["held_out"] for r in got if r["doc_id"] is None} == {False}
+    assert toxicity.keep_clean(d, labels).columns == d.columns
