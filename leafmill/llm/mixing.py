@@ -117,11 +117,12 @@ def entropy_balance(groups: DataFrame, targets: DataFrame, *, cap: float = CAP,
         ).first()
         value = s["dual"] + ridge * total * mu * mu / 2
         slope = s["m"] + ridge * total * mu
-        if lowest is not None and value > lowest + 1e-9 * total and scale > 2**-20:
+        if max(s["off"] or 0.0, abs(slope) / total) < TOLERANCE:
+            break
+        # Sums of rounded terms leave a little noise in the dual.
+        if lowest is not None and value > lowest + 1e-7 * total and scale > 2**-20:
             scale /= 2
         else:
-            if max(s["off"] or 0.0, abs(slope) / total) < TOLERANCE:
-                break
             lowest, scale = value, 1.0
             step_mu = -(slope - s["bg"]) / max(s["hm"] + ridge * total - s["bb"], ridge * total)
             step_mu = max(-LONGEST, min(LONGEST, step_mu))
