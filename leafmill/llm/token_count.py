@@ -131,20 +131,29 @@ class Vocabulary:
         except KeyError:
             return sum(map(self.__getitem__, chunks))
 
-    def cut(self, text: str | None, limit: int) -> int:
-        """Characters of the longest prefix of at most ``limit`` tokens.
+    def count_and_cut(self, text: str | None, limit: int) -> tuple[int, int]:
+        """Tokens of the text, and characters of its longest prefix of at most ``limit`` tokens.
 
         Whole chunks only add tokens, so that prefix ends in the first chunk that brings the text over the limit;
         inside it a longer prefix can have fewer tokens, so its last fitting one is taken.
         """
+        if not text:
+            return 0, 0
+        chunks = self.chunks(text)
+        try:
+            whole = sum(map(self.young.__getitem__, chunks))
+        except KeyError:
+            whole = sum(map(self.__getitem__, chunks))
+        if whole <= limit:
+            return whole, len(text)
         total = at = 0
-        for chunk in self.chunks(text or ""):
+        for chunk in chunks:
             n = self[chunk]
             if total + n > limit:
-                fits = [j for j, k in enumerate(self.prefixes(chunk)) if total + k <= limit]
-                return max(0, at + fits[-1] - 1)  # the mark before the text is no character of it
+                break
             total, at = total + n, at + len(chunk)
-        return len(text or "")
+        last = max(j for j, k in enumerate(self.prefixes(chunk)) if total + k <= limit)
+        return whole, max(0, at + last - 1)  # the mark before the text is no character of it
 
     def table(self, text: str | None) -> np.ndarray:
         """int32 counts of every prefix of the text, by code points, from the empty one on."""
@@ -175,9 +184,8 @@ def token_counts(docs: DataFrame, model_path: str, *, limit: int = LIMIT) -> Dat
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            n = [v.count(t) for t in texts]
-            cut = [len(t or "") if k <= limit else v.cut(t, limit) for t, k in zip(texts, n, strict=True)]
+            found = [v.count_and_cut(t, limit) for t in b.column("text").to_pylist()]
+            n, cut = [x[0] for x in found], [x[1] for x in found]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64()), pa.array(cut, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "cut_chars"])
 
     source = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")

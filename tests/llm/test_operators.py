@@ -509,7 +509,7 @@ def test_token_cuts_equal_tables():
     for text in ("the cat sat on the mat " * 4, "unbelievable\n\n  internationalisation ①é　x", "a", "   ", "x" * 50):
         table = v.table(text)
         for limit in range(int(table.max()) + 2):
-            assert v.cut(text, limit) == max(k for k in range(len(text) + 1) if table[k] <= limit), (text, limit)
+            assert v.count_and_cut(text, limit) == (table[-1], max(k for k in range(len(text) + 1) if table[k] <= limit)), (text, limit)
 
 
 def test_token_cut(spark):
