@@ -190,8 +190,8 @@ def test_drawing(spark):
 
 def test_engines(spark):
     name = lambda a, b, c: engines.engine_parts(F.lit(a), F.lit(b), F.lit(c))
-    r = spark.range(1).select(name(None, None, None).alias("a"), name("PaddleOCR_v6", None, None).alias("b"), name("yomitoku", None, "off").alias("c"), name("pp-structure", None, None).alias("d")).first()
-    assert [tuple(x) for x in r] == [("hybrid", "hybrid"), ("none", "ppocr-v6"), ("yomitoku", "none"), ("pp-structurev3", "none")]
+    r = spark.range(1).select(name(None, None, None).alias("a"), name("PaddleOCR_v6", None, None).alias("b"), name("Own_Engine", None, "off").alias("c"), name("pp-structure", None, None).alias("d")).first()
+    assert [tuple(x) for x in r] == [("hybrid", "hybrid"), ("none", "ppocr-v6"), ("own-engine", "none"), ("pp-structurev3", "none")]
     payload = json.dumps({"rec_polys": [[[0, 0], [4, 0], [4, 2], [0, 2]]], "rec_texts": ["a", "b"], "rec_scores": [0.9], "layout_det_res": {"boxes": [{"label": "Image", "coordinate": [0, 0, 5, 5], "score": 0.5}, {"label": "x", "coordinate": [1]}]}, "parsing_res_list": [{"block_bbox": [1, 1, 2, 2], "block_label": "number"}]})
     d = spark.createDataFrame([(payload,)], "j string").select(F.from_json("j", engines.RESULT_SCHEMA).alias("r"))
     x = d.select(engines.recognised_lines(F.col("r"), "s").alias("l"), engines.layout_boxes(F.col("r"), "s").alias("b")).first()
