@@ -86,17 +86,17 @@ def _own_dir() -> str:
     return own
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, *, rows: int = BATCH_ROWS) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet to the shared folder and reads it back.
 
     A lost executor then costs tasks, not the stages before; the table has statistics and columns
-    that later joins can use.
+    that later joins can use. A batch to a Python worker has at most ``rows`` rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafmill/{name}-{uuid.uuid4().hex}"
     held = spark.conf.get(BATCH_CONF, str(BATCH_ROWS))
     # Rows of whole texts: smaller batches hold the memory of workers and of the buffers to them.
-    spark.conf.set(BATCH_CONF, str(min(BATCH_ROWS, int(held)) if int(held) > 0 else BATCH_ROWS))
+    spark.conf.set(BATCH_CONF, str(min(rows, int(held)) if int(held) > 0 else rows))
     try:
         df.write.parquet(path)
     finally:

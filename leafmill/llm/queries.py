@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import decontaminate, html_extract, license_scan, mixing, neardup, secrets, token_count, topk, toxicity, url_filter
+from leafmill.llm import codes, decontaminate, html_extract, lexical, license_scan, mixing, neardup, quality_rules, secrets, token_count, topk, toxicity, url_filter
 from leafmill.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -63,7 +75,15 @@ QUERIES = {
         op8_decontamination,
         op9_near_duplicates,
         op10_secrets,
+        op11_quality_rules,
+        op12_lexical_search,
+        op13_vector_codes,
     )
 }
 #: The others are trained, iterative or too slow in SQL over whole tables; tests/llm checks them by brute force.
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": url_filter.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": url_filter.ORACLE,
+    "op7_topk": topk.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
+    "op13_vector_codes": codes.ORACLE,
+}

@@ -191,3 +191,11 @@ def top_k(vectors: DataFrame, *, every: int = 50, k: int = 5) -> DataFrame:
 
 
 INDEXED = pa.schema([("block", pa.int32()), ("dims", pa.int32()), ("ids", pa.binary()), ("v", pa.binary()), ("postings", pa.binary())])
+
+#: The same as sums of products over all pairs of a query and another row.
+ORACLE = f"""WITH x AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+v AS (SELECT r, vec_id, CAST(floor({SCALE} * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS c, generate_subscripts(embedding, 1) AS k FROM x),
+q AS (SELECT * FROM v WHERE r IN (SELECT min(r) FROM x WHERE vec_id % 50 = 0 GROUP BY vec_id, embedding)),
+s AS (SELECT q.vec_id AS query_id, q.r AS q, v.vec_id, v.r, CAST(sum(q.c * v.c) AS BIGINT) AS score FROM q JOIN v ON v.k = q.k AND v.vec_id <> q.vec_id GROUP BY ALL),
+o AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM o WHERE rank <= 5"""
