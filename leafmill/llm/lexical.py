@@ -8,9 +8,9 @@ best sum is found by argpartition, all sums that reach it are ordered by id, and
 are merged. The weight of a term needs its number of documents in the corpus, summed over shards for the
 terms that are asked for.
 
-Shards go to shelves; a copy of each block of queries goes to each shelf, so what moves is the index once
-and the queries once for each shelf, of which there are MOST_SHELVES at most. Where the copies are small,
-Spark broadcasts them by their size on disk and the index stays where it is.
+Queries of BROADCAST bytes in all at most, which is counted, are broadcast, and the index stays where it is. For
+more, shards go to shelves and a copy of each block of queries goes to each shelf, so what moves is the index once
+and the queries once for each shelf, of which there are MOST_SHELVES at most.
 
 Defined cases: null texts and texts without a term take no part and are not counted in N; a null id takes part
 and comes after all ids of its score; rows that share an id are rows of their own; items with
@@ -35,6 +35,8 @@ SHARD_DOCS, SHARD_TERMS = 4_096, 1 << 21
 #: Items and distinct terms that travel together.
 BLOCK_ITEMS, BLOCK_TERMS = 256, 1 << 16
 MOST_SHELVES = 2_048
+#: Bytes of terms, with WIDE for each term besides, up to which what is asked for is broadcast.
+BROADCAST, WIDE = 8 << 20, 32
 #: Shards in one batch to a Python worker.
 BATCH_SHARDS = 4
 
@@ -129,14 +131,19 @@ def item_terms(items: DataFrame) -> DataFrame:
     return distinct.mapInArrow(counted, f"key long, item_id {kind}, term binary, n long")
 
 
-def _on_shelves(blocks: DataFrame, shelves: int, name: str) -> DataFrame:
-    """A copy of each block a shelf, written, so that Spark knows their size when it joins them."""
-    return materialise(blocks.withColumn("shelf", F.explode(F.sequence(F.lit(0), F.lit(shelves - 1)))), name)
+def _met(index: DataFrame, blocks: DataFrame, asked: DataFrame, shelves: int, name: str) -> DataFrame:
+    """Each shard with each block of what is asked for; ``asked`` has its terms."""
+    size = asked.agg(F.sum(F.length("term") + WIDE).alias("n")).first()["n"] or 0
+    one = size <= BROADCAST
+    at = F.lit(0) if one else F.pmod("shard", F.lit(shelves)).cast("int")
+    copies = blocks.withColumn("shelf", F.lit(0) if one else F.explode(F.sequence(F.lit(0), F.lit(shelves - 1))))
+    copies = F.broadcast(copies) if one else materialise(copies, name)
+    return index.withColumn("shelf", at).join(copies, "shelf").drop("shelf", "shard")
 
 
 def weights(index: DataFrame, asked: DataFrame, documents: int, shelves: int) -> DataFrame:
     """term, w of each term that is asked for and occurs."""
-    distinct = asked.select("term").distinct()
+    distinct = materialise(asked.select("term").distinct(), "terms")
     count = max(1, -(-distinct.count() // BLOCK_TERMS))
     blocks = distinct.groupBy(F.pmod(F.xxhash64("term"), F.lit(count)).alias("block")).agg(F.collect_list("term").alias("asked")).drop("block")
 
@@ -147,7 +154,7 @@ def weights(index: DataFrame, asked: DataFrame, documents: int, shelves: int) ->
                 own = [t for t in r["asked"] if t in sizes]
                 yield pa.RecordBatch.from_pydict({"term": pa.array(own, pa.binary()), "df": pa.array([sizes[t] for t in own], pa.int64())})
 
-    pairs = index.select("shelf", "terms", "offsets").join(_on_shelves(blocks, shelves, "asked-terms"), "shelf").drop("shelf")
+    pairs = _met(index.select("shard", "terms", "offsets"), blocks, distinct, shelves, "asked-terms")
     df = pairs.mapInArrow(met, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
     w = F.floor(1000 * F.log((2.0 * documents + 2) / (2 * F.col("df") + 1))).cast("long")
     return df.select("term", w.alias("w")).where("w > 0")
@@ -168,7 +175,7 @@ def search(docs: DataFrame, items: DataFrame, *, k: int = 20) -> DataFrame:
     raw = materialise(shards(docs), "shards", rows=512)
     n = raw.agg(F.sum("n_docs").alias("d"), F.sum("n_terms").alias("t"), F.count("*").alias("s")).first()
     documents, total, shelves = n["d"] or 0, n["t"] or 1, max(1, min(n["s"], MOST_SHELVES))
-    index = materialise(with_impacts(raw, documents, total).withColumn("shelf", F.pmod(F.monotonically_increasing_id(), F.lit(shelves)).cast("int")), "index", rows=BATCH_SHARDS)
+    index = materialise(with_impacts(raw, documents, total).withColumn("shard", F.monotonically_increasing_id()), "index", rows=BATCH_SHARDS)
     drop_tables(raw)
     asked = materialise(item_terms(items), "item-terms")
     weighed = asked.join(weights(index, asked, documents, shelves), "term")
@@ -202,7 +209,7 @@ def search(docs: DataFrame, items: DataFrame, *, k: int = 20) -> DataFrame:
                 found = held.take(pa.array(np.concatenate(places), pa.int64()))
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "item_id": pa.array(which, _arrow(kind)), "doc_id": found, "score": np.concatenate(scores)})
 
-    pairs = index.join(_on_shelves(blocks, shelves, "asked"), "shelf").drop("shelf")
+    pairs = _met(index, blocks, queries.select(F.explode("terms.term").alias("term")), shelves, "asked")
     found = materialise(pairs.mapInArrow(searched, f"key long, item_id {kind.simpleString()}, doc_id long, score long"), "found", rows=BATCH_SHARDS)
     drop_tables(index)
     order = Window.partitionBy("key").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))

@@ -66,7 +66,7 @@ def test_search_equals_plain_loops(spark, k):
 
 
 def test_small_shards_and_blocks_give_the_same(spark, monkeypatch):
-    for name, value in (("SHARD_DOCS", 3), ("SHARD_TERMS", 9), ("BLOCK_ITEMS", 1), ("BLOCK_TERMS", 2), ("MOST_SHELVES", 2)):
+    for name, value in (("SHARD_DOCS", 3), ("SHARD_TERMS", 9), ("BLOCK_ITEMS", 1), ("BLOCK_TERMS", 2), ("MOST_SHELVES", 2), ("BROADCAST", 9)):
         monkeypatch.setattr(lexical, name, value)
     assert searched(spark, DOCS, ITEMS) == plain_search(DOCS, ITEMS)
 
