@@ -5,11 +5,12 @@ Cells, boxes and contours are made of ``lineitem``, so each query's work grows w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.operators import zones
-from leafmill.plans.bindings import read
+from leafmill.operators import contours, separation, tones, zones
+from leafmill.plans import bindings
+from leafmill.plans.bindings import b_region, read
 
 QUERIES, ORACLE_SQL = {}, {}
 #: Cells of a side of a sheet, and of a tile: zones have to span tiles.
@@ -30,7 +31,7 @@ def b_cell(spark: SparkSession, d: str) -> DataFrame:
     """About 600 cells a sheet, one sheet a supplier, with gray values."""
     return read(spark, d, "lineitem").select(
         F.col("l_suppkey").cast("long").alias("sheet"), (F.col("l_partkey") % SIDE).cast("long").alias("x"),
-        ((F.col("l_orderkey") + 3 * F.col("l_linenumber")) % SIDE).cast("long").alias("y"), (40 + 5 * F.col("l_quantity")).cast("long").alias("gray"),
+        ((F.col("l_orderkey") + 3 * F.col("l_linenumber")) % SIDE).cast("long").alias("y"), (5 * F.col("l_quantity")).cast("long").alias("gray"),
     )
 
 
@@ -38,13 +39,20 @@ def b_sheet(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("sheet"), F.lit(SIDE).cast("long").alias("w"), F.lit(SIDE).cast("long").alias("h"))
 
 
-SQL = f"""b_cell AS MATERIALIZED (SELECT CAST(l_suppkey AS BIGINT) AS sheet, CAST(l_partkey % {SIDE} AS BIGINT) AS x, CAST((l_orderkey + 3 * l_linenumber) % {SIDE} AS BIGINT) AS y, CAST(min(40 + 5 * l_quantity) AS BIGINT) AS gray FROM lineitem GROUP BY ALL)"""
-_ZONES = """, c AS MATERIALIZED (SELECT sheet, x, y, (y << 31) + x AS c FROM b_cell),
+SQL = f"""b_cell AS MATERIALIZED (SELECT CAST(l_suppkey AS BIGINT) AS sheet, CAST(l_partkey % {SIDE} AS BIGINT) AS x, CAST((l_orderkey + 3 * l_linenumber) % {SIDE} AS BIGINT) AS y, CAST(min(5 * l_quantity) AS BIGINT) AS gray FROM lineitem GROUP BY ALL)"""
+
+
+def _zones(cells: str = "b_cell") -> str:
+    """zn: sheet, c, zone of a table of cells, flooded from each cell over later ones."""
+    return f""", c AS MATERIALIZED (SELECT sheet, x, y, (y << 31) + x AS c FROM {cells}),
 nb AS MATERIALIZED (SELECT a.sheet, a.c, b.c AS n FROM c a JOIN (SELECT unnest([-1, 0, 1]) AS dx) ON true JOIN (SELECT unnest([-1, 0, 1]) AS dy) ON dx <> 0 OR dy <> 0 JOIN c b ON b.sheet = a.sheet AND b.x = a.x + dx AND b.y = a.y + dy),
 fl AS (SELECT sheet, c AS z, c FROM c UNION SELECT fl.sheet, fl.z, nb.n FROM fl JOIN nb ON nb.sheet = fl.sheet AND nb.c = fl.c WHERE nb.n > fl.z),
 zn AS MATERIALIZED (SELECT sheet, c, min(z) AS zone FROM fl GROUP BY sheet, c)"""
 
 
+_ZONES = _zones()
+
+
 # Zones ------------------------------------------------------------------------------------------
 
 
@@ -89,3 +97,145 @@ def tint_zones(spark, d):
     hints = li.where("l_quantity <= 10").select(key, F.xxhash64("l_orderkey", "l_partkey", "l_suppkey").alias("pos"), *box(8 + F.col("l_quantity"))).dropDuplicates()
     texts = li.where("l_quantity >= 48").select(key, *box(F.lit(4)))
     return zones.tint_zones(b_cell(spark, d), b_sheet(spark, d), hints, texts, ["sheet"], radius=1, times=1, tile=TILE)
+
+
+# Separation -------------------------------------------------------------------------------------
+
+
+@registered(f""", {bindings.SQL}, sx AS (SELECT page, x, lead(x) OVER (PARTITION BY page ORDER BY x) AS z FROM (SELECT page, x0 AS x FROM b_region UNION SELECT page, x1 FROM b_region)),
+sy AS (SELECT page, y, lead(y) OVER (PARTITION BY page ORDER BY y) AS z FROM (SELECT page, y0 AS y FROM b_region UNION SELECT page, y1 FROM b_region)),
+un AS (SELECT sx.page, sum((sx.z - x) * (sy.z - y)) AS covered FROM sx JOIN sy USING (page) WHERE EXISTS (SELECT 1 FROM b_region b WHERE b.page = sx.page AND b.x0 <= x AND b.x1 >= sx.z AND b.y0 <= y AND b.y1 >= sy.z) GROUP BY sx.page)
+SELECT page, count(*) AS n, sum((x1 - x0) * (y1 - y0)) AS total, any_value(covered) AS covered FROM b_region JOIN un USING (page) GROUP BY page""")
+def region_union(spark, d):
+    return separation.union_areas(b_region(spark, d), ["page"])
+
+
+def _parts(spark, d):
+    """Pixels, pages, lines and layout boxes of the sheets."""
+    pixels = b_cell(spark, d).groupBy("sheet", "x", "y").agg(F.min("gray").alias("gray"))
+    pages = b_sheet(spark, d).withColumns({"scale": F.lit(0.5), "threshold": F.lit(150).cast("long")})
+    li = read(spark, d, "lineitem")
+    pos = (F.col("l_orderkey") * 1000003 + F.col("l_partkey") * 7).cast("long").alias("pos")
+    x, y, key = F.col("l_partkey") % 34, F.col("l_orderkey") % 36, F.col("l_suppkey").cast("long").alias("sheet")
+    box = lambda w, h: [c.cast("double").alias(n) for n, c in (("x0", x), ("y0", y), ("x1", x + w), ("y1", y + h))]
+    lines = li.where("l_linenumber = 2 AND l_quantity = 7").select(key, pos, F.concat(F.lit("w"), F.col("l_partkey")).alias("text"), F.col("l_discount").alias("conf"), *box(6, 2)).dropDuplicates()
+    label = F.element_at(F.array(*map(F.lit, ("figure", "page_number", "table", "text"))), (F.col("l_partkey") % 4 + 1).cast("int"))
+    layout = li.where("l_linenumber = 3 AND l_quantity = 9").select(key, pos, label.alias("label"), F.col("l_partkey").cast("string").alias("text"), *box(5 + F.col("l_orderkey") % 9, 6)).dropDuplicates()
+    return pixels, pages, lines, layout
+
+
+_PARTS = f""", px AS (SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS sheet, CAST(l_orderkey * 1000003 + l_partkey * 7 AS BIGINT) AS pos, l_linenumber AS ln, l_quantity AS q, l_partkey AS p, l_orderkey AS o, l_discount AS conf, CAST(l_partkey % 34 AS BIGINT) AS x0, CAST(l_orderkey % 36 AS BIGINT) AS y0 FROM lineitem),
+ln AS (SELECT sheet, pos, 'w' || p AS text, conf, x0, y0, x0 + 6 AS x1, y0 + 2 AS y1 FROM px WHERE ln = 2 AND q = 7),
+ly AS (SELECT sheet, pos, ['figure', 'page_number', 'table', 'text'][p % 4 + 1] AS label, CAST(p AS VARCHAR) AS text, x0, y0, x0 + 5 + o % 9 AS x1, y0 + 6 AS y1 FROM px WHERE ln = 3 AND q = 9),
+fg AS (SELECT *, least(x1, {SIDE}) AS cx, least(y1, {SIDE}) AS cy FROM ly WHERE label IN ('figure', 'table')),
+bn AS (SELECT f.sheet, f.pos, (cx - x0) * (cy - y0) AS size, gray // 8 AS bin, count(*) AS n FROM fg f JOIN b_cell c ON c.sheet = f.sheet AND c.x >= x0 AND c.x < cx AND c.y >= y0 AND c.y < cy GROUP BY ALL),
+tn AS (SELECT sheet, pos, count(*) FILTER (n > size * 0.01 AND bin < 31) + CASE WHEN size - sum(n) + coalesce(sum(n) FILTER (bin = 31), 0) > size * 0.01 THEN 1 ELSE 0 END AS tones FROM bn GROUP BY sheet, pos, size),
+ink AS (SELECT sheet, x, y FROM b_cell JOIN supplier ON s_suppkey = sheet WHERE gray <= 150),
+rest AS (SELECT * FROM ink i WHERE NOT EXISTS (SELECT 1 FROM fg f WHERE f.sheet = i.sheet AND i.x >= x0 AND i.x < x1 AND i.y >= y0 AND i.y < y1) AND NOT EXISTS (SELECT 1 FROM ln f WHERE f.sheet = i.sheet AND i.x >= x0 - 6 AND i.x < x1 + 7 AND i.y >= y0 - 6 AND i.y < y1 + 7))
+{_zones("rest")}, zs AS (SELECT zn.sheet, zone, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM zn JOIN c USING (sheet, c) GROUP BY ALL),
+ph AS (SELECT *, greatest(3, CAST(floor(0.01 * greatest(x1 - x0, y1 - y0)) AS BIGINT)) AS pad FROM zs WHERE x0 > 0 AND y0 > 0 AND x1 < {SIDE} AND y1 < {SIDE} AND n >= 0.01 * {SIDE * SIDE} AND n >= 0.2 * (x1 - x0) * (y1 - y0)),
+los AS (SELECT sheet, count(*) AS lost FROM rest r WHERE NOT EXISTS (SELECT 1 FROM ph WHERE ph.sheet = r.sheet AND r.x >= x0 AND r.x < x1 AND r.y >= y0 AND r.y < y1) GROUP BY sheet)"""
+
+
+@registered(f"""{_PARTS}, tot AS (SELECT sheet, count(*) AS ink FROM ink GROUP BY sheet)
+SELECT s_suppkey AS sheet, coalesce(ink, 0) AS ink, coalesce(lost, 0) AS lost, r.sheet IS NULL AS no_text, coalesce(r.sheet IS NOT NULL AND ink > 0 AND (ink - coalesce(lost, 0)) / ink < 0.3, false) AS low_coverage
+FROM supplier LEFT JOIN tot ON tot.sheet = s_suppkey LEFT JOIN los ON los.sheet = s_suppkey LEFT JOIN (SELECT DISTINCT sheet FROM ln) r ON r.sheet = s_suppkey""")
+def page_findings(spark, d):
+    return separation.separated(*_parts(spark, d), ["sheet"], tile=TILE)[1]
+
+
+@registered(f"""{_PARTS}, fu AS (SELECT * FROM ly WHERE label = 'page_number'),
+io AS (SELECT a.sheet, a.pos, b.label, b.pos AS bp FROM ln a JOIN fu b USING (sheet) WHERE ((a.x0 + a.x1) / 2 BETWEEN b.x0 AND b.x1 AND (a.y0 + a.y1) / 2 BETWEEN b.y0 AND b.y1)
+    OR greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.3 * (12 + (b.x1 - b.x0) * 6 - greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)))),
+lb AS (SELECT sheet, pos, arg_min(label, bp) AS label FROM io GROUP BY ALL),
+al AS (SELECT sheet, 'text' AS kind, 'line' AS source, text AS ocr_text, conf AS ocr_conf, label AS layout_label, x0, y0, x1, y1 FROM ln LEFT JOIN lb USING (sheet, pos)
+UNION ALL SELECT sheet, 'text', 'layout', text, NULL, label, x0, y0, x1, y1 FROM fu
+UNION ALL SELECT fg.sheet, CASE WHEN coalesce(tones, 1) >= 6 THEN 'photo' ELSE 'figure' END, 'layout', NULL, NULL, NULL, x0, y0, x1, y1 FROM fg LEFT JOIN tn USING (sheet, pos)
+UNION ALL SELECT sheet, 'photo', 'residual', NULL, NULL, NULL, greatest(0, x0 - pad), greatest(0, y0 - pad), least({SIDE}, x1 + pad), least({SIDE}, y1 + pad) FROM ph)
+SELECT sheet, kind, source, ocr_text, ocr_conf, layout_label, x0 / 0.5 AS x0, y0 / 0.5 AS y0, x1 / 0.5 AS x1, y1 / 0.5 AS y1 FROM al JOIN supplier ON s_suppkey = sheet""")
+def separated_regions(spark, d):
+    return separation.separated(*_parts(spark, d), ["sheet"], tile=TILE)[0]
+
+
+# Contours ---------------------------------------------------------------------------------------
+
+
+def b_contour(spark: SparkSession, d: str) -> DataFrame:
+    """Nested squares and octagons in slots of 100 pixels, six a slot, the last two side by side; every fifth is missing."""
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    r = read(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("page"), (F.row_number().over(order) - 1).cast("long").alias("contour"), F.col("l_quantity").cast("long").alias("q")).where("q % 5 <> 0")
+    slot, level = F.floor(F.col("contour") / 6), F.col("contour") % 6
+    in_ = F.when(level < 4, 7 * level).otherwise(28)
+    x0 = slot % 10 * 100 + in_ + F.when(level == 5, 19).otherwise(0)
+    x1, y0 = F.when(level < 4, x0 + 90 - 2 * in_).otherwise(x0 + 15), F.floor(slot / 10) * 100 + in_
+    r = r.select("page", "contour", "q", *(c.cast("long").alias(n) for n, c in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y0 + 90 - 2 * in_))))
+    p = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
+    octagon = F.array(p("x0 + 3", "y0"), p("x1 - 3", "y0"), p("x1", "y0 + 3"), p("x1", "y1 - 3"), p("x1 - 3", "y1"), p("x0 + 3", "y1"), p("x0", "y1 - 3"), p("x0", "y0 + 3"))
+    return r.select("page", "contour", F.when(F.col("q") % 2 == 0, octagon).otherwise(contours.rectangle(*map(F.col, ("x0", "y0", "x1", "y1")))).alias("points"))
+
+
+@registered(""", r0 AS (SELECT l_suppkey AS page, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS contour, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+r1 AS (SELECT *, contour // 6 AS slot, contour % 6 AS level, CASE WHEN contour % 6 < 4 THEN 7 * (contour % 6) ELSE 28 END AS ins FROM r0 WHERE q % 5 <> 0),
+r2 AS (SELECT *, slot % 10 * 100 + ins + CASE WHEN level = 5 THEN 19 ELSE 0 END AS x0, slot // 10 * 100 + ins AS y0 FROM r1),
+bx AS (SELECT page, contour, q % 2 = 0 AS eight, x0, y0, CASE WHEN level < 4 THEN x0 + 90 - 2 * ins ELSE x0 + 15 END AS x1, y0 + 90 - 2 * ins AS y1 FROM r2),
+ed AS (SELECT page, contour, unnest(CASE WHEN eight THEN [{'a': x0, 'b': y0 + 3, 'c': x0 + 3, 'd': y0}, {'a': x1, 'b': y0 + 3, 'c': x1 - 3, 'd': y0}, {'a': x0, 'b': y0 + 3, 'c': x0, 'd': y1 - 3}, {'a': x1, 'b': y0 + 3, 'c': x1, 'd': y1 - 3}, {'a': x0, 'b': y1 - 3, 'c': x0 + 3, 'd': y1}, {'a': x1, 'b': y1 - 3, 'c': x1 - 3, 'd': y1}]
+    ELSE [{'a': x0, 'b': y0, 'c': x0, 'd': y1}, {'a': x1, 'b': y0, 'c': x1, 'd': y1}] END) AS e FROM bx),
+cr AS (SELECT page, contour, least(e.b, e.d) AS lo, greatest(e.b, e.d) AS hi, CASE WHEN e.b < e.d THEN e.a ELSE e.c END AS xl, CASE WHEN e.b < e.d THEN e.c ELSE e.a END AS xh FROM ed),
+tp AS (SELECT page, contour, y0 AS row, (x1 - x0) * (y1 - y0) AS area FROM bx),
+st AS (SELECT tp.page, tp.contour, tp.row, min(xl + (tp.row + 0.5 - lo) * (xh - xl) / (hi - lo)) AS at FROM tp JOIN cr ON cr.page = tp.page AND cr.contour = tp.contour AND tp.row >= lo AND tp.row < hi GROUP BY ALL),
+ins AS (SELECT st.page, st.contour, cr.contour AS o FROM st JOIN cr ON cr.page = st.page AND cr.contour <> st.contour AND st.row >= lo AND st.row < hi AND xl + (st.row + 0.5 - lo) * (xh - xl) / (hi - lo) < st.at GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT bx.page, bx.contour, arg_min(i.o, tp.area) AS parent, count(i.o) AS depth FROM bx LEFT JOIN ins i ON i.page = bx.page AND i.contour = bx.contour LEFT JOIN tp ON tp.page = i.page AND tp.contour = i.o GROUP BY ALL""")
+def contour_nesting(spark, d):
+    return contours.nested(b_contour(spark, d), ["page"])
+
+
+@registered(None)
+def contour_simplified(spark, d):
+    """Each supplier's lines as a closed zigzag; which points stay depends on those that stayed before, so tests hold it against a plain recursion."""
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    rows = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("long").alias("contour")).agg(F.sort_array(F.collect_list(order)).alias("r"))
+    points = rows.select("contour", F.transform("r", lambda e, i: F.struct(i.cast("long").alias("x"), F.floor(e["l_quantity"] / 8).cast("long").alias("y"))).alias("points"))
+    out = points.withColumn("kept", contours.simplified(F.col("points"), F.lit(1.5)))
+    return out.select("contour", F.size("points").alias("n_points"), F.size("kept").alias("n_kept"), F.array_join(F.transform("kept", lambda p: F.concat_ws(" ", p["x"], p["y"])), ",").alias("kept"))
+
+
+@registered(f""", hb AS (SELECT CAST(l_suppkey AS BIGINT) AS sheet, CAST(l_partkey % 30 AS BIGINT) AS x0, CAST(l_orderkey % 30 AS BIGINT) AS y0, CAST(l_quantity AS BIGINT) AS w FROM lineitem WHERE l_linenumber = 1 AND l_quantity <= 6),
+ins AS (SELECT sheet, x, y FROM hb, range(0, 40) a(x), range(0, 40) b(y) WHERE x >= x0 AND x < x0 + w AND y >= y0 AND y < y0 + w GROUP BY ALL HAVING count(*) % 2 = 1),
+t AS (SELECT sheet, x, y FROM b_cell WHERE gray BETWEEN 60 AND 220), j AS (SELECT coalesce(t.sheet, i.sheet) AS sheet, t.sheet IS NOT NULL AS t, i.sheet IS NOT NULL AS i FROM t FULL JOIN ins i ON i.sheet = t.sheet AND i.x = t.x AND i.y = t.y),
+g AS (SELECT sheet, count(*) FILTER (t) AS tint, count(*) FILTER (t AND NOT i) AS missed, count(*) FILTER (i AND NOT t) AS extra FROM j GROUP BY sheet)
+SELECT *, round((tint - missed) / greatest(tint, 1) * 100, 1) AS percent FROM g""")
+def zone_coverage(spark, d):
+    """Tint cells of each sheet against boxes, by the even-odd rule."""
+    hints = read(spark, d, "lineitem").where("l_linenumber = 1 AND l_quantity <= 6")
+    x, y, w = F.col("l_partkey") % 30, F.col("l_orderkey") % 30, F.col("l_quantity")
+    boxes = hints.select(F.col("l_suppkey").cast("long").alias("sheet"), F.monotonically_increasing_id().alias("contour"), contours.rectangle(x, y, x + w, y + w).alias("points"))
+    tint = b_cell(spark, d).groupBy("sheet", "x", "y").agg(F.min("gray").alias("gray")).where("gray BETWEEN 60 AND 220")
+    return contours.coverage(tint, boxes, ["sheet"])
+
+
+# Tones ------------------------------------------------------------------------------------------
+
+
+def _tones_sql() -> str:
+    """k-means over histograms as rounds of joins."""
+    steps = [
+        "px AS (SELECT CAST(l_suppkey AS BIGINT) AS zone, CAST(40 + 45 * (l_linenumber % (1 + l_suppkey % 6)) + l_quantity % (2 + l_suppkey % 23) AS INTEGER) AS gray FROM lineitem)",
+        "h AS MATERIALIZED (SELECT zone, gray, count(*) AS n FROM px WHERE gray < 255 GROUP BY ALL)",
+        "hz AS (SELECT *, z - n AS a FROM (SELECT *, sum(n) OVER (PARTITION BY zone ORDER BY gray) AS z, sum(n) OVER (PARTITION BY zone) AS al FROM h))",
+        "t0 AS (SELECT zone, k, j, CAST(gray AS DOUBLE) AS t FROM hz JOIN (SELECT unnest([2, 3, 4, 5, 6]) AS k) ON true JOIN range(6) r(j) ON j < k WHERE floor((2 * j + 1) * al / (2 * k)) >= a AND floor((2 * j + 1) * al / (2 * k)) < z)",
+        # Tones of one number are an ordered list, so equal ones stay apart.
+        *(f"m{i} AS MATERIALIZED (SELECT h.zone, k, gray, n, arg_min(r, abs(t - gray) * 100 + r) AS r FROM h JOIN (SELECT *, row_number() OVER (PARTITION BY zone, k ORDER BY {'t, j' if i == 0 else 'j'}) - 1 AS r FROM t{i}) t USING (zone) GROUP BY ALL), "
+          f"t{i + 1} AS MATERIALIZED (SELECT t.zone, t.k, t.r AS j, coalesce(m.m, t.t) AS t FROM (SELECT *, row_number() OVER (PARTITION BY zone, k ORDER BY {'t, j' if i == 0 else 'j'}) - 1 AS r FROM t{i}) t LEFT JOIN (SELECT zone, k, r, sum(gray * n) / sum(n) AS m FROM m{i} GROUP BY ALL) m ON m.zone = t.zone AND m.k = t.k AND m.r = t.r)" for i in range(tones.ROUNDS)),
+        f"e AS (SELECT h.zone, k, gray, n, arg_min(round(t), abs(t - gray) * 100 + j) AS t FROM h JOIN t{tones.ROUNDS} USING (zone) GROUP BY ALL)",
+        f"g AS (SELECT zone, k, CAST(sum(CASE WHEN abs(gray - t) <= {tones.REACH} THEN n ELSE 0 END) AS BIGINT) AS good, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY ALL)",
+        f"f AS (SELECT zone, min(k) AS k FROM g WHERE n >= {tones.LEAST_PIXELS} AND good >= {tones.SHARE} * n GROUP BY zone)",
+    ]
+    return f", {', '.join(steps)} SELECT zone, k, (SELECT string_agg(CAST(CAST(round(t) AS BIGINT) AS VARCHAR), ' ' ORDER BY j) FROM t{tones.ROUNDS} t WHERE t.zone = f.zone AND t.k = f.k) AS tones, good, n FROM f JOIN g USING (zone, k)"
+
+
+@registered(_tones_sql())
+def zone_tones(spark, d):
+    li = read(spark, d, "lineitem")
+    gray = 40 + 45 * (F.col("l_linenumber") % (1 + F.col("l_suppkey") % 6)) + F.col("l_quantity") % (2 + F.col("l_suppkey") % 23)
+    out = tones.chosen(li.select(F.col("l_suppkey").cast("long").alias("zone"), gray.cast("int").alias("gray")), ["zone"])
+    return out.select("zone", "k", F.array_join(F.transform("tones", lambda t: t.cast("long").cast("string")), " ").alias("tones"), "good", "n")
