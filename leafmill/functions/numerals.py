@@ -124,7 +124,6 @@ def emitted_confidence(symbols: Column, probabilities: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    """Of an array, with its maximum taken off first."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return F.transform(logits, lambda x: F.exp(x - top) / total)
+    """Of an array, with its maximum taken off first; the maximum and the sum are worked out once an array."""
+    powers = _let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return _let(powers, lambda e: _let(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(e, lambda x: x / total)))

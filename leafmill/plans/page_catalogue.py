@@ -5,6 +5,8 @@ The SQL beside each query is written from the operator's rules, in other steps t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from leafmill.functions import drawing, engines, numerals
 from leafmill.operators import candidates, features, folio_resolve, learn, margins, review, robust, sequence, spatial, store
 from leafmill.plans import page_bindings as pb
 from leafmill.plans.bindings import SQL, b_decision, b_gray, b_page, b_region, b_scope, read
+from leafmill.sources.files import scratch
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -465,10 +468,28 @@ def upsert_pages(spark, d):
     return store.upsert(log.where("id % 3 = 0"), log.where("id % 3 <> 0"), ["doc", "page_index"], [F.desc("created_at"), F.desc("id")])
 
 
-@registered(" SELECT * FROM b_decision WHERE id % 2 = 0 AND doc NOT IN (SELECT doc FROM b_decision WHERE id % 7 = 1) UNION ALL SELECT * FROM b_decision WHERE id % 7 = 1")
+@registered(", k AS (SELECT doc FROM b_decision GROUP BY doc HAVING count(*) FILTER (field = 'signup') > count(*) FILTER (field = 'error')), l AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY doc, field ORDER BY created_at DESC, id DESC) AS r FROM b_decision) WHERE r = 1 AND doc IN (SELECT doc FROM k)) SELECT * FROM b_decision WHERE doc NOT IN (SELECT doc FROM k) UNION ALL SELECT * FROM l")
 def replace_partition(spark, d):
+    """The whole log; of books with more sign-ups than errors the last decision of each field takes the place of all."""
     log = b_decision(spark, d)
-    return store.replace_keys(log.where("id % 2 = 0"), log.where("id % 7 = 1"), ["doc"])
+    n = lambda f: F.count(F.when(F.col("field") == f, 1))
+    some = log.groupBy("doc").agg(n("signup").alias("s"), n("error").alias("e")).where("s > e").select("doc")
+    last = store.latest(log.join(some, "doc", "left_semi"), ["doc", "field"], [F.desc("created_at"), F.desc("id")])
+    return store.replace_keys(log, last, ["doc"])
+
+
+@registered(" SELECT CAST(doc AS VARCHAR) AS doc_id, page_index, field AS review_status, id FROM (SELECT *, row_number() OVER (PARTITION BY doc, page_index ORDER BY id DESC) AS r FROM b_decision WHERE page_index IS NOT NULL) WHERE r = 1")
+def store_commits(spark, d):
+    """The decisions of each kind merged into a store as a commit of its own; the newest of each page is left."""
+    s = store.Store(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}")
+    log = b_decision(spark, d).where("page_index IS NOT NULL").select(
+        F.col("doc").cast("string").alias("doc_id"), F.col("page_index").cast("int").alias("page_index"), F.to_json(F.struct("new_value")).alias("params_json"),
+        F.col("field").alias("review_status"), F.array().cast("array<string>").alias("flags"), F.col("id").cast("double").alias("updated_at"),
+    )
+    for kind in ("view", "click", "signup", "purchase", "error"):
+        s.merge("pages", log.where(F.col("review_status") == kind), "updated_at")
+    s.merge("pages", log.where(~F.col("review_status").isin("view", "click", "signup", "purchase", "error")), "updated_at")
+    return s.read("pages").select("doc_id", F.col("page_index").cast("long").alias("page_index"), "review_status", F.col("updated_at").cast("long").alias("id"))
 
 
 @registered(" SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY doc, page_index, field ORDER BY created_at DESC, id DESC) AS r FROM b_decision) WHERE r = 1")

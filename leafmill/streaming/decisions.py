@@ -17,16 +17,14 @@ def latest_in_batch(rows: DataFrame) -> DataFrame:
 
 
 def into_store(stream: DataFrame, store: Store, *, checkpoint: str) -> DataStreamWriter:
-    """A writer that upserts each micro-batch of pages (table ``pages``) into ``store``.
+    """A writer that merges each micro-batch of pages (table ``pages``) into ``store``, into the buckets of its books only.
 
     A batch that is run again after a failure writes the same rows of the same keys, so it leaves the same
     table; a row older than the one in the store does not replace it.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        old = store.read("pages").select(*KEYS, F.col("updated_at").alias("__old"))
-        fresh = batch.join(old, KEYS, "left").where("__old is null or __old <= updated_at").drop("__old")
-        store.upsert("pages", fresh, [F.desc("updated_at")])
+        store.merge("pages", batch, "updated_at")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
