@@ -1,23 +1,29 @@
 """A Spark data source of page images: PNG and portable gray or colour maps, one row a page.
 
-``spark.read.format("leaf_pages").option("path", folder_or_glob).option("pages", "0-4,9").load()`` reads them;
-one partition a file, and pages that are not selected are not decoded. A portable map may hold several images,
-which are its pages. Files are opened by the executors, so the folder has to be one that all of them see;
-``decoded`` does the same to binary files that Spark has read from any store.
+``spark.read.format("leaf_pages").option("path", folder_or_glob).option("pages", "0-4,9").load()`` reads them. A
+portable map may hold several images, which are its pages. The scan is planned: small files share a task, a file over
+SPLIT_BYTES is cut by the headers of its pages into ranges of whole pages, and the options ``pages`` and ``docs`` leave out
+files and ranges before anything is read. A page is read by its place in the file, through Arrow's file systems, so
+paths may be URIs of any of those; a folder that ``page_parts`` has written is read by its manifest.
+
+``decoded`` does the same to binary files that Spark has read from any store; ``unread`` names those that give no page.
 """
 
 from __future__ import annotations
 
 import glob
+import json
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -123,25 +129,168 @@ def _row(doc: str, k: int, img: np.ndarray, dpi: float | None) -> tuple:
     return doc, k, img.shape[0], img.shape[1], img.shape[2], dpi, np.ascontiguousarray(img).tobytes()
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Bytes of a task's pages, about; bytes that are read to find a header.
+SPLIT_BYTES, HEADER_BYTES = 64 << 20, 512
+MANIFEST = "_pages.json"
+
+
+def store_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def listed(paths: list[str]) -> list[str]:
+    """``expanded`` for local paths; of a URI the file, or the files of a folder."""
+    out = []
+    for p in paths:
+        if "://" not in p:
+            out += expanded([p])
+            continue
+        fs, at = store_of(p)
+        if fs.get_file_info(at).type != pafs.FileType.Directory:
+            out.append(p)
+        else:
+            out += sorted(f"{p.rstrip('/')}/{f.base_name}" for f in fs.get_file_info(pafs.FileSelector(at)) if f.base_name.lower().endswith(EXTENSIONS))
+    return list(dict.fromkeys(out))
+
+
+@dataclass(frozen=True)
+class Page:
+    """A page's place in a file: pixels from ``start`` to ``stop``; a PNG is the whole file."""
+
+    doc: str
+    page_index: int
+    start: int
+    stop: int
+    height: int = 0
+    width: int = 0
+    channels: int = 0
+    dpi: float | None = None
+
+
+def places(f, size: int, doc: str) -> Iterator[Page]:
+    """The pages of an open file by their headers alone."""
+    if f.read(8) == b"\x89PNG\r\n\x1a\n":
+        yield Page(doc, 0, 0, size)
+        return
+    at, k = 0, 0
+    while at < size:
+        m, n = None, HEADER_BYTES
+        while m is None and n < 1 << 20:
+            f.seek(at)
+            head = f.read(n)
+            m, n = HEADER.match(head), (n * 8 if len(head) == n else 1 << 20)
+        if m is None:
+            return
+        c, w, h = 3 if m[1] == b"6" else 1, int(m[2]), int(m[3])
+        if int(m[4]) > 255:
+            raise ValueError("only 8-bit images")
+        yield Page(doc, k, at + m.end(), at + m.end() + h * w * c, h, w, c)
+        at, k = at + m.end() + h * w * c, k + 1
+
+
+def read_page(f, p: Page) -> tuple:
+    f.seek(p.start)
+    data = f.read(p.stop - p.start)
+    if not p.channels:
+        return _row(p.doc, p.page_index, *png(data))
+    img = np.frombuffer(data, np.uint8).reshape(p.height, p.width, p.channels)
+    return _row(p.doc, p.page_index, img[:, :, ::-1] if p.channels == 3 else img, p.dpi)
+
+
+@dataclass
+class Wanted:
+    """The pages and docs that a scan asks for; null is all."""
+
+    ranges: list[tuple[int, int]] | None = None
+    docs: set[str] | None = None
+
+    def doc(self, doc: str) -> bool:
+        return self.docs is None or doc in self.docs
+
+    def page(self, k: int) -> bool:
+        return self.ranges is None or any(a <= k <= z for a, z in self.ranges)
+
+
+@dataclass
+class Split(InputPartition):
+    """Whole small files, or ranges of pages of large ones by their places."""
+
+    files: list[tuple[str, str, int]] = field(default_factory=list)
+    pages: list[tuple[str, Page]] = field(default_factory=list)
+
+    def __post_init__(self):
+        super().__init__(None)
 
 
 class PageReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths, self.ranges = options["path"].split(";"), page_numbers(options.get("pages"))
+        self.paths, self.split = options["path"].split(";"), int(options.get("splitBytes", SPLIT_BYTES))
+        docs = options.get("docs")
+        self.wanted = Wanted(page_numbers(options.get("pages")), None if docs is None else set(json.loads(docs)))
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in expanded(self.paths)]
+        out, room = [], 0
+        manifests = [p for p in self.paths if store_of(p)[0].get_file_info(f"{store_of(p)[1].rstrip('/')}/{MANIFEST}").is_file]
+        for path in listed([p for p in self.paths if p not in manifests]):
+            fs, at = store_of(path)
+            size = fs.get_file_info(at).size
+            if not self.wanted.doc(path):
+                continue
+            if size <= self.split:
+                if size > room:
+                    out.append(Split())
+                    room = self.split
+                out[-1].files.append((path, path, size))
+                room -= size
+                continue
+            with fs.open_input_file(at) as f:
+                out += self._cut((path, p) for p in places(f, size, path))
+            room = 0
+        for folder in manifests:
+            out += self._of_manifest(folder)
+        return out
+
+    def _cut(self, pages: Iterable[tuple[str, Page]]) -> list[Split]:
+        """Splits of neighbouring wanted pages."""
+        out, held = [], self.split + 1
+        for path, p in pages:
+            if self.wanted.page(p.page_index) and self.wanted.doc(p.doc):
+                if held + p.stop - p.start > self.split:
+                    out.append(Split())
+                    held = 0
+                out[-1].pages.append((path, p))
+                held += p.stop - p.start
+        return out
+
+    def _of_manifest(self, folder: str) -> list[Split]:
+        fs, at = store_of(folder)
+        with fs.open_input_file(f"{at.rstrip('/')}/{MANIFEST}") as f:
+            parts = json.loads(f.read())["parts"]
+        out = []
+        for part in parts:
+            if self.wanted.docs is not None and not any(part["first"][0] <= d <= part["last"][0] for d in self.wanted.docs):
+                continue
+            with fs.open_input_file(f"{at.rstrip('/')}/{part['index']}") as f:
+                index = [Page(**json.loads(x)) for x in f.read().decode().splitlines()]
+            out += self._cut((f"{folder.rstrip('/')}/{part['file']}", p) for p in index)
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition is None:
             return
-        with open(partition.path, "rb") as f:
-            data = f.read()
-        for k, img, dpi in images(partition.path, data, self.ranges):
-            yield _row(partition.path, k, img, dpi)
+        for path, doc, size in partition.files:
+            fs, at = store_of(path)
+            with fs.open_input_file(at) as f:
+                found = [p for p in places(f, size, doc) if self.wanted.page(p.page_index)]
+                for p in found:
+                    yield read_page(f, p)
+        now, f = None, None
+        for path, p in partition.pages:
+            if path != now:
+                fs, at = store_of(path)
+                now, f = path, fs.open_input_file(at)
+            yield read_page(f, p)
 
 
 class PageSource(DataSource):
@@ -156,6 +305,17 @@ class PageSource(DataSource):
         return PageReader(self.options)
 
 
+def scan(spark: SparkSession, path: str, *, pages: str | None = None, docs: list[str] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Pages (SCHEMA) of files, folders or globs, separated by semicolons; only some ``pages`` and ``docs`` if they are named.
+
+    What is wanted is given here and not by filters: Spark 4.1 keeps the filters that a Python source has
+    taken over for every later use of the same DataFrame.
+    """
+    spark.dataSource.register(PageSource)
+    options = {"path": path, "splitBytes": str(split_bytes)} | ({} if pages is None else {"pages": pages}) | ({} if docs is None else {"docs": json.dumps(docs)})
+    return spark.read.format("leaf_pages").options(**options).load()
+
+
 def decoded(files: DataFrame, spec: str | None = None) -> DataFrame:
     """Pages (SCHEMA) of ``spark.read.format("binaryFile")`` rows (path, content); files of another kind give no row."""
     ranges = page_numbers(spec)
@@ -171,6 +331,23 @@ def decoded(files: DataFrame, spec: str | None = None) -> DataFrame:
     return files.select("path", "content").mapInArrow(read, SCHEMA)
 
 
+def unread(files: DataFrame) -> DataFrame:
+    """path, reason of ``binaryFile`` rows that give no page: another format, or a broken file."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                try:
+                    if next(images(path, data or b""), None) is None:
+                        out.append((path, "no format that is read"))
+                except Exception as e:  # any broken file is a row, none ends the job
+                    out.append((path, f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_pydict({"path": pa.array([x[0] for x in out], pa.string()), "reason": pa.array([x[1] for x in out], pa.string())})
+
+    return files.select("path", "content").mapInArrow(check, "path string, reason string")
+
+
 def ocr_scale(dpi, height, width):
     """How far a page shrinks for recognition: to OCR_DPI if finer, else to a side of OCR_SIDE if longer, else not."""
     longest = F.greatest(height, width)
