@@ -106,6 +106,12 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def may_be_like(a: Column, b: Column, least: float) -> Column:
+    """False where the lengths alone keep ``likeness`` under ``least``."""
+    m, n = F.char_length(a), F.char_length(b)
+    return F.coalesce((n > 0) & (2 * F.least(m, n) >= least * (m + n)), F.lit(False))
+
+
 def collapsed(symbols: Column, charset: str) -> Column:
     """Greedy decoding of a line reader: repeats and the blank (0) go, symbol k is character k of ``charset`` from 1."""
     before = F.concat(F.array(F.lit(0)), F.slice(symbols, F.lit(1), F.greatest(F.size(symbols) - 1, F.lit(0))))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import numerals
 from leafmill.operators.candidates import BOX
+from leafmill.operators.graph import cut
 from leafmill.operators.sequence import gaps
 
 LEAST_VOTES, VOTE_SHARE, OVERRUN = 3, 0.3, 50
@@ -128,15 +129,16 @@ def resolve(pages: DataFrame, cands: DataFrame) -> DataFrame:
     place (a box where numbers stand, without a number) or null. Each page's best candidate of every pass comes
     from one aggregation; the first pass that has one decides.
     """
-    band = voted(in_band(pages, cands)).where("d_off is not null")
+    band = cut(voted(in_band(pages, cands)).where("d_off is not null"))
     model = position_model(anchors(band))
     modelled = model.select("doc").distinct().withColumn("modelled", F.lit(True))
     band = band.join(model, ["doc", "parity"], "left").join(modelled, "doc", "left")
     place = F.coalesce(inside(*map(F.col, ("mx", "sx", "my", "sy"))), F.lit(False))
     expected = F.col("i") + F.col("d_off")
-    odd = place & F.col("v").isNull() & (expected > 0) & (F.coalesce("text", F.lit("")) != "")
-    like = numerals.likeness(F.when(odd, expected.cast("string")), F.when(odd, F.col("text")))
-    band = band.withColumns({"place": place, "like": like})
+    band = band.withColumn("place", place)
+    odd = band.where(F.col("place") & F.col("v").isNull() & (expected > 0) & numerals.may_be_like(expected.cast("string"), F.col("text"), LIKE_ENOUGH))
+    like = odd.select("doc", "i", "ord", numerals.likeness(expected.cast("string"), F.col("text")).alias("like"))
+    band = band.join(like.groupBy("doc", "i", "ord").agg(F.max("like").alias("like")), ["doc", "i", "ord"], "left")
 
     most = F.col("votes")
     of_dominant = F.col("kind") == F.col("d_kind")

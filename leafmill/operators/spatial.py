@@ -6,10 +6,11 @@ cell that both touch only.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.graph import cut
+
 BOX = ("x0", "y0", "x1", "y1")
 SAME_IOU, COVERED, HINT, HOLE, NMS_IOU = 0.3, 0.5, 0.3, 0.15, 0.55
 RANKED = 12
@@ -92,25 +93,29 @@ def first_copies(rows: DataFrame, keys: list[str], same: str) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def distinct_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Boxes in order of y0, x0 and area, each kept unless it overlaps a kept one by an IoU over NMS_IOU.
+def distinct_boxes(boxes: DataFrame, keys: list[str], *, cell: float = 256.0, rounds: int = 1000) -> DataFrame:
+    """Boxes (keys, pos, box) in order of y0, x0, area and pos, each kept unless it overlaps an earlier kept one by an IoU over NMS_IOU.
 
-    The choice depends on all earlier choices of the page, so a page is one group of at most its boxes.
+    Only boxes that overlap so much are looked at together. A round drops those with a kept earlier one
+    and keeps those all of whose earlier ones are dropped; it ends when none is open, so there are as many rounds as
+    the longest chain of overlaps that hang on each other.
     """
-
-    def kept(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(__a=(rows.x1 - rows.x0) * (rows.y1 - rows.y0)).sort_values(["y0", "x0", "__a", "pos"], kind="stable")
-        held: list[int] = []
-        v = rows[list(BOX)].to_numpy(float)
-        for i in range(len(v)):
-            b, k = v[i], v[held]
-            inner = (k[:, 2].clip(max=b[2]) - k[:, 0].clip(min=b[0])).clip(min=0) * (k[:, 3].clip(max=b[3]) - k[:, 1].clip(min=b[1])).clip(min=0) if held else []
-            union = [(b[2] - b[0]) * (b[3] - b[1]) + (x[2] - x[0]) * (x[3] - x[1]) - n for x, n in zip(k, inner, strict=True)] if held else []
-            if not any(n > 0 and n / max(u, 1.0) > NMS_IOU for n, u in zip(inner, union, strict=True)):
-                held.append(i)
-        return rows.iloc[held].drop(columns="__a")
-
-    return boxes.groupBy(*keys).applyInPandas(kept, boxes.schema)
+    order = lambda b: F.struct(F.col(f"{b}.y0"), F.col(f"{b}.x0"), ((F.col(f"{b}.x1") - F.col(f"{b}.x0")) * (F.col(f"{b}.y1") - F.col(f"{b}.y0"))).alias("area"), F.col(f"{b}.pos"))
+    pair = meeting(boxes, boxes, keys, cell=cell).where(order("a") < order("b")).where(iou(F.col("a"), F.col("b"), least_union=1.0) > NMS_IOU)
+    open_ = cut(pair.select(*keys, F.col("a.pos").alias("before"), F.col("b.pos").alias("pos")).distinct())
+    dropped = None
+    for _ in range(rounds):
+        if open_.isEmpty():
+            break
+        # Whatever has no open or kept one before it is kept, and what comes after such a one is dropped.
+        free = open_.select(*keys, F.col("before").alias("pos")).distinct().join(open_.select(*keys, "pos").distinct(), [*keys, "pos"], "left_anti")
+        gone = cut(open_.join(free.withColumnRenamed("pos", "before"), [*keys, "before"], "left_semi").select(*keys, "pos").distinct())
+        dropped = gone if dropped is None else dropped.union(gone)
+        rest = open_.join(gone, [*keys, "pos"], "left_anti").join(gone.withColumnRenamed("pos", "before"), [*keys, "before"], "left_anti")
+        open_ = cut(rest.select(*keys, "before", "pos"))
+    else:
+        raise RuntimeError(f"overlaps hang on each other over more than {rounds} rounds")
+    return boxes if dropped is None else boxes.join(dropped, [*keys, "pos"], "left_anti").select(*boxes.columns)
 
 
 def ranked_candidates(boxes: DataFrame, keys: list[str], *, most: int = RANKED) -> DataFrame:
@@ -165,40 +170,56 @@ def nearest_centre(value: Column, centres: Column) -> Column:
     return F.array_position(d, F.array_min(d)) - 1
 
 
-def position_clusters(cands: DataFrame, *, near_x: float = 0.055, near_y: float = 0.030, least: int = 3, least_offset: int = 2) -> DataFrame:
-    """``cands`` (doc, i, ord, band, kind, v, fx, fy) of each book's best place cluster.
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def place_clusters(cands: DataFrame, *, near_x: float, near_y: float) -> DataFrame:
+    """``cands`` (doc, i, ord, band, v, fx, fy and more) with ``x`` (mirrored) and ``cluster``, the number of their place in doc and band.
 
-    Candidates join the nearest running centre of their band in page order, or open one; a cluster of ``least``
-    pages scores four times its best offset's pages, plus its pages, less twenty times its spread. The order
-    decides, so a book is one group.
+    In order of page and ``ord`` a candidate joins the place whose mean so far is nearest, the first of equals, if both
+    distances are within reach, and moves the mean; else it opens a place. An array of places is carried along one
+    array of candidates, so a band of a book is one row.
     """
+    row = F.struct("i", "ord", mirrored(F.col("fx")).alias("x"), F.col("fy").alias("y"), F.struct(*cands.columns).alias("row"))
+    runs = cands.where("v IS NOT NULL").groupBy("doc", "band").agg(F.array_sort(F.collect_list(row)).alias("run"))
+    place = "struct<x:double,y:double,n:int>"
+    start = F.struct(F.array().cast(f"array<{place}>").alias("places"), F.array().cast("array<int>").alias("at"))
 
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[dict] = []
-        for row in rows.sort_values(["i", "ord"]).itertuples():
-            x, y = min(row.fx, 1 - row.fx), row.fy
-            near = [(abs(x - c["x"]) / near_x + abs(y - c["y"]) / near_y, k) for k, c in enumerate(clusters) if c["band"] == row.band and abs(x - c["x"]) <= near_x and abs(y - c["y"]) <= near_y]
-            if near:
-                c = clusters[min(near)[1]]
-            else:
-                clusters.append(c := {"band": row.band, "x": x, "y": y, "rows": []})
-            c["rows"].append((row.Index, row.i, (row.kind, row.v - row.i), x, y))
-            c["x"] += (x - c["x"]) / len(c["rows"])
-            c["y"] += (y - c["y"]) / len(c["rows"])
-        top, chosen = 0.0, []
-        for c in clusters:
-            pages: dict = {}
-            for _, i, offset, *_ in c["rows"]:
-                pages.setdefault(offset, set()).add(i)
-            seen, support = len({r[1] for r in c["rows"]}), max(map(len, pages.values()))
-            xs, ys = [r[3] for r in c["rows"]], [r[4] for r in c["rows"]]
-            score = 4.0 * support + seen - 20.0 * (max(xs) - min(xs) + max(ys) - min(ys))
-            if seen >= least and support >= least_offset and score > top:
-                top, chosen = score, [r[0] for r in c["rows"]]
-        return rows.loc[chosen]
-
-    return cands.where("v is not null").groupBy("doc").applyInPandas(best, cands.schema)
+    def step(s: Column, e: Column) -> Column:
+        dx, dy = (lambda p: F.abs(e["x"] - p["x"])), (lambda p: F.abs(e["y"] - p["y"]))
+        away = F.transform(s["places"], lambda p: F.when((dx(p) <= near_x) & (dy(p) <= near_y), dx(p) / near_x + dy(p) / near_y))
+        found = _let(away, lambda d: F.coalesce(F.array_position(d, F.array_min(d)), F.lit(0)).cast("int"))
 
+        def moved(k: Column) -> Column:
+            mean = lambda p: F.struct((p["x"] + (e["x"] - p["x"]) / (p["n"] + 1)).alias("x"), (p["y"] + (e["y"] - p["y"]) / (p["n"] + 1)).alias("y"), (p["n"] + 1).alias("n"))
+            joined = F.transform(s["places"], lambda p, j: F.when(j + 1 == k, mean(p)).otherwise(p))
+            new = F.concat(s["places"], F.array(F.struct(e["x"], e["y"], F.lit(1).alias("n")).cast(place)))
+            opened = F.when(k == 0, F.size(s["places"]) + 1).otherwise(k)
+            return F.struct(F.when(k == 0, new).otherwise(joined).alias("places"), F.concat(s["at"], F.array(opened)).alias("at"))
+
+        return _let(found, moved)
+
+    numbered = runs.withColumn("at", F.aggregate("run", start, step, lambda s: s["at"]))
+    each = numbered.select(F.explode(F.arrays_zip("run", "at")).alias("z"))
+    return each.select("z.run.row.*", F.col("z.run.x").alias("x"), F.col("z.at").alias("cluster"))
+
+
+def position_clusters(cands: DataFrame, *, near_x: float = 0.055, near_y: float = 0.030, least: int = 3, least_offset: int = 2) -> DataFrame:
+    """``cands`` (doc, i, ord, band, kind, v, fx, fy) of each book's best place: of those on ``least`` pages, whose most common offset
+    (kind and v - i) is on ``least_offset``, the one with the highest four times that offset's pages plus its pages less
+    twenty times its spread, if above 0; of equals the one opened first.
+    """
+    key = ["doc", "band", "cluster"]
+    all_ = place_clusters(cands, near_x=near_x, near_y=near_y)
+    offset = all_.groupBy(*key, "kind", (F.col("v") - F.col("i")).alias("off")).agg(F.count_distinct("i").alias("n")).groupBy(*key).agg(F.max("n").alias("support"))
+    spread = F.max("x") - F.min("x") + F.max("fy") - F.min("fy")
+    size = all_.groupBy(*key).agg(F.count_distinct("i").alias("pages"), spread.alias("spread"), F.min(F.struct("i", "ord")).alias("first"))
+    score = 4.0 * F.col("support") + F.col("pages") - 20.0 * F.col("spread")
+    fit = size.join(offset, key).where((F.col("pages") >= least) & (F.col("support") >= least_offset)).withColumn("score", score).where("score > 0")
+    rank = Window.partitionBy("doc").orderBy(F.desc("score"), "first", "band")
+    top = fit.withColumn("__r", F.row_number().over(rank)).where("__r = 1").select(*key)
+    return all_.join(top, key, "left_semi").select(*cands.columns)
 
 
 def best_of(rows: DataFrame, keys: list[str], score: str, order: str) -> DataFrame:

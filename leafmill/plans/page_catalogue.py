@@ -23,7 +23,7 @@ def registered(sql: str | None):
     def keep(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = f"WITH {SQL}, {pb.SQL} {sql}"
+            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {SQL}, {pb.SQL} {sql}"
         return f
 
     return keep
@@ -99,16 +99,41 @@ def folio_resolved(spark, d):
     return folio_resolve.resolve(pb.b_leaf(spark, d), pb.b_cand(spark, d)).select("doc", "i", "number", "kind", "pass")
 
 
+#: A text that is the expected number and one letter is as like as 2n to 2n + 1; with another number it stays under 0.7.
+_WORN = ", b_worn AS (SELECT doc, i, ord, band, CASE WHEN ord = 0 AND i % 7 = 5 THEN NULL ELSE kind END AS kind, CASE WHEN ord = 0 AND i % 7 = 5 THEN NULL ELSE v END AS v, CASE WHEN ord = 0 AND i % 7 = 5 THEN v || 'X' ELSE CAST(v AS VARCHAR) END AS text, x0, y0 FROM b_cand)" + _PASS.replace("b_cand", "b_worn").replace(
+    "held AS (SELECT doc, i FROM one UNION SELECT doc, i FROM two)",
+    "rsc AS (SELECT * FROM (SELECT al.*, row_number() OVER (PARTITION BY doc, i ORDER BY ord) AS r FROM al WHERE inside AND v IS NULL AND i + d_off > 0 AND text = (i + d_off) || 'X' AND i + d_off > 9 AND NOT EXISTS (SELECT 1 FROM one o WHERE o.doc = al.doc AND o.i = al.i) AND NOT EXISTS (SELECT 1 FROM two o WHERE o.doc = al.doc AND o.i = al.i)) WHERE r = 1),\nheld AS (SELECT doc, i FROM one UNION SELECT doc, i FROM two UNION SELECT doc, i FROM rsc)",
+).replace("UNION ALL SELECT doc, i, NULL, NULL, 'place' FROM spot", "UNION ALL SELECT doc, i, i + d_off, d_kind, 'rescued' FROM rsc UNION ALL SELECT doc, i, NULL, NULL, 'place' FROM spot")
+
+
+@registered(f"{_WORN} SELECT p.book_id AS doc, p.page_index AS i, number, r.kind, r.pass FROM b_page p LEFT JOIN res r ON r.doc = p.book_id AND r.i = p.page_index")
+def folio_rescued(spark, d):
+    """``folio_resolved`` where every seventh page's number came out as no number, with a letter at its end."""
+    c = pb.b_cand(spark, d)
+    worn = (F.col("ord") == 0) & (F.col("i") % 7 == 5)
+    c = c.withColumns({"text": F.when(worn, F.concat(F.col("v"), F.lit("X"))).otherwise(F.col("v").cast("string")), "kind": F.when(~worn, F.col("kind")), "v": F.when(~worn, F.col("v"))})
+    return folio_resolve.resolve(pb.b_leaf(spark, d), c).select("doc", "i", "number", "kind", "pass")
+
+
 @registered(f"{_PASS}, l AS (SELECT doc, kind, i AS page_index, lag(number) OVER w AS prev_value, number, (number - lag(number) OVER w) - (i - lag(i) OVER w) AS missing FROM res WHERE number IS NOT NULL WINDOW w AS (PARTITION BY doc, kind ORDER BY i, number)) SELECT *, 'p' || page_index || ': page number ' || prev_value || ' -> ' || number || ' (~' || missing || ' page(s) may be missing)' AS message FROM l WHERE missing > 1 AND number > prev_value")
 def folio_gap_warnings(spark, d):
     return folio_resolve.gap_warnings(folio_resolve.resolve(pb.b_leaf(spark, d), pb.b_cand(spark, d)))
 
 
+@registered(None)
+def folio_place_clusters(spark, d):
+    """Candidates of each book's best place; places depend on their order, so tests hold it against a plain loop."""
+    c = pb.b_cand(spark, d)
+    at = c.withColumns({"fx": (F.col("x0") + F.col("x1")) / 2 / 1000, "fy": (F.col("y0") + F.col("y1")) / 2 / 1000})
+    return spatial.position_clusters(at.select("doc", "i", "ord", "band", "kind", "v", "fx", "fy")).select("doc", "i", "ord", "band")
+
+
 @registered(None)
 def folio_fuzzy_rescue(spark, d):
     """Words of documents against the number that their page should print; similarity is no SQL function."""
     tok = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "[^0-9A-Za-z]+")).alias("i", "tok")).where("tok rlike '^[0-9][0-9A-Za-z]*$'")
-    return tok.select("doc_id", "i", "tok", F.round(numerals.likeness(F.col("i").cast("string"), F.col("tok")), 6).alias("like")).where(F.col("like") >= folio_resolve.LIKE_ENOUGH)
+    near = tok.where(numerals.may_be_like(F.col("i").cast("string"), F.col("tok"), folio_resolve.LIKE_ENOUGH))
+    return near.select("doc_id", "i", "tok", F.round(numerals.likeness(F.col("i").cast("string"), F.col("tok")), 6).alias("like")).where(F.col("like") >= folio_resolve.LIKE_ENOUGH)
 
 
 # Numerals ---------------------------------------------------------------------------------------
@@ -406,9 +431,14 @@ def hole_semi(spark, d):
     return spatial.over_text(*_crowded(spark, d), ["page"]).select("page", "pos")
 
 
-@registered(None)
+@registered(f"""{_BX}, o AS (SELECT page, {{'pos': pos, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} AS s, kind, row_number() OVER (PARTITION BY page ORDER BY y0, x0, (x1 - x0) * (y1 - y0), pos) AS r FROM bx),
+st AS (SELECT page, 1 AS r, [s] AS kept FROM o WHERE r = 1 UNION ALL SELECT o.page, o.r, CASE WHEN len(list_filter(kept, lambda k: greatest(0, least(k.x1, o.s.x1) - greatest(k.x0, o.s.x0)) * greatest(0, least(k.y1, o.s.y1) - greatest(k.y0, o.s.y0))
+    > 0.55 * greatest(1, (k.x1 - k.x0) * (k.y1 - k.y0) + (o.s.x1 - o.s.x0) * (o.s.y1 - o.s.y0) - greatest(0, least(k.x1, o.s.x1) - greatest(k.x0, o.s.x0)) * greatest(0, least(k.y1, o.s.y1) - greatest(k.y0, o.s.y0))))) = 0 THEN list_append(kept, o.s) ELSE kept END
+    FROM st JOIN o ON o.page = st.page AND o.r = st.r + 1),
+kp AS (SELECT page, unnest(arg_max(kept, r)).pos AS pos FROM st GROUP BY page)
+SELECT bx.* FROM bx JOIN kp USING (page, pos)""")
 def nms_dedupe(spark, d):
-    """Greedy in order of place; held against a plain loop in tests."""
+    """Greedy in order of place."""
     a, b = _crowded(spark, d)
     return spatial.distinct_boxes(a.unionByName(b), ["page"])
 
