@@ -14,11 +14,14 @@ their ids, so the merge is exact for ties too.
 Defined cases: vectors that are null, empty or hold a null, NaN or infinity take no part, nor do null
 ids; vectors of unequal length are compared over the components that both have; k above the number
 of rows gives all; rows that share an id are rows of their own, each with its own ranks as a query (equal
-rows ask once), and a query skips all rows of its id; other columns, whatever their names, play no part.
+rows ask once), and a query skips all rows of its id; a block with values too far apart for segments, or too
+large for exact sums in doubles, is scored whole in integers of any size, and a score beyond a long's range is
+given as its end; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,8 @@ SHIFT = 2
 BLOCK_ROWS, QUERY_ROWS = 4096, 256
 #: Query blocks that one copy of an index block serves, and the tasks that pairs of blocks are dealt to at most.
 ASKED_BLOCKS, MOST_TASKS = 16, 2048
+#: Widest range of quantised values of a block that has segments.
+WIDEST = 1 << 15
 #: Rows left for each of the k wanted at which exact scoring is cheaper than walking on.
 RESCORED = 4
 #: Contributions down to which segments are walked between looks at the bounds, as parts of the largest one.
@@ -56,6 +61,10 @@ class Index:
         coarse = np.take_along_axis(self.rows, self.postings.T.astype(np.int64), axis=0).T >> SHIFT
         self.base = (coarse.astype(np.int64) << SHIFT).ravel()
         self.low, self.high = int(coarse.min()), int(coarse.max())
+        self.largest = max(abs(int(self.rows.min())), abs(int(self.rows.max())))
+        if self.high - self.low > WIDEST:
+            self.above = None
+            return
         #: above[d, c - low]: rows of dimension d whose quantised impact is at least c.
         dims, width = coarse.shape[0], self.high - self.low + 2
         flat = (coarse - self.low) + width * np.arange(dims)[:, None]
@@ -83,6 +92,8 @@ class Index:
         least = min(k, int(other.sum()))
         if not least:
             return []
+        if self.above is None or dims * self.largest * max(1, abs(int(q.min())), abs(int(q.max()))) >= 1 << 53:
+            return self._plain(q, np.flatnonzero(other), k)
         part = (1 << SHIFT) - 1
         first, last = self.rows[self.postings[:, 0], np.arange(dims)], self.rows[self.postings[:, -1], np.arange(dims)]
         bottom = np.where(q >= 0, q * (last >> SHIFT << SHIFT), q * ((first >> SHIFT << SHIFT) + part))
@@ -122,6 +133,13 @@ class Index:
         pick = np.lexsort((self.ids[rows], -scores))[:k]
         return [(int(scores[i]), int(self.ids[rows[i]])) for i in pick]
 
+    def _plain(self, q: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The k best by sums of any size, for values that segments and doubles do not hold exactly."""
+        use = np.flatnonzero(q)
+        scores = (self.rows[rows][:, use].astype(object) * q[use].astype(object)).sum(axis=1) if len(use) else np.zeros(len(rows), object)
+        best = heapq.nsmallest(k, zip((-int(s) for s in scores), self.ids[rows].tolist(), strict=True))
+        return [(max(-(1 << 63), min((1 << 63) - 1, -s)), i) for s, i in best]
+
 
 def _stack(vectors: list[list[int]]) -> np.ndarray:
     dims = max(map(len, vectors))
