@@ -9,7 +9,7 @@ The settings are chosen by cross-validation inside the rows that labels may be l
 third has no part in it.
 
 Defined cases: null or empty text, or one without words, has only the bias and so the base rate as
-its score; null ids score like others; repeated rows give repeated rows; labels that are null or
+its score; null ids score like others, ids may be of any type (labels' ids are read as documents' are); repeated rows give repeated rows; labels that are null or
 without a document are not used; a document labelled twice counts as toxic if any label says so;
 without any usable label each score is 0.5; a text of any length counts whole, each feature once; an empty
 table gives an empty result; other columns, whatever their names, play no part.
@@ -109,21 +109,24 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, **optio
 
     Only the ids and the coordinates of that bounded sample reach the driver.
     """
+    kind = docs.schema["doc_id"].dataType
+    key = F.col("doc_id") if labels.schema["doc_id"].dataType == kind else F.col("doc_id").try_cast(kind)
     sample = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .groupBy(key.alias("doc_id"))
         .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        .where("doc_id IS NOT NULL")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = [features(t).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "at": pa.array(at, pa.binary())})
 
-    got = picked.mapInArrow(coordinates, "doc_id long, toxic int, at binary").toArrow()
+    got = picked.mapInArrow(coordinates, f"doc_id {kind.simpleString()}, toxic int, at binary").toArrow()
     # Arrow's rows one batch at a time: the driver holds the sample twice at most.
     found = sorted({(r["doc_id"], r["at"], r["toxic"]) for b in got.to_batches(max_chunksize=256) for r in b.to_pylist()})
     del got
