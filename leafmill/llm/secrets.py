@@ -3,8 +3,7 @@
 Every text is scanned for credential patterns. A candidate is known by a hash of its value only; the
 hashes are summed over the corpus: how many distinct repositories (sources) and owners hold a value,
 and how many documents. A value that many repositories and owners carry is an example that was copied
-around; one that stays with an owner is a live one. A value that no assignment or URL names a secret and
-that has less than LIVE_BITS bits a character is an example too.
+around; one that stays with an owner is a live one. Ownership alone decides; the entropy of a value is reported beside it.
 
 Repository is the ``source`` column and owner its part before the first ``/``; both are parameters.
 
@@ -40,16 +39,30 @@ MORE = {
     "vcs": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}"),
     "chat": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     "pay": re.compile(r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    "url": re.compile(r"[a-z][a-z0-9+.-]{1,30}://[^\s/:@]{1,64}:([^\s/:@]{6,128})@"),
 }
-KINDS = ("assign", "access", "hex", *MORE)
+#: A password in a URL, from its ``://``; the scheme is the run of letters before it.
+USER = re.compile(r"://[^\s/:@]++:([^\s/:@]{6,}+)@")
+SCHEME, LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-"), frozenset("abcdefghijklmnopqrstuvwxyz")
+KINDS = ("assign", "access", "hex", *MORE, "url")
 BASE = KINDS[:3]
 #: What must be in a text for an added kind to be in it.
-CUES = {"pem": "PRIVATE KEY", "jwt": "eyJ", "vcs": "", "chat": "xox", "pay": "k_", "url": "://"}
-#: An example if at least so many repositories and owners hold the value, or it is no random string and nothing names it.
-EXAMPLE_REPOSITORIES, EXAMPLE_OWNERS, LIVE_BITS = 5, 3, 2.5
-#: Kinds that name their value a secret: ownership alone decides, as short passwords have few bits.
-NAMED = ("assign", "url")
+CUES = {"pem": "PRIVATE KEY", "jwt": "eyJ", "vcs": "", "chat": "xox", "pay": "k_"}
+#: An example if at least so many repositories and owners hold the value.
+EXAMPLE_REPOSITORIES, EXAMPLE_OWNERS = 5, 3
+
+
+def url_passwords(text: str) -> list[tuple[str, int, int, str]]:
+    """Spans of ``scheme://user:password@``, parts of any length, in time in proportion to the text."""
+    out = []
+    for m in USER.finditer(text):
+        start = m.start()
+        while start and text[start - 1] in SCHEME:
+            start -= 1
+        while start < m.start() and text[start] not in LETTERS:
+            start += 1
+        if m.start() - start >= 2:
+            out.append(("url", start, m.end(), m[1]))
+    return out
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, str]]:
@@ -63,6 +76,8 @@ def spans(text: str | None) -> list[tuple[str, int, int, str]]:
     for kind, pattern in MORE.items():
         if CUES[kind] in text:
             found += [(kind, m.start(), m.end(), m[pattern.groups]) for m in pattern.finditer(text)]
+    if "://" in text:
+        found += url_passwords(text)
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(found, key=lambda s: (s[1], rank[s[0]]))
 
@@ -110,15 +125,13 @@ def _sha256(value: str) -> str:
 
 def ownership(scanned: DataFrame) -> DataFrame:
     """value_sha256, n_repositories, n_owners, n_spans, bits, is_example: over all rows of ``scan``."""
-    each = scanned.where(F.size("found") > 0).select("source", F.explode("found").alias("f")).select("source", "f.value_sha256", "f.bits", F.col("f.kind").isin(*NAMED).alias("named"))
-    by_repository = each.groupBy("value_sha256", "source").agg(F.count("*").alias("n"), F.max("bits").alias("bits"), F.max("named").alias("named"))
+    each = scanned.where(F.size("found") > 0).select("source", F.explode("found").alias("f")).select("source", "f.value_sha256", "f.bits")
+    by_repository = each.groupBy("value_sha256", "source").agg(F.count("*").alias("n"), F.max("bits").alias("bits"))
     owned = by_repository.withColumn("owner", F.substring_index("source", "/", 1))
-    by_owner = owned.groupBy("value_sha256", "owner").agg(F.count("*").alias("r"), F.sum("n").alias("n"), F.max("bits").alias("bits"), F.max("named").alias("named"))
-    total = by_owner.groupBy("value_sha256").agg(
-        F.sum("r").alias("n_repositories"), F.count("*").alias("n_owners"), F.sum("n").alias("n_spans"), F.max("bits").alias("bits"), F.max("named").alias("named")
-    )
+    by_owner = owned.groupBy("value_sha256", "owner").agg(F.count("*").alias("r"), F.sum("n").alias("n"), F.max("bits").alias("bits"))
+    total = by_owner.groupBy("value_sha256").agg(F.sum("r").alias("n_repositories"), F.count("*").alias("n_owners"), F.sum("n").alias("n_spans"), F.max("bits").alias("bits"))
     copied = (F.col("n_repositories") >= EXAMPLE_REPOSITORIES) & (F.col("n_owners") >= EXAMPLE_OWNERS)
-    return total.withColumn("is_example", copied | ((F.col("bits") < LIVE_BITS) & ~F.col("named"))).drop("named")
+    return total.withColumn("is_example", copied)
 
 
 def _same_text(a: DataFrame, b: DataFrame):
