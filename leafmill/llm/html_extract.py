@@ -32,6 +32,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -50,7 +51,7 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td "
     "tfoot th thead tr ul".split()
 )
-CHROME = set("nav footer aside form script style noscript template head title iframe svg math button select textarea input dialog menu object canvas audio video noframes noembed".split())
+CHROME = set("nav footer aside form script style noscript template head title iframe button select textarea input dialog menu audio video noframes noembed".split())
 CHROME_WORDS = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
     "notification popup modal overlay newsletter subscribe subscription signup sidebar widget widgets nav navbar navigation navigator menu menubar "
@@ -62,6 +63,13 @@ ARTICLE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr notice notices newsletter subscribe sidebar "
     "nav navbar navigation menu breadcrumb breadcrumbs footer comment comments commentlist disqus pager pagination".split()
 )
+#: Words that say what a page has rather than what an element is, at the start of a name; and words beside a mark in names of its parts.
+LAYOUT_WORDS = set("no not has have with without hide show".split())
+PART_WORDS = set(
+    "area bar block body bottom box button close collapse column container content element expand fixed form group holder icon inner item items large left lg "
+    "link links list lg main mask md message middle mini mobile outer panel primary right row secondary section site slot sm small space sticky text title toggle "
+    "top unit wrap wrapper xl".split()
+)
 CHROME_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Elements that an opening tag of the key closes if one is open nearer than the second set.
 IMPLIED = {
@@ -139,9 +147,26 @@ def _is_chrome(name: str, a: dict[str, str], in_article: bool) -> bool:
         return True
     if a.get("role", "").lower() in CHROME_ROLES:
         return True
-    marks = f"{a.get('class', '')} {a.get('id', '')}"
-    found = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", marks)}
-    return bool(found & (ARTICLE_WORDS if in_article else CHROME_WORDS))
+    words = ARTICLE_WORDS if in_article else CHROME_WORDS
+    return any(_is_mark(x, words, name == "article") for x in f"{a.get('class', '')} {a.get('id', '')}".split())
+
+
+@lru_cache(maxsize=1 << 14)
+def _named_parts(token: str) -> tuple[str, ...]:
+    return tuple(w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", token))
+
+
+def _is_mark(token: str, words: set[str], article: bool) -> bool:
+    """Whether a class or id names a part that is no main text: its last word does (site-nav), or its first and the rest only say
+    which part of that (comment-body). Names that begin like no-sidebar or has-comments say something else, and
+    an ``article`` is marked by a name's first word only.
+    """
+    parts = _named_parts(token)
+    if not parts or parts[0] in LAYOUT_WORDS:
+        return False
+    if parts[0] in words and all(w in words or w in PART_WORDS for w in parts[1:]):
+        return True
+    return not article and parts[-1] in words
 
 
 def _hash(text: str) -> int:
@@ -211,7 +236,9 @@ def parse(source: str | None) -> Page:
         a = _attributes(m[3][:-1]) if len(m[3]) > 1 else {}
         top = stack[-1] if stack else Element("", False, False, False, 0)
         chrome = _is_chrome(name, a, top.article)
-        if chrome and not top.chrome:
+        is_main = name == "main" or a.get("role", "").lower() == "main"
+        inherited = top.chrome and not is_main  # a mark on what is around the main part is not about it
+        if chrome and not top.chrome or is_main:
             flush()  # an inline notice is no part of the block around it
         is_article = name == "article" or a.get("itemprop", "").lower() == "articlebody"
         path = _hash(f"{top.path}/{name}.{a.get('class', '')}#{a.get('id', '')}")
@@ -222,7 +249,7 @@ def parse(source: str | None) -> Page:
             at = close.end()
             continue
         if name not in VOID:
-            opened.push(Element(name, top.chrome or chrome, top.article or is_article, top.main or name == "main" or a.get("role", "").lower() == "main", path))
+            opened.push(Element(name, inherited or chrome, top.article or is_article, top.main or is_main, path))
     flush()
     return page
 

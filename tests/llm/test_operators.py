@@ -160,10 +160,10 @@ def test_secrets_ownership_and_redaction(spark):
     assert secrets.redact(d).columns == d.columns
 
 
-def test_short_named_secrets_are_live(spark):
+def test_ownership_alone_decides(spark):
     d = docs(spark, [(1, "password: letter x", "o/r"), (2, "token=ab12ab", "p/r"), (3, "0" * 30, "q/r")])
     got = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in rows_of(secrets.find_secrets(d))}
-    assert got == {1: (1, 0), 2: (1, 0), 3: (0, 1)}
+    assert got == {1: (1, 0), 2: (1, 0), 3: (1, 0)}
     assert {r["doc_id"]: r["text"] for r in rows_of(secrets.redact(d))} == {1: "[SECRET] x", 2: "[SECRET]", 3: "0" * 30}
 
 
