@@ -137,8 +137,8 @@ class Index:
         """The k best by sums of any size, for values that segments and doubles do not hold exactly."""
         use = np.flatnonzero(q)
         scores = (self.rows[rows][:, use].astype(object) * q[use].astype(object)).sum(axis=1) if len(use) else np.zeros(len(rows), object)
-        best = heapq.nsmallest(k, zip((-int(s) for s in scores), self.ids[rows].tolist(), strict=True))
-        return [(max(-(1 << 63), min((1 << 63) - 1, -s)), i) for s, i in best]
+        held = (max(-(1 << 63), min((1 << 63) - 1, int(s))) for s in scores)
+        return [(-s, i) for s, i in heapq.nsmallest(k, zip((-s for s in held), self.ids[rows].tolist(), strict=True))]
 
 
 def _stack(vectors: list[list[int]]) -> np.ndarray:

@@ -65,8 +65,9 @@ def test_topk_with_large_components(spark, large):
     whole = {k: [max(-(2**63), min(2**63 - 1, math.floor(256 * x))) for x in v] for k, v in rows}
     want = []
     for q in range(0, 120, 50):
-        s = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), k) for k, v in whole.items() if k != q)[:5]
-        want += [(q, r, k, max(-(2**63), min(2**63 - 1, -x))) for r, (x, k) in enumerate(s, 1)]
+        held = lambda x: max(-(2**63), min(2**63 - 1, x))
+        s = sorted((-held(sum(a * b for a, b in zip(whole[q], v, strict=True))), k) for k, v in whole.items() if k != q)[:5]
+        want += [(q, r, k, -x) for r, (x, k) in enumerate(s, 1)]
     assert sorted(tuple(r) for r in topk.top_k(d).select("query_id", "rank", "vec_id", "score").collect()) == want
 
 
