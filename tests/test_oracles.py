@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from leafmill.plans import catalogue, page_catalogue, sheet_catalogue
+from leafmill.plans import catalogue, page_catalogue, record_catalogue, sheet_catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -40,12 +40,12 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(map(plain, r)) for r in df.itertuples(index=False)), key=str)
 
 
-QUERIES = catalogue.QUERIES | page_catalogue.QUERIES | sheet_catalogue.QUERIES
-ORACLE_SQL = catalogue.ORACLE_SQL | page_catalogue.ORACLE_SQL | sheet_catalogue.ORACLE_SQL
+QUERIES = catalogue.QUERIES | page_catalogue.QUERIES | sheet_catalogue.QUERIES | record_catalogue.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL | page_catalogue.ORACLE_SQL | sheet_catalogue.ORACLE_SQL | record_catalogue.ORACLE_SQL
 
 
 def test_names_are_registered_once():
-    assert len(QUERIES) == sum(len(c.QUERIES) for c in (catalogue, page_catalogue, sheet_catalogue))
+    assert len(QUERIES) == sum(len(c.QUERIES) for c in (catalogue, page_catalogue, sheet_catalogue, record_catalogue))
 
 
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
