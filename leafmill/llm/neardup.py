@@ -3,9 +3,9 @@
 Shingles are runs of five words. Each shingle is a Poisson process of arrivals at the rate of its weight,
 each arrival falls on a random register, and a register keeps its first one. Two texts agree on a register
 with their probability Jaccard similarity. Processes run in blocks of arrivals and end early, once their
-next arrival is later than every register's. The similarity that links are verified by is of shingle sets,
-so the classes sign with weight 1 a shingle, whatever its repeats: bands and verification then measure
-the same thing.
+next arrival is later than every register's. A shingle weighs 1 plus the logarithm of its count, so repeated
+passages tell texts apart but do not drown the rest. Links are verified by the similarity of shingle sets: the
+weights decide which pairs meet, not which are links.
 
 1. Texts with the same words are one exact class; one row per class goes on.
 2. Signatures are cut into bands; classes that share a band are a bucket.
@@ -18,7 +18,7 @@ the same thing.
    shingles among its first n - threshold * n + 1, so texts meet only on a shingle of both these prefixes
    that several components hold, within the bounds of sizes and places, and are verified. No link in a
    bucket is lost to the choice of leaders or to an estimate. Only a pair that shares no band can be
-   lost, at similarity s with probability (1 - s**5)**24: 7e-5 at 0.8.
+   lost, at probability similarity s with probability (1 - s**5)**24: 7e-5 at 0.8.
 5. Components of all links are the classes; copies get the class of their text.
 
 A text with fewer than five words is one shingle of all its words. Defined cases: null and empty
@@ -123,10 +123,10 @@ def signatures(docs: DataFrame) -> DataFrame:
             for t in b.column("text").to_pylist():
                 key = content_key(t)
                 if key not in seen:
-                    elements = np.unique(shingles(t))
+                    elements, n = np.unique(shingles(t), return_counts=True)
                     if len(seen) >= 4096:
                         seen.clear()
-                    seen[key] = band_keys(prob_min_hash(elements, np.ones(len(elements)))) if len(elements) else np.empty(0, np.int64)
+                    seen[key] = band_keys(prob_min_hash(elements, 1 + np.log(n))) if len(elements) else np.empty(0, np.int64)
                 keys.append(key)
                 bands.append(seen[key])
             ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
