@@ -1,15 +1,15 @@
 """Licence scans of every paragraph: a trained sparse n-gram classifier, confirmed by templates.
 
 Training rows are written by rule: each name of a licence family in each wording of WORDINGS, the
-families' own clauses, statements of rights that name no family (class ``unknown``), sentences that speak
+families' own clauses and the lines that they are wrapped into, statements of rights that name no family (class ``unknown``), sentences that speak
 of licences in another sense and a bounded sample of the corpus' own paragraphs (class ``none``). A
 multinomial logistic regression with an L1 term over words and bigrams leaves few weights.
 
 A third of the wordings and of the sampled paragraphs is held out of the fit. On it the probabilities
 are calibrated by one temperature, and the bound of a family is set: above all that those held-out rows of
-``unknown`` and ``none`` reach which a template would confirm. A paragraph is reported if ``none`` is not its likeliest class; as a family
-if its probability is above the bound and it shares its n-grams with a template of that family, else as
-``unknown``.
+``unknown`` and ``none`` reach which a template would confirm. N-grams that are common in the sample, and pairs of two such words, are no features. A paragraph is reported if ``none`` is not its likeliest class; as a family
+if its probability is above the bound and a template of that family bears it out (a name of it, whole, or several
+n-grams of a clause), else as ``unknown``.
 
 The scan is one pass without shuffle. A text is looked at closer only if it has one of the trigger words:
 the weighted n-grams that are no triggers could all stand in one paragraph and still leave it ``none``, so
@@ -38,27 +38,43 @@ from pyspark.sql import functions as F
 FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "MIT": (
         ("MIT License", "MIT licence", "Expat License", "MIT"),
-        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",),
+        (
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+            "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+            "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        ),
     ),
     "Apache-2.0": (
         ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0", "Apache License", "Apache-2.0"),
-        ("you may not use this file except in compliance with the License", "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
+        (
+            "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+            "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        ),
     ),
     "GPL": (
         ("GNU General Public License", "GNU General Public License, version 2", "GNU GPL version 3", "GNU GPL", "GPL-3.0-or-later", "GPLv3", "GPL"),
-        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",),
+        (
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+            "You should have received a copy of the GNU General Public License along with this program.",
+        ),
     ),
-    "LGPL": (("GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU LGPL", "LGPL-2.1-or-later", "LGPL"), ()),
-    "AGPL": (("GNU Affero General Public License", "GNU Affero General Public License, version 3", "GNU AGPL", "AGPL-3.0-only", "AGPL"), ()),
+    "LGPL": (("GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU LGPL", "LGPL-2.1-or-later", "LGPL"), ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",)),
+    "AGPL": (("GNU Affero General Public License", "GNU Affero General Public License, version 3", "GNU AGPL", "AGPL-3.0-only", "AGPL"), ("You should have received a copy of the GNU Affero General Public License along with this program.",)),
     "BSD": (
         ("BSD 3-Clause License", "BSD 2-Clause License", "BSD license", "BSD-style license", "BSD-3-Clause", "BSD"),
-        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+        (
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+            "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+            "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+            "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        ),
     ),
     "CC-BY": (("Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "CC BY 4.0", "CC BY 3.0", "CC-BY-4.0"), ()),
     "CC-BY-SA": (("Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License", "CC BY-SA 4.0", "CC BY-SA 3.0", "CC-BY-SA-4.0"), ()),
     "CC-BY-NC": (("Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial License", "CC BY-NC 4.0", "CC BY-NC 3.0", "CC BY-NC-SA 4.0", "CC-BY-NC-4.0"), ()),
-    "CC0": (("CC0 1.0 Universal", "CC0", "Creative Commons Zero", "CC0-1.0 public domain dedication"), ()),
-    "MPL-2.0": (("Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License", "MPL-2.0"), ()),
+    "CC0": (("CC0 1.0 Universal", "CC0", "Creative Commons Zero", "CC0-1.0 public domain dedication"), ("The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law",)),
+    "MPL-2.0": (("Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License", "MPL-2.0"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",)),
+    "Unlicense": (("The Unlicense", "Unlicense"), ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose",)),
 }
 #: How texts say that a licence holds; the place of a wording in this list says whether it is held out.
 WORDINGS = (
@@ -66,6 +82,7 @@ WORDINGS = (
     "You may use this work under the {}", "Published under {}", "The {} applies to all files here", "Subject to the terms of the {}", "License: {}",
     "Dieses Werk steht unter der {} Lizenz", "Lizenziert nach {}", "Ce document est publié sous licence {}", "Distribué selon les termes de la {}",
     "Esta obra está bajo una licencia {}", "Publicado con la licencia {}", "Made available according to the {}", "Its contents are licensed under {}", "This is licensed under the {}",
+    "Veröffentlicht unter {}-Lizenz", "Lizenz: {}", "Unter der {}-Lizenz veröffentlicht",
 )
 UNKNOWN = (
     "All rights reserved by the publisher.", "All rights are reserved.", "Copyright by the authors. All rights reserved", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.",
@@ -79,10 +96,16 @@ OTHER_SENSE = (
     "Er kam mit dem Zug nach Hause.", "Mit der Zeit wird es besser.", "Das Kind spielt mit einem Ball.", "Sie spricht mit ihren Eltern.", "Ein Haus mit Garten und Hof.", "Wir reden mit allen anderen.",
 )
 CLASSES = ("none", "unknown", *FAMILIES)
-TEMPLATES = {c: (*names, *clauses) for c, (names, clauses) in FAMILIES.items()}
+#: Words of a line of a wrapped text, about, as which clauses are learned: a line each so many words.
+LINE_WORDS, LINE_STEP = 12, 6
+#: Words one of which has to stand beside a name of a single word.
+SAYING = ("license", "licence", "licensed", "licenses", "lizenz", "lizenziert", "licencia", "spdx", "terms", "termes", "copying", "published", "publicado", "publié", "available", "distributed")
 #: Sampled paragraphs of class ``none``, by a hash of the paragraph, and repeats of rows that are written once.
 NEGATIVES, REPEATS = 2_000, 6
-MIN_SHARED = 0.5
+#: A clause confirms by this share of the shorter side's n-grams, and by so many of them; a name only whole.
+MIN_SHARED, LEAST_GRAMS = 0.6, 8
+#: N-grams in this share of the sampled paragraphs are no features.
+COMMON = 0.01
 TEMPERATURES = (0.4, 0.5, 0.6, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0)
 #: Paragraphs with one of these are no sample of class ``none``.
 CUES = r"licen[sc]|lizen[sz]|copyright|permission|warrant|redistribut|rights? reserved|rechte vorbehalten|droits r|derechos reservados|\bcc by\b|\bcc0\b|\bl?a?gpl\b|\bgnu\b|creative commons|spdx|apache|mozilla"
@@ -184,10 +207,17 @@ def best(probabilities: Column) -> Column:
     return _let(probabilities, lambda v: F.array_max(F.array(*each(v))))
 
 
+def wrapped(text: str) -> list[str]:
+    """The lines that a clause may be broken into, from every LINE_STEP-th word on."""
+    words = text.split()
+    return [" ".join(words[k : k + LINE_WORDS]) for k in range(0, max(1, len(words) - LINE_STEP), LINE_STEP)]
+
+
 def written_rows() -> list[tuple[str, float, int]]:
     """(body, label, fold) by the rule above; fold 2 is held out."""
     rows = [(w.format(name), float(CLASSES.index(c)), k % 3) for c, (names, _) in FAMILIES.items() for name in names for k, w in enumerate(WORDINGS)]
     rows += [(text, float(CLASSES.index(c)), 0) for c, (_, clauses) in FAMILIES.items() for text in clauses for _ in range(REPEATS)]
+    rows += [(line, float(CLASSES.index(c)), k % 3) for c, (_, clauses) in FAMILIES.items() for text in clauses for k, line in enumerate(wrapped(text)) for _ in range(2)]
     rows += [(text, float(label), k % 3) for label, texts in ((1, UNKNOWN), (0, OTHER_SENSE)) for k, text in enumerate(texts) for _ in range(REPEATS)]
     return rows
 
@@ -204,14 +234,22 @@ def training_rows(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
 
 
 def train(docs: DataFrame, *, negatives: int = NEGATIVES) -> Model:
-    rows = training_rows(docs, negatives).withColumn("grams", grams(tokens(F.col("body")))).coalesce(1).cache()  # some thousand rows at most
+    written = training_rows(docs, negatives).withColumn("grams", grams(tokens(F.col("body")))).coalesce(1).cache()  # some thousand rows at most
+    rows, plain = written, written.where("label = 0")
+    sampled = plain.where(~F.col("body").isin(*OTHER_SENSE))
+    common = sampled.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON * max(100, sampled.count()))
+    often = _strings(sorted(r["g"] for r in common.select("g").collect()))
+    # Pairs of two common words neither: a feature then has a word that few paragraphs have.
+    rare = lambda g: ~F.array_contains(often, g) & ~F.forall(F.split(g, " "), lambda w: F.array_contains(often, w))
+    rows = rows.withColumn("grams", F.filter("grams", rare)).cache()
     fit_on, held = rows.where("fold < 2"), rows.where("fold = 2")
     vector = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 14, minDF=2.0).fit(fit_on)
     regression = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=60, standardization=False)
     fitted = regression.fit(vector.transform(fit_on).select("features", "label"))
     matrix = fitted.coefficientMatrix.toArray()
     weights = {g: [float(x) for x in matrix[:, j]] for j, g in enumerate(vector.vocabulary) if any(abs(x) > 1e-9 for x in matrix[:, j])}
-    seen = rows.where("label = 0").select(F.explode("grams").alias("g")).where(F.array_contains(_strings(sorted(weights)), F.col("g"))).groupBy("g").agg(F.count("*").alias("n"))
+    known = sorted({w for g in weights for w in (g, *g.split(" "))})
+    seen = plain.select(F.explode("grams").alias("g")).where(F.array_contains(_strings(known), F.col("g"))).groupBy("g").agg(F.count("*").alias("n"))
     model = Model(weights, [float(x) for x in fitted.interceptVector.toArray()], frequency={r["g"]: r["n"] for r in seen.collect()})
     logits = held.select("label", model.logits(F.col("grams")).alias("v"))
     loss = [F.sum(-F.log(F.greatest(F.element_at(softmax(_cooled(F.col("v"), t)), F.col("label").cast("int") + 1), F.lit(1e-12)))).alias(f"t{k}") for k, t in enumerate(TEMPERATURES)]
@@ -221,6 +259,7 @@ def train(docs: DataFrame, *, negatives: int = NEGATIVES) -> Model:
     wrong = held.where("label < 2").withColumn("b", best(model.probabilities(F.col("grams"))))
     highest = wrong.where(shared_with_template(F.col("grams"), F.col("b.family")) >= MIN_SHARED).agg(F.max("b.p")).first()[0]
     rows.unpersist()
+    written.unpersist()
     model.bound = max(0.5, float(highest or 0.0))
     return model
 
@@ -232,12 +271,19 @@ def _grams_of(text: str) -> list[str]:
 
 
 def shared_with_template(found: Column, family: Column) -> Column:
-    """The largest share of the paragraph's or a template's n-grams that both have, over the family's templates."""
+    """How far a paragraph's n-grams bear a family out: 1 if a name of it stands there whole, a name of one word beside a word of
+    SAYING; of a clause the share of the shorter side's n-grams that both have, if these are LEAST_GRAMS or more."""
+    says = F.arrays_overlap(found, _strings(SAYING))
     out = F.lit(0.0)
-    for name, texts in TEMPLATES.items():
-        own = [_strings(_grams_of(t)) for t in texts]
-        share = [F.size(F.array_intersect(found, g)) / F.greatest(F.lit(1), F.least(F.size(found), F.size(g))) for g in own]
-        out = F.when(family == name, F.greatest(*share)).otherwise(out)
+    for c, (names, clauses) in FAMILIES.items():
+        own = [(g := _grams_of(t), F.size(F.array_intersect(found, _strings(g))) == len(g)) for t in names]
+        named = [F.when(whole & (F.lit(len(g) > 1) | says), 1.0).otherwise(0.0) for g, whole in own]
+        shares = []
+        for t in clauses:
+            g = _grams_of(t)
+            shorter = F.least(F.size(found), F.lit(len(g)))
+            shares.append(_let(F.size(F.array_intersect(found, _strings(g))), lambda n: F.when(n >= LEAST_GRAMS, n / shorter).otherwise(0.0)))  # noqa: B023
+        out = F.when(family == c, F.greatest(F.lit(0.0), *named, *shares)).otherwise(out)
     return out
 
 
