@@ -2,11 +2,13 @@
 
 import threading
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import features, rebuild, store
 from leafmill.operators.commits import SNAPSHOT_EVERY, CommitLog, Snapshot
+from leafmill.sources import page_images
 from leafmill.sources.files import Files
 
 PAGE = "doc_id string, page_index int, params_json string, review_status string, flags array<string>, updated_at double"
@@ -147,3 +149,32 @@ def test_rebuild_equals_a_full_one_and_reads_changed_books(spark, s):
     again = s.version("pages")
     rebuild.rebuild(s, since=version, at=4.0)
     assert s.version("pages") == again
+
+
+def test_a_run_persists_pages_and_features(spark, s):
+    """Images of two books run into the store by two writers at a time, then one book again."""
+    words = np.full((300, 200), 255, np.uint8)
+    for y in range(40, 260, 20):
+        words[y : y + 8, 30:170] = 20
+    rows = [(b, i, 300, 200, 1, 300.0, words.tobytes()) for b in ("a", "b") for i in range(4)]
+    images = spark.createDataFrame(rows, page_images.SCHEMA)
+    regions = spark.createDataFrame([("a", i, "text", "line", "words", 0.9, None, 30.0, 40.0 + 20 * k, 170.0, 48.0 + 20 * k) for i in range(4) for k in range(3)], "doc string, page_index int, kind string, source string, ocr_text string, ocr_conf double, layout_label string, x0 double, y0 double, x1 double, y1 double")
+    failed = []
+
+    def work(book):
+        try:
+            rebuild.run(store.Store(spark, s.root), images.where(F.col("doc") == book), regions, at=1.0)
+        except Exception as e:  # shown by the main thread
+            failed.append(e)
+
+    threads = [threading.Thread(target=work, args=(b,)) for b in ("a", "b")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed and [(r["doc_id"], r["page_index"]) for r in s.pages().collect()] == [(b, i) for b in ("a", "b") for i in range(4)]
+    got = store.decoded(s.read("pages")).where("page_index = 1").orderBy("doc_id").collect()
+    assert [len(r["regions"]) for r in got] == [3, 0] and got[0]["margin"]["content"]["x0"] == 30.0 and got[0]["margin"]["crop"] is not None and got[0]["margin"]["target_w"] > 140
+    assert s.features("a").count() == 4 and s.read("region_feature").count() == 12 and s.features("a").first()["region_count"] == 3
+    rebuild.run(s, images.where("doc = 'a' AND page_index < 2"), regions, at=2.0)
+    assert s.features("a").count() == 2 and s.features("b").count() == 4 and s.pages("a").count() == 4
