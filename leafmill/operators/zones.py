@@ -30,10 +30,6 @@ RECT_COVERAGE = 0.95
 X_BITS = 31
 
 
-def place(x: Column, y: Column) -> Column:
-    return F.shiftleft(y.cast("long"), X_BITS) + x.cast("long")
-
-
 def _distinct(cells: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in cells.columns if c not in (*keys, "x", "y")]
     fit = cells.where("x >= 0 AND y >= 0")

@@ -80,6 +80,21 @@ def test_put_new_makes_a_file_once(spark, tmp_path):
     assert files.read(f"{tmp_path}/none") is None and files.names(f"{tmp_path}/none") == []
 
 
+def test_files_through_the_jvm(spark, tmp_path, monkeypatch):
+    """The way of stores that are not local, on a local folder."""
+    monkeypatch.setattr(Files, "local", staticmethod(lambda _: None))
+    files, root = Files(spark), f"file://{tmp_path}/j v"
+    assert files.names(root) == [] and files.read(f"{root}/log/1") is None and files.parts(root) == []
+    assert files.put_new(f"{root}/log/1", "é one") and not files.put_new(f"{root}/log/1", "two") and files.put_new(f"{root}/a/_x", "")
+    assert files.read(f"{root}/log/1") == "é one" and files.names(f"{root}/log") == ["1"] and files.parts(root) == ["log/1"]
+    files.delete(f"{root}/log")
+    assert files.names(root) == ["a"]
+    s = store.Store(spark, f"{root}/store")
+    s.merge("pages", pages(spark, [("d", 0, "auto", 1.0)]), "updated_at")
+    s.merge("pages", pages(spark, [("d", 0, "approved", 2.0), ("e", 1, "auto", 1.0)]), "updated_at")
+    assert held(s) == [("d", 0, "approved", 2.0), ("e", 1, "auto", 1.0)] and s.version("pages") == 1
+
+
 def test_appends_add_their_rows_only(spark, s):
     for k in range(3):
         before = set(s.log("decisions").snapshot().live)
