@@ -12,7 +12,7 @@ twice count once, with their least other values; cells with a null or negative p
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,16 +77,16 @@ def labelled(cells: DataFrame, keys: list[str], *, diagonal: bool = True, tile:
     held = _distinct(cells, keys)
     tx, ty = F.floor(F.col("x") / tile).cast("long").alias("tx"), F.floor(F.col("y") / tile).cast("long").alias("ty")
 
-    def own(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = rows["x"].to_numpy(np.int64), rows["y"].to_numpy(np.int64)
+    def own(rows: pa.Table) -> pa.Table:
+        x, y = (rows.column(c).to_numpy().astype(np.int64) for c in ("x", "y"))
         x0, y0 = x.min(), y.min()
         mask = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1), bool)
         mask[y - y0, x - x0] = True
         at = roots(mask, diagonal)[y - y0, x - x0]
-        return rows.assign(part=((at // mask.shape[1] + y0) << X_BITS) + at % mask.shape[1] + x0)
+        return rows.append_column("part", pa.array(((at // mask.shape[1] + y0) << X_BITS) + at % mask.shape[1] + x0, pa.int64()))
 
     # The first cell of a part in its tile is its name until parts are united.
-    parts = held.groupBy(*keys, tx, ty).applyInPandas(own, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema) + ", part long")
+    parts = held.groupBy(*keys, tx, ty).applyInArrow(own, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema) + ", part long")
     near = [(1, 0), (0, 1), *([(1, 1), (-1, 1)] if diagonal else [])]
     first, last = (lambda c: F.pmod(F.col(c), F.lit(tile)) == 0), (lambda c: F.pmod(F.col(c), F.lit(tile)) == tile - 1)
     rim = parts.where(first("x") | first("y") | last("x") | last("y")).select(*keys, "x", "y", "part")
@@ -160,11 +160,11 @@ def closed(cells: DataFrame, sheets: DataFrame, keys: list[str], *, radius: int
     spread = spread.withColumn("ty", F.explode(F.sequence(F.greatest(n("y", -halo), F.lit(0)), last("y", "h"))))
     columns = [c for c in spread.columns if c in keys]
 
-    def close(rows: pd.DataFrame) -> pd.DataFrame:
-        w, h, tx, ty = (int(rows[c].iloc[0]) for c in ("w", "h", "tx", "ty"))
+    def close(rows: pa.Table) -> pa.Table:
+        w, h, tx, ty = (rows.column(c)[0].as_py() for c in ("w", "h", "tx", "ty"))
         x0, y0, x1, y1 = max(0, tx * tile - halo), max(0, ty * tile - halo), min(w, (tx + 1) * tile + halo), min(h, (ty + 1) * tile + halo)
         mask = np.zeros((y1 - y0, x1 - x0), bool)
-        mask[rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0] = True
+        mask[rows.column("y").to_numpy() - y0, rows.column("x").to_numpy() - x0] = True
         for _ in range(times):
             mask = _grown(mask, radius)
         mask = ~mask
@@ -172,10 +172,10 @@ def closed(cells: DataFrame, sheets: DataFrame, keys: list[str], *, radius: int
             mask = _grown(mask, radius)
         y, x = np.nonzero(~mask)
         own = (x + x0 >= tx * tile) & (x + x0 < (tx + 1) * tile) & (y + y0 >= ty * tile) & (y + y0 < (ty + 1) * tile)
-        return pd.DataFrame({c: rows[c].iloc[0] for c in columns} | {"x": x[own] + x0, "y": y[own] + y0}, columns=[*columns, "x", "y"])
+        return pa.table({c: pa.repeat(rows.column(c)[0], int(own.sum())) for c in columns} | {"x": pa.array(x[own] + x0, pa.int64()), "y": pa.array(y[own] + y0, pa.int64())})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.select(*columns).schema)
-    return spread.groupBy(*keys, "tx", "ty").applyInPandas(close, f"{schema}, x long, y long").select(*keys, "x", "y")
+    return spread.groupBy(*keys, "tx", "ty").applyInArrow(close, f"{schema}, x long, y long").select(*keys, "x", "y")
 
 
 def outside_boxes(cells: DataFrame, boxes: DataFrame, keys: list[str], *, cell: int = 64) -> DataFrame:

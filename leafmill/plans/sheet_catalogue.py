@@ -14,7 +14,7 @@ from leafmill.plans.bindings import b_region, read
 
 QUERIES, ORACLE_SQL = {}, {}
 #: Cells of a side of a sheet, and of a tile: zones have to span tiles.
-SIDE, TILE = 40, 16
+SIDE, TILE = 40, 24
 
 
 def registered(sql: str | None):
