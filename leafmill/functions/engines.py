@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmill.functions.numerals import let
+
 #: Other names of engines.
 ALIASES = {
     "paddleocr-v6": "ppocr-v6",
@@ -147,8 +149,13 @@ def _four(v: Column) -> Column:
 def recognised_lines(result: Column, source: str) -> Column:
     """array<struct<box, text, det_score, source>> of a result (RESULT_SCHEMA): by place, boxes before polygons.
 
-    Places without either are left out; an empty text is null; results that list whole lines are taken as such.
+    Places without either are left out; an empty text is null; results that list whole lines are taken as such. The result
+    is bound once: a filter that Spark derives and moves below would else parse it for every element.
     """
+    return let(result, lambda r: _lines(r, source))
+
+
+def _lines(result: Column, source: str) -> Column:
     polys = F.coalesce(result["rec_polys"], result["dt_polys"])
     scores = F.coalesce(result["rec_scores"], result["dt_scores"])
     n = F.greatest(*(F.coalesce(F.size(x), F.lit(0)) for x in (polys, result["rec_boxes"], result["rec_texts"], scores)))
@@ -158,13 +165,17 @@ def recognised_lines(result: Column, source: str) -> Column:
         box = F.when(at(result["rec_boxes"], i).isNotNull(), _four(at(result["rec_boxes"], i))).when(at(polys, i).isNotNull(), polygon_box(at(polys, i)))
         return F.struct(box.alias("box"), F.nullif(at(result["rec_texts"], i), F.lit("")).alias("text"), at(scores, i).alias("det_score"), F.lit(source).alias("source"))
 
-    placed = F.filter(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), line), lambda x: x["box"].isNotNull())
+    by_place = F.filter(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), line), lambda x: x["box"].isNotNull())
     whole = F.transform(F.filter(result["lines"], lambda x: F.size(x["box"]) == 4), lambda x: F.struct(_four(x["box"]).alias("box"), F.nullif(x["text"], F.lit("")).alias("text"), x["score"].alias("det_score"), F.coalesce(x["source"], F.lit(source)).alias("source")))
-    return F.when(F.size(placed) > 0, placed).otherwise(F.coalesce(whole, placed))
+    return let(by_place, lambda placed: F.when(F.size(placed) > 0, placed).otherwise(F.coalesce(whole, placed)))
 
 
 def layout_boxes(result: Column, source: str) -> Column:
     """array<struct<box, label, raw_label, score, source>> of detected boxes and parsed blocks with four coordinates."""
+    return let(result, lambda r: _layout(r, source))
+
+
+def _layout(result: Column, source: str) -> Column:
     found = F.transform(F.filter(result["layout_det_res"]["boxes"], lambda b: F.size(b["coordinate"]) >= 4), lambda b: F.struct(_four(b["coordinate"]).alias("box"), document_label(b["label"]).alias("label"), F.lower(b["label"]).alias("raw_label"), b["score"].alias("score"), F.lit(source).alias("source")))
     parsed = F.transform(F.filter(result["parsing_res_list"], lambda b: F.size(b["block_bbox"]) >= 4), lambda b: F.struct(_four(b["block_bbox"]).alias("box"), document_label(b["block_label"]).alias("label"), F.lower(b["block_label"]).alias("raw_label"), b["block_score"].alias("score"), F.lit(source).alias("source")))
     none = F.array().cast("array<struct<box:struct<x0:double,y0:double,x1:double,y1:double>,label:string,raw_label:string,score:double,source:string>>")
