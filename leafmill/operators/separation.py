@@ -89,7 +89,8 @@ def separated(pixels: DataFrame, pages: DataFrame, lines: DataFrame, layout: Dat
     rest = zones.outside_boxes(ink, shapes.select(*keys, *SIDES).unionByName(written), keys)
     size = zones.measured(zones.labelled(rest, keys, tile=tile), keys).join(pages.select(*keys, "w", "h"), keys)
     inner = (F.col("x0") > 0) & (F.col("y0") > 0) & (F.col("x1") < F.col("w")) & (F.col("y1") < F.col("h"))
-    large = (F.col("n") >= PHOTO_AREA * F.col("w") * F.col("h")) & (F.col("n") >= PHOTO_FILL * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    # Quotients of whole numbers meet a share exactly where products of a share with them may not.
+    large = (F.col("n") / (F.col("w") * F.col("h")) >= PHOTO_AREA) & (F.col("n") / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))) >= PHOTO_FILL)
     photos = size.where(inner & large)
     lost = zones.outside_boxes(rest, photos.select(*keys, *SIDES), keys).groupBy(*keys).agg(F.count("*").alias("lost"))
     furniture = layout.where(F.col("label").isin(*FURNITURE_LABELS))
