@@ -31,31 +31,34 @@ def seeds(hist: DataFrame, keys: list[str], numbers: tuple[int, ...]) -> DataFra
     return at.where((place >= F.col("a")) & (place < F.col("z"))).groupBy(*keys, "k").agg(F.sort_array(F.collect_list(F.col("gray").cast("double"))).alias("tones"))
 
 
-def _nearest(hist: DataFrame, tones: DataFrame, keys: list[str]) -> DataFrame:
-    """``hist`` with k, tones and the place ``j`` of the nearest tone, the first of equals."""
-    d = F.transform("tones", lambda t: F.abs(t - F.col("gray")))
+def _nearest(hist: DataFrame, tones: DataFrame, keys: list[str], near: float = 0.0) -> DataFrame:
+    """``hist`` with k, tones and the place ``j`` of the nearest tone, the first of equals.
+
+    A tone goes before a later one that is nearer by less than ``near`` a place.
+    """
+    d = F.transform("tones", lambda t, i: F.abs(t - F.col("gray")) * (1 / near) + i if near else F.abs(t - F.col("gray")))
     return hist.join(tones, keys).withColumn("d", d).withColumn("j", F.array_position("d", F.array_min("d")).cast("int")).drop("d")
 
 
-def fitted(hist: DataFrame, keys: list[str], numbers: tuple[int, ...], *, rounds: int = ROUNDS) -> DataFrame:
+def fitted(hist: DataFrame, keys: list[str], numbers: tuple[int, ...], *, rounds: int = ROUNDS, near: float = 0.0) -> DataFrame:
     """keys, k, tones after ``rounds`` of moving each tone to the mean of its pixels; a tone without any stays."""
     tones = seeds(hist, keys, numbers)
     for _ in range(rounds):
-        near = _nearest(hist, tones, keys).groupBy(*keys, "k", "tones", "j").agg((F.sum(F.col("gray") * F.col("n")) / F.sum("n")).alias("m"))
+        near = _nearest(hist, tones, keys, near).groupBy(*keys, "k", "tones", "j").agg((F.sum(F.col("gray") * F.col("n")) / F.sum("n")).alias("m"))
         moved = near.groupBy(*keys, "k", "tones").agg(F.map_from_entries(F.collect_list(F.struct("j", "m"))).alias("m"))
         tones = moved.select(*keys, "k", F.transform("tones", lambda t, i: F.coalesce(F.try_element_at("m", i + 1), t)).alias("tones"))
     return tones
 
 
-def chosen(pixels: DataFrame, keys: list[str], *, numbers: tuple[int, ...] = NUMBERS, reach: int = REACH, share: float = SHARE, least: int = LEAST_PIXELS, rounds: int = ROUNDS) -> DataFrame:
+def chosen(pixels: DataFrame, keys: list[str], *, numbers: tuple[int, ...] = NUMBERS, reach: int = REACH, share: float = SHARE, least: int = LEAST_PIXELS, rounds: int = ROUNDS, near: float = 0.0) -> DataFrame:
     """keys, k, tones, good, n of each zone: the fewest tones, rounded, that lie within ``reach`` of ``share`` of its pixels.
 
     Zones under ``least`` drawable pixels, and those that no number fits, have no row. Pixels need keys and gray.
     """
     hist = histogram(pixels.where("gray IS NOT NULL"), keys)
-    near = _nearest(hist, fitted(hist, keys, numbers, rounds=rounds), keys)
+    held = _nearest(hist, fitted(hist, keys, numbers, rounds=rounds, near=near), keys, near)
     off = F.abs(F.col("gray") - F.round(F.element_at("tones", F.col("j"))))
-    gate = near.groupBy(*keys, "k", "tones").agg(F.sum(F.when(off <= reach, F.col("n")).otherwise(0)).alias("good"), F.sum("n").alias("n"))
+    gate = held.groupBy(*keys, "k", "tones").agg(F.sum(F.when(off <= reach, F.col("n")).otherwise(0)).alias("good"), F.sum("n").alias("n"))
     fit = gate.where((F.col("n") >= least) & (F.col("good") >= share * F.col("n"))).groupBy(*keys).agg(F.min_by(F.struct("tones", "good", "n"), "k").alias("b"), F.min("k").alias("k"))
     return fit.select(*keys, "k", F.transform("b.tones", lambda t: F.round(t)).alias("tones"), "b.good", "b.n")
 
