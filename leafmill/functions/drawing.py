@@ -66,5 +66,10 @@ def hex_colour(b: Column, g: Column, r: Column) -> Column:
 
 def font_fit(unit_width: Column, box_width: Column, box_height: Column, rates: int = 50) -> Column:
     """The share of the box's height, of ``rates`` even ones, at which a text of ``unit_width`` (at size 1) is nearest to its width."""
-    tried = F.transform(F.sequence(F.lit(1), F.lit(rates)), lambda i: F.struct(F.abs(unit_width * box_height * (i / float(rates)) - box_width).alias("off"), (i / float(rates)).alias("rate")))
+    at = lambda i: F.struct(F.abs(unit_width * box_height * (i / float(rates)) - box_width).alias("off"), (i / float(rates)).alias("rate"))
+    # The distance falls up to the exact share and rises after it, so the even shares about it are tried, and all where
+    # rounding, a zero or a null leaves no such place.
+    full = F.try_divide(box_width, unit_width * box_height)
+    near = F.array(*(at(F.greatest(F.lit(1), F.least(F.lit(rates), F.floor(full * rates).cast("int") + k))) for k in (-1, 0, 1, 2)))
+    tried = F.when((unit_width * box_height > 0) & (F.abs(full) < 1e6), near).otherwise(F.transform(F.sequence(F.lit(1), F.lit(rates)), at))
     return F.array_min(tried)["rate"]
