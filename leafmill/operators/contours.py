@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from leafmill.operators.graph import cut
-
 POINTS = ArrayType(StructType().add("x", LongType()).add("y", LongType()))
 #: Largest distance of a point that goes, as a share of the contour's length, within these pixels.
 ERROR_SHARE, ERROR_LEAST, ERROR_MOST = 0.003, 1.5, 3.0
+#: Rows of a band in which sides meet the rows that are swept.
+BAND = 64
 
 
 def _sides(points: Column) -> Column:
@@ -104,53 +104,50 @@ def crossings(contours: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "contour", "row", (F.col("x0") + (F.col("row") + 0.5 - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))).alias("x"))
 
 
-def nested(contours: DataFrame, keys: list[str], *, rounds: int = 40) -> DataFrame:
+def _upright(points: Column) -> Column:
+    """The sides that are not level, each from its lower y0 to y1."""
+    low = lambda s, c: F.when(s["a"]["y"] <= s["b"]["y"], s["a"][c]).otherwise(s["b"][c])
+    high = lambda s, c: F.when(s["a"]["y"] <= s["b"]["y"], s["b"][c]).otherwise(s["a"][c])
+    ends = F.transform(_sides(points), lambda s: F.struct(low(s, "x").alias("x0"), low(s, "y").alias("y0"), high(s, "x").alias("x1"), high(s, "y").alias("y1")))
+    return F.filter(ends, lambda s: s["y1"] > s["y0"])
+
+
+def _met(sides: Column, row: Column) -> Column:
+    """Where ``_upright`` sides meet the middle of a row, from left to right."""
+    at = F.filter(sides, lambda s: (row >= s["y0"]) & (row < s["y1"]))
+    return F.sort_array(F.transform(at, lambda s: s["x0"] + (row + 0.5 - s["y0"]) * (s["x1"] - s["x0"]) / (s["y1"] - s["y0"])))
+
+
+def nested(contours: DataFrame, keys: list[str]) -> DataFrame:
     """keys, contour, parent, depth: the nearest contour around each one, null and 0 outside of all.
 
-    Contours (whole numbers, keys and contour together unique) do not cross. A sweep along the row under a contour's
-    topmost point finds the last side of another contour before it: if that contour has been met an odd number of
-    times, it is the parent; if even, it lies beside, and both have one parent, which is looked up by doubling
-    steps. Only rows with such a point are swept. A contour without height has no inside.
+    Contours (whole numbers, keys and contour together unique) do not cross, so along a row their sides open and close
+    like brackets. A sweep along the row under a contour's topmost point counts the open ones, which is its depth;
+    the last that opened at that depth is its parent. Only rows with such a point are swept: sides meet them in bands of
+    rows, so no step holds all rows of a contour. A contour without height has no inside.
     """
-    top = contours.select(*keys, "contour", F.explode("points").alias("p")).groupBy(*keys, "contour").agg(F.min(F.struct("p.y", "p.x")).alias("p"))
-    cross = crossings(contours, keys)
-    own = cross.groupBy(*keys, "contour", "row").agg(F.min("x").alias("at"))
-    start = top.select(*keys, "contour", F.col("p.y").alias("row"), F.col("p.x").alias("px")).join(own, [*keys, "contour", "row"], "left")
-    start = start.select(*keys, "contour", "row", F.coalesce("at", F.col("px").cast("double")).alias("at"))
-    swept = cross.join(start.select(*keys, "row").distinct(), [*keys, "row"], "left_semi")
-    # Sides come before the points that ask, but a contour's own sides do not count for it.
-    met = Window.partitionBy(*keys, "row", "contour").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    sides = swept.withColumn("odd", F.count("*").over(met) % 2 == 1).select(*keys, "row", "x", F.lit(1).alias("ask"), F.struct("contour", "odd").alias("side"), F.lit(None).cast(contours.schema["contour"].dataType).alias("who"))
-    asks = start.select(*keys, "row", F.col("at").alias("x"), F.lit(0).alias("ask"), F.lit(None).cast(sides.schema["side"].dataType).alias("side"), F.col("contour").alias("who"))
-    before = Window.partitionBy(*keys, "row").orderBy("x", "ask").rowsBetween(Window.unboundedPreceding, -1)
-    left = sides.unionByName(asks).withColumn("left", F.last("side", ignorenulls=True).over(before)).where("ask = 0")
-    beside = F.col("left").isNotNull() & ~F.col("left.odd")
-    held = left.select(*keys, F.col("who").alias("contour"), F.when(F.col("left.odd"), F.col("left.contour")).alias("parent"), F.when(beside, F.col("left.contour")).alias("next"))
-    held = _followed(held, keys, "parent", "next", rounds)
-    return _depths(held, keys, rounds)
-
-
-def _followed(held: DataFrame, keys: list[str], value: str, step: str, rounds: int) -> DataFrame:
-    """``value`` of the row that the chain of ``step`` ends at; chains halve with each round."""
-    held = cut(held)
-    for _ in range(rounds):
-        if held.where(F.col(step).isNotNull()).isEmpty():
-            return held.drop(step)
-        other = held.select(*keys, F.col("contour").alias(step), F.col(value).alias("v"), F.col(step).alias("s"))
-        joined = held.join(other, [*keys, step], "left")
-        held = cut(joined.select(*keys, "contour", F.when(F.col(step).isNotNull(), F.col("v")).otherwise(F.col(value)).alias(value), F.when(F.col(step).isNotNull(), F.col("s")).alias(step)))
-    raise RuntimeError(f"chains are longer than {rounds} doublings")
-
-
-def _depths(held: DataFrame, keys: list[str], rounds: int) -> DataFrame:
-    """``held`` with the number of parents above, by doubling."""
-    now = cut(held.withColumns({"depth": F.col("parent").isNotNull().cast("long"), "up": F.col("parent")}))
-    for _ in range(rounds):
-        if now.where("up IS NOT NULL").isEmpty():
-            return now.drop("up")
-        other = now.select(*keys, F.col("contour").alias("up"), F.col("depth").alias("d"), F.col("up").alias("u"))
-        now = cut(now.join(other, [*keys, "up"], "left").select(*keys, "contour", "parent", (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), F.col("u").alias("up")))
-    raise RuntimeError(f"contours are nested deeper than {rounds} doublings")
+    real = contours.select(*keys, "contour", F.filter("points", lambda p: p["x"].isNotNull() & p["y"].isNotNull()).alias("points")).where(F.size("points") > 0)
+    top = F.array_min(F.transform("points", lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"))))
+    real = real.select(*keys, "contour", _upright(F.col("points")).alias("sides"), top.alias("top"))
+    asks = real.select(*keys, "contour", F.col("top.y").alias("row"), F.coalesce(F.get(_met(F.col("sides"), F.col("top.y")), F.lit(0)), F.col("top.x").cast("double")).alias("x"))
+    band = lambda y: F.floor(y / BAND).cast("long")
+    rows = asks.select(*keys, band(F.col("row")).alias("band"), "row").distinct()
+    side = real.select(*keys, "contour", F.explode("sides").alias("s")).select(*keys, "contour", "s.*")
+    placed = side.withColumn("band", F.explode(F.sequence(band(F.col("y0")), band(F.col("y1") - 1))))
+    # Exploded rows are more than Spark's estimate, so they are not broadcast.
+    swept = placed.join(rows.hint("merge"), [*keys, "band"]).where("row >= y0 AND row < y1")
+    swept = swept.select(*keys, "contour", "row", (F.col("x0") + (F.col("row") + 0.5 - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))).alias("x"), F.lit(1).alias("ask"))
+    met = Window.partitionBy(*keys, "row", "contour", "ask").orderBy("x")
+    both = swept.unionByName(asks.select(*keys, "contour", "row", "x", F.lit(0).alias("ask"))).repartition(*keys, "row")
+    both = both.withColumns({"k": F.row_number().over(met), "after": F.lead("x").over(met), "prior": F.lag("x").over(met)})
+    odd = F.col("k") % 2 == 1
+    both = both.withColumns({"step": F.when(F.col("ask") == 0, 0).when(odd, 1).otherwise(-1), "other": F.when(odd, F.col("after")).otherwise(F.col("prior"))})
+    # At one place sides close, inner ones first, then points ask, then sides open, outer ones first.
+    order = [F.col("x"), F.col("step"), F.desc("other")]
+    held = both.withColumn("depth", F.sum("step").over(Window.partitionBy(*keys, "row").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy(*keys, "row", "depth").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    opened = held.withColumn("parent", F.last(F.when(F.col("step") > 0, F.col("contour")), ignorenulls=True).over(before))
+    return opened.where("ask = 0").select(*keys, "contour", "parent", "depth")
 
 
 def cells_inside(contours: DataFrame, keys: list[str]) -> DataFrame:
