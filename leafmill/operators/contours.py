@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
@@ -73,16 +73,23 @@ def kept(p: np.ndarray, error: float) -> np.ndarray:
     return np.array(sorted(stay))
 
 
-@F.pandas_udf(POINTS)
-def _simplified(points: pd.Series, error: pd.Series) -> pd.Series:
-    def one(ps, e):
-        if ps is None or e is None:
-            return None
-        ps = [q for q in ps if q is not None and q["x"] is not None and q["y"] is not None]
-        at = kept(np.array([(q["x"], q["y"]) for q in ps], float).reshape(-1, 2), e)
-        return [{"x": ps[k]["x"], "y": ps[k]["y"]} for k in at]
-
-    return pd.Series([one(*x) for x in zip(points, error, strict=True)])
+@F.arrow_udf(POINTS)
+def _simplified(points: pa.Array, error: pa.Array) -> pa.Array:
+    """On the flat coordinates of a batch: no point becomes an object of Python."""
+    flat, starts = points.values, points.offsets.to_numpy()
+    x, y = (flat.field(c) for c in ("x", "y"))
+    good = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in (flat, x, y)])
+    at = np.stack([c.fill_null(0).to_numpy(zero_copy_only=False).astype(float) for c in (x, y)], axis=1)
+    taken, stops = [], [0]
+    known = points.is_valid().to_numpy(zero_copy_only=False) & error.is_valid().to_numpy(zero_copy_only=False)
+    for k, (a, z, e) in enumerate(zip(starts[:-1], starts[1:], error.fill_null(0).to_numpy(zero_copy_only=False), strict=True)):
+        if known[k]:
+            own = a + np.flatnonzero(good[a:z])
+            taken.append(own[kept(at[own], e)])
+        stops.append(stops[-1] + (len(taken[-1]) if known[k] else 0))
+    values = flat.take(pa.array(np.concatenate(taken) if taken else np.empty(0, np.int64)))
+    offsets = pa.array(stops, pa.int32(), mask=np.append(~known, False)) if len(known) else pa.array([0], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([values.field(c).cast(pa.int64()) for c in ("x", "y")], ["x", "y"]))
 
 
 def error_of(points: Column) -> Column:
