@@ -16,6 +16,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for joins by shuffle: Spark takes exploded rows, and what is made of them, for no larger than their source, and would
+    broadcast through the driver what grows with the input."""
+    return df.hint("merge")
+
+
 def _hooked(edges: DataFrame, keys: list[str], *, upward: bool) -> DataFrame:
     """Each node's neighbours on one side are hung on its least neighbour or itself, whichever is less."""
     if upward:
@@ -25,7 +31,7 @@ def _hooked(edges: DataFrame, keys: list[str], *, upward: bool) -> DataFrame:
         around = edges.select(*keys, F.greatest("a", "b").alias("n"), F.least("a", "b").alias("m"))
         kept = F.lit(True)
     least = around.groupBy(*keys, "n").agg(F.least(F.min("m"), F.col("n")).alias("least"))
-    out = around.where(kept).join(least, [*keys, "n"]).select(*keys, F.col("m").alias("a"), F.col("least").alias("b"))
+    out = around.where(kept).join(shuffled(least), [*keys, "n"]).select(*keys, F.col("m").alias("a"), F.col("least").alias("b"))
     if not upward:
         out = out.union(least.select(*keys, F.col("n").alias("a"), F.col("least").alias("b")))
     return out.where("a <> b").distinct()

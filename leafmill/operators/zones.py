@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.operators.graph import components
+from leafmill.operators.graph import components, shuffled
 from leafmill.operators.spatial import HINT, HOLE, area, inner_area, meeting
 
 TILE = 512
@@ -91,9 +91,9 @@ def labelled(cells: DataFrame, keys: list[str], *, diagonal: bool = True, tile:
     first, last = (lambda c: F.pmod(F.col(c), F.lit(tile)) == 0), (lambda c: F.pmod(F.col(c), F.lit(tile)) == tile - 1)
     rim = parts.where(first("x") | first("y") | last("x") | last("y")).select(*keys, "x", "y", "part")
     ahead = rim.select(*keys, F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in near))).alias("to"), F.col("part").alias("a"))
-    edges = ahead.select(*keys, "to.x", "to.y", "a").join(rim.withColumnRenamed("part", "b"), [*keys, "x", "y"]).where("a <> b").select(*keys, "a", "b").distinct()
+    edges = ahead.select(*keys, "to.x", "to.y", "a").join(shuffled(rim.withColumnRenamed("part", "b")), [*keys, "x", "y"]).where("a <> b").select(*keys, "a", "b").distinct()
     united = components(edges, keys)
-    return parts.join(united.withColumnRenamed("node", "part"), [*keys, "part"], "left").withColumn("zone", F.coalesce("root", "part")).drop("part", "root")
+    return shuffled(parts.join(shuffled(united.withColumnRenamed("node", "part")), [*keys, "part"], "left").withColumn("zone", F.coalesce("root", "part")).drop("part", "root"))
 
 
 def measured(cells: DataFrame, keys: list[str], *more: Column) -> DataFrame:
@@ -112,7 +112,7 @@ def background(cells: DataFrame, sheets: DataFrame, keys: list[str]) -> DataFram
     """keys, x, y of the cells of each sheet (keys, w, h) that ``cells`` do not have."""
     rows = sheets.where("w > 0 AND h > 0").select(*keys, "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h").cast("long") - 1)).alias("y"))
     all_ = rows.select(*keys, "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w").cast("long") - 1)).alias("x"))
-    return all_.join(cells.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct(), [*keys, "x", "y"], "left_anti").select(*keys, "x", "y")
+    return all_.join(cells.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct().transform(shuffled), [*keys, "x", "y"], "left_anti").select(*keys, "x", "y")
 
 
 def holes(zoned: DataFrame, sheets: DataFrame, keys: list[str], *, tile: int = TILE) -> DataFrame:
@@ -124,7 +124,7 @@ def holes(zoned: DataFrame, sheets: DataFrame, keys: list[str], *, tile: int = T
     empty = labelled(background(zoned, sheets, keys), keys, diagonal=False, tile=tile)
     m = measured(empty, keys).join(sheets.select(*keys, "w", "h"), keys).where("x0 > 0 AND y0 > 0 AND x1 < w AND y1 < h")
     at = m.select(*keys, F.col("zone").alias("hole"), "n", "x0", "y0", "x1", "y1", F.shiftright("zone", X_BITS).alias("y"), (F.col("zone").bitwiseAND((1 << X_BITS) - 1) - 1).alias("x"))
-    return at.join(zoned.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "zone"), [*keys, "x", "y"]).drop("x", "y")
+    return shuffled(at).join(zoned.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "zone"), [*keys, "x", "y"]).drop("x", "y")
 
 
 def disc(radius: int) -> np.ndarray:
@@ -203,20 +203,20 @@ def tint_zones(cells: DataFrame, sheets: DataFrame, hints: DataFrame, texts: Dat
     """
     tint = outside_boxes(cells.where((F.col("gray") >= TINT_LO) & (F.col("gray") <= TINT_HI)), texts, keys)
     zoned = labelled(closed(tint, sheets, keys, radius=radius, times=times, tile=tile), keys, tile=tile)
-    gaps = holes(zoned, sheets, keys, tile=tile)
-    filled = gaps.groupBy(*keys, "zone").agg(F.sum("n").alias("gaps"))
-    size = measured(zoned, keys).join(filled, [*keys, "zone"], "left").withColumn("whole", F.col("n") + F.coalesce("gaps", F.lit(0))).where(F.col("whole") >= LEAST_ZONE)
+    gaps = shuffled(holes(zoned, sheets, keys, tile=tile))
+    filled = shuffled(gaps.groupBy(*keys, "zone").agg(F.sum("n").alias("gaps")))
+    size = shuffled(measured(zoned, keys).join(filled, [*keys, "zone"], "left").withColumn("whole", F.col("n") + F.coalesce("gaps", F.lit(0))).where(F.col("whole") >= LEAST_ZONE))
     boxes = lambda df, *rest: df.select(*keys, *rest, *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
     both = meeting(boxes(size, "zone"), boxes(hints, "pos"), keys, cell=256.0)
     hit = both.where(inner_area(F.col("a"), F.col("b")) / F.greatest(F.least(area(F.col("a")), area(F.col("b"))), F.lit(1.0)) >= HINT).where(inner_area(F.col("a"), F.col("b")) > 0)
-    hit = hit.select(*keys, F.col("a.zone").alias("zone"), F.col("b.pos").alias("pos"))
-    wanted = size.join(hit.select(*keys, "zone").distinct(), [*keys, "zone"], "left_semi")
+    hit = shuffled(hit.select(*keys, F.col("a.zone").alias("zone"), F.col("b.pos").alias("pos")))
+    wanted = shuffled(size.join(hit.select(*keys, "zone").distinct(), [*keys, "zone"], "left_semi"))
     near = meeting(boxes(gaps, "hole"), boxes(texts.withColumn("pos", F.lit(0)), "pos"), keys, cell=256.0)
-    texted = near.where(inner_area(F.col("a"), F.col("b")) / F.greatest(F.least(area(F.col("a")), area(F.col("b"))), F.lit(1.0)) >= HOLE).select(*keys, F.col("a.hole").alias("hole")).distinct().withColumn("texted", F.lit(True))
+    texted = near.where(inner_area(F.col("a"), F.col("b")) / F.greatest(F.least(area(F.col("a")), area(F.col("b"))), F.lit(1.0)) >= HOLE).select(*keys, F.col("a.hole").alias("hole")).distinct().withColumn("texted", F.lit(True)).transform(shuffled)
     large = F.greatest(F.lit(LEAST_HOLE), F.floor(F.col("w") * F.col("h") * HOLE_OF_PAGE))
     real = gaps.join(wanted.select(*keys, "zone", "whole"), [*keys, "zone"]).join(sheets.select(*keys, "w", "h"), keys).join(texted, [*keys, "hole"], "left")
     real = real.where((F.col("n") >= HOLE_OF_ZONE * F.col("whole")) & ((F.col("n") >= large) | F.col("texted")))
-    cavities = real.groupBy(*keys, "zone").agg(F.count("*").alias("holes"), F.sum("n").alias("hole_area"))
+    cavities = shuffled(real.groupBy(*keys, "zone").agg(F.count("*").alias("holes"), F.sum("n").alias("hole_area")))
     shape = F.when(F.col("holes") > 0, "frame").when(F.col("n") >= RECT_COVERAGE * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), "rect").otherwise("poly")
     found = wanted.join(cavities, [*keys, "zone"], "left").fillna(0, ["holes", "hole_area"]).where(f"x1 - x0 >= {LEAST_SIDE} AND y1 - y0 >= {LEAST_SIDE}")
     box = ["x0", "y0", "x1", "y1"]
