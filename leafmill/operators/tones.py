@@ -44,8 +44,8 @@ def fitted(hist: DataFrame, keys: list[str], numbers: tuple[int, ...], *, rounds
     """keys, k, tones after ``rounds`` of moving each tone to the mean of its pixels; a tone without any stays."""
     tones = seeds(hist, keys, numbers)
     for _ in range(rounds):
-        near = _nearest(hist, tones, keys, near).groupBy(*keys, "k", "tones", "j").agg((F.sum(F.col("gray") * F.col("n")) / F.sum("n")).alias("m"))
-        moved = near.groupBy(*keys, "k", "tones").agg(F.map_from_entries(F.collect_list(F.struct("j", "m"))).alias("m"))
+        held = _nearest(hist, tones, keys, near).groupBy(*keys, "k", "tones", "j").agg((F.sum(F.col("gray") * F.col("n")) / F.sum("n")).alias("m"))
+        moved = held.groupBy(*keys, "k", "tones").agg(F.map_from_entries(F.collect_list(F.struct("j", "m"))).alias("m"))
         tones = moved.select(*keys, "k", F.transform("tones", lambda t, i: F.coalesce(F.try_element_at("m", i + 1), t)).alias("tones"))
     return tones
 
