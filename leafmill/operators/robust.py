@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,51 +26,60 @@ def robust_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
 SKETCH = 10_000
 
 
+def _beside(df: DataFrame, few: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``df`` with the columns of ``few``, which has one row a group and is broadcast; null keys meet."""
+    keys = {c: f"__key{i}" for i, c in enumerate(by)}
+    on = functools.reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(keys[c])), by, F.lit(True))
+    return df.join(F.broadcast(few.withColumnsRenamed(keys)), on, how).drop(*keys.values())
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
-    """``by``, n, q0, q1, ...: exact interpolated quantiles of groups of any size.
+    """``by``, n, q0, q1, ...: exact interpolated quantiles of few groups of any size.
 
     A sketch, summed map-side, gives bounds that the wanted ranks cannot lie outside of (its error is at
-    most 1/SKETCH of the rows); a second pass counts what is below each lower bound and gathers only
-    the values between the bounds, some ten-thousandths of a group; groups under ten times SKETCH rows are
-    gathered whole. Nulls do not count.
+    most 1/SKETCH of the rows). A second pass, beside which the groups' bounds are broadcast, counts map-side: each
+    value between a pair of bounds by itself, some ten-thousandths of a group at most, all that lies between two
+    such pairs as one. So rows are neither moved nor sorted, and running sums of the counts are the ranks. Groups under
+    ten times SKETCH rows are counted value by value. Nulls do not count.
     """
-    held = df.select(*by, F.col(value).cast("double").alias("__v")).where("__v is not null")
+    held = df.select(*by, F.col(value).cast("double").alias("__v"))
     marks = sorted({min(1.0, max(0.0, s + e / SKETCH)) for s in shares for e in (-3, 3)})
-    cuts = held.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("__v", [float(m) for m in marks], SKETCH).alias("__q"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    cuts = held.groupBy(*by).agg(F.count("__v").alias("n"), F.percentile_approx("__v", [float(m) for m in marks], SKETCH).alias("__q"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     place = {m: i for i, m in enumerate(marks)}
 
     def bound(s: float, e: int) -> Column:
         m = min(1.0, max(0.0, s + e / SKETCH))
         end = F.col("__lo") if e < 0 else F.col("__hi")
-        # In small groups a sketch's share is less than a row; they are gathered whole.
+        # In small groups a sketch's share is less than a row; they are counted whole.
         return end if m in (0, 1) else F.when(F.col("n") < 10 * SKETCH, end).otherwise(F.col("__q")[place[m]])
 
     cuts = cuts.select(*by, "n", *(bound(s, e).alias(f"__{n}{k}") for k, s in enumerate(shares) for n, e in (("a", -3), ("z", 3))))
-    both = held.join(cuts, by)
-    some = both.where(" or ".join(f"__v <= __z{k}" for k in range(len(shares))))
-    sums = some.groupBy(*by).agg(
-        F.first("n").alias("n"),
-        *(F.count(F.when(F.col("__v") < F.col(f"__a{k}"), 1)).alias(f"__below{k}") for k in range(len(shares))),
-        *(F.sort_array(F.collect_list(F.when((F.col("__v") >= F.col(f"__a{k}")) & (F.col("__v") <= F.col(f"__z{k}")), F.col("__v")))).alias(f"__in{k}") for k in range(len(shares))),
-    )
+    v, pairs = F.col("__v"), [(F.col(f"__a{k}"), F.col(f"__z{k}")) for k in range(len(shares))]
+    inside = functools.reduce(lambda x, y: x | y, (v.between(a, z) for a, z in pairs))
+    # What lies outside stands right after the last upper bound below it, or before everything.
+    under = functools.reduce(lambda x, z: F.when((z < v) & (z > x), z).otherwise(x), (z for _, z in pairs), F.lit(float("-inf")))
+    rows = _beside(held.where("__v is not null"), cuts, by).select(*by, F.when(inside, v).otherwise(under).alias("__v"), (~inside).alias("__rest"))
+    counts = rows.groupBy(*by, "__v", "__rest").agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*by).orderBy("__v", "__rest").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = _beside(counts.withColumn("__upto", upto), cuts.select(*by, "n"), by).where("not __rest")
+    at = lambda r: F.max(F.when((r < F.col("__upto")) & (r >= F.col("__upto") - F.col("__c")), v))
+    ranks = [F.lit(float(s)) * (F.col("n") - 1) for s in shares]
+    ends = ranked.groupBy(*by).agg(*(at(f(r)).alias(f"__{n}{k}") for k, r in enumerate(ranks) for n, f in (("low", F.floor), ("high", F.ceil))))
     out = []
-    for k, s in enumerate(shares):
-        rank = F.lit(float(s)) * (F.col("n") - 1)
-        at = lambda r, k=k: F.get(f"__in{k}", (r - F.col(f"__below{k}")).cast("int"))
-        low = at(F.floor(rank))
-        high = F.coalesce(at(F.ceil(rank)), low)
+    for k, rank in enumerate(ranks):
+        low, high = F.col(f"__low{k}"), F.col(f"__high{k}")
         between = (F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high
         out.append(F.when(F.ceil(rank) == F.floor(rank), low).otherwise(between).alias(f"q{k}"))
-    return sums.select(*by, "n", *out)
+    return _beside(cuts.select(*by, "n"), ends, by, "left").select(*by, "n", *out)
 
 
 def large_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, med, mad (scaled) and p975 as ``robust_stats``, by ``exact_quantiles``: for few groups of any size."""
     held = df.select(*by, F.col(value).cast("double").alias("__x"))
     centre = exact_quantiles(held, by, "__x", (0.5, 0.975)).withColumnsRenamed({"q0": "med", "q1": "p975"})
-    off = held.join(centre.select(*by, "med"), by).select(*by, F.abs(F.col("__x") - F.col("med")).alias("__d"))
+    off = _beside(held, centre.select(*by, "med"), by).select(*by, F.abs(F.col("__x") - F.col("med")).alias("__d"))
     spread = exact_quantiles(off, by, "__d", (0.5,)).select(*by, (MAD_SCALE * F.col("q0")).alias("mad"))
-    return centre.join(spread, by).select(*by, "n", "med", "mad", "p975")
+    return _beside(centre, spread, by, "left").select(*by, "n", "med", "mad", "p975")
 
 
 def robust_outliers(df: DataFrame, by: list[str], value: str, *, k: float = 3.5, least_rows: int = 8) -> DataFrame:
