@@ -3,7 +3,9 @@
 import random
 import re
 
-from leafmill.operators import sequence
+from pyspark.sql import functions as F
+
+from leafmill.operators import margins, sequence
 
 
 def brute(rows):
@@ -44,3 +46,18 @@ def test_many_intervals(spark):
     value = lambda: None if g.random() < 0.05 else float(g.randrange(120))
     rows = [(g.randrange(40), a, None if a is None or g.random() < 0.05 else a + g.randrange(-3, 9)) for a in (value() for _ in range(900))]
     assert merged(spark, rows) == brute(rows)
+
+
+def test_gaps_are_bridged(spark):
+    df = spark.createDataFrame([(1, 0.0, 1.0, 2.0), (1, 3.0, 4.0, 2.0), (1, 6.5, 7.0, 2.0), (2, 0.0, 1.0, 0.5), (2, 3.0, 4.0, 0.5)], "g int, a double, z double, far double")
+    got = sequence.merge_intervals(df, ["g", "far"], "a", "z", gap=F.col("far")).drop("far").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 0.0, 4.0, 2), (1, 2, 6.5, 7.0, 1), (2, 1, 0.0, 1.0, 1), (2, 2, 3.0, 4.0, 1)]
+
+
+def test_body_boxes_keep_no_table_of_spans(spark):
+    """Spans are merged by the same step."""
+    pages = spark.createDataFrame([(1, 0, (0.0, 0.0, 100.0, 100.0))], "doc int, page_index int, content struct<x0:double,y0:double,x1:double,y1:double>")
+    regions = spark.createDataFrame([(1, 0, "text", 5.0, 10.0, 90.0, 20.0)], "doc int, page_index int, kind string, x0 double, y0 double, x1 double, y1 double")
+    body = margins.body_boxes(pages, regions)
+    assert [tuple(r["body"]) for r in body.collect()] == [(5.0, 10.0, 90.0, 20.0)]
+    assert "__open" in body._jdf.queryExecution().optimizedPlan().toString()
