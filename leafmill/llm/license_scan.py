@@ -3,7 +3,10 @@
 Training rows are written by rule: each name of a licence family in each wording of WORDINGS, the
 families' own clauses and the lines that they are wrapped into, statements of rights that name no family (class ``unknown``), sentences that speak
 of licences in another sense and a bounded sample of the corpus' own paragraphs (class ``none``). A
-multinomial logistic regression with an L1 term over words and bigrams leaves few weights.
+multinomial logistic regression with an L1 term over words and bigrams leaves few weights. Most n-grams stand
+in rows of ``none`` only, where that term holds their weights at zero; the fit leaves those out, proves it of each
+by its gradient, and takes in any of which that does not hold. So its vectors, which the driver holds, follow the
+written rows and not the words of the corpus.
 
 A third of the wordings and of the sampled paragraphs is held out of the fit. On it the probabilities
 are calibrated by one temperature, and the bound of a family is set: above all that those held-out rows of
@@ -29,11 +32,15 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import drop_tables, materialise
+
 #: The families' names as they are written, then clauses of their texts.
 FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "MIT": (
@@ -106,6 +113,8 @@ NEGATIVES, REPEATS = 2_000, 6
 MIN_SHARED, LEAST_GRAMS = 0.6, 8
 #: N-grams in this share of the sampled paragraphs are no features.
 COMMON = 0.01
+#: Weight of the L1 term, and rows in which a feature stands at least.
+L1, LEAST_ROWS = 0.0005, 2
 TEMPERATURES = (0.4, 0.5, 0.6, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0)
 #: Paragraphs with one of these are no sample of class ``none``.
 CUES = r"licen[sc]|lizen[sz]|copyright|permission|warrant|redistribut|rights? reserved|rechte vorbehalten|droits r|derechos reservados|\bcc by\b|\bcc0\b|\bl?a?gpl\b|\bgnu\b|creative commons|spdx|apache|mozilla"
@@ -233,33 +242,55 @@ def training_rows(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     return ours.unionByName(sampled)
 
 
+def fit(rows: DataFrame) -> tuple[list[str], np.ndarray, list[float]]:
+    """Features, weights (a row a class, a column a feature) and intercepts over ``rows`` of label, grams.
+
+    A feature of rows of ``none`` only has a weight of zero at the optimum if the probability that those rows leave to other
+    classes sums to no more than the L1 term. Those features are left out, and taken in where the fit shows that sum to be larger.
+    """
+    each = rows.select("label", F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"), F.max("label").alias("top"))
+    names = [r["g"] for r in each.where((F.col("n") >= LEAST_ROWS) & (F.col("top") > 0)).orderBy(F.desc("n"), "g").collect()]
+    regression = LogisticRegression(family="multinomial", regParam=L1, elasticNetParam=1.0, maxIter=60, standardization=False)
+    bound = L1 * rows.count()
+    while True:
+        vector = CountVectorizerModel.from_vocabulary(names, inputCol="grams", outputCol="features", binary=True)
+        ready = vector.transform(rows)
+        fitted = regression.fit(ready.select("features", "label"))
+        left = fitted.transform(ready).select("label", (1 - vector_to_array("probability")[0]).alias("left"), F.explode("grams").alias("g"))
+        pulls = left.groupBy("g").agg(F.count("*").alias("n"), F.max("label").alias("top"), F.sum("left").alias("pull"))
+        known = set(names)
+        more = [r["g"] for r in pulls.where((F.col("n") >= LEAST_ROWS) & (F.col("top") == 0) & (F.col("pull") > bound)).select("g").orderBy("g").collect() if r["g"] not in known]
+        if not more:
+            return names, fitted.coefficientMatrix.toArray(), [float(x) for x in fitted.interceptVector.toArray()]
+        names += more
+
+
 def train(docs: DataFrame, *, negatives: int = NEGATIVES) -> Model:
-    written = training_rows(docs, negatives).withColumn("grams", grams(tokens(F.col("body")))).coalesce(1).cache()  # some thousand rows at most
-    rows, plain = written, written.where("label = 0")
+    # Some thousand rows at most, as a table: plans over them then hold no constants of theirs.
+    written = materialise(training_rows(docs, negatives).withColumn("grams", grams(tokens(F.col("body")))).coalesce(1), "licences")
+    plain = written.where("label = 0")
     sampled = plain.where(~F.col("body").isin(*OTHER_SENSE))
     common = sampled.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON * max(100, sampled.count()))
     often = _strings(sorted(r["g"] for r in common.select("g").collect()))
     # Pairs of two common words neither: a feature then has a word that few paragraphs have.
     rare = lambda g: ~F.array_contains(often, g) & ~F.forall(F.split(g, " "), lambda w: F.array_contains(often, w))
-    rows = rows.withColumn("grams", F.filter("grams", rare)).cache()
-    fit_on, held = rows.where("fold < 2"), rows.where("fold = 2")
-    vector = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 14, minDF=2.0).fit(fit_on)
-    regression = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=60, standardization=False)
-    fitted = regression.fit(vector.transform(fit_on).select("features", "label"))
-    matrix = fitted.coefficientMatrix.toArray()
-    weights = {g: [float(x) for x in matrix[:, j]] for j, g in enumerate(vector.vocabulary) if any(abs(x) > 1e-9 for x in matrix[:, j])}
+    rows = written.withColumn("grams", F.filter("grams", rare)).cache()
+    held = rows.where("fold = 2")
+    names, matrix, intercept = fit(rows.where("fold < 2"))
+    weights = {g: [float(x) for x in matrix[:, j]] for j, g in enumerate(names) if any(abs(x) > 1e-9 for x in matrix[:, j])}
     known = sorted({w for g in weights for w in (g, *g.split(" "))})
     seen = plain.select(F.explode("grams").alias("g")).where(F.array_contains(_strings(known), F.col("g"))).groupBy("g").agg(F.count("*").alias("n"))
-    model = Model(weights, [float(x) for x in fitted.interceptVector.toArray()], frequency={r["g"]: r["n"] for r in seen.collect()})
+    model = Model(weights, intercept, frequency={r["g"]: r["n"] for r in seen.collect()})
     logits = held.select("label", model.logits(F.col("grams")).alias("v"))
     loss = [F.sum(-F.log(F.greatest(F.element_at(softmax(_cooled(F.col("v"), t)), F.col("label").cast("int") + 1), F.lit(1e-12)))).alias(f"t{k}") for k, t in enumerate(TEMPERATURES)]
     losses = logits.agg(*loss).first()
     if losses[0] is not None:
         model.temperature = min(zip(losses, TEMPERATURES, strict=True))[1]
-    wrong = held.where("label < 2").withColumn("b", best(model.probabilities(F.col("grams"))))
-    highest = wrong.where(shared_with_template(F.col("grams"), F.col("b.family")) >= MIN_SHARED).agg(F.max("b.p")).first()[0]
+    # The family is worked out once; as a column of its own it would be repeated in each branch of the templates.
+    confirmed = _let(best(model.probabilities(F.col("grams"))), lambda b: F.when(shared_with_template(F.col("grams"), b["family"]) >= MIN_SHARED, b["p"]))
+    highest = held.where("label < 2").agg(F.max(confirmed)).first()[0]
     rows.unpersist()
-    written.unpersist()
+    drop_tables(written)
     model.bound = max(0.5, float(highest or 0.0))
     return model
 
