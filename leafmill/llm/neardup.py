@@ -4,11 +4,12 @@ Shingles are runs of five words. Each shingle is a Poisson process of arrivals a
 each arrival falls on a random register, and a register keeps its first one. Two texts agree on a register
 with their probability Jaccard similarity. Processes run in blocks of arrivals and end early, once their
 next arrival is later than every register's. A shingle weighs 1 plus the logarithm of its count, so repeated
-passages tell texts apart but do not drown the rest. Links are verified by the similarity of shingle sets: the
-weights decide which pairs meet, not which are links.
+passages tell texts apart but do not drown the rest. Links are verified by the similarity of shingle sets, which
+a passage that repeats can hide from the weights: a text with repeats has a signature of its plain set too, and
+texts without repeats have both in one. So pairs meet by either similarity, and the weights lose no link.
 
 1. Texts with the same words are one exact class; one row per class goes on.
-2. Signatures are cut into bands; classes that share a band are a bucket.
+2. Signatures are cut into bands, both kinds alike; classes that share a band are a bucket.
 3. In each bucket every member is verified against its leader, not against every other member, so a
    bucket of any size gives one pair a member. A link is verified on the whole texts: the Jaccard
    similarity of the two shingle sets is at least the threshold. Members that this leaves outside the
@@ -18,7 +19,7 @@ weights decide which pairs meet, not which are links.
    shingles among its first n - threshold * n + 1, so texts meet only on a shingle of both these prefixes
    that several components hold, within the bounds of sizes and places, and are verified. No link in a
    bucket is lost to the choice of leaders or to an estimate. Only a pair that shares no band can be
-   lost, at probability similarity s with probability (1 - s**5)**24: 7e-5 at 0.8.
+   lost, at similarity s of the sets with probability (1 - s**5)**24 at most: 7e-5 at 0.8.
 5. Components of all links are the classes; copies get the class of their text.
 
 A text with fewer than five words is one shingle of all its words. Defined cases: null and empty
@@ -113,6 +114,14 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bands_of(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """int64 keys of the bands of distinct shingles and their counts; where one repeats, those of the plain set beside the weighted ones."""
+    if not len(elements):
+        return np.empty(0, np.int64)
+    keys = band_keys(prob_min_hash(elements, 1 + np.log(counts)))
+    return np.union1d(keys, band_keys(prob_min_hash(elements, np.ones(len(elements))))) if counts.max() > 1 else keys
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, h1, h2 (identity of the words), bands (none for a text without words) of every row with an id."""
 
@@ -126,7 +135,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     elements, n = np.unique(shingles(t), return_counts=True)
                     if len(seen) >= 4096:
                         seen.clear()
-                    seen[key] = band_keys(prob_min_hash(elements, 1 + np.log(n))) if len(elements) else np.empty(0, np.int64)
+                    seen[key] = bands_of(elements, n)
                 keys.append(key)
                 bands.append(seen[key])
             ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
