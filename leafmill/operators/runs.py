@@ -35,7 +35,7 @@ def analysed(images: DataFrame) -> DataFrame:
 def renormalised(pages: DataFrame, regions: DataFrame) -> DataFrame:
     """``pages`` (the columns of ``margins``, flags) with crop, target_w, target_h and the scaled-down flag set anew from stored boxes."""
     body = pages.drop("crop", "target_w", "target_h").join(margins.body_boxes(pages, regions), KEY, "left")
-    crops = margins.normalise(body.withColumn("body", F.coalesce("body", "content")))
+    crops = margins.normalise(body.withColumn("body", F.coalesce("body", "content"))).drop("crop_w", "crop_h")
     out = body.drop("body").join(crops, KEY, "left")
     return out.withColumn("flags", features.with_flag(features.without_flag(F.col("flags"), SCALED), SCALED, F.col("scaled_down"))).drop("scaled_down")
 
