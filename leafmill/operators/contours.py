@@ -5,8 +5,12 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
@@ -14,8 +18,10 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 POINTS = ArrayType(StructType().add("x", LongType()).add("y", LongType()))
 #: Largest distance of a point that goes, as a share of the contour's length, within these pixels.
 ERROR_SHARE, ERROR_LEAST, ERROR_MOST = 0.003, 1.5, 3.0
-#: Rows of a band in which sides meet the rows that are swept.
-BAND = 64
+#: Rows of a band, which is swept by itself, and meetings of sides and rows that are held at once.
+BAND_BITS = 6
+BAND = 1 << BAND_BITS
+MET = 1 << 21
 
 
 def _sides(points: Column) -> Column:
@@ -111,18 +117,124 @@ def crossings(contours: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "contour", "row", (F.col("x0") + (F.col("row") + 0.5 - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))).alias("x"))
 
 
-def _upright(points: Column) -> Column:
-    """The sides that are not level, each from its lower y0 to y1."""
-    low = lambda s, c: F.when(s["a"]["y"] <= s["b"]["y"], s["a"][c]).otherwise(s["b"][c])
-    high = lambda s, c: F.when(s["a"]["y"] <= s["b"]["y"], s["b"][c]).otherwise(s["a"][c])
-    ends = F.transform(_sides(points), lambda s: F.struct(low(s, "x").alias("x0"), low(s, "y").alias("y0"), high(s, "x").alias("x1"), high(s, "y").alias("y1")))
-    return F.filter(ends, lambda s: s["y1"] > s["y0"])
-
-
-def _met(sides: Column, row: Column) -> Column:
-    """Where ``_upright`` sides meet the middle of a row, from left to right."""
-    at = F.filter(sides, lambda s: (row >= s["y0"]) & (row < s["y1"]))
-    return F.sort_array(F.transform(at, lambda s: s["x0"] + (row + 0.5 - s["y0"]) * (s["x1"] - s["x0"]) / (s["y1"] - s["y0"])))
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _upright(rows: pa.RecordBatch, keys: list[str]) -> pa.Table:
+    """keys, contour, x0, y0, x1, y1, ask: the sides of contours that are not level, each from its lower y; those that begin in
+    the contour's first row ask for what lies around it. A contour without such sides asks by a side without height."""
+    points = rows.column("points")
+    flat, owner = pc.list_flatten(points), pc.list_parent_indices(points).to_numpy()
+    x, y = (pc.struct_field(flat, c) for c in ("x", "y"))
+    good = (x.is_valid().to_numpy(zero_copy_only=False)) & (y.is_valid().to_numpy(zero_copy_only=False))
+    owner, (x, y) = owner[good], (c.cast(pa.int64()).fill_null(0).to_numpy()[good] for c in (x, y))
+    start = np.flatnonzero(np.diff(owner, prepend=-1))
+    after = np.arange(1, len(owner) + 1)
+    if len(start):
+        after[np.append(start[1:], len(owner)) - 1] = start
+    low = y <= y[after]
+    x0, y0, x1, y1 = (np.where(low, *ends) for ends in ((x, x[after]), (y, y[after]), (x[after], x), (y[after], y)))
+    size = np.diff(np.append(start, len(owner)))
+    top = np.minimum.reduceat(y, start) if len(start) else y
+    first = np.repeat(top, size)
+    left = np.minimum.reduceat(np.where(y == first, x, np.iinfo(np.int64).max), start) if len(start) else x
+    up = y1 > y0
+    level = ~(np.logical_or.reduceat(up, start) if len(start) else up)
+    at = pa.array(np.concatenate([owner[up], owner[start][level]]))
+    out = {c: rows.column(c).take(at) for c in (*keys, "contour")}
+    for name, side, one in (("x0", x0, left), ("y0", y0, top), ("x1", x1, left), ("y1", y1, top)):
+        out[name] = pa.array(np.concatenate([side[up], one[level]]), pa.int64())
+    return pa.table(out | {"ask": pa.array(np.concatenate([(y0 == first)[up], np.ones(level.sum(), bool)]))})
+
+
+def _codes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Equal numbers for equal values of a column, nulls too."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.dictionary_encode(null_encoding="encode").indices.to_numpy()
+
+
+def _fresh(rows: pa.Table, by: list[str]) -> np.ndarray:
+    """Whether a row has another group than the one before; not so for the first."""
+    out = np.zeros(rows.num_rows, bool)
+    for c in by:
+        out[1:] |= np.diff(_codes(rows.column(c))) != 0
+    return out
+
+
+def _groups(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches whose rows are sorted by group."""
+    open_: list[pa.Table] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if not rows.num_rows:
+            continue
+        goes_on = bool(open_) and all(rows.column(c)[0] == open_[-1].column(c)[-1] for c in by)
+        cut = np.flatnonzero(_fresh(rows, by))
+        at = int(cut[-1]) if len(cut) else 0
+        if open_ and (at or not goes_on):
+            yield pa.concat_tables([*open_, rows.slice(0, at)])
+            open_ = []
+        elif at:
+            yield rows.slice(0, at)
+        open_.append(rows.slice(at))
+    if open_:
+        yield pa.concat_tables(open_)
+
+
+def _swept(rows: pa.Table, keys: list[str]) -> Iterator[pa.Table]:
+    """The asking contours of bands of ``_upright`` sides with parent and depth; some MET meetings are held at once."""
+    x0, y0, x1, y1, band = (rows.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1", "band"))
+    group, contour = np.cumsum(_fresh(rows, [*keys, "band"])), _codes(rows.column("contour"))
+    within = lambda y: group * BAND + np.clip(y - band * BAND, 0, BAND)
+    asks = np.flatnonzero(rows.column("ask").to_numpy() & (y0 >> BAND_BITS == band))
+    if not len(asks):
+        return
+    asked, first, row = np.unique(within(y0)[asks], return_index=True, return_inverse=True)
+    y = y0[asks][first]
+    # A contour asks where its first row is met first.
+    place = x0 + 0.5 * (x1 - x0) / np.maximum(y1 - y0, 1)
+    order = np.lexsort((place[asks], contour[asks], row))
+    asks, row = asks[order], row[order]
+    one = np.append(True, (np.diff(row) != 0) | (np.diff(contour[asks]) != 0))
+    asks, row = asks[one], row[one]
+    known = np.logical_and.reduce([rows.column(k).is_valid().to_numpy() for k in keys])
+    a = np.searchsorted(asked, within(y0))
+    z = np.where(known, np.searchsorted(asked, within(y1)), a)
+    meetings = np.cumsum(np.bincount(a, minlength=len(asked) + 1) - np.bincount(z, minlength=len(asked) + 1))[:-1]
+    cuts = np.flatnonzero(np.diff(np.cumsum(meetings) // MET, prepend=0))
+    for lo, hi in itertools.pairwise(np.unique(np.concatenate([[0], cuts, [len(asked)]])).tolist()):
+        held = np.flatnonzero((a < hi) & (z > lo) & (a < z))
+        begin, n = np.maximum(a[held], lo), np.minimum(z[held], hi) - np.maximum(a[held], lo)
+        side = np.repeat(held, n)
+        at = np.arange(len(side)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+        x = x0[side] + (y[at] + 0.5 - y0[side]) * (x1[side] - x0[side]) / (y1[side] - y0[side])
+        # Along a row a contour's sides open and close in turn; where both meet, nothing lies between.
+        turn = np.lexsort((x, contour[side], at))
+        opens, closes = turn[::2], turn[1::2]
+        wide = x[closes] > x[opens]
+        opens, closes = opens[wide], closes[wide]
+        mine = (row >= lo) & (row < hi)
+        k, m = len(opens), int(mine.sum())
+        what = np.concatenate([side[opens], side[closes], asks[mine]])
+        line = np.concatenate([at[opens], at[closes], row[mine]])
+        spot = np.concatenate([x[opens], x[closes], place[asks[mine]]])
+        other = np.concatenate([x[closes], x[opens], np.zeros(m)])
+        step = np.repeat(np.array([1, -1, 0]), [k, k, m])
+        # At one place sides close, inner ones first, then points ask, then sides open, outer ones first.
+        order = np.lexsort((-other, step, spot, line))
+        what, line, step = what[order], line[order], step[order]
+        depth = np.cumsum(step)
+        level = line * (depth.max(initial=0) + 1) + depth
+        order = np.argsort(level, kind="stable")
+        level, step = level[order], step[order]
+        last = np.maximum.accumulate(np.where(step > 0, np.arange(len(step)), -1))
+        ask = np.flatnonzero(step == 0)
+        around = last[ask]
+        inside = (around >= 0) & (level[around] == level[ask])
+        own, parent = what[order][ask], pa.array(what[order][around], mask=~inside)
+        out = {c: rows.column(c).take(pa.array(own)) for c in (*keys, "contour")}
+        yield pa.table(out | {"parent": rows.column("contour").take(parent), "depth": pa.array(depth[order][ask], pa.int64())})
 
 
 def nested(contours: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,31 +242,18 @@ def nested(contours: DataFrame, keys: list[str]) -> DataFrame:
 
     Contours (whole numbers, keys and contour together unique) do not cross, so along a row their sides open and close
     like brackets. A sweep along the row under a contour's topmost point counts the open ones, which is its depth;
-    the last that opened at that depth is its parent. Only rows with such a point are swept: sides meet them in bands of
-    rows, so no step holds all rows of a contour. A contour without height has no inside.
+    the last that opened at that depth is its parent. Sides are moved once, to the bands of rows that they pass, and each
+    band is swept by itself in the rows in which contours begin: a task holds the sides of one band. A contour without
+    height or width has no inside, and where a key is null nothing lies around.
     """
-    real = contours.select(*keys, "contour", F.filter("points", lambda p: p["x"].isNotNull() & p["y"].isNotNull()).alias("points")).where(F.size("points") > 0)
-    top = F.array_min(F.transform("points", lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"))))
-    real = real.select(*keys, "contour", _upright(F.col("points")).alias("sides"), top.alias("top"))
-    asks = real.select(*keys, "contour", F.col("top.y").alias("row"), F.coalesce(F.get(_met(F.col("sides"), F.col("top.y")), F.lit(0)), F.col("top.x").cast("double")).alias("x"))
-    band = lambda y: F.floor(y / BAND).cast("long")
-    rows = asks.select(*keys, band(F.col("row")).alias("band"), "row").distinct()
-    side = real.select(*keys, "contour", F.explode("sides").alias("s")).select(*keys, "contour", "s.*")
-    placed = side.withColumn("band", F.explode(F.sequence(band(F.col("y0")), band(F.col("y1") - 1))))
-    # Exploded rows are more than Spark's estimate, so they are not broadcast.
-    swept = placed.join(rows.hint("merge"), [*keys, "band"]).where("row >= y0 AND row < y1")
-    swept = swept.select(*keys, "contour", "row", (F.col("x0") + (F.col("row") + 0.5 - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))).alias("x"), F.lit(1).alias("ask"))
-    met = Window.partitionBy(*keys, "row", "contour", "ask").orderBy("x")
-    both = swept.unionByName(asks.select(*keys, "contour", "row", "x", F.lit(0).alias("ask"))).repartition(*keys, "row")
-    both = both.withColumns({"k": F.row_number().over(met), "after": F.lead("x").over(met), "prior": F.lag("x").over(met)})
-    odd = F.col("k") % 2 == 1
-    both = both.withColumns({"step": F.when(F.col("ask") == 0, 0).when(odd, 1).otherwise(-1), "other": F.when(odd, F.col("after")).otherwise(F.col("prior"))})
-    # At one place sides close, inner ones first, then points ask, then sides open, outer ones first.
-    order = [F.col("x"), F.col("step"), F.desc("other")]
-    held = both.withColumn("depth", F.sum("step").over(Window.partitionBy(*keys, "row").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    before = Window.partitionBy(*keys, "row", "depth").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    opened = held.withColumn("parent", F.last(F.when(F.col("step") > 0, F.col("contour")), ignorenulls=True).over(before))
-    return opened.where("ask = 0").select(*keys, "contour", "parent", "depth")
+    names = [*keys, "contour"]
+    real = contours.select(*names, "points")
+    schema = f"{_ddl(real.select(*names))}, x0 long, y0 long, x1 long, y1 long, ask boolean"
+    sides = real.mapInArrow(lambda batches: (b for rows in batches for b in _upright(rows, keys).to_batches()), schema)
+    band = F.sequence(F.shiftright("y0", BAND_BITS), F.shiftright(F.greatest("y0", F.col("y1") - 1), BAND_BITS))
+    placed = sides.withColumn("band", F.explode(band)).repartition(*keys, "band").sortWithinPartitions(*keys, "band")
+    out = f"{_ddl(real.select(*names, F.col('contour').alias('parent')))}, depth long"
+    return placed.mapInArrow(lambda batches: (b for rows in _groups(batches, [*keys, "band"]) for t in _swept(rows, keys) for b in t.to_batches()), out)
 
 
 def cells_inside(contours: DataFrame, keys: list[str]) -> DataFrame:
