@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
+from leafmill.operators.batches import codes, ddl, fresh, whole_groups
+
 POINTS = ArrayType(StructType().add("x", LongType()).add("y", LongType()))
 #: Largest distance of a point that goes, as a share of the contour's length, within these pixels.
 ERROR_SHARE, ERROR_LEAST, ERROR_MOST = 0.003, 1.5, 3.0
@@ -117,10 +119,6 @@ def crossings(contours: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "contour", "row", (F.col("x0") + (F.col("row") + 0.5 - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))).alias("x"))
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-
 def _upright(rows: pa.RecordBatch, keys: list[str]) -> pa.Table:
     """keys, contour, x0, y0, x1, y1, ask: the sides of contours that are not level, each from its lower y; those that begin in
     the contour's first row ask for what lies around it. A contour without such sides asks by a side without height."""
@@ -148,44 +146,10 @@ def _upright(rows: pa.RecordBatch, keys: list[str]) -> pa.Table:
     return pa.table(out | {"ask": pa.array(np.concatenate([(y0 == first)[up], np.ones(level.sum(), bool)]))})
 
 
-def _codes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Equal numbers for equal values of a column, nulls too."""
-    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return whole.dictionary_encode(null_encoding="encode").indices.to_numpy()
-
-
-def _fresh(rows: pa.Table, by: list[str]) -> np.ndarray:
-    """Whether a row has another group than the one before; not so for the first."""
-    out = np.zeros(rows.num_rows, bool)
-    for c in by:
-        out[1:] |= np.diff(_codes(rows.column(c))) != 0
-    return out
-
-
-def _groups(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches whose rows are sorted by group."""
-    open_: list[pa.Table] = []
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        if not rows.num_rows:
-            continue
-        goes_on = bool(open_) and all(rows.column(c)[0] == open_[-1].column(c)[-1] for c in by)
-        cut = np.flatnonzero(_fresh(rows, by))
-        at = int(cut[-1]) if len(cut) else 0
-        if open_ and (at or not goes_on):
-            yield pa.concat_tables([*open_, rows.slice(0, at)])
-            open_ = []
-        elif at:
-            yield rows.slice(0, at)
-        open_.append(rows.slice(at))
-    if open_:
-        yield pa.concat_tables(open_)
-
-
 def _swept(rows: pa.Table, keys: list[str]) -> Iterator[pa.Table]:
     """The asking contours of bands of ``_upright`` sides with parent and depth; some MET meetings are held at once."""
     x0, y0, x1, y1, band = (rows.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1", "band"))
-    group, contour = np.cumsum(_fresh(rows, [*keys, "band"])), _codes(rows.column("contour"))
+    group, contour = np.cumsum(fresh(rows, [*keys, "band"])), codes(rows.column("contour"))
     within = lambda y: group * BAND + np.clip(y - band * BAND, 0, BAND)
     asks = np.flatnonzero(rows.column("ask").to_numpy() & (y0 >> BAND_BITS == band))
     if not len(asks):
@@ -248,12 +212,12 @@ def nested(contours: DataFrame, keys: list[str]) -> DataFrame:
     """
     names = [*keys, "contour"]
     real = contours.select(*names, "points")
-    schema = f"{_ddl(real.select(*names))}, x0 long, y0 long, x1 long, y1 long, ask boolean"
+    schema = f"{ddl(real.select(*names))}, x0 long, y0 long, x1 long, y1 long, ask boolean"
     sides = real.mapInArrow(lambda batches: (b for rows in batches for b in _upright(rows, keys).to_batches()), schema)
     band = F.sequence(F.shiftright("y0", BAND_BITS), F.shiftright(F.greatest("y0", F.col("y1") - 1), BAND_BITS))
     placed = sides.withColumn("band", F.explode(band)).repartition(*keys, "band").sortWithinPartitions(*keys, "band")
-    out = f"{_ddl(real.select(*names, F.col('contour').alias('parent')))}, depth long"
-    return placed.mapInArrow(lambda batches: (b for rows in _groups(batches, [*keys, "band"]) for t in _swept(rows, keys) for b in t.to_batches()), out)
+    out = f"{ddl(real.select(*names, F.col('contour').alias('parent')))}, depth long"
+    return placed.mapInArrow(lambda batches: (b for rows in whole_groups(batches, [*keys, "band"]) for t in _swept(rows, keys) for b in t.to_batches()), out)
 
 
 def cells_inside(contours: DataFrame, keys: list[str]) -> DataFrame:

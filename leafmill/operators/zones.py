@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.operators.graph import components, shuffled
+from leafmill.operators.batches import ddl
+from leafmill.operators.graph import components, cut, shuffled, united
 from leafmill.operators.spatial import HINT, HOLE, area, inner_area, meeting
 
 TILE = 512
@@ -145,6 +146,32 @@ def _grown(mask: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
+def _closed(mask: np.ndarray, radius: int, times: int) -> np.ndarray:
+    for _ in range(times):
+        mask = _grown(mask, radius)
+    mask = ~mask
+    for _ in range(times):
+        mask = _grown(mask, radius)
+    return ~mask
+
+
+def _window(rows: pa.Table, tile: int, halo: int) -> tuple[int, int, np.ndarray]:
+    """x and y of the first cell of a tile with what of its sheet is up to ``halo`` cells around it, and its mask."""
+    w, h, tx, ty = (rows.column(c)[0].as_py() for c in ("w", "h", "tx", "ty"))
+    x0, y0, x1, y1 = max(0, tx * tile - halo), max(0, ty * tile - halo), min(w, (tx + 1) * tile + halo), min(h, (ty + 1) * tile + halo)
+    mask, there = np.zeros((y1 - y0, x1 - x0), bool), rows.filter(rows.column("x").is_valid()) if rows.column("x").null_count else rows
+    mask[there.column("y").to_numpy() - y0, there.column("x").to_numpy() - x0] = True
+    return x0, y0, mask
+
+
+def _spread(cells: DataFrame, keys: list[str], tile: int, halo: int) -> DataFrame:
+    """``cells`` with tx and ty of each tile of their sheet that they lie in or no more than ``halo`` away from."""
+    n = lambda c, d: F.floor((F.col(c) + d) / tile).cast("int")
+    last = lambda c, of: F.least(n(c, halo), F.floor((F.col(of) - 1) / tile).cast("int"))
+    spread = cells.withColumn("tx", F.explode(F.sequence(F.greatest(n("x", -halo), F.lit(0)), last("x", "w"))))
+    return spread.withColumn("ty", F.explode(F.sequence(F.greatest(n("y", -halo), F.lit(0)), last("y", "h"))))
+
+
 def closed(cells: DataFrame, sheets: DataFrame, keys: list[str], *, radius: int = CLOSE_RADIUS, times: int = CLOSE_TIMES, tile: int = TILE) -> DataFrame:
     """keys, x, y after a closing: ``times`` dilations by a disc, then as many erosions; outside a sheet nothing erodes.
 
@@ -153,24 +180,14 @@ def closed(cells: DataFrame, sheets: DataFrame, keys: list[str], *, radius: int
     halo = 2 * radius * times
     if not radius or not times:
         return _distinct(cells.select(*keys, "x", "y"), keys)
-    n = lambda c, d: F.floor((F.col(c) + d) / tile).cast("int")
     one = _distinct(cells.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")), keys).join(sheets.select(*keys, "w", "h"), keys).where("x < w AND y < h")
-    last = lambda c, of: F.least(n(c, halo), F.floor((F.col(of) - 1) / tile).cast("int"))
-    spread = one.withColumn("tx", F.explode(F.sequence(F.greatest(n("x", -halo), F.lit(0)), last("x", "w"))))
-    spread = spread.withColumn("ty", F.explode(F.sequence(F.greatest(n("y", -halo), F.lit(0)), last("y", "h"))))
+    spread = _spread(one, keys, tile, halo)
     columns = [c for c in spread.columns if c in keys]
 
     def close(rows: pa.Table) -> pa.Table:
-        w, h, tx, ty = (rows.column(c)[0].as_py() for c in ("w", "h", "tx", "ty"))
-        x0, y0, x1, y1 = max(0, tx * tile - halo), max(0, ty * tile - halo), min(w, (tx + 1) * tile + halo), min(h, (ty + 1) * tile + halo)
-        mask = np.zeros((y1 - y0, x1 - x0), bool)
-        mask[rows.column("y").to_numpy() - y0, rows.column("x").to_numpy() - x0] = True
-        for _ in range(times):
-            mask = _grown(mask, radius)
-        mask = ~mask
-        for _ in range(times):
-            mask = _grown(mask, radius)
-        y, x = np.nonzero(~mask)
+        tx, ty = (rows.column(c)[0].as_py() for c in ("tx", "ty"))
+        x0, y0, mask = _window(rows, tile, halo)
+        y, x = np.nonzero(_closed(mask, radius, times))
         own = (x + x0 >= tx * tile) & (x + x0 < (tx + 1) * tile) & (y + y0 >= ty * tile) & (y + y0 < (ty + 1) * tile)
         return pa.table({c: pa.repeat(rows.column(c)[0], int(own.sum())) for c in columns} | {"x": pa.array(x[own] + x0, pa.int64()), "y": pa.array(y[own] + y0, pa.int64())})
 
@@ -192,6 +209,75 @@ def outside_boxes(cells: DataFrame, boxes: DataFrame, keys: list[str], *, cell:
     return placed.join(grid, inside, "left_anti").drop("gx", "gy")
 
 
+def _pieces(rows: pa.Table, keys: list[str], radius: int, times: int, tile: int) -> pa.Table:
+    """Of one tile, after a closing: the parts of its cells and of its background (``empty``) with size, box and, for background, the
+    part left of its first cell, null where that lies in another tile; with ``rim`` the cells beside other tiles, of one cell each."""
+    halo, (w, h, tx, ty) = 2 * radius * times, (rows.column(c)[0].as_py() for c in ("w", "h", "tx", "ty"))
+    x0, y0, mask = _window(rows, tile, halo)
+    if halo and mask.any():
+        mask = _closed(mask, radius, times)
+    left, top = tx * tile, ty * tile
+    mask = mask[top - y0 : min(h, top + tile) - y0, left - x0 : min(w, left + tile) - x0]
+    across = mask.shape[1]
+    name = lambda at: ((at // across + top) << X_BITS) + at % across + left
+    found, before = [], None
+    for empty, own in ((False, mask), (True, ~mask)):
+        at = roots(own, not empty)
+        y, x = np.nonzero(own)
+        first, part, n = np.unique(at[own], return_inverse=True, return_counts=True)
+        box = [np.full(len(first), v, np.int64) for v in (across, tile, 0, 0)]
+        for bound, least, value in zip(box, (True, True, False, False), (x, y, x + 1, y + 1), strict=True):
+            (np.minimum if least else np.maximum).at(bound, part, value)
+        held = np.full(len(first), -1, np.int64)
+        if empty:
+            inner = np.flatnonzero(first % across > 0)
+            held[inner] = name(before.ravel()[first[inner] - 1])
+        before = at
+        gx, gy = x + left, y + top
+        rim = ((x == 0) & (gx > 0)) | ((x == tile - 1) & (gx < w - 1)) | ((y == 0) & (gy > 0)) | ((y == tile - 1) & (gy < h - 1))
+        zero = np.zeros(rim.sum(), np.int64)
+        found.append([np.full(len(first) + len(zero), empty), np.repeat([False, True], [len(first), len(zero)]), *map(np.concatenate, zip(
+            [name(first), n, box[0] + left, box[1] + top, box[2] + left, box[3] + top, held],
+            [name(at[own][rim]), zero + 1, gx[rim], gy[rim], gx[rim] + 1, gy[rim] + 1, zero - 1], strict=True))])
+    empty, rim, part, n, *box, held = map(np.concatenate, zip(*found, strict=True))
+    out = {k: pa.repeat(rows.column(k)[0], len(part)) for k in keys} | {"empty": pa.array(empty), "rim": pa.array(rim)}
+    out |= {c: pa.array(v.astype(np.int64)) for c, v in zip(("part", "n", "x0", "y0", "x1", "y1"), (part, n, *box), strict=True)}
+    return pa.table(out | {"beside": pa.array(held, mask=held < 0)})
+
+
+def closed_zones(cells: DataFrame, sheets: DataFrame, keys: list[str], *, radius: int = CLOSE_RADIUS, times: int = CLOSE_TIMES, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """``measured`` zones and ``holes`` of ``closed`` cells, without the cells between: a tile is closed and labelled at once,
+    and what goes on from it are its parts and the cells beside other tiles."""
+    fit = sheets.where("w > 0 AND h > 0").select(*keys, F.col("w").cast("long").alias("w"), F.col("h").cast("long").alias("h"))
+    one = cells.where("x >= 0 AND y >= 0").select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).join(fit, keys).where("x < w AND y < h")
+    spread = _spread(one, keys, tile, 2 * radius * times)
+    whole = fit
+    for t, of in (("tx", "w"), ("ty", "h")):
+        whole = whole.withColumn(t, F.explode(F.sequence(F.lit(0), F.floor((F.col(of) - 1) / tile).cast("int"))))
+    # A tile without cells is background.
+    tiles = spread.unionByName(whole.withColumns({"x": F.lit(None).cast("long"), "y": F.lit(None).cast("long")}))
+    schema = f"{ddl(fit.select(*keys))}, empty boolean, rim boolean, part long, n long, x0 long, y0 long, x1 long, y1 long, beside long"
+    pieces = cut(tiles.groupBy(*keys, "tx", "ty").applyInArrow(lambda rows: _pieces(rows, keys, radius, times, tile), schema))
+    kind, rim = [*keys, "empty"], pieces.where("rim").select(*keys, "empty", F.col("x0").alias("x"), F.col("y0").alias("y"), "part")
+    # Background touches by sides only.
+    near = F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit(bool(dx and dy)).alias("corner")) for dx, dy in ((1, 0), (0, 1), (1, 1), (-1, 1))))
+    ahead = rim.select(*kind, F.explode(near).alias("to"), F.col("part").alias("a")).where("NOT (empty AND to.corner)")
+    edges = ahead.select(*kind, "to.x", "to.y", "a").join(shuffled(rim.withColumnRenamed("part", "b")), [*kind, "x", "y"]).where("a <> b")
+    same = united(edges, kind).withColumnRenamed("node", "part")
+    parts = pieces.where("NOT rim").drop("rim").join(shuffled(same), [*kind, "part"], "left").withColumn("zone", F.coalesce("root", "part"))
+    box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    zoned = cut(parts.groupBy(*kind, "zone").agg(F.sum("n").alias("n"), *box, F.max(F.when(F.col("part") == F.col("zone"), F.col("beside"))).alias("beside")))
+    size = zoned.where("NOT empty").drop("empty", "beside")
+    # A zone that reaches the sheet's frame is no hole; the cell left of a hole's first one belongs to the zone around it.
+    inner = zoned.where("empty").drop("empty").join(fit, keys).where("x0 > 0 AND y0 > 0 AND x1 < w AND y1 < h").withColumnRenamed("zone", "hole")
+    inner = inner.withColumns({"y": F.shiftright("hole", X_BITS), "x": F.col("hole").bitwiseAND((1 << X_BITS) - 1) - 1}).drop("w", "h")
+    there = rim.where("NOT empty").select(*keys, "x", "y", F.col("part").alias("other"))
+    inner = inner.join(shuffled(there), [*keys, "x", "y"], "left").withColumn("part", F.coalesce("beside", "other"))
+    around = shuffled(same.where("NOT empty").drop("empty"))
+    gaps = inner.join(around, [*keys, "part"], "left").withColumn("zone", F.coalesce("root", "part"))
+    return size, cut(gaps.select(*keys, "zone", "hole", "n", "x0", "y0", "x1", "y1"))
+
+
 def tint_zones(cells: DataFrame, sheets: DataFrame, hints: DataFrame, texts: DataFrame, keys: list[str], *, radius: int = CLOSE_RADIUS, times: int = CLOSE_TIMES, tile: int = TILE) -> DataFrame:
     """keys, zone, pos, shape, n, holes, hole_area, box: printed tint of each sheet.
 
@@ -202,10 +288,9 @@ def tint_zones(cells: DataFrame, sheets: DataFrame, hints: DataFrame, texts: Dat
     ``rect`` of its own, with its ``pos`` and a null zone.
     """
     tint = outside_boxes(cells.where((F.col("gray") >= TINT_LO) & (F.col("gray") <= TINT_HI)), texts, keys)
-    zoned = labelled(closed(tint, sheets, keys, radius=radius, times=times, tile=tile), keys, tile=tile)
-    gaps = shuffled(holes(zoned, sheets, keys, tile=tile))
+    zoned, gaps = map(shuffled, closed_zones(tint, sheets, keys, radius=radius, times=times, tile=tile))
     filled = shuffled(gaps.groupBy(*keys, "zone").agg(F.sum("n").alias("gaps")))
-    size = shuffled(measured(zoned, keys).join(filled, [*keys, "zone"], "left").withColumn("whole", F.col("n") + F.coalesce("gaps", F.lit(0))).where(F.col("whole") >= LEAST_ZONE))
+    size = shuffled(zoned.join(filled, [*keys, "zone"], "left").withColumn("whole", F.col("n") + F.coalesce("gaps", F.lit(0))).where(F.col("whole") >= LEAST_ZONE))
     boxes = lambda df, *rest: df.select(*keys, *rest, *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
     both = meeting(boxes(size, "zone"), boxes(hints, "pos"), keys, cell=256.0)
     hit = both.where(inner_area(F.col("a"), F.col("b")) / F.greatest(F.least(area(F.col("a")), area(F.col("b"))), F.lit(1.0)) >= HINT).where(inner_area(F.col("a"), F.col("b")) > 0)

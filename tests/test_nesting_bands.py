@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from leafmill.operators import contours
+from leafmill.operators import batches, contours
 
 
 def square(x0, y0, x1, y1):
@@ -48,5 +48,5 @@ def test_boxes_in_many_bands(spark, monkeypatch):
     sides = pa.concat_tables([contours._upright(b, ["page"]) for b in one])
     band = [list(range(a >> 6, (max(a, z - 1) >> 6) + 1)) for a, z in zip(*(sides.column(c).to_pylist() for c in ("y0", "y1")), strict=True)]
     placed = sides.take([i for i, b in enumerate(band) for _ in b]).append_column("band", pa.array([k for b in band for k in b], pa.int64())).sort_by([("page", "ascending"), ("band", "ascending")])
-    got = [r for t in contours._groups(placed.to_batches(max_chunksize=3), ["page", "band"]) for s in contours._swept(t, ["page"]) for r in s.to_pylist()]
+    got = [r for t in batches.whole_groups(placed.to_batches(max_chunksize=3), ["page", "band"]) for s in contours._swept(t, ["page"]) for r in s.to_pylist()]
     assert {int(r["contour"]): (r["parent"] and int(r["parent"]), r["depth"]) for r in got} == want and len(got) == len(want)
